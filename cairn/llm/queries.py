@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import exact_dedup, html_extract, langid, mixing, quality_crf, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality_crf, token_rollup, url_filter
 from cairn.llm.common import shared_dir
 
 
@@ -53,9 +53,28 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
+    "op10_decontaminate": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, len(g) AS n, array_to_string(g, ' ') AS g FROM (
+  SELECT item_id, w[i:i + least(len(w), 10) - 1] AS g FROM iw, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (SELECT d.doc_id, d.i, d.n, w.item_id FROM (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM dw, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)) d JOIN windows w ON w.n = d.n AND w.g = d.g),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits h ON h.doc_id = dw.doc_id LEFT JOIN items i ON i.doc_id = dw.doc_id
+""",
     "op3_mix_sources": f"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(CAST(count(*) AS DOUBLE), 0.5) AS w FROM documents GROUP BY source),
 rate AS (SELECT source, w * ((SELECT sum(n) FROM sizes) / (SELECT sum(w) FROM sizes)) / n AS r FROM sizes),
