@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality_crf, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality_crf, suffix_dedup, token_rollup, url_filter
 from cairn.llm.common import shared_dir
 
 
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, held).select("doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "lang", "n_chars", "text")
 
@@ -59,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_mix_sources, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op10_decontaminate": r"""
