@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, quality_crf, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, quality_crf, suffix_dedup, token_rollup, url_filter
 from cairn.llm.common import shared_dir
 
 
@@ -34,6 +34,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "lang", "n_chars", "text")
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +57,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark).rstrip('/')}/token-rollup-{uuid.uuid4().hex}")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
     rollup.commit("documents", token_rollup.token_counts(_table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert")))
     return rollup.totals()
 
@@ -64,7 +68,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op4_minhash_dedup, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op10_decontaminate": r"""

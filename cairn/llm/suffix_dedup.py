@@ -188,7 +188,7 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_part", part)
     name = f"cairn_parts_{uuid.uuid4().hex}"
     n = min(100_000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").bucketBy(n, "_part").saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "_part").saveAsTable(name)
     return spark.table(name)
 
 
