@@ -10,7 +10,7 @@ A document's set holds its distinct shingles of ``WORDS`` consecutive words. Doc
 3. Stars: every bucket proposes pairs of its members with one centre, so as many pairs as members. Later
    rounds take other centres, and look only at buckets that still hold different components; the last round
    proposes every pair of one bucket that is in different components and was never compared, so no
-   candidate is lost. Pairs within a component prove nothing and are never looked at.
+   candidate is lost. It leaves out pairs whose parity bitmaps prove too large a difference. Pairs within a component prove nothing and are never looked at.
 4. Sequential verification: a pair's signatures are compared ``BATCH`` values at a time, one byte each, and the
    pair leaves as soon as the posterior probability of a similarity at the threshold or above, under a uniform prior,
    is below ``MISS``.
@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import lookup_table, materialise, mix, text_slices, words_of
@@ -44,7 +44,9 @@ THRESHOLD = 75
 BANDS, ROWS = 40, 4
 BATCH = 32
 MISS = 1e-6
-STARS = 3
+STARS = 2
+#: Bits of a parity bitmap.
+PARITY = 1024
 _NONSPACE = lookup_table("nonspace")
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -83,6 +85,15 @@ def min_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parity_bitmaps(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set, PARITY bits as longs: bit i is the parity of the shingles that hash to i."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    out = np.zeros((len(at) - 1, PARITY // 64), np.uint64)
+    place = (mix(h) % np.uint64(PARITY)).astype(np.int64)
+    np.bitwise_xor.at(out, (owner, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.view(np.int64)
+
+
 def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
     key = np.zeros((len(mins), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
     parts = mins[:, : bands * rows].reshape(-1, bands, rows)
@@ -92,7 +103,7 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """_id, n_shingles, set_digest, signature (one byte a value), keys (one a band)."""
+    """_id, n_shingles, set_digest, signature (one byte a value), keys (one a band), parity (a bitmap)."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +114,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 digest = [hashlib.sha256(h[at[i] : at[i + 1]].tobytes()).digest() for i in range(hi - lo)]
                 signature = [x.tobytes() for x in ((mins >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)]
                 keys = band_keys(mins, bands, rows)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), flat], ["_id", "n_shingles", "set_digest", "signature", "keys"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (keys, parity_bitmaps(h, at))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *lists], ["_id", "n_shingles", "set_digest", "signature", "keys", "parity"])
 
-    return base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, n_shingles long, set_digest binary, signature binary, keys array<long>")
+    return base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, n_shingles long, set_digest binary, signature binary, keys array<long>, parity array<long>")
 
 
 def least_matches(n: int, threshold: int, miss: float) -> int:
@@ -179,21 +190,29 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.withColumnRenamed("id", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
 
 
-def _stars(members: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+def _near(n: str, parity: str, m: str, other: str, threshold: int) -> Column:
+    """False if the parity bitmaps of two sets (of n and m shingles) prove that they can't be linked.
+
+    A bitmap holds for each bit the parity of the shingles that hash to it, so two sets differ in at least as
+    many shingles as their bitmaps in bits.
+    """
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(parity)[k].bitwiseXOR(F.col(other)[k])) for k in range(PARITY // 64)))
+    return (100 + threshold) * differ <= (100 - threshold) * (F.col(n) + F.col(m))
+
+
+def _stars(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
     """Pairs of every member of a bucket that holds different components with the bucket's centre."""
-    rows = _labelled(members, labels)
     rank = F.col("x") if seed == 0 else F.xxhash64(F.lit(seed), F.col("x"))
-    centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("x").alias("c"), F.col("component").alias("cc"))).alias("best"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return rows.join(centre.select("key", "best.c", "best.cc"), "key").filter("component <> cc").select("x", "c").distinct()
+    centre = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("x").alias("c"), F.col("component").alias("cc"), F.col("n").alias("m"), F.col("parity").alias("other"))).alias("best"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return rows.join(centre.select("key", "best.c", "best.cc", "best.m", "best.other"), "key").filter((F.col("component") != F.col("cc")) & _near("n", "parity", "m", "other", threshold)).select("x", "c")
 
 
-def _rest(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Every pair of one bucket that is in different components."""
-    rows = _labelled(members, labels)
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
-    other = rows.select("key", F.col("x").alias("c"), F.col("component").alias("cc"))
-    return rows.join(other, "key").filter("x > c AND component <> cc").select("x", "c").distinct()
+def _rest(rows: DataFrame, threshold: int) -> DataFrame:
+    """Every pair of one bucket that is in different components: members outside its largest component with all others."""
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("k"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    outside = rows.join(sizes.filter("m > 2 AND k > 1").select("key", "main"), "key").filter("component <> main").drop("main")
+    other = rows.select("key", F.col("x").alias("c"), F.col("component").alias("cc"), F.col("n").alias("m"), F.col("parity").alias("other"))
+    return outside.join(other, "key").filter((F.col("component") != F.col("cc")) & _near("n", "parity", "m", "other", threshold)).select("x", "c")
 
 
 def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -214,7 +233,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         raise ValueError(f"bands * rows must be a multiple of {BATCH}")
     signed = materialise(signatures(docs, id_col, text_col, words, bands, rows), "signatures")
     some = signed.filter("n_shingles > 0 AND _id IS NOT NULL")
-    reps = materialise(some.groupBy("set_digest").agg(F.min("_id").alias("_id"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
+    reps = materialise(some.groupBy("set_digest").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("_id").alias("x"))
     shared = keyed.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("key")
     members = materialise(keyed.join(shared, "key", "left_semi").distinct(), "buckets")
@@ -222,27 +241,34 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         return signed, reps, None
     wanted = members.select(F.col("x").alias("_id")).distinct()
     texts = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi").distinct(), "texts")
+    sized = reps.select(F.col("_id").alias("x"), F.col("n_shingles").alias("n"), "parity")
     labels: DataFrame | None = None
     compared: list[DataFrame] = []
     confirmed: list[DataFrame] = []
+
+    def grouped() -> DataFrame | None:
+        return materialise(connected_components(reduce(DataFrame.unionByName, confirmed), "x", "c"), "labels") if confirmed else None
+
+    fresh = True
     for turn in range(STARS + 1):
-        pairs = _ordered(_stars(members, labels, turn) if turn < STARS else _rest(members, labels)).distinct()
+        open_ = _labelled(members, labels).join(sized, "x")
+        pairs = _ordered(_stars(open_, turn, threshold) if turn < STARS else _rest(open_, threshold)).distinct()
         for old in compared:
             pairs = pairs.join(old, ["x", "c"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
+        live = materialise(sequential(pairs, reps, threshold, bands * rows, miss), "survivors")
+        if live.isEmpty():
             continue
-        compared.append(pairs)
-        live = materialise(sequential(pairs, reps.dropDuplicates(["_id", "signature"]), threshold, bands * rows, miss), "survivors")
+        compared.append(live.select("x", "c"))
         # the likeliest pair of each document, then what its links leave undecided
         best = live.groupBy("x").agg(F.max_by("c", F.struct("matches", "c")).alias("c"))
-        for chosen in (best, live.join(best, ["x", "c"], "left_anti")):
+        for k, chosen in enumerate((best, live.join(best, ["x", "c"], "left_anti"))):
             found = materialise(confirm(_across(chosen, labels), texts, words, threshold), "links")
             if not found.isEmpty():
                 confirmed.append(found)
-                labels = connected_components(reduce(DataFrame.unionByName, confirmed), "x", "c")
-                labels = materialise(labels, "labels")
-    return signed, reps, labels
+                fresh = k == 0
+                if fresh:
+                    labels = grouped()
+    return signed, reps, labels if fresh else grouped()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
