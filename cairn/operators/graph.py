@@ -86,7 +86,7 @@ def cycle_core(edges: DataFrame) -> DataFrame:
         if now == n:
             break
         n = now
-    return left
+    return left.select("src", "dst")
 
 
 def temporal_forest(tx: DataFrame) -> DataFrame:

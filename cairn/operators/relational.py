@@ -58,7 +58,7 @@ def touching(tx: DataFrame, accounts: DataFrame) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes (column ``id``)."""
     known = nodes.select("id").distinct()
-    return edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def last_wins(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
