@@ -133,7 +133,7 @@ def flt9_null_profile(spark, sf_dir):
     return relational.null_profile(t, ["amount", "sender"])
 
 
-@query("SELECT tx_id, coalesce(a, 0) AS amount, sender FROM (SELECT tx_id, nullif(sender, 3) AS sender, CASE WHEN amount > 300000 THEN NULL ELSE amount END AS a FROM txn) WHERE sender IS NOT NULL")
+@query("SELECT tx_id, CASE WHEN amount <= 300000 THEN amount ELSE 0.0 END AS amount, sender FROM txn WHERE sender <> 3")
 def flt7_drop_and_fill(spark, sf_dir):
     t = tx(spark, sf_dir).select("tx_id", F.nullif("sender", F.lit(3)).alias("sender"), F.when(F.col("amount") <= 300000, F.col("amount")).alias("amount"))
     return t.na.drop(subset=["sender"]).na.fill({"amount": 0.0})
