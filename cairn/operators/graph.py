@@ -127,6 +127,28 @@ def walks_to_sinks(successor: DataFrame) -> DataFrame:
             return jump
 
 
+def best_predecessor(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): every vertex with the predecessor of greatest risk (columns id, risk of ``nodes``), the least id of equals."""
+    scored = edges.select("src", "dst").join(nodes.select(F.col("id").alias("src"), "risk"), "src")
+    return scored.groupBy("dst").agg(F.max_by("src", F.struct("risk", -F.col("src"))).alias("to")).select(F.col("dst").alias("src"), F.col("to").alias("dst"))
+
+
+def trace(successor: DataFrame, start: DataFrame) -> DataFrame:
+    """(id, hops): the walk from the ids of ``start`` along an acyclic successor function (src, dst).
+
+    Round k holds the first 2^k vertices of the walk and adds as many by jumps of 2^k steps, so rounds are logarithmic in its length.
+    """
+    jump = materialise(successor.select("src", "dst"), "jump")
+    path, span = materialise(start.select("id", F.lit(0).cast("long").alias("hops")), "trace"), 1
+    while True:
+        step = materialise(path.join(jump, path["id"] == jump["src"]).select(F.col("dst").alias("id"), (F.col("hops") + span).alias("hops")), "trace")
+        if step.isEmpty():
+            return path
+        path = path.unionByName(step)
+        jump = materialise(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")), "jump")
+        span *= 2
+
+
 def account_edges(tx: DataFrame) -> DataFrame:
     """(src, dst, risk): distinct account pairs with the risk of their latest transfer."""
     scored = tx.withColumn("risk", edge_risk(F.col("is_laundering"), F.col("amount"), hour_of(F.col("epoch"))))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +73,17 @@ def by_class(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return rows.select("class", "support", div(F.col("tp"), F.col("claimed")).alias("precision"), div(F.col("tp"), F.col("support")).alias("recall"), div(2 * F.col("tp"), F.col("claimed") + F.col("support")).alias("f1"))
 
 
+def indexer(column: str, out: str, unseen: str = "keep") -> StringIndexer:
+    """Codes from 0 in order of frequency, equal ones by value; unseen values get the next code (keep) or raise an error (error)."""
+    return StringIndexer(inputCol=column, outputCol=out, handleInvalid=unseen, stringOrderType="frequencyDesc")
+
+
+def one_hot(df: DataFrame, code: str, out: str) -> DataFrame:
+    """The codes as arrays with a slot for each but the last, which is that of unseen values if the indexer keeps them."""
+    model = OneHotEncoder(inputCols=[code], outputCols=["_hot"]).fit(df)
+    return model.transform(df).withColumn(out, vector_to_array("_hot")).drop("_hot")
+
+
 def models(seed: int = 42) -> dict[str, object]:
     common = {"labelCol": "label", "featuresCol": "features"}
     return {
@@ -85,7 +97,7 @@ def models(seed: int = 42) -> dict[str, object]:
 
 def pipeline(numeric: list[str], categorical: list[str], model, one_hot: bool = True) -> Pipeline:
     """Indexers that keep unseen values, one-hot encoders, an assembler and the model."""
-    stages: list = [StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in categorical]
+    stages: list = [indexer(c, f"{c}_ix") for c in categorical]
     names = [f"{c}_ix" for c in categorical]
     if one_hot and categorical:
         stages.append(OneHotEncoder(inputCols=names, outputCols=[f"{c}_oh" for c in categorical]))

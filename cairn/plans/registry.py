@@ -12,6 +12,7 @@ from cairn.operators import graph, learning, relational
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise, shared_dir
 from cairn.sources import transactions as source
+from cairn.streaming import transfers as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -546,3 +547,199 @@ def ml17_ablation(spark, sf_dir):
     rows = materialise(learning.time_split(rows, [0.8, 0.2], ["epoch", "tx_id"]), "split")
     modes = {"transfer": (["amount"], ["payment_type"]), "graph": (["degree", "group_node_count", "group_bidirect_ratio"], []), "both": (["amount", "degree", "group_node_count"], ["payment_type"])}
     return learning.ablation(rows.filter("part = 0"), rows.filter("part = 1"), modes, ["logistic", "tree", "forest", "svm"]).drop("seconds")
+
+
+@query("SELECT payment_type, CAST(row_number() OVER (ORDER BY count(*) DESC, payment_type) - 1 AS DOUBLE) AS code FROM txn GROUP BY 1")
+def ml2_frequency_codes(spark, sf_dir):
+    t = tx(spark, sf_dir).select("payment_type")
+    return learning.indexer("payment_type", "code").fit(t).transform(t.distinct()).select("payment_type", "code")
+
+
+@query("""SELECT payment_type, array_to_string(list_transform(range(n - 1), lambda x: CASE WHEN x = r - 1 THEN '1' ELSE '0' END), ',') AS slots
+FROM (SELECT payment_type, row_number() OVER (ORDER BY count(*) DESC, payment_type) AS r, count(*) OVER () AS n FROM txn GROUP BY 1)""")
+def ml3_one_hot(spark, sf_dir):
+    t = tx(spark, sf_dir).select("payment_type")
+    coded = learning.indexer("payment_type", "code", "error").fit(t).transform(t.distinct())
+    return learning.one_hot(coded, "code", "hot").select("payment_type", F.array_join(F.transform("hot", lambda x: x.cast("int").cast("string")), ",").alias("slots"))
+
+
+def _fold_metrics(spark, sf_dir) -> DataFrame:
+    t = scored(tx(spark, sf_dir))
+    folds = learning.stratified_folds(t, 10)
+    hit = lambda a, b: F.count_if((F.col("is_laundering") == a) & ((F.col("risk") >= 1.5).cast("int") == b))
+    counts = t.join(folds, "tx_id").groupBy("fold").agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(0, 0).alias("tn"), hit(1, 0).alias("fn"))
+    return relational.metrics(counts)
+
+
+FOLDS = """, r AS (SELECT CAST((row_number() OVER (ORDER BY is_laundering, md5('42:' || tx_id), tx_id) - 1) % 10 AS INTEGER) AS fold, is_laundering AS y, CAST(risk >= 1.5 AS INT) AS p FROM scored),
+m AS (SELECT fold, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn FROM r GROUP BY 1),
+v AS (SELECT CAST(fold AS VARCHAR) AS fold, (tp + tn) / (tp + tn + fp + fn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m)
+"""
+
+
+@query(FOLDS + "SELECT fold, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM v UNION ALL SELECT 'avg', round(avg(accuracy), 9), round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9) FROM v")
+def snk3_fold_table(spark, sf_dir):
+    rows = materialise(_fold_metrics(spark, sf_dir), "fold-metrics")
+    names = ["accuracy", "precision", "recall", "f1"]
+    mean = rows.agg(*(F.avg(n).alias(n) for n in names)).withColumn("fold", F.lit("avg"))
+    return rows.withColumn("fold", F.col("fold").cast("string")).select("fold", *names).unionByName(mean).select("fold", *(F.round(n, 9).alias(n) for n in names))
+
+
+@query()
+def ml11_importances(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    flow = learning.pipeline(["amount", "epoch"], ["payment_type", "payment_currency"], learning.models()["forest"], one_hot=False)
+    return spark.createDataFrame(learning.importances(flow.fit(rows)), "feature string, importance double")
+
+
+@query()
+def ml7_boosted_trees(spark, sf_dir):
+    rows = materialise(learning.time_split(_labelled(spark, sf_dir), [0.8, 0.2], ["epoch", "tx_id"]), "split")
+    flow = learning.pipeline(["amount"], ["payment_type", "payment_currency"], learning.models()["boosted"], one_hot=False)
+    return learning.evaluate(rows.filter("part = 0"), rows.filter("part = 1"), flow).drop("seconds")
+
+
+# Risk paths, group details and lookups
+
+
+NODES = ORACLE_SQL["gr11_levels_and_risk"].replace("SELECT id, max(k) AS level", ", node AS (SELECT id, max(k) AS level") + ")\n"
+
+
+@query(NODES + "SELECT id, level, row_number() OVER (ORDER BY level, id) AS place FROM node", "")
+def gr5_topological_order(spark, sf_dir):
+    nodes = gr11_levels_and_risk(spark, sf_dir).select("level", "id")
+    return relational.global_row_number(nodes, ["level", "id"], "place").select("id", "level", "place")
+
+
+@query()
+def gr6_is_dag(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    tables = {"chain": relational.temporal_chain(t), "accounts": graph.account_edges(t)}
+    return spark.createDataFrame([(name, graph.is_dag(edges)) for name, edges in tables.items()], "edges string, dag boolean")
+
+
+@query(NODES + """, best AS (SELECT dst AS id, arg_max(src, (risk, -src)) AS pred FROM chain JOIN node ON node.id = chain.src GROUP BY dst),
+tr(id, hops) AS (SELECT arg_max(id, (risk, -id)), CAST(0 AS BIGINT) FROM node UNION ALL SELECT pred, hops + 1 FROM tr JOIN best ON best.id = tr.id) SELECT id, hops FROM tr""", "")
+def gr14_trace_of_top_risk(spark, sf_dir):
+    nodes = materialise(gr11_levels_and_risk(spark, sf_dir), "nodes")
+    top = nodes.orderBy(F.desc("risk"), "id").limit(1).select("id")
+    return graph.trace(graph.best_predecessor(relational.temporal_chain(tx(spark, sf_dir)), nodes), top)
+
+
+@query(NODES + ", scored_rows AS (SELECT t.is_laundering AS y, CAST(n.risk >= 5 AS INT) AS p FROM node n JOIN txn t ON t.tx_id = n.id)" + METRICS, "")
+def gr15_risk_threshold(spark, sf_dir):
+    nodes = gr11_levels_and_risk(spark, sf_dir)
+    rows = tx(spark, sf_dir).join(nodes.select(F.col("id").alias("tx_id"), (F.col("risk") >= 5).cast("int").alias("p")), "tx_id")
+    return relational.metrics(relational.confusion(rows, F.col("is_laundering"), F.col("p")))
+
+
+@query(RISK_GROUPS + """, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), mem AS (SELECT id FROM comp JOIN big USING (component))
+SELECT sender AS src, receiver AS dst, count(*) AS n, max(is_laundering) AS flagged FROM txn WHERE sender IN (SELECT id FROM mem) AND receiver IN (SELECT id FROM mem) GROUP BY ALL""")
+def gr19_group_flow(spark, sf_dir):
+    t, _, comp = groups(spark, sf_dir)
+    largest = comp.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    members = comp.join(largest, "component", "left_semi").select("id")
+    flow = relational.induced(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "is_laundering"), members)
+    return flow.groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("is_laundering").alias("flagged"))
+
+
+@query(SHAPE + "SELECT component, n, n_sources, n_sinks FROM shape")
+def agg11_group_shape(spark, sf_dir):
+    _, edges, comp = groups(spark, sf_dir)
+    return graph.group_shape(edges, comp)
+
+
+@query(SHAPE + "SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_accounts, count(*) FILTER (n_sources = 0) AS without_source, count(*) FILTER (n_sinks = 0) AS without_sink, max(n) AS largest FROM shape")
+def agg21_group_totals(spark, sf_dir):
+    return agg11_group_shape(spark, sf_dir).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_accounts"), F.count_if(F.col("n_sources") == 0).alias("without_source"), F.count_if(F.col("n_sinks") == 0).alias("without_sink"), F.max("n").alias("largest"))
+
+
+@query("SELECT t.tx_id, coalesce(CAST(p.risk AS DOUBLE), 0) AS risk FROM txn t LEFT JOIN (SELECT * FROM pairs WHERE risk >= 1.5) p ON p.src = t.receiver AND p.dst = t.sender")
+def join11_lookup_or_default(spark, sf_dir):
+    back = graph.account_edges(tx(spark, sf_dir)).filter("risk >= 1.5").select(F.col("src").alias("receiver"), F.col("dst").alias("sender"), "risk")
+    return tx(spark, sf_dir).select("tx_id", "sender", "receiver").join(back, ["sender", "receiver"], "left").select("tx_id", F.coalesce("risk", F.lit(0.0)).alias("risk"))
+
+
+@query(", s AS (SELECT sender AS a, max(CAST(risk AS DOUBLE)) AS r FROM scored GROUP BY 1) SELECT tx_id, greatest(coalesce(u.r, 0), coalesce(v.r, 0)) AS risk FROM txn LEFT JOIN s u ON u.a = sender LEFT JOIN s v ON v.a = receiver")
+def fn11_endpoint_risk(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    own = materialise(scored(t).groupBy("sender").agg(F.max("risk").alias("r")), "account-risk")
+    at = lambda end: own.select(F.col("sender").alias(end), F.col("r").alias(f"{end}_r"))
+    joined = t.join(at("sender"), "sender", "left").join(at("receiver"), "receiver", "left")
+    return joined.select("tx_id", F.greatest(F.coalesce("sender_r", F.lit(0.0)), F.coalesce("receiver_r", F.lit(0.0))).alias("risk"))
+
+
+@query("SELECT tx_id, amount FROM scored WHERE is_laundering = 1 AND risk < 2.5")
+def flt3_missed(spark, sf_dir):
+    return scored(tx(spark, sf_dir)).filter("is_laundering = 1 AND risk < 2.5").select("tx_id", "amount")
+
+
+@query("SELECT tx_id, epoch FROM txn ORDER BY epoch, tx_id LIMIT 250000")
+def flt10_row_cap(spark, sf_dir):
+    return tx(spark, sf_dir).select("tx_id", "epoch").orderBy("epoch", "tx_id").limit(250_000)
+
+
+@query("SELECT account, count(*) AS n FROM (SELECT sender AS account FROM txn UNION ALL SELECT receiver FROM txn) GROUP BY 1")
+def set1_both_ends(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    return t.select(F.col("sender").alias("account")).unionByName(t.select(F.col("receiver").alias("account"))).groupBy("account").agg(F.count("*").alias("n"))
+
+
+@query("SELECT sender AS id FROM txn UNION SELECT receiver FROM txn")
+def set4_vertices(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    return t.select(F.col("sender").alias("id")).union(t.select("receiver")).distinct()
+
+
+@query(RISK_GROUPS + "SELECT count(*) AS overlapping FROM (SELECT id FROM comp GROUP BY 1 HAVING count(DISTINCT component) > 1)")
+def set5_groups_are_disjoint(spark, sf_dir):
+    _, _, comp = groups(spark, sf_dir)
+    return comp.groupBy("id").agg(F.count_distinct("component").alias("k")).filter("k > 1").agg(F.count("*").alias("overlapping"))
+
+
+@query("SELECT CAST(sender AS VARCHAR) AS src, CAST(receiver AS VARCHAR) AS dst, CAST(epoch AS VARCHAR) AS ts FROM txn")
+def snk6_graphml_round_trip(spark, sf_dir):
+    path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
+    edges = tx(spark, sf_dir).select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), F.col("epoch").alias("ts"))
+    return source.read_graphml_edges(spark, source.write_graphml_edges(edges, path))
+
+
+# Streams
+
+
+def _delivered(spark, sf_dir, copies: int = 1) -> tuple[str, DataFrame]:
+    """(folder, table): the transfers as files of a folder, as a producer leaves them."""
+    path, t = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}", tx(spark, sf_dir)
+    for _ in range(copies):
+        t.write.mode("append").parquet(path)
+    return path, t
+
+
+@query("""SELECT e // 86400 * 86400 AS window_start, payment_type, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (SELECT *, epoch AS e FROM txn)
+WHERE e // 86400 * 86400 + 86400 <= (SELECT max(epoch) FROM txn) - 3600 GROUP BY 1, 2""")
+def stm1_closed_windows(spark, sf_dir):
+    path, t = _delivered(spark, sf_dir)
+    totals = streaming.windowed_totals(streaming.read_transfers(spark, path, t.schema))
+    return streaming.drain(totals, streaming.folder(spark, uuid.uuid4().hex)).withColumn("total", F.col("total").cast("double"))
+
+
+@query("SELECT sender, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total FROM txn GROUP BY 1")
+def stm2_running_totals(spark, sf_dir):
+    path, t = _delivered(spark, sf_dir)
+    arrivals = streaming.read_transfers(spark, path, t.schema, files_per_batch=4)
+    return streaming.accumulate(arrivals, ["sender"], streaming.folder(spark, uuid.uuid4().hex)).withColumn("total", F.col("total").cast("double"))
+
+
+@query("SELECT tx_id, amount FROM txn")
+def stm3_first_deliveries(spark, sf_dir):
+    path, t = _delivered(spark, sf_dir, copies=2)
+    kept = streaming.first_deliveries(streaming.read_transfers(spark, path, t.schema))
+    return streaming.drain(kept.select("tx_id", "amount"), streaming.folder(spark, uuid.uuid4().hex))
+
+
+@query("SELECT tx_id, sender, amount FROM txn WHERE sender IN (SELECT sender FROM txn WHERE is_laundering = 1)")
+def stm4_flagged_senders(spark, sf_dir):
+    path, t = _delivered(spark, sf_dir)
+    bad = materialise(t.filter("is_laundering = 1").select(F.col("sender").alias("account")), "flagged-accounts")
+    hits = streaming.flagged(streaming.read_transfers(spark, path, t.schema), bad)
+    return streaming.drain(hits.select("tx_id", "sender", "amount"), streaming.folder(spark, uuid.uuid4().hex))

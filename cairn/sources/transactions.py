@@ -76,6 +76,13 @@ def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("data")[0].alias("ts"))
 
 
+def write_graphml_edges(edges: DataFrame, path: str) -> str:
+    """``edge`` elements of src, dst and ts, one file a partition under the root ``graph``; ``read_graphml_edges`` reads the folder."""
+    rows = edges.select(F.col("src").cast("string").alias("_source"), F.col("dst").cast("string").alias("_target"), F.struct(F.lit("ts").alias("_key"), F.col("ts").cast("string").alias("_VALUE")).alias("data"))
+    rows.write.format("xml").option("rootTag", "graph").option("rowTag", "edge").option("declaration", "").save(path)
+    return path
+
+
 def write_pages(df: DataFrame, order: list[str], path: str, page_rows: int = 10_000) -> str:
     """One folder a page of ``page_rows`` rows, all in one job."""
     from cairn.operators.relational import global_row_number

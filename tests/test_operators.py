@@ -9,6 +9,7 @@ from cairn.functions import scalar
 from cairn.operators import graph, learning, relational
 from cairn.operators.components import connected_components
 from cairn.sources import transactions as source
+from cairn.streaming import transfers as streaming
 
 
 def frame(spark, rows):
@@ -126,3 +127,43 @@ def test_cross_validation_and_ablation_rows(spark):
     assert sorted(r.fold for r in got) == [-1, 0, 1]
     table = learning.ablation(df.filter("epoch < 20"), df.filter("epoch >= 20"), {"a": (["amount"], []), "b": (["amount", "epoch"], [])}, ["logistic", "tree"])
     assert table.count() == 4
+
+
+def test_trace_follows_the_riskiest_predecessors(spark):
+    edges = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (5, 6), (9, 6)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 2.0), (4, 2.0), (5, 3.0), (6, 4.0), (9, 1.0)], "id long, risk double")
+    path = graph.trace(graph.best_predecessor(edges, nodes), nodes.filter("id = 6").select("id"))
+    assert sorted(tuple(r) for r in path.collect()) == [(1, 4), (3, 3), (4, 2), (5, 1), (6, 0)]
+    assert graph.trace(edges, nodes.limit(0).select("id")).count() == 0
+
+
+def test_running_totals_go_on_where_they_ended(spark, tmp_path):
+    arrivals, state = str(tmp_path / "in"), str(tmp_path / "state")
+    stream = lambda t: streaming.read_transfers(spark, arrivals, t.schema, files_per_batch=1)
+    first, second = frame(spark, random_tx(12, 40)), frame(spark, [(100 + x[0], *x[1:]) for x in random_tx(13, 30)])
+    first.repartition(3).write.parquet(arrivals)
+    streaming.accumulate(stream(first), ["sender"], state)
+    second.write.mode("append").parquet(arrivals)
+    got = streaming.accumulate(stream(first), ["sender"], state)
+    want = first.union(second).groupBy("sender").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).alias("total"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+    again = streaming.accumulate(stream(first), ["sender"], state)
+    assert again.agg(F.sum("n")).first()[0] == 70
+
+
+def test_running_totals_of_an_empty_folder(spark, tmp_path):
+    t = frame(spark, random_tx(1, 1))
+    t.limit(0).write.parquet(str(tmp_path / "in"))
+    assert streaming.accumulate(streaming.read_transfers(spark, str(tmp_path / "in"), t.schema), ["sender"], str(tmp_path / "state")).count() == 0
+
+
+def test_late_rows_and_second_deliveries(spark, tmp_path):
+    day = 86_400
+    rows = [(1, 1, 2, 10, 5.0, 0), (1, 1, 2, 10, 5.0, 0), (2, 1, 2, day + 5, 7.0, 0), (3, 1, 2, 3 * day, 1.0, 0)]
+    t = frame(spark, rows).withColumn("payment_type", F.lit("x"))
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    arrivals = streaming.read_transfers(spark, str(tmp_path / "in"), t.schema)
+    totals = streaming.drain(streaming.windowed_totals(arrivals), str(tmp_path / "windows"))
+    assert sorted((r.window_start, r.n, float(r.total)) for r in totals.collect()) == [(0, 2, 10.0), (day, 1, 7.0)]
+    kept = streaming.drain(streaming.first_deliveries(arrivals).select("tx_id"), str(tmp_path / "kept"))
+    assert sorted(r.tx_id for r in kept.collect()) == [1, 2, 3]
