@@ -242,3 +242,61 @@ def test_pipeline_equals_brute_force(spark):
     before = corpus_pipeline.mix_stage(spark, docs.filter(F.col("doc_id").isin(sorted(live))), SF)
     got = corpus_pipeline.run(spark, SF)
     assert Counter((x.doc_id, x.copy) for x in got.collect()) == Counter((x.doc_id, x.copy) for x in before.collect())
+
+
+STAGE_DOCS = DOCS + ", n_chars long, component_id long, keep_id long, lang_pred string, mix_rate double, _known long, _gone long, _id long, _text string"
+CLASHES = (7, 7, 7, "zz", 0.5, 7, 7, 7, "zz")
+LONG = " ".join(f"word{i}" for i in range(60000))
+
+
+def stage_docs(spark, rows):
+    return spark.createDataFrame([(i, t, lang, source, "x", 1, 0.5, *CLASHES) for i, t, lang, source in rows], STAGE_DOCS)
+
+
+@pytest.fixture(scope="module")
+def stage_results(spark):
+    """Ids that each stage leaves of rows with nulls, repeats, ties, empty and very long texts, and the stages' columns."""
+    import corpus_pipeline
+
+    near = LONG.replace("word5 ", "other ")
+    rows = [(1, "the cat and the dog", "en", "a"), (1, "the cat and the dog", "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, " \n", "en", "b"), (5, "123", "en", None), (6, LONG, None, "a"), (7, LONG, "en", "b"), (8, near, "en", "b"), (9, "the dog\tand the cat", "en", "a"), (10, "the dog and the  cat", "en", "a"), (None, "a text without an id", "en", "a")]
+    docs = stage_docs(spark, rows)
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, SF)
+        out[name] = (left.columns, Counter(x.doc_id for x in left.select("doc_id").collect()), stage(spark, docs.limit(0), SF).count())
+    return docs.columns, out
+
+
+def test_stages_keep_the_columns_and_take_empty_tables(stage_results):
+    columns, out = stage_results
+    for name, (got, _, empty) in out.items():
+        assert empty == 0
+        # mixing replaces columns of the names that it adds
+        assert sorted(got) == sorted(columns) if name.startswith("mixing") else got == columns
+
+
+@pytest.mark.parametrize("name, left", [
+    ("language ID", {1: 2, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, None: 1}),
+    ("exact dedup", {1: 1, 4: 1, 5: 1, 6: 1, 8: 1, 10: 1, None: 1}),
+    ("MinHash near-dedup", {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 1, None: 1}),
+    ("benchmark decontamination", {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, None: 1}),
+])
+def test_stages_on_nulls_repeats_ties_and_long_texts(stage_results, name, left):
+    assert stage_results[1][name][1] == left
+
+
+def test_mixing_gives_repeated_rows_the_same_count(stage_results):
+    got = stage_results[1]["mixing sources to target weights"][1]
+    assert set(got) <= {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None} and got[1] % 2 == 0
+
+
+def test_pages_with_nulls_long_html_and_clashing_columns(spark):
+    long = "<article>" + "<p>A paragraph of some words.</p>" * 20000 + "</article>"
+    rows = [(1, None, None, "t", 3, "h"), (1, None, None, "t", 3, "h"), (2, "http://a.com", "", "t", 3, "h"), (3, "http://a.com/casino", long, "t", 3, "h"), (None, "http://x.net/en/", "plain &lt; text", "t", 3, "h")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, host string")
+    got = sorted(((x.page_id, x.n_chars, x.text[:5]) for x in html_extract.extract(pages).collect()), key=repr)
+    assert got == sorted([(1, 0, ""), (1, 0, ""), (2, 0, ""), (3, 20000 * 28 - 2, "A par"), (None, 12, "plain")], key=repr)
+    judged = sorted(((x.page_id, x.host, x.verdict) for x in url_filter.judge_urls(pages).collect()), key=repr)
+    assert judged == sorted([(1, "", "allow"), (1, "", "allow"), (2, "a.com", "allow"), (3, "a.com", "block"), (None, "x.net", "block")], key=repr)
+    assert html_extract.extract(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages.limit(0)).count() == 0
