@@ -300,3 +300,20 @@ def test_pages_with_nulls_long_html_and_clashing_columns(spark):
     judged = sorted(((x.page_id, x.host, x.verdict) for x in url_filter.judge_urls(pages).collect()), key=repr)
     assert judged == sorted([(1, "", "allow"), (1, "", "allow"), (2, "a.com", "allow"), (3, "a.com", "block"), (None, "x.net", "block")], key=repr)
     assert html_extract.extract(pages.limit(0)).count() == 0 and url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_long_texts_and_clashing_columns_of_the_other_operators(spark):
+    rows = [(1, LONG, "en", "a"), (2, "x " + LONG, "en", "a"), (2, "x " + LONG, "en", "a"), (3, None, None, None), (None, "word1 word2", "en", "a")]
+    docs = stage_docs(spark, rows)
+    size = len(LONG)
+    found = Counter((x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.find_repeats(docs).select("doc_id", "n_bytes", "n_removed").collect())
+    assert found == Counter({(1, size, 0): 1, (2, size + 2, size): 2, (3, 0, 0): 1, (None, 11, 0): 1})
+    items = spark.createDataFrame([(1, "word59990 " + " ".join(f"word{i}" for i in range(59991, 60000)), 7)], "item_id long, text string, n_hit int")
+    hit = Counter((x.doc_id, x.n_words, x.n_hit) for x in decontaminate.find_contamination(docs, items).collect())
+    assert hit == Counter({(1, 60000, 10): 1, (2, 60001, 10): 2, (3, 0, 0): 1, (None, 2, 0): 1})
+    tokens = [x.n_tokens for x in token_rollup.token_counts(docs).filter("doc_id <= 2").collect()]
+    assert len(tokens) == 3 and min(tokens) > 60000
+    labels = spark.createDataFrame([(1, 1, 0.5), (2, 0, 0.5)], "doc_id long, quality int, score double")
+    scored = quality_crf.classify(docs, labels).collect()
+    assert len(scored) == 5 and all(0 <= x.score <= 1 for x in scored)
+    assert token_rollup.token_counts(docs.limit(0)).count() == 0
