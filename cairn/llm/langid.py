@@ -185,8 +185,8 @@ def verdicts(bits: np.ndarray, size: np.ndarray, langs: list[str]) -> tuple[list
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Gram counts by language, from at most ``sample_docs`` different texts each."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
-    # a threshold on the hash leaves about twice the sample before any sort
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # a threshold on the hash leaves about twice the sample before any sort; copies share a hash, so different hashes are counted
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return {}
     limit: Column = F.lit(None).cast("double")

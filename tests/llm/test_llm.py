@@ -160,6 +160,16 @@ def test_language_cases(spark):
     assert {x.lang_pred for x in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_counts_different_texts(spark):
+    texts = [f"unique text {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    copies = spark.range(60000).select(F.lit("en").alias("lang"), F.lit("one copy of many").alias("text"))
+    docs = copies.union(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"))
+    once = docs.distinct()
+    for sample in (50, 1500):
+        got, want = langid.learn(docs, sample_docs=sample)["en"], langid.learn(once, sample_docs=sample)["en"]
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_quality_crf(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
