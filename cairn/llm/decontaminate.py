@@ -88,13 +88,15 @@ def suffix_array(r: np.ndarray, depth: int) -> np.ndarray:
     at = lambda x, i: np.where(i < len(x), x[np.minimum(i, len(x) - 1)], 0)
     rank, sorted_to = r, 1
     while sorted_to < depth:
-        if rank.max() >> _RANK_BITS:
-            raise ValueError("a shard holds more ranks than fit")
-        key = (rank[sa] << (2 * _RANK_BITS)) | (at(rank, sa + sorted_to) << _RANK_BITS) | at(rank, sa + 2 * sorted_to)
-        order = np.argsort(key, kind="stable")
-        sa, key = sa[order], key[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = key[1:] != key[:-1]
+        keys = [rank[sa], at(rank, sa + sorted_to), at(rank, sa + 2 * sorted_to)]
+        if rank.max() >> _RANK_BITS:  # a very long text: three ranks don't fit one number
+            order = np.lexsort(keys[::-1])
+        else:
+            keys = [(keys[0] << (2 * _RANK_BITS)) | (keys[1] << _RANK_BITS) | keys[2]]
+            order = np.argsort(keys[0], kind="stable")
+        sa, keys = sa[order], [key[order] for key in keys]
+        fresh = np.ones(len(sa), bool)
+        fresh[1:] = np.logical_or.reduce([key[1:] != key[:-1] for key in keys])
         rank = np.zeros(len(r), np.int64)
         rank[sa] = np.cumsum(fresh)
         sorted_to *= 3

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,6 +231,29 @@ def test_decontaminate_blocks_and_cases(spark):
     assert decontaminate.find_contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_suffix_array_of_more_ranks_than_one_key_holds():
+    r = np.random.default_rng(1).integers(0, 200, 3_000_000)
+    r[1_500_000:1_500_400] = r[:400]
+    sa = decontaminate.suffix_array(r, 11)
+    words = np.append(r, np.zeros(11, np.int64))
+    undecided = np.ones(len(sa) - 1, bool)
+    for k in range(11):
+        a, b = words[sa[:-1] + k], words[sa[1:] + k]
+        assert not (undecided & (a > b)).any()
+        undecided &= (a == b) & (a > 0)
+    assert np.array_equal(np.sort(sa), np.flatnonzero(r)) and undecided.sum() >= 300
+
+
+def test_decontaminate_a_text_of_more_ranks_than_one_key_holds(spark):
+    vocabulary = [f"v{i}" for i in range(200)]
+    words = np.array(vocabulary)[np.random.default_rng(2).integers(0, 200, 3_000_000)]
+    words[2_000_000:2_000_010] = [f"x{i}" for i in range(10)]
+    items = spark.createDataFrame([(1, " ".join(vocabulary)), (2, " ".join(f"x{i}" for i in range(10)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words.tolist())), (2, "v1 v2")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_hit, x["items"]) for x in decontaminate.find_contamination(docs, items).collect()}
+    assert got == {1: (3_000_000, 10, ["2"]), 2: (2, 0, [])}
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
