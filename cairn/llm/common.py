@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from cairn.operators.scratch import materialise, shared_dir  # noqa: F401
 
@@ -62,6 +64,11 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         at = to
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; null for a null. With the id it names a row up to exact repeats, whatever the id."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers["up"]) < n:

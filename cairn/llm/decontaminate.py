@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lookup_table, materialise, text_slices, words_of
+from cairn.llm.common import lookup_table, materialise, text_digest, text_slices, words_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -243,7 +243,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return parts.select(F.col("_id").alias(id_col), "n_words", hits.alias("n_hit"), "spans", "items", "longest_words", "longest_item", "longest_at")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    hit = find_contamination(docs, benchmark, id_col=id_col, **options).filter("n_hit > 0").select(F.col(id_col).alias("_hit_id")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents without a hit, with all their columns. A hit counts for the rows of its id and text, and not for others of the id."""
+    key = F.struct(F.col(id_col).alias("i"), text_digest(F.col(text_col)).alias("s"))
+    found = find_contamination(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), benchmark, id_col="_key", text_col="_text", **options)
+    hit = found.filter("n_hit > 0").select(F.col("_key.i").alias("_hit_id"), F.col("_key.s").alias("_hit_text")).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]) & (text_digest(docs[text_col]) == hit["_hit_text"]), "left_anti")

@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of ``WORDS`` consecutive words. Doc
 ``100 * intersection >= threshold * union`` are linked, and the components of the links are the groups.
 
 1. One pass makes of every text its number of shingles, a digest of its set and a MinHash signature. Documents with equal sets
-   are one class from there on, named by their least id: copies are never paired.
+   are one class from there on, under a number of its own: copies are never paired.
 2. Banding: classes that agree on all rows of a band share a bucket. With 40 bands of 4 rows a pair at similarity
    0.75 meets in no bucket once in four million times.
 3. Stars: every bucket proposes pairs of its members with one centre, so as many pairs as members. Later
@@ -19,8 +19,9 @@ A document's set holds its distinct shingles of ``WORDS`` consecutive words. Doc
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; fewer than
 ``WORDS`` words make one shingle of the whole sequence; rows with equal sets are one group whatever their
-number; rows that share an id count as one document where they represent a class; a class whose ids are all null has a null
-component; extra columns are ignored by ``near_groups`` and kept by ``drop_near_copies``; an empty table gives an
+number; a row is known by its id and text, so rows that repeat both share their verdict, and other rows of the
+same id, or without one, are documents of their own; a null id sorts after every other id, and equal ids by the digest of
+their texts; a group is named by its least id, null if all its ids are; extra columns are ignored by ``near_groups`` and kept by ``drop_near_copies``; an empty table gives an
 empty result.
 """
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lookup_table, materialise, mix, text_slices, words_of
+from cairn.llm.common import lookup_table, materialise, mix, text_digest, text_slices, words_of
 from cairn.operators.components import connected_components
 
 WORDS = 5
@@ -103,8 +104,8 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """_id, n_shingles, set_digest, signature (one byte a value), keys (one a band), parity (a bitmap)."""
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    """_id, _sha (digest of the text), n_shingles, set_digest, signature (one byte a value), keys (one a band), parity (a bitmap)."""
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_digest(F.col(text_col)).alias("_sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,9 +116,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, bands: i
                 signature = [x.tobytes() for x in ((mins >> np.uint64(24)) & np.uint64(0xFF)).astype(np.uint8)]
                 keys = band_keys(mins, bands, rows)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (keys, parity_bitmaps(h, at))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *lists], ["_id", "n_shingles", "set_digest", "signature", "keys", "parity"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.array(signature, pa.binary()), *lists], ["_id", "_sha", "n_shingles", "set_digest", "signature", "keys", "parity"])
 
-    return base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, n_shingles long, set_digest binary, signature binary, keys array<long>, parity array<long>")
+    return base.mapInArrow(run, f"_id {base.schema['_id'].dataType.simpleString()}, _sha binary, n_shingles long, set_digest binary, signature binary, keys array<long>, parity array<long>")
 
 
 def least_matches(n: int, threshold: int, miss: float) -> int:
@@ -228,19 +229,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(signature rows, representatives by set digest, components of the linked representatives)."""
+    """(signature rows, classes by set digest with their least row, components of the linked classes)."""
     if bands * rows % BATCH:
         raise ValueError(f"bands * rows must be a multiple of {BATCH}")
     signed = materialise(signatures(docs, id_col, text_col, words, bands, rows), "signatures")
-    some = signed.filter("n_shingles > 0 AND _id IS NOT NULL")
-    reps = materialise(some.groupBy("set_digest").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("signature").alias("signature"), F.first("keys").alias("keys")), "classes")
+    some = signed.filter("n_shingles > 0")
+    least = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_sha").alias("s")))
+    reps = materialise(some.groupBy("set_digest").agg(least.alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.first("signature").alias("signature"), F.first("keys").alias("keys")).withColumn("_id", F.monotonically_increasing_id()), "classes")
     keyed = reps.select(F.explode("keys").alias("key"), F.col("_id").alias("x"))
     shared = keyed.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("key")
     members = materialise(keyed.join(shared, "key", "left_semi").distinct(), "buckets")
     if members.isEmpty():
         return signed, reps, None
-    wanted = members.select(F.col("x").alias("_id")).distinct()
-    texts = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(wanted, "_id", "left_semi").distinct(), "texts")
+    wanted = reps.join(members.select(F.col("x").alias("_id")).distinct(), "_id", "left_semi").select("_id", F.col("least.i").alias("_i"), F.col("least.s").alias("_s"))
+    rows_of = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
+    texts = materialise(rows_of.join(wanted, F.col("_own").eqNullSafe(F.col("_i")) & (text_digest(F.col("_text")) == F.col("_s"))).select("_id", "_text").distinct(), "texts")
     sized = reps.select(F.col("_id").alias("x"), F.col("n_shingles").alias("n"), "parity")
     labels: DataFrame | None = None
     compared: list[DataFrame] = []
@@ -271,19 +274,29 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return signed, reps, labels if fresh else grouped()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept, set_digest."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """_id, _sha, n_shingles, component_id, kept, set_digest of every row."""
     signed, reps, labels = links(docs, id_col, text_col, **options)
-    named = reps.select("set_digest", F.col("_id").alias("rep"))
-    out = signed.select("_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_digest")).alias("set_digest")).join(named, "set_digest", "left")
+    named = reps.select("set_digest", "_id", "least")
+    head = F.col("least")
     if labels is not None:
-        out = out.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep") if labels is not None else F.col("rep")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, component).otherwise(F.col("_id")))
-    return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_digest")
+        linked = named.join(labels.select(F.col("id").alias("_id"), "component"), "_id").select("_id", "component", "least")
+        heads = linked.groupBy("component").agg(F.min("least").alias("head"))
+        named = named.join(linked.select("_id", "component").join(heads, "component").select("_id", "head"), "_id", "left")
+        head = F.coalesce("head", "least")
+    named = named.select("set_digest", head.alias("head"))
+    some = F.col("n_shingles") > 0
+    out = signed.select("_id", "_sha", "n_shingles", F.when(some, F.col("set_digest")).alias("set_digest")).join(named, "set_digest", "left")
+    first = F.col("_id").eqNullSafe(F.col("head.i")) & F.col("_sha").eqNullSafe(F.col("head.s"))
+    return out.select("_id", "_sha", "n_shingles", F.when(some, F.col("head.i")).otherwise(F.col("_id")).alias("component_id"), F.when(some, first).otherwise(True).alias("kept"), "set_digest")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept, set_digest."""
+    return _judged(docs, id_col, text_col, **options).select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept", "set_digest")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each group, with all its columns; documents without shingles stay."""
-    gone = near_groups(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = _judged(docs, id_col, text_col, **options).filter("NOT kept").select(F.col("_id").alias("_gone"), F.col("_sha").alias("_gone_text")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (text_digest(docs[text_col]) == gone["_gone_text"]), "left_anti")

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
+from cairn.llm.common import text_digest
 from cairn.operators.scratch import materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without one (``und``) go."""
-    found = langid.identify(docs)
-    known = found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("doc_id").alias("_known")).distinct()
-    return docs.filter(F.col("text").isNotNull()).join(known, docs["doc_id"].eqNullSafe(known["_known"]), "left_semi")
+    key = F.struct(F.col("doc_id").alias("i"), text_digest(F.col("text")).alias("s"))  # ids may be null or repeated
+    found = langid.identify(docs.select(key.alias("_key"), "text", "lang"), id_col="_key")
+    known = found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("_key.i").alias("_known"), F.col("_key.s").alias("_known_text")).distinct()
+    return docs.join(known, docs["doc_id"].eqNullSafe(known["_known"]) & (text_digest(docs["text"]) == known["_known_text"]), "left_semi")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

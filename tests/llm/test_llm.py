@@ -320,6 +320,29 @@ def test_stages_on_nulls_repeats_ties_and_long_texts(stage_results, name, left):
     assert stage_results[1][name][1] == left
 
 
+def test_stages_judge_rows_of_null_and_repeated_ids_by_themselves(spark):
+    import corpus_pipeline
+
+    item = " ".join(spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 12").orderBy("item_id").first()["text"].split())
+    left = lambda stage, rows: Counter((x.doc_id, x.text) for x in stage(spark, stage_docs(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect())
+    clean = [(None, "a clean text without an id"), (7, "a clean text of seven"), (None, None)]
+    hit = [(None, f"leak {item}"), (7, f"leak of seven {item}")]
+    assert left(corpus_pipeline.decontaminate_stage, clean + hit) == Counter(clean)
+    known, unknown = clean[:2], [(None, "123"), (7, "456"), (None, None)]
+    assert left(corpus_pipeline.language_stage, known + unknown) == Counter(known)
+    base = [f"word{i}" for i in range(100)]
+    copy = lambda k, at: " ".join([*base[:at], "other", *base[at + 1 :]]).replace("word", f"w{k}x")
+    kept = [(3, copy(1, 99)), (4, copy(3, 99)), *clean]
+    gone = [(None, copy(1, 0)), (7, copy(3, 0))]
+    rows = kept + gone + [(None, copy(2, 99)), (None, copy(2, 0))]
+    got = left(corpus_pipeline.near_stage, rows)
+    # of two near copies without an id one stays
+    pair = [got.pop((None, copy(2, at)), 0) for at in (0, 99)]
+    assert got == Counter(kept) and sum(pair) == 1
+    groups = {x.component_id for x in near_dedup.near_groups(stage_docs(spark, [(i, t, "en", "a") for i, t in kept[:1] + gone[:1]])).collect()}
+    assert groups == {3}
+
+
 def test_mixing_gives_repeated_rows_the_same_count(stage_results):
     got = stage_results[1]["mixing sources to target weights"][1]
     assert set(got) <= {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None} and got[1] % 2 == 0
