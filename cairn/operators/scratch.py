@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, else a folder in the warehouse."""
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cairn_scratch").rstrip("/")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Within it, intermediate tables go to a database of their own in the shared folder; at its end, also after an error, they are deleted.
+
+    Results that are read lazily from them must be written or collected before the end. Without a scope the tables stay in the shared folder.
+    """
+    name = f"cairn_scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_dir(spark)}/{name}'")
+    _open.append(name)
+    try:
+        yield name
+    finally:
+        _open.remove(name)
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def table_name(tag: str) -> str:
+    """A new table name, in the open scope's database if there is one."""
+    name = re.sub(r"\W", "_", f"cairn_{tag}_{uuid.uuid4().hex}")
+    return f"{_open[-1]}.{name}" if _open else name
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
+    if _open:
+        name = table_name(tag)
+        df.write.format("parquet").saveAsTable(name)
+        return spark.table(name)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
