@@ -58,7 +58,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
     joined = docs.join(table, docs[source_col].eqNullSafe(table["_source"]))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     u = lambda i: uniform(F.lit(str(seed)), key, i.cast("string"))
-    draws = F.transform(F.sequence(F.lit(1), F.col("n_draws")), lambda i: F.size(F.filter("cdf", lambda c: c <= u(i))))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("n_draws")), u)  # drawn before the table is searched, so once each
+    draws = F.transform(numbers, lambda x: F.size(F.filter("cdf", lambda c: c <= x)))
     counted = joined.withColumn("_count", F.aggregate(draws, F.lit(0), lambda a, b: a + b)).filter("_count > 0").drop("_source", "n_draws", "cdf")
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count")))).drop("_count")
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"))
