@@ -6,11 +6,12 @@ follows the longest single text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.scratch import materialise, shared_dir  # noqa: F401
@@ -20,6 +21,7 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -64,8 +66,27 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         at = to
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]], *extra: Column) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``keep`` marks in the pass that sees them; ``extra`` columns are for it alone.
+
+    ``keep`` yields slices of the batches with a mask for each. No row moves and none needs a name.
+    """
+    n = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, mask in keep(batches):
+            yield rows.select(list(range(n))).filter(pa.array(mask))
+
+    return docs.select("*", *(c.alias(f"_extra_{uuid.uuid4().hex}") for c in extra)).mapInArrow(run, docs.schema)
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows, written once with a number of their own, by which later steps name a row whatever its id."""
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def text_digest(text: Column) -> Column:
-    """SHA-256 of a text; null for a null. With the id it names a row up to exact repeats, whatever the id."""
+    """SHA-256 of a text; null for a null."""
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
@@ -101,7 +122,37 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [start, end): the sum of a mixed number for each (place in the word, byte).
+
+    Seeds give independent families. Unlike a polynomial modulo 2**64, no pattern of bytes cancels out.
+    """
+    out = np.zeros(len(start), np.uint64)
+    size = end - start
+    for lo in range(0, len(start), 1 << 17):  # some 1 MB of bytes at a time
+        n = size[lo : lo + (1 << 17)]
+        bound = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(bound, n)
+        byte = b[np.repeat(start[lo : lo + len(n)], n) + place]
+        value = mix(((place.astype(np.uint64) << np.uint64(8)) | byte) * _SPREAD + np.uint64(seed))
+        out[lo : lo + len(n)] = mix(np.add.reduceat(value, bound) + n.astype(np.uint64))
+    return out
+
+
+def same_words(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of words of ``size`` bytes are equal, byte by byte."""
+    out = np.ones(len(size), bool)
+    for lo in range(0, len(size), 1 << 17):
+        n = size[lo : lo + (1 << 17)]
+        bound = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(bound, n)
+        differ = a[np.repeat(a_start[lo : lo + len(n)], n) + place] != b[np.repeat(b_start[lo : lo + len(n)], n) + place]
+        if differ.any():
+            out[lo : lo + len(n)] = ~np.logical_or.reduceat(differ, bound)
+    return out
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit word hashes, byte starts, byte ends, word offsets of the texts); words never cross texts."""
     b = table[data]
     inside = b != 0
@@ -112,5 +163,4 @@ def words_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = mix(range_hash(prefix_hash(b), start, end) + (end - start).astype(np.uint64))
-    return hashes, start, end, np.searchsorted(start, offsets)
+    return word_hashes(b, start, end, seed), start, end, np.searchsorted(start, offsets)

@@ -3,21 +3,23 @@
 Each task cuts its documents into shards of about ``SHARD_WORDS`` words and builds the word suffix array
 of every shard: words become ranks in the vocabulary of the test items (other words are one rank below
 all of them, and no suffix begins there), and the suffixes are sorted by tripling the sorted depth
-until it passes the longest window; suffixes still tied are sorted deeper, by themselves. Every suffix of every test
-item is then looked up by binary search, comparing word by word. The interval of suffixes that begin with
-its window gives all occurrences of the window with their locations; the neighbours of its place give its
-longest verbatim match in the shard.
+until it passes a window. A word has an item's rank only if it is that word byte by byte: hashes choose
+the candidate, bytes decide.
 
 A window is ``window`` consecutive words of an item; an item with fewer words, but not none, is one
-window. The words of all occurrences of all windows are the hits of a document.
+window. The suffixes of the items that begin a window are looked up by binary search, comparing word by word; equal
+windows are looked up once. The interval of suffixes that begin with a window gives all its occurrences with their
+locations. The words of all occurrences are the hits of a document, and the items of its windows are its items.
+Every occurrence is then extended: its place in the suffix array of the items gives the longest verbatim
+match that starts there. Shared runs of fewer words than a window are no matches and are not reported.
 
-The test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block (usually one);
-the blocks' hits are then united by document.
+The test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block (usually one).
+``find_contamination`` unites the blocks' hits by document; ``drop_contaminated`` filters the rows in the pass that reads them, so no document is shuffled.
 
 Defined cases: a null text has no words, and an item without words no window; rows that repeat a document are each
-judged; repeated item ids count as one item, and a null item id counts with the empty string as its name;
-extra columns are ignored, or kept by ``drop_contaminated``; without documents the result is empty, without items
-nothing is hit.
+judged by their own text; repeated item ids count as one item, and a null item id counts with the empty string as its name;
+extra columns are ignored, or kept by ``drop_contaminated``; a text of any length is one shard at least; without documents the result is empty,
+without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -29,46 +31,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lookup_table, materialise, text_digest, text_slices, words_of
+from cairn.llm.common import kept_rows, lookup_table, materialise, same_words, text_slices, words_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 4 << 20
+#: Names of items in an output batch, about.
+BATCH_NAMES = 1 << 16
 _ALNUM = lookup_table("alnum")
 _RANK_BITS = 21
 
 
 class Items:
-    """The test items of a block: word hashes, ranks, and a window for each suffix that has one."""
+    """The test items of a block: their vocabulary by bytes, their words as ranks with a 0 after each item, their distinct windows and who owns them."""
 
     def __init__(self, names: list[str], texts: list[str | None], window: int):
-        self.names = names
-        words, at = [], [0]
-        for lo, hi, data, offsets in text_slices(pa.array(texts, pa.string())):
-            w, _, _, bounds = words_of(data, offsets, _ALNUM)
-            words.append(w)
-            at.extend((bounds[1:] + at[-1]).tolist())
-        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        self.at = np.array(at)
-        self.vocabulary = np.unique(self.words)
-        self.ranks = np.searchsorted(self.vocabulary, self.words) + 1
+        self.names = sorted(set(names))
+        number = {n: i for i, n in enumerate(self.names)}
+        own = np.array([number[n] for n in names], np.int64)
+        data, offsets = next(((d, o) for _, _, d, o in text_slices(pa.array(texts, pa.string()), 1 << 62)), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        self.bytes = _ALNUM[data]
+        for self.seed in range(16):
+            words, start, end, at = words_of(data, offsets, _ALNUM, self.seed)
+            self.vocabulary, first, back = np.unique(words, return_index=True, return_inverse=True)
+            self.start, self.size = start[first], (end - start)[first]
+            if np.array_equal(self.size[back], end - start) and same_words(self.bytes, start, self.bytes, self.start[back], end - start).all():
+                break  # no two words of the items share a hash
+        else:
+            raise ValueError("the words of the items collide under every seed")
         self.table_bits = max(10, int(np.ceil(np.log2(max(2, 8 * len(self.vocabulary))))))
         self.table = np.zeros(1 << self.table_bits, np.int64)
         self.table[self._slot(self.vocabulary)] = np.arange(1, len(self.vocabulary) + 1)
-        size = np.diff(self.at)
-        owner = np.repeat(np.arange(len(names)), size)
-        left = self.at[1:][owner] - np.arange(len(self.words))
-        self.left, self.owner = left, owner
-        starts = np.flatnonzero((left >= window) | ((size[owner] < window) & (left == size[owner])))
-        self.start, self.length = starts, np.minimum(left[starts], window)
+        size = np.diff(at)
+        text = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(words)) + text
+        self.words = np.zeros(len(words) + len(size) + 1, np.int64)
+        self.words[place] = back + 1
+        self.owner = np.zeros(len(self.words), np.int64)
+        self.owner[place] = own[text]
+        self.order = suffix_array(self.words, int(size.max(initial=0)) + 1)
+        left = at[1:][text] - np.arange(len(words))
+        begins = np.flatnonzero((left >= window) | ((size[text] < window) & (left == size[text])))
+        length = np.minimum(left[begins], window)
+        steps = np.arange(window)[None, :]
+        content = np.where(steps < length[:, None], self.words[np.minimum(place[begins][:, None] + steps, len(self.words) - 1)], 0).astype(np.int32)
+        _, first, back = np.unique(content, axis=0, return_index=True, return_inverse=True) if len(begins) else (None, begins, begins)
+        self.window, self.length = place[begins][first], length[first]
+        pairs = np.unique(np.stack([back.ravel(), own[text[begins]]], 1), axis=0) if len(begins) else np.zeros((0, 2), np.int64)
+        bound = np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        known: dict[bytes, int] = {}
+        self.lists: list[np.ndarray] = []  # the different sets of items that own a window
+        self.list_of = np.zeros(len(first), np.int64)
+        for k in range(len(first)):
+            owners = pairs[bound[k] : bound[k + 1], 1]
+            self.list_of[k] = known.setdefault(owners.tobytes(), len(self.lists))
+            if self.list_of[k] == len(self.lists):
+                self.lists.append(owners)
 
     def _slot(self, w: np.ndarray) -> np.ndarray:
         return (w >> np.uint64(64 - self.table_bits)).astype(np.int64)
 
-    def rank(self, w: np.ndarray) -> np.ndarray:
-        """1.. for words of the items, else 0. Most words are settled by one look at a table by hash."""
+    def ranks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(1.. for words of the items and 0 for others, word offsets of the texts). Most words are settled by one look at a table by hash."""
+        w, start, end, at = words_of(data, offsets, _ALNUM, self.seed)
         if not len(self.vocabulary):
-            return np.zeros(len(w), np.int64)
+            return np.zeros(len(w), np.int64), at
         out = self.table[self._slot(w)]
         hit = np.flatnonzero(out)
         r = out[hit]
@@ -77,7 +104,13 @@ class Items:
             i = hit[other]
             k = np.minimum(np.searchsorted(self.vocabulary, w[i]), len(self.vocabulary) - 1)
             out[i] = np.where(self.vocabulary[k] == w[i], k + 1, 0)
-        return out
+        hit = np.flatnonzero(out)
+        k = out[hit] - 1
+        size = end[hit] - start[hit]
+        same = self.size[k] == size
+        same[same] = same_words(_ALNUM[data], start[hit[same]], self.bytes, self.start[k[same]], size[same])
+        out[hit[~same]] = 0
+        return out, at
 
 
 def suffix_array(r: np.ndarray, depth: int) -> np.ndarray:
@@ -105,28 +138,27 @@ def suffix_array(r: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
-def _compare(r: np.ndarray, at: np.ndarray, test: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words in common, sign of shard suffix against test suffix, 0 where all ``length`` words agree)."""
-    common, sign = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    live = np.flatnonzero(length > 0)
+def compare(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words in common, sign) of the suffixes of x at i against those of y at j, over at most ``most`` words. Both tables end in 0, and a 0 ends a suffix."""
+    common, sign = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    live = np.arange(len(i)) if most is None else np.flatnonzero(most > 0)
     while len(live):
-        i, j = at[live] + common[live], start[live] + common[live]
-        a = np.where(i < len(r), r[np.minimum(i, len(r) - 1)], 0)
-        b = test[j]
-        differ = a != b
-        sign[live[differ]] = np.sign(a[differ] - b[differ])
-        live = live[~differ]
+        a, b = x[i[live] + common[live]], y[j[live] + common[live]]
+        same = (a == b) & (a != 0)
+        sign[live[~same]] = np.sign(a - b)[~same]
+        live = live[same]
         common[live] += 1
-        live = live[common[live] < length[live]]
+        if most is not None:
+            live = live[common[live] < most[live]]
     return common, sign
 
 
-def search(r: np.ndarray, sa: np.ndarray, test: np.ndarray, start: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
-    """First place in the suffix array not below (upper: above) each test window."""
-    lo, hi = np.zeros(len(start), np.int64), np.full(len(start), len(sa), np.int64)
+def search(x: np.ndarray, order: np.ndarray, y: np.ndarray, j: np.ndarray, most: np.ndarray | None = None, upper: bool = False) -> np.ndarray:
+    """First place in the suffix array ``order`` of x that is not below (upper: above) each suffix of y at j."""
+    lo, hi = np.zeros(len(j), np.int64), np.full(len(j), len(order), np.int64)
     while (live := np.flatnonzero(lo < hi)).size:
         mid = (lo[live] + hi[live]) // 2
-        _, sign = _compare(r, sa[mid], test, start[live], length[live])
+        _, sign = compare(x, order[mid], y, j[live], None if most is None else most[live])
         right = sign <= 0 if upper else sign < 0
         lo[live[right]] = mid[right] + 1
         hi[live[~right]] = mid[~right]
@@ -134,18 +166,18 @@ def search(r: np.ndarray, sa: np.ndarray, test: np.ndarray, start: np.ndarray, l
 
 
 def shard_matches(r: np.ndarray, at: np.ndarray, items: Items, window: int) -> dict[str, np.ndarray]:
-    """Over the words of a shard (``at``: word offsets of its documents): hit words, (document, item) pairs, longest matches."""
+    """Over the words of a shard (``at``: word offsets of its documents): hit words, (document, list of items) pairs, longest matches."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     spaced = np.zeros(len(r) + len(at), np.int64)  # a 0 after each document
     place = np.arange(len(r)) + text
     spaced[place] = r
     sa = suffix_array(spaced, window + 1)
     empty = np.zeros(0, np.int64)
-    none = {"hit": np.zeros(len(r), bool), "doc": empty, "item": empty, "long_doc": empty, "long_item": empty, "long_len": empty, "long_at": empty}
-    if not len(sa) or not len(items.start):
+    none = {"hit": np.zeros(len(r), bool), "doc": empty, "list": empty, "long_doc": empty, "long_item": empty, "long_len": empty, "long_at": empty}
+    if not len(sa) or not len(items.window):
         return none
-    lo = search(spaced, sa, items.ranks, items.start, items.length, False)
-    hi = search(spaced, sa, items.ranks, items.start, items.length, True)
+    lo = search(spaced, sa, items.words, items.window, items.length)
+    hi = search(spaced, sa, items.words, items.window, items.length, upper=True)
     count = hi - lo
     rows = np.repeat(np.arange(len(lo)), count)
     where = sa[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
@@ -155,14 +187,21 @@ def shard_matches(r: np.ndarray, at: np.ndarray, items: Items, window: int) -> d
     np.add.at(edge, where, 1)
     np.add.at(edge, where + items.length[rows], -1)
     doc_of = np.repeat(np.arange(len(at) - 1), np.diff(at) + 1)
+    pair = np.unique(doc_of[where] * np.int64(len(items.lists)) + items.list_of[rows])
+    # the longest match from an occurrence on is with a neighbour of its place among the items' suffixes
+    where = np.unique(where)
+    spot = search(items.words, items.order, spaced, where)
+    best, source = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+    for near in (spot - 1, spot):
+        inside = np.flatnonzero((near >= 0) & (near < len(items.order)))
+        j = items.order[near[inside]]
+        common, _ = compare(spaced, where[inside], items.words, j)
+        better = common > best[inside]
+        best[inside[better]], source[inside[better]] = common[better], j[better]
     doc = doc_of[where]
-    item = items.owner[items.start[rows]]
-    pair = np.unique(doc * np.int64(len(items.names)) + item)
-    # an occurrence goes on for as long as item and document agree
-    length, _ = _compare(spaced, where, items.ranks, items.start[rows], items.left[items.start[rows]])
-    order = np.lexsort((where, -length, doc))
-    best = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
-    return {"hit": (np.cumsum(edge)[:-1] > 0)[place], "doc": pair // len(items.names), "item": pair % len(items.names), "long_doc": doc[best], "long_item": item[best], "long_len": length[best], "long_at": where[best] - at[:-1][doc[best]] - doc[best]}
+    order = np.lexsort((where, -best, doc))
+    top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
+    return {"hit": (np.cumsum(edge)[:-1] > 0)[place], "doc": pair // len(items.lists), "list": pair % len(items.lists), "long_doc": doc[top], "long_item": items.owner[source[top]], "long_len": best[top], "long_at": where[top] - at[:-1][doc[top]] - doc[top]}
 
 
 def _spans(hit: np.ndarray, at: np.ndarray) -> list[list[dict[str, int]]]:
@@ -179,61 +218,79 @@ def _spans(hit: np.ndarray, at: np.ndarray) -> list[list[dict[str, int]]]:
     return [[{"start": int(x - at[i]), "end": int(y - at[i])} for x, y in zip(b[first[i] : first[i + 1]], e[first[i] : first[i + 1]])] for i in range(len(at) - 1)]
 
 
+def _shards(batches: Iterator[pa.RecordBatch], items: Items, window: int, text_at: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, dict[str, np.ndarray]]]:
+    """(rows, word offsets, matches) shard by shard; ``text_at`` is the position of the text column."""
+    held, words = [], 0
+    for b in batches:
+        for lo, hi, data, offsets in text_slices(b.column(text_at)):
+            r, at = items.ranks(data, offsets)
+            held.append((b.slice(lo, hi - lo), r, at))
+            words += len(r)
+            if words >= SHARD_WORDS:
+                yield _matched(held, items, window)
+                held, words = [], 0
+    if held:
+        yield _matched(held, items, window)
+
+
+def _matched(held, items: Items, window: int):
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
+    return [x[0] for x in held], at, shard_matches(np.concatenate([x[1] for x in held]), at, items, window)
+
+
 _OUT = "_row long, _id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest_words long, longest_item string, longest_at long"
 
 
 def _one_block(docs: DataFrame, items: Items, window: int) -> DataFrame:
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text
+    model = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text
     kind = docs.schema["_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
-        for b in batches:
-            for lo, hi, data, offsets in text_slices(b.column(2)):
-                w, _, _, at = words_of(data, offsets, _ALNUM)
-                held.append((b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), model.value.rank(w), at))
-                words += len(w)
-                if words >= SHARD_WORDS:
-                    yield flush(held)
-                    held, words = [], 0
-        if held:
-            yield flush(held)
-
-    def flush(held) -> pa.RecordBatch:
         items = model.value
-        r = np.concatenate([x[2] for x in held])
-        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[3]) for x in held]))])
-        m = shard_matches(r, at, items, window)
-        n = len(at) - 1
-        found: list[list[str]] = [[] for _ in range(n)]
-        for d, i in zip(m["doc"], m["item"]):
-            found[d].append(items.names[i])
-        longest, name, place = np.zeros(n, np.int64), [None] * n, np.full(n, -1)
-        longest[m["long_doc"]], place[m["long_doc"]] = m["long_len"], m["long_at"]
-        for d, i in zip(m["long_doc"], m["long_item"]):
-            name[d] = items.names[i]
-        columns = [pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), pa.array(np.diff(at)), pa.array(_spans(m["hit"], at), span), pa.array([sorted(set(f)) for f in found], pa.list_(pa.string())), pa.array(longest), pa.array(name, pa.string()), pa.array(place)]
-        return pa.RecordBatch.from_arrays(columns, ["_row", "_id", "n_words", "spans", "items", "longest_words", "longest_item", "longest_at"])
+        for rows, at, m in _shards(batches, items, window, 2):
+            n = len(at) - 1
+            bound = np.searchsorted(m["doc"], np.arange(n + 1))
+            longest, name, place = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
+            longest[m["long_doc"]], place[m["long_doc"]], name[m["long_doc"]] = m["long_len"], m["long_at"], m["long_item"]
+            row, own = (pa.concat_arrays([x.column(k) for x in rows]) for k in (0, 1))
+            spans, found, size, done = _spans(m["hit"], at), [], 0, 0
+            for d in range(n):
+                lists = m["list"][bound[d] : bound[d + 1]]
+                found.append([items.names[i] for i in np.unique(np.concatenate([items.lists[k] for k in lists]))] if len(lists) else [])
+                size += len(found[-1])
+                if size >= BATCH_NAMES or d == n - 1:
+                    part = slice(done, d + 1)
+                    columns = [row[part], own[part], pa.array(np.diff(at)[part]), pa.array(spans[part], span), pa.array(found, pa.list_(pa.string())), pa.array(longest[part]), pa.array([items.names[i] if i >= 0 else None for i in name[part]], pa.string()), pa.array(place[part])]
+                    yield pa.RecordBatch.from_arrays(columns, ["_row", "_id", "n_words", "spans", "items", "longest_words", "longest_item", "longest_at"])
+                    found, size, done = [], 0, d + 1
 
     return docs.mapInArrow(run, _OUT.format(kind=kind))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, n_words, n_hit, spans, items (names, sorted), longest_words, longest_item, longest_at."""
-    tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list[Items]:
+    """The items in blocks of at most ``block_bytes`` of text, about."""
+    tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+    out = []
+    for k in range(n):
+        rows = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).orderBy("name", "text").collect()
+        out.append(Items([r["name"] for r in rows], [r["text"] for r in rows], window))
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, n_words, n_hit, spans, items (names, sorted), longest_words, longest_item, longest_at (0, null and -1 without a hit)."""
+    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
     base = docs.select(F.lit(0).cast("long").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if n_blocks > 1:  # rows need a name of their own while the blocks' results are apart
+    if len(blocks) > 1:  # rows need a name of their own while the blocks' results are apart
         base = materialise(base.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
     parts = None
-    for k in range(n_blocks):
-        rows = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k).orderBy("name", "text").collect()
-        block = _one_block(base, Items([r["name"] for r in rows], [r["text"] for r in rows], window), window)
+    for items in blocks:
+        block = _one_block(base, items, window)
         parts = block if parts is None else parts.unionByName(block)
-    if n_blocks > 1:
+    if len(blocks) > 1:
         best = F.max(F.struct("longest_words", (-F.col("longest_at")).alias("a"), "longest_item", "longest_at"))
         merged = parts.groupBy("_row", "_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
         none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
@@ -243,9 +300,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return parts.select(F.col("_id").alias(id_col), "n_words", hits.alias("n_hit"), "spans", "items", "longest_words", "longest_item", "longest_at")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without a hit, with all their columns. A hit counts for the rows of its id and text, and not for others of the id."""
-    key = F.struct(F.col(id_col).alias("i"), text_digest(F.col(text_col)).alias("s"))
-    found = find_contamination(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), benchmark, id_col="_key", text_col="_text", **options)
-    hit = found.filter("n_hit > 0").select(F.col("_key.i").alias("_hit_id"), F.col("_key.s").alias("_hit_text")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]) & (text_digest(docs[text_col]) == hit["_hit_text"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows whose text has no hit, with all their columns. Every row is judged by its own text, in the pass that reads it."""
+    text_at = docs.columns.index(text_col)
+    for items in _blocks(benchmark, window, item_col, item_text_col, block_bytes):
+        docs = kept_rows(docs, _clean(docs.sparkSession.sparkContext.broadcast(items), window, text_at))
+    return docs
+
+
+def _clean(model, window: int, text_at: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for rows, at, m in _shards(batches, model.value, window, text_at):
+            total = np.concatenate([[0], np.cumsum(m["hit"])])
+            clean = total[at[1:]] == total[at[:-1]]
+            done = 0
+            for x in rows:
+                yield x, clean[done : done + x.num_rows]
+                done += x.num_rows
+
+    return keep
