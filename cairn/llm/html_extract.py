@@ -1,20 +1,23 @@
 """Main text of web pages: streamed parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-The standard library's HTML parser streams events; every block-level element closes a line. A line
-knows its text, the tags inside it, whether it stands in page furniture (by element, role, class or id)
-and in which article it stands. The text-to-tag ratios of all lines in page order are smoothed by a Gaussian
-and split in two clusters by a threshold (two-means in one dimension); the lines above it are content.
-The region that is returned is the articles that hold content lines, or without an article the lines
-from the first to the last content line less those made of links; furniture is left out, and within the
-region every line stays, however short.
-
-Defined cases: null or empty html gives an empty text; a page without markup is one line; blocks repeat if the page repeats them; a null
-url stays null; extra columns are ignored; an empty table gives an empty result.
+The standard library's HTML parser streams events; every block-level element closes a line. A line's score is the logarithm of
+its text-to-tag ratio, where link text does not count as text. Elements give a prior: ``ARTICLE_PRIOR`` is added within
+``article`` and ``main``, and lines in page furniture (by element, role, class or id) start from ``FURNITURE_SCORE``. The scores of all lines in page order
+are smoothed by a Gaussian and split in two clusters by a threshold (two-means in one dimension, at most ``CEILING``); the lines above it are content.
+
+Regions: an element is a content region if more than half of the text in it, counted without furniture inside it, is in content lines. All lines of
+a region stay, however short. A piece of furniture is a region only by its own lines. Lines that stand
+directly in the page stay from the first to the last content line among them, less those made of links.
+Scripts, styles, the head and hidden elements are no text at all.
+
+Defined cases: null or empty html gives an empty text; a page without markup is one line; blocks repeat if the page repeats them; elements that are
+never closed end with the page, end tags without a start are ignored; a null url stays null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,110 +26,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA = 1.0
-# Elements that close a line, elements without an end tag, and page furniture.
+SIGMA = 0.6
+CEILING = 2.5
+ARTICLE_PRIOR = 1.0
+FURNITURE_SCORE = -4.0
+#: Share of link text from which a line directly in the page is a menu.
+LINKED = 0.6
+# Elements that close a line, elements without an end tag, elements without text, and page furniture.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 VOIDS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th".split())
-FURNITURE = frozenset("aside button canvas datalist dialog fieldset footer form head iframe input label math menu nav noscript object script search select style svg template textarea title".split())
+UNSEEN = frozenset("canvas head iframe math noscript object script style svg template title".split())
+FURNITURE = frozenset("aside button datalist dialog fieldset footer form input label menu nav search select textarea".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 ARTICLES = frozenset(("article", "main"))
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def is_unseen(tag: str, values: dict[str, str]) -> bool:
+    return tag in UNSEEN or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
+
+
+def is_furniture(tag: str, values: dict[str, str], in_article: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not in_article:
         return True
-    values = {k: v or "" for k, v in attrs}
-    if "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")):
-        return True
-    if tag in ARTICLES or tag in ("html", "body"):
+    if tag in ARTICLES or not values:
         return False
     names = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{values.get('class', '')} {values.get('id', '')}").lower())
     return values.get("role", "").lower() in ROLES or not NAMES.isdisjoint(names)
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text, tags, text within links, furniture, article number or 0]."""
+    """Collects lines [text, tags, length of link text, element] and the elements' parents, furniture and articles. Element 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, furniture, article number
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.parent, self.furniture, self.article = [0], [False], [False]
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, unseen
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
-        self.tags = self.linked = self.articles = 0
-
-    def _top(self) -> tuple[bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, 0)
+        self.tags = self.linked = 0
 
     def _close_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, *self._top()))
+            self.lines.append((text, self.tags, self.linked, self.stack[-1][1]))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        furniture, article = self._top()
-        if tag in BLOCKS:
-            self._close_line()
-            if tag == "p" and self.stack and self.stack[-1][0] == "p":
-                self.stack.pop()
-                furniture, article = self._top()
-        elif tag in FURNITURE:
+        if tag in BLOCKS or tag in FURNITURE or tag in UNSEEN:
             self._close_line()
+            if tag == "p" and self.stack[-1][0] == "p":
+                self._pop(len(self.stack) - 1)
         if tag in SPACED:
             self.parts.append(" ")
         self.tags += 1
         if tag in VOIDS:
             return
-        if tag in ARTICLES and not article:
-            self.articles += 1
-            article, furniture = self.articles, any(f for t, f, _ in self.stack if t not in ("nav", "header"))
-        self.stack.append((tag, furniture or is_furniture(tag, attrs, bool(article)), article))
+        _, element, unseen = self.stack[-1]
+        if not unseen and tag not in ("html", "body"):
+            values = {k: v or "" for k, v in attrs}
+            unseen = is_unseen(tag, values)
+            furniture = is_furniture(tag, values, self.article[element])
+            if tag in BLOCKS or furniture:
+                self.parent.append(element)
+                # an article within a banner or menu of the page is still one
+                self.furniture.append(furniture or self.furniture[element] and not (tag in ARTICLES and not self.article[element]))
+                self.article.append(self.article[element] or tag in ARTICLES)
+                element = len(self.parent) - 1
+        self.open[tag] += 1
+        self.stack.append((tag, element, unseen))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOIDS:
             self.handle_endtag(tag)
 
+    def _pop(self, at: int) -> None:
+        for tag, _, _ in self.stack[at:]:
+            self.open[tag] -= 1
+        del self.stack[at:]
+
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in FURNITURE:
+        if tag in BLOCKS or tag in FURNITURE or tag in UNSEEN:
             self._close_line()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
+        if not self.open[tag]:
+            return
+        for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self._pop(i)
                 break
             if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
                 break  # an inline end tag doesn't close the blocks around it
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][2]:
+            return
         self.parts.append(data)
-        if any(t == "a" for t, _, _ in self.stack[-4:]):
+        if self.open["a"]:
             self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, bool, int]]:
+    def finish(self) -> list[tuple[str, int, int, int]]:
         self.close()
         self._close_line()
         return self.lines
 
 
-def content_lines(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Which lines belong to the upper of two clusters of the smoothed ratios."""
+def content_lines(scores: np.ndarray, sigma: float = SIGMA, ceiling: float = CEILING) -> np.ndarray:
+    """Which lines belong to the upper of two clusters of the smoothed scores."""
     radius = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    smooth = np.convolve(np.pad(ratios, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
+    smooth = np.convolve(np.pad(scores, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
     low, high = smooth.min(), smooth.max()
-    if high - low < 1e-9:
-        return np.ones(len(ratios), bool)
+    cut = (low + high) / 2
     for _ in range(50):
-        cut = (low + high) / 2
+        if high - low < 1e-9:
+            return smooth > 0
         upper = smooth > cut
-        to = smooth[~upper].mean(), smooth[upper].mean()
-        if np.allclose(to, (low, high)):
+        low, high = smooth[~upper].mean(), smooth[upper].mean()
+        if abs((low + high) / 2 - cut) < 1e-9:
             break
-        low, high = to
-    return upper
+        cut = (low + high) / 2
+    return smooth > min(cut, ceiling)
+
+
+def regions(parser: _Lines, content: np.ndarray) -> list[bool]:
+    """For each line: does it stand in a content region?"""
+    size, hit = [0] * len(parser.parent), [0] * len(parser.parent)
+    for (text, _, _, element), c in zip(parser.lines, content):
+        size[element] += len(text)
+        hit[element] += len(text) if c else 0
+    inherits = [False] + [parser.furniture[e] == parser.furniture[parser.parent[e]] for e in range(1, len(size))]
+    for e in range(len(size) - 1, 0, -1):  # children have higher numbers than their parents
+        if inherits[e]:
+            size[parser.parent[e]] += size[e]
+            hit[parser.parent[e]] += hit[e]
+    inside = [False] * len(size)
+    for e in range(1, len(size)):
+        inside[e] = 2 * hit[e] > size[e] or inherits[e] and inside[parser.parent[e]]
+    direct = [parser.parent[e] == 0 and not parser.furniture[e] for *_, e in parser.lines]  # in the page itself, or in a block of it
+    at = [i for i, d in enumerate(direct) if d and content[i]]
+    first, last = (at[0], at[-1]) if at else (0, -1)
+    return [inside[e] or direct[i] and first <= i <= last and linked <= LINKED * len(text) for i, (text, _, linked, e) in enumerate(parser.lines)]
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -138,18 +181,12 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in lines])
-    content = content_lines(ratios, sigma) & ~np.array([f for *_, f, _ in lines])
-    own = [x for x in lines if not x[3]]
-    if not own:
-        return ""
-    if articles := {x[4] for x, c in zip(lines, content) if c and x[4]} or {x[4] for x in own if x[4]}:
-        kept = [x for x in own if x[4] in articles]
-    else:
-        at = np.flatnonzero(content)
-        span = range(at[0], at[-1] + 1) if len(at) else range(len(lines))
-        kept = [x for i, x in enumerate(lines) if not x[3] and i in span and x[2] <= 0.6 * len(x[0])]
-    return "\n\n".join(x[0] for x in kept)
+    ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines])
+    elements = [e for *_, e in lines]
+    prior = np.array([ARTICLE_PRIOR if parser.article[e] else 0.0 for e in elements])
+    scores = np.where([parser.furniture[e] for e in elements], FURNITURE_SCORE, np.log1p(ratio) + prior)
+    content = content_lines(scores, sigma)
+    return "\n\n".join(text for (text, *_), kept in zip(lines, regions(parser, content)) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = SIGMA) -> DataFrame:
