@@ -1,28 +1,41 @@
 """URL filter: weighted vocabulary of strict and soft terms found by one Aho-Corasick automaton, and rules.
 
-A hit counts only when no ASCII letter or digit touches it on either side. One strict hit rejects, and
-so do ``soft_limit`` distinct soft terms. Allow and block rules for a host (with its subdomains) and a
+Terms are looked for in the url as it stands and, where it holds percent escapes, in the url with the escapes decoded (twice at most). A hit counts only when no ASCII
+letter or digit touches it on either side. A url is rejected by one strict hit, or by at least ``soft_limit`` distinct
+soft terms whose weights reach ``weight_limit`` together (by default any two; a higher limit asks for heavier terms). Allow and block rules for a host (with its subdomains) and a
 path prefix come before the vocabulary, and the longest fitting rule wins.
 
+The vocabulary is a table (term, kind, weight, version) of one version, read with ``read_vocabulary``; ``VOCABULARY`` is the default.
+
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged
-by whatever terms it holds (null: allowed). Repeated rows are judged alike. Extra columns are ignored. An empty table gives an
+by whatever terms it holds (null: allowed); escapes that are no UTF-8 decode to the replacement character. Repeated rows are judged alike. Extra columns are ignored. An empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary.
-STRICT_TERMS = ("casino", "porn", "xxx", "viagra", "cialis", "spam", "pills", "escort", "hentai", "warez", "phishing", "malware", "nude", "jackpot", "blackjack")
-SOFT_TERMS = ("adult", "ads", "bet", "bets", "bonus", "cheap", "click", "coupon", "crack", "dating", "deal", "farm", "free", "gambling", "hot", "loan", "lottery", "poker", "promo", "prize", "replica", "sex", "slots", "torrent", "track", "win", "winner")
+#: Default vocabulary: strict terms, and soft terms by weight.
+STRICT_TERMS = tuple("""bdsm blackjack camgirl camgirls camsex casino casinos cialis cracksoftware creampie cumshot deepfake escort escorts fakepassport fetish fullz gangbang hardcoreporn hentai
+jackpot jailbait keygen lolita malware milf nude nudes onlinecasino phishing pills porn porno pornhub pornography ransomware roulette sexcam sexcams sexchat sexshop slotmachine
+spam stripclub swingers torrents upskirt viagra warez webcamsex xanax xnxx xvideos xxx""".split())
+SOFT_WEIGHTS = {
+    3: tuple("adult baccarat betting camshow erotic erotica gambling lottery nsfw poker replica sex sexy slots sportsbook sweepstakes torrent upvotes".split()),
+    2: tuple("affiliate ads adclick bet bets bitcoindoubler clickbait cheap coupon coupons crack cracked dating forex getrich giveaway hookup loan loans lotto makemoney megadeal payday popunder prize prizes promo singles workfromhome".split()),
+    1: tuple("bonus buy click deal deals discount earn exclusive farm free hot limited offer offers popup redirect sale track tracker traffic trial unlock win winner winners".split()),
+}
+VOCABULARY_VERSION = 2
+VOCABULARY = tuple((t, "strict", 0, VOCABULARY_VERSION) for t in STRICT_TERMS) + tuple((t, "soft", w, VOCABULARY_VERSION) for w, terms in SOFT_WEIGHTS.items() for t in terms)
 # The rules (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SOFT_LIMIT = 2
+WEIGHT_LIMIT = 2
 
 _automata: dict[tuple, object] = {}
 
@@ -47,43 +60,67 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
     return (none, none) if name is None else (name, verdict)
 
 
-def _automaton(strict: tuple, soft: tuple):
+def read_vocabulary(table: DataFrame, version: int | None = None) -> tuple:
+    """The rows (term, kind, weight, version) of one version of a vocabulary table, the latest by default. A vocabulary is a list of terms, so it fits the driver."""
+    rows = table.select(F.lower("term").alias("term"), "kind", F.col("weight").cast("int").alias("weight"), F.col("version").cast("int").alias("version"))
+    rows = rows.filter(F.col("version") == (F.lit(version) if version is not None else table.agg(F.max("version")).scalar()))
+    return tuple(tuple(r) for r in rows.distinct().orderBy("term", "kind").collect())
+
+
+def _automaton(vocabulary: tuple):
     import ahocorasick
 
-    if (strict, soft) not in _automata:
+    if vocabulary not in _automata:
         a = ahocorasick.Automaton()
-        for kind, terms in ((1, soft), (0, strict)):
-            for t in terms:
-                a.add_word(t.lower(), (kind, t.lower()))
+        for term, kind, weight, _ in sorted(vocabulary, key=lambda v: v[1] == "strict"):  # a term of both kinds is strict
+            a.add_word(term.lower(), (kind, term.lower(), weight))
         a.make_automaton()
-        _automata[strict, soft] = a
-    return _automata[strict, soft]
+        _automata[vocabulary] = a
+    return _automata[vocabulary]
 
 
-def term_hits(url: str | None, strict: tuple, soft: tuple) -> tuple[list[str], list[str]]:
-    """Strict hits, one entry for each, and the distinct soft terms, sorted."""
-    found: tuple[list[str], set[str]] = ([], set())
-    text = (url or "").lower()
-    edge = lambda c: not (c.isascii() and c.isalnum())
-    for end, (kind, term) in _automaton(strict, soft).iter(text):
-        start = end - len(term) + 1
-        if (start == 0 or edge(text[start - 1])) and (end + 1 == len(text) or edge(text[end + 1])):
-            found[0].append(term) if kind == 0 else found[1].add(term)
-    return found[0], sorted(found[1])
+def _decoded(url: str) -> Iterator[str]:
+    """The url in lower case, and again for each of up to two levels of escapes."""
+    yield url.lower()
+    for _ in range(2):
+        plain = unquote(url)
+        if plain == url:
+            return
+        url = plain
+        yield url.lower()
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", strict=STRICT_TERMS, soft=SOFT_TERMS, rules=RULES, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """One row per page: id, host, path, rule, verdict, n_strict, n_soft, terms."""
-    strict, soft = tuple(strict), tuple(soft)
+def term_hits(url: str | None, vocabulary: tuple = VOCABULARY) -> tuple[int, dict[str, int], list[str]]:
+    """(strict hits in the reading of the url that has most, weights of the distinct soft terms of all readings, terms found, sorted)."""
+    strict, soft, terms = 0, {}, set()
+    edge = lambda c: not (c.isascii() and c.isalnum())
+    for text in _decoded(url or ""):
+        n = 0
+        for end, (kind, term, weight) in _automaton(vocabulary).iter(text):
+            start = end - len(term) + 1
+            if (start == 0 or edge(text[start - 1])) and (end + 1 == len(text) or edge(text[end + 1])):
+                terms.add(term)
+                if kind == "strict":
+                    n += 1
+                else:
+                    soft[term] = weight
+        strict = max(strict, n)
+    return strict, soft, sorted(terms)
+
+
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", vocabulary: tuple = VOCABULARY, rules=RULES, soft_limit: int = SOFT_LIMIT, weight_limit: int = WEIGHT_LIMIT) -> DataFrame:
+    """One row per page: id, host, path, rule, verdict, n_strict, n_soft (distinct), weight (of the soft terms), terms."""
+    vocabulary = tuple(tuple(v) for v in vocabulary)
     base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [term_hits(u, strict, soft) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(h) for h, _ in hits], pa.int32()), pa.array([len(s) for _, s in hits], pa.int32()), pa.array([sorted({*h, *s}) for h, s in hits], pa.list_(pa.string()))], ["_id", "_url", "n_strict", "n_soft", "terms"])
+            hits = [term_hits(u, vocabulary) for u in b.column(1).to_pylist()]
+            numbers = [pa.array(x, pa.int32()) for x in ([h for h, _, _ in hits], [len(s) for _, s, _ in hits], [sum(s.values()) for _, s, _ in hits])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *numbers, pa.array([t for _, _, t in hits], pa.list_(pa.string()))], ["_id", "_url", "n_strict", "n_soft", "weight", "terms"])
 
-    counted = base.mapInArrow(count, f"_id {base.schema['_id'].dataType.simpleString()}, _url string, n_strict int, n_soft int, terms array<string>")
+    counted = base.mapInArrow(count, f"_id {base.schema['_id'].dataType.simpleString()}, _url string, n_strict int, n_soft int, weight int, terms array<string>")
     placed = counted.withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
     rule, verdict = rule_column(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= soft_limit), "block").otherwise("allow")
-    return placed.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "n_strict", "n_soft", "terms")
+    own = F.when((F.col("n_strict") > 0) | (F.col("n_soft") >= soft_limit) & (F.col("weight") >= weight_limit), "block").otherwise("allow")
+    return placed.select(F.col("_id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "n_strict", "n_soft", "weight", "terms")
