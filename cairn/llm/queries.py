@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, quality_crf, suffix_dedup, token_rollup, url_filter
-from cairn.llm.common import shared_dir
+from cairn.llm.common import materialise, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after documents arrived in an unknown language, were revised to their language, half of them withdrawn and put back, and the revisions were delivered twice."""
+    counts = materialise(token_rollup.token_counts(_table(spark, sf_dir, "documents")), "token-counts")
+    unknown = F.struct("source", F.lit(None).cast("string").alias("lang"), "tokenizer", "n_tokens", "n_bytes")
+    revised = counts.withColumns({"op": F.lit("revise"), "old": unknown})
+    withdrawn = counts.filter(_remainder("doc_id", 2) == 0)
     rollup = token_rollup.TokenRollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
-    rollup.commit("documents", token_rollup.token_counts(_table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert")))
+    rollup.commit("arrival", counts.withColumns({"op": F.lit("insert"), "lang": F.lit(None).cast("string")}))
+    rollup.commit("languages", revised)
+    rollup.commit("withdrawal", withdrawn.withColumn("op", F.lit("delete")))
+    rollup.commit("languages", revised)
+    rollup.commit("return", withdrawn.withColumn("op", F.lit("insert")))
     return rollup.totals()
 
 

@@ -2,17 +2,16 @@
 
 A batch of changes (insert, delete, revise) becomes additive deltas: an insert adds a document's tokens,
 a delete takes them away, a revision takes the old count away and adds the new one, where source or
-language may change too. A batch is aggregated on the executors and written once under its batch id; a
-batch id that is committed already is left alone, so that a repeated commit changes nothing, and a
-commit that died half-way leaves no visible files and is simply run again. Totals are the sums over all
-committed batches.
+language may change too. A batch is aggregated on the executors and written to a folder of its own; then one row in
+the commit log names batch and folder. Only folders in the log count, one a batch id, so a commit that died half-way
+changes nothing and is simply run again, and a repeated commit is left alone. Totals are the sums over the folders of the log.
 
-Texts are tokenized by a public byte-level BPE whose rank file is a parameter; the ranks (under 1 MB) are
-read by Spark on the driver and broadcast.
+Texts are tokenized by a public byte-level BPE whose rank file is a parameter; the driver reads the ranks (under 1 MB) and broadcasts them.
 
 Defined cases: a null text has 0 tokens and still counts as a document; null source or language is a group of its
-own; repeated rows count each; an empty batch commits as empty; groups whose counts come to 0 stay
-visible only if some total is not 0; extra columns are ignored.
+own; repeated rows count each; an empty batch commits as empty; without a commit the totals are empty; groups whose counts come to 0 stay
+visible only if some total is not 0; a change of another kind than the three, or a revision without its old row, raises an error
+when the batch is written, and nothing is committed; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +30,8 @@ TOKENIZER_FILE = "byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenization pattern of the public byte-level BPE vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ("source", "lang", "tokenizer")
+DELTAS = "source string, lang string, tokenizer string, docs long, tokens long, bytes long"
+LOG = "batch string, folder string"
 
 _encoders: dict[str, object] = {}
 
@@ -65,11 +66,11 @@ def token_counts(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer_
 def signed_deltas(changes: DataFrame) -> DataFrame:
     """Additive deltas by key of changes: op (insert, delete, revise), the keys, n_tokens, n_bytes, and for a revision old: struct<source, lang, tokenizer, n_tokens, n_bytes>."""
     row = lambda sign, at: F.struct(*(F.col(at + k).alias(k) for k in KEYS), F.lit(sign).cast("long").alias("docs"), (F.lit(sign) * F.col(at + "n_tokens")).alias("tokens"), (F.lit(sign) * F.col(at + "n_bytes")).alias("bytes"))
-    add, take = F.array(row(1, "")), F.array(row(-1, ""))
-    signed = F.when(F.col("op") == "insert", add).when(F.col("op") == "delete", take)
+    signed = F.when(F.col("op") == "insert", F.array(row(1, ""))).when(F.col("op") == "delete", F.array(row(-1, "")))
     if "old" in changes.columns:
-        signed = signed.when(F.col("op") == "revise", F.array(row(1, ""), row(-1, "old.")))
-    flat = changes.select(F.explode(signed).alias("d")).select("d.*")
+        signed = signed.when((F.col("op") == "revise") & F.col("old").isNotNull(), F.array(row(1, ""), row(-1, "old.")))
+    known = signed.otherwise(F.raise_error(F.concat(F.lit("a change without a delta: "), F.coalesce("op", F.lit("null")))))
+    flat = changes.select(F.explode(known).alias("d")).select("d.*")
     return flat.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
 
 
@@ -78,20 +79,29 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._log([])
 
-    def _committed(self, batch_id: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch={batch_id}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _log(self, rows: list[tuple[str, str]]) -> None:
+        """Appends to the log; one task writes one file, which appears whole or not at all."""
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+
+    def batches(self) -> dict[str, str]:
+        """Folder by committed batch id. Where two commits of one id ran at once, the least folder counts."""
+        log = self.spark.read.schema(LOG).parquet(f"{self.root}/log")
+        return {r["batch"]: r["folder"] for r in log.groupBy("batch").agg(F.min("folder").alias("folder")).collect()}
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was committed before."""
-        if self._committed(batch_id):
+        if batch_id in self.batches():
             return False
-        signed_deltas(changes).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        folder = f"deltas-{uuid.uuid4().hex}"
+        signed_deltas(changes).write.parquet(f"{self.root}/{folder}")
+        self._log([(batch_id, folder)])
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_bytes over all committed batches."""
-        rows = self.spark.read.schema("source string, lang string, tokenizer string, docs long, tokens long, bytes long").parquet(f"{self.root}/batch=*")
+        folders = [f"{self.root}/{f}" for f in sorted(self.batches().values())]
+        rows = self.spark.read.schema(DELTAS).parquet(*folders) if folders else self.spark.createDataFrame([], DELTAS)
         out = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"), F.sum("bytes").alias("n_bytes"))
         return out.filter("n_docs != 0 OR n_tokens != 0 OR n_bytes != 0")
