@@ -9,7 +9,7 @@ changes nothing, by count and sum of hashes, is the last.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.scratch import materialise
@@ -31,12 +31,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def _written(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The links, written, with their number and a sum of hashes from the same write."""
-    seen = Observation()
-    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    out = materialise(links.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("h")), "links")
-    return out, (seen.get["n"], seen.get["h"])
+def _written(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links, written, with their number and a sum of hashes."""
+    out = materialise(links, "links")
+    seen = out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return out, tuple(seen)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:

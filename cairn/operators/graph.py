@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalar import edge_risk, hour_of, objective, uniform
 from cairn.operators.components import connected_components
-from cairn.operators.relational import confusion, metrics
-from cairn.operators.scratch import materialise
+from cairn.operators.relational import Chain, confusion, metrics
+from cairn.operators.scratch import Growing, materialise
+
+#: Different risks that a threshold search works through.
+MAX_CUTS = 256
 
 
 def sources_of(edges: DataFrame) -> DataFrame:
@@ -38,55 +41,117 @@ def propagate(edges: DataFrame, seed: str = "source", rounds: int = 3) -> DataFr
     return labelled
 
 
-def relax(edges: DataFrame, weight: str | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """(id, level, risk) of every vertex of a DAG: edges on the longest path to it, and the greatest sum of weights of a path to it.
+def propagate_chain(chain: Chain, seed: str = "source", rounds: int = 3) -> DataFrame:
+    """``propagate`` over the temporal chain, without its pairs."""
+    start = chain.ends().filter("has_out AND NOT has_in" if seed == "source" else "has_in AND NOT has_out")
+    labelled = materialise(start.select("id", F.col("id").alias("component")), "propagated")
+    for _ in range(rounds):
+        step = chain.forward(labelled.select("id", F.col("component").alias("v"))).select("id", F.col("v").alias("component"))
+        labelled = materialise(labelled.unionByName(step).groupBy("id").agg(F.min("component").alias("component")), "propagated")
+    return labelled
+
+
+def chain_levels(chain: Chain, weights: DataFrame) -> DataFrame:
+    """(id, level, risk) of the transfers of the temporal chain: ``relax`` without pairs; ``weights`` are (id, w).
 
-    Round k holds the vertices that some path of k edges reaches, so the rounds are as many as the longest path. A cycle never ends:
-    more rounds than vertices raise an error.
+    Round k holds the transfers that some path of k steps reaches, with the greatest sum of weights of such a path. Time is strict, so there is no cycle.
     """
-    own = edges.select("src", "dst", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("w"))
-    vertices = own.select(F.col("src").alias("id")).union(own.select("dst")).distinct()
-    layer = materialise(sources_of(own).select("id", F.lit(0.0).alias("r")), "layer")
-    layers = [layer.withColumn("k", F.lit(0))]
-    for k in range(1, max_rounds):
-        step = own.join(layer.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.col("r") + F.col("w")).alias("r"))
-        layer = materialise(step, "layer")
+    spark = weights.sparkSession
+    layers = Growing(spark, "id long, k int, r double", "levels")
+    weights, k = materialise(weights.select("id", "w"), "weights"), 0
+    step = chain.ends().filter("has_out AND NOT has_in").select("id", F.lit(0.0).alias("r"))
+    while True:
+        layers.add(step.select("id", F.lit(k).alias("k"), "r"))
+        layer = layers.read().filter(F.col("k") == k)
         if layer.isEmpty():
             break
-        layers.append(layer.withColumn("k", F.lit(k)))
-    else:
+        reached = chain.forward(layer.select("id", F.col("r").alias("v")), F.max, F.greatest)
+        step, k = reached.join(weights, "id").select("id", (F.col("v") + F.col("w")).alias("r")), k + 1
+    return layers.read().groupBy("id").agg(F.max("k").alias("level"), F.max("r").alias("risk"))
+
+
+def relax(edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """(id, level, risk) of every vertex of a DAG: edges on the longest path to it, and the greatest sum of weights of a path from a source to it.
+
+    Stretches of vertices with one edge in and one out are jumped over by doubling; the rest is peeled from the sources on, and a vertex is done when
+    all its edges are. So an edge is used once, and rounds are as many as the longest path counts forks and joins. A cycle raises an error. Edges with a null end are ignored.
+    """
+    spark = edges.sparkSession
+    own = edges.select("src", "dst", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("w")).filter("src IS NOT NULL AND dst IS NOT NULL")
+    own = materialise(own.groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
+    into = own.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
+    out = own.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
+    degree = materialise(into.join(out, "id", "full").na.fill(0, ["i", "o"]), "degrees")
+    inner = degree.filter("i = 1 AND o = 1").select("id")
+    jump = materialise(own.join(inner.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("to"), F.lit(1).cast("long").alias("hops"), "w"), "jump")
+    n, reach = jump.count(), 1
+    while True:  # until no jump ends inside a stretch
+        far = jump.select(F.col("id").alias("to"), F.col("to").alias("z"), F.col("hops").alias("h"), F.col("w").alias("v"))
+        both = jump.join(far, "to", "left").select("id", F.coalesce("z", "to").alias("to"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w"), F.col("z").isNotNull().alias("on"))
+        jump = materialise(both, "jump")
+        if jump.filter("on").isEmpty():
+            break
+        jump, reach = jump.drop("on"), 2 * reach
+        if reach > 2 * n:
+            raise ValueError("the graph has a cycle")
+    jump = jump.drop("on")
+    ahead = own.join(inner.withColumnRenamed("id", "dst"), "dst", "left_anti")  # edges to vertices that stay
+    short = ahead.join(jump.select(F.col("id").alias("src"), "to", "hops", F.col("w").alias("v")), "src", "left")
+    short = materialise(short.select(F.coalesce("to", "src").alias("src"), "dst", (F.coalesce("hops", F.lit(0)) + 1).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w")), "short-edges")
+    open_ = materialise(degree.filter("NOT (i = 1 AND o = 1)").select("id", "i"), "open")
+    done = Growing(spark, f"id {dict(own.dtypes)['src']}, level long, risk double", "done")
+    ready = materialise(open_.filter("i = 0").select("id", F.lit(0).cast("long").alias("level"), F.lit(0.0).alias("risk")), "ready")
+    waiting = None
+    while not ready.isEmpty():
+        done.add(ready)
+        step = short.join(ready.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.lit(1).cast("long").alias("seen"), (F.col("level") + F.col("hops")).alias("level"), (F.col("risk") + F.col("w")).alias("risk"))
+        step = step if waiting is None else step.unionByName(waiting)
+        seen = materialise(step.groupBy("id").agg(F.sum("seen").alias("seen"), F.max("level").alias("level"), F.max("risk").alias("risk")).join(open_, "id"), "seen")
+        ready = seen.filter("seen = i").select("id", "level", "risk")
+        waiting = seen.filter("seen < i").select("id", "seen", "level", "risk")
+    outer = done.read()
+    if outer.count() < open_.count() or (n and jump.join(outer, jump["to"] == outer["id"], "left_anti").count()):
         raise ValueError("the graph has a cycle")
-    every = reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.max("k").alias("level"), F.greatest(F.lit(0.0), F.max("r")).alias("risk"))
-    return vertices.join(every, "id", "left")
+    return outer.unionByName(jump.join(outer.withColumnRenamed("id", "to"), "to").select("id", (F.col("level") + F.col("hops")).alias("level"), (F.col("risk") + F.col("w")).alias("risk")))
 
 
 def is_dag(edges: DataFrame) -> bool:
-    """Peels vertices without incoming edges until none is left, or none can be."""
-    left = materialise(edges.select("src", "dst").distinct(), "peel")
-    n = left.count()
-    while n:
-        heads = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
-        left = materialise(left.join(heads, "src", "left_anti"), "peel")
-        now = left.count()
-        if now == n:
-            return False
-        n = now
-    return True
+    """Has the graph no cycle? Then peeling leaves no edge; a self loop is a cycle, an empty graph has none."""
+    return edges.filter("src = dst").isEmpty() and cycle_core(edges).isEmpty()
 
 
 def cycle_core(edges: DataFrame) -> DataFrame:
-    """The edges left after vertices without incoming or without outgoing edges are peeled off: every cycle is among them."""
+    """The edges between different vertices that are left after vertices without incoming or without outgoing edges are peeled off: every longer cycle is among them.
+
+    Stretches of vertices with one edge in and one out stand or fall as one, so they are jumped over by doubling first; then each round peels from both sides.
+    """
     left = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "core")
-    n = left.count()
-    while n:
-        inner = left.select(F.col("src").alias("id")).distinct().join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-        inner = materialise(inner, "core-vertices")
-        left = materialise(left.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi"), "core")
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    return left.select("src", "dst")
+    while True:
+        into = left.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
+        out = left.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
+        degree = materialise(into.join(out, "id", "full").na.fill(0, ["i", "o"]), "core-degrees")
+        bare = degree.filter("i = 0 OR o = 0").select("id")
+        if bare.isEmpty():
+            return left.select("src", "dst")
+        gone = materialise(_stretches(left, degree, bare), "peeled")
+        left = materialise(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "core")
+
+
+def _stretches(edges: DataFrame, degree: DataFrame, bare: DataFrame) -> DataFrame:
+    """(id): the bare vertices and all that hang on them by a stretch: with one edge in, from a peeled vertex, or one out, to a peeled one."""
+    found = bare
+    for near, far, count in (("dst", "src", "i"), ("src", "dst", "o")):
+        one = degree.filter(F.col(count) == 1).select("id")
+        jump = materialise(edges.join(one.withColumnRenamed("id", near), near).select(F.col(near).alias("id"), F.col(far).alias("to")), "stretch")
+        n, reach = jump.count(), 1
+        while reach < n:
+            step = materialise(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("z")), "to", "left").select("id", F.coalesce("z", "to").alias("to"), F.col("z").isNotNull().alias("on")), "stretch")
+            jump, reach = step.drop("on"), 2 * reach
+            if step.filter("on").isEmpty():
+                break
+        roots = degree.filter("i = 0" if count == "i" else "o = 0").select(F.col("id").alias("to"))
+        found = found.union(jump.join(roots, "to", "left_semi").select("id"))
+    return found.distinct()
 
 
 def temporal_forest(tx: DataFrame) -> DataFrame:
@@ -108,12 +173,6 @@ def temporal_forest(tx: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, kept).distinct() if kept else tx.select("tx_id").filter(F.lit(False))
 
 
-def next_transfer(chain: DataFrame, tx: DataFrame) -> DataFrame:
-    """(src, dst): every transfer's earliest successor in the chain."""
-    when = tx.select(F.col("tx_id").alias("dst"), "epoch")
-    return chain.join(when, "dst").groupBy("src").agg(F.min_by("dst", F.struct("epoch", "dst")).alias("dst"))
-
-
 def walks_to_sinks(successor: DataFrame) -> DataFrame:
     """(id, sink, hops) by pointer doubling over an acyclic successor function."""
     jump = materialise(successor.select(F.col("src").alias("id"), F.col("dst").alias("sink"), F.lit(1).cast("long").alias("hops")), "jump")
@@ -133,15 +192,21 @@ def best_predecessor(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return scored.groupBy("dst").agg(F.max_by("src", F.struct("risk", -F.col("src"))).alias("to")).select(F.col("dst").alias("src"), F.col("to").alias("dst"))
 
 
+def chain_predecessor(chain: Chain, nodes: DataFrame) -> DataFrame:
+    """(src, dst): every transfer with its predecessor in the chain of greatest risk (columns id, risk of ``nodes``), the least id of equals."""
+    values = nodes.select("id", F.struct("risk", (-F.col("id")).alias("m")).alias("v"))
+    return chain.forward(values, F.max, F.greatest).select(F.col("id").alias("src"), (-F.col("v.m")).alias("dst"))
+
+
 def trace(successor: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, hops): the walk from the ids of ``start`` along an acyclic successor function (src, dst).
+    """(start, id, hops): the walks from the ids of ``start`` along an acyclic successor function (src, dst).
 
-    Round k holds the first 2^k vertices of the walk and adds as many by jumps of 2^k steps, so rounds are logarithmic in its length.
+    Round k holds the first 2^k vertices of each walk and adds as many by jumps of 2^k steps, so rounds are logarithmic in the longest.
     """
     jump = materialise(successor.select("src", "dst"), "jump")
-    path, span = materialise(start.select("id", F.lit(0).cast("long").alias("hops")), "trace"), 1
+    path, span = materialise(start.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("hops")), "trace"), 1
     while True:
-        step = materialise(path.join(jump, path["id"] == jump["src"]).select(F.col("dst").alias("id"), (F.col("hops") + span).alias("hops")), "trace")
+        step = materialise(path.join(jump, path["id"] == jump["src"]).select("start", F.col("dst").alias("id"), (F.col("hops") + span).alias("hops")), "trace")
         if step.isEmpty():
             return path
         path = path.unionByName(step)
@@ -149,6 +214,20 @@ def trace(successor: DataFrame, start: DataFrame) -> DataFrame:
         span *= 2
 
 
+def walk_accounts(walks: DataFrame, tx: DataFrame) -> DataFrame:
+    """(account): senders and receivers of the transfers (column id) of walks."""
+    own = tx.join(walks.select(F.col("id").alias("tx_id")).distinct(), "tx_id", "left_semi")
+    return own.select(F.col("sender").alias("account")).union(own.select("receiver")).distinct()
+
+
+def set_metrics(predicted: DataFrame, actual: DataFrame, key: str = "account", epsilon: float = 1e-9) -> DataFrame:
+    """tp, fp, fn, precision, recall and f1 of two sets; ``epsilon`` is added to the denominators, so empty sets give 0."""
+    both = predicted.select(key).distinct().withColumn("p", F.lit(1)).join(actual.select(key).distinct().withColumn("a", F.lit(1)), key, "full")
+    counts = both.agg(F.count_if(F.expr("p = 1 AND a = 1")).alias("tp"), F.count_if(F.expr("p = 1 AND a IS NULL")).alias("fp"), F.count_if(F.expr("p IS NULL AND a = 1")).alias("fn"))
+    ratios = counts.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp") + epsilon), "recall": F.col("tp") / (F.col("tp") + F.col("fn") + epsilon)})
+    return ratios.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + epsilon))
+
+
 def account_edges(tx: DataFrame) -> DataFrame:
     """(src, dst, risk): distinct account pairs with the risk of their latest transfer."""
     scored = tx.withColumn("risk", edge_risk(F.col("is_laundering"), F.col("amount"), hour_of(F.col("epoch"))))
@@ -188,27 +267,53 @@ def same_group(tx: DataFrame, components: DataFrame) -> DataFrame:
     return rows.select("tx_id", "is_laundering", F.coalesce(F.col("sender_group") == F.col("receiver_group"), F.lit(False)).cast("int").alias("predicted"))
 
 
+def threshold_groups(edges: DataFrame) -> list[tuple[float, DataFrame]]:
+    """(cut, groups) for every risk that occurs, the highest first, and before them infinity, where every account is alone.
+
+    The groups of a cut are those of the cut above, joined by the edges of exactly this risk, so every edge is used once. Cuts are few
+    by the rules that make the risks; more than ``MAX_CUTS`` raise an error.
+    """
+    cuts = [r["risk"] for r in edges.groupBy("risk").count().orderBy(F.desc("risk")).limit(MAX_CUTS + 1).collect()]
+    if len(cuts) > MAX_CUTS:
+        raise ValueError(f"more than {MAX_CUTS} different risks: round them first")
+    groups = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().select("id", F.col("id").alias("component"))
+    groups = materialise(groups, "cut-groups")
+    out = [(float("inf"), groups)]
+    for cut in cuts:
+        at = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))  # noqa: E731, B023
+        joined = edges.filter(F.col("risk") == cut).join(at("src"), "src").join(at("dst"), "dst").filter("src_group <> dst_group")
+        merged = connected_components(joined, "src_group", "dst_group").select(F.col("id").alias("component"), F.col("component").alias("to"))
+        groups = materialise(groups.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "cut-groups")
+        out.append((cut, groups))
+    return out
+
+
 def threshold_scores(tx: DataFrame, edges: DataFrame) -> DataFrame:
-    """(threshold, precision, recall, f1, objective) at every cut that the risks distinguish; risks take a few values."""
-    cuts = sorted(r["risk"] for r in edges.select("risk").distinct().limit(64).collect())
+    """(threshold, precision, recall, f1, objective) at every cut that the risks distinguish, and at infinity."""
     rows = []
-    for cut in cuts:
-        scored = metrics(confusion(same_group(tx, risk_components(edges, cut)), F.col("is_laundering"), F.col("predicted")))
+    for cut, groups in threshold_groups(edges):
+        scored = metrics(confusion(same_group(tx, groups), F.col("is_laundering"), F.col("predicted")))
         rows.append(scored.select(F.lit(cut).alias("threshold"), "precision", "recall", "f1", objective(F.col("recall"), F.col("f1")).alias("objective")))
     return materialise(reduce(DataFrame.unionByName, rows), "thresholds")
 
 
-def tabu_search(scores: list[tuple[float, float]], start: float = 1.5, step: float = 0.2, low: float = 0.1, high: float = 3.0, memory: int = 5, rounds: int = 20) -> list[tuple[float, float]]:
-    """Visited (threshold, objective): the best neighbour that was not visited of late. ``scores`` are (cut, objective); a threshold acts as the least cut at or above it."""
-    value = lambda x: next((o for c, o in sorted(scores) if c >= x - 1e-9), 0.0)
-    at, path = start, [(start, value(start))]
+def tabu_search(scores: list[tuple[float, ...]], start: float = 1.5, step: float = 0.2, low: float = 0.1, high: float = 3.0, memory: int = 5, rounds: int = 20) -> list[tuple]:
+    """(threshold, precision, recall, f1, objective, best threshold so far) of every step.
+
+    ``scores`` are (cut, precision, recall, f1, objective); a threshold acts as the least cut at or above it. A step goes to the best of the threshold
+    below, the present one and the one above that was not taken in the last ``memory`` steps, the lower of equals; the search ends where none is left.
+    """
+    table = sorted(scores)
+    value = lambda x: next((v[1:] for v in table if v[0] >= x - 1e-9), (0.0, 0.0, 0.0, 0.0))
+    at, best, recent, path = start, (0.0, start), [], []
     for _ in range(rounds):
-        recent = [round(t, 6) for t, _ in path[-memory:]]
-        near = [x for x in (round(at - step, 6), round(at + step, 6)) if low <= x <= high and x not in recent]
+        near = [x for x in (round(at + d, 6) for d in (-step, 0.0, step)) if low <= x <= high and x not in recent]
         if not near:
             break
-        at = max(near, key=lambda x: (value(x), -x))
-        path.append((at, value(at)))
+        at = max(near, key=lambda x: (value(x)[3], -x))
+        best = max(best, (value(at)[3], at), key=lambda b: b[0])
+        path.append((at, *value(at), best[1]))
+        recent = [*recent, at][-memory:]
     return path
 
 
@@ -256,6 +361,25 @@ def smoothed_features(edges: DataFrame, features: DataFrame, names: list[str], h
     return features
 
 
+def pivot_closeness(edges: DataFrame, pivots: int = 16, seed: int = 42) -> DataFrame:
+    """(id, reached, distance, closeness): of every account, the pivots that it reaches in the undirected graph, the sum of its distances to them, and their ratio (0 without one).
+
+    Closeness to all accounts takes a search from each; these are searches from ``pivots`` accounts of least hash, all at once, one join a step.
+    """
+    both = materialise(edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct(), "undirected")
+    vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    chosen = vertices.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), "id").limit(pivots)
+    near = Growing(edges.sparkSession, "start long, id long, d long", "distances")
+    front = materialise(chosen.select(F.col("id").alias("start"), "id"), "front")
+    d = 0
+    while not front.isEmpty():
+        near.add(front.select("start", "id", F.lit(d).cast("long").alias("d")))
+        step = front.join(both, front["id"] == both["src"]).select("start", F.col("dst").alias("id")).distinct()
+        front, d = materialise(step.join(near.read(), ["start", "id"], "left_anti"), "front"), d + 1
+    sums = near.read().filter("d > 0").groupBy("id").agg(F.count("*").alias("reached"), F.sum("d").alias("distance"))
+    return vertices.join(sums, "id", "left").na.fill(0, ["reached", "distance"]).withColumn("closeness", F.when(F.col("distance") > 0, F.col("reached") / F.col("distance")).otherwise(0.0))
+
+
 def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> DataFrame:
     """(tx_id, block, poh): hash chains over blocks of consecutive transfers.
 
@@ -265,9 +389,10 @@ def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> Dat
     rows = tx.join(numbered.select("tx_id", "row_id"), "tx_id").withColumn("block", F.floor((F.col("row_id") - 1) / block))
     text = F.concat(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("tx_id").cast("string"))
     sealed = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row_id", "tx_id", text.alias("x")))).alias("rows"))
-    step = lambda acc, r: F.struct(F.sha2(F.concat(acc["h"], r["x"]).cast("binary"), 256).alias("h"), F.concat(acc["out"], F.array(F.struct(r["tx_id"].alias("tx_id"), F.sha2(F.concat(acc["h"], r["x"]).cast("binary"), 256).alias("poh")))).alias("out"))
-    first = F.struct(F.lit("").alias("h"), F.expr("cast(array() as array<struct<tx_id:bigint,poh:string>>)").alias("out"))
-    chained = sealed.select("block", F.explode(F.aggregate("rows", first, step)["out"]).alias("o"))
+    before = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
+    step = lambda acc, r: F.concat(acc, F.array(F.sha2(F.concat(before(acc), r["x"]).cast("binary"), 256)))
+    hashes = F.aggregate("rows", F.expr("cast(array() as array<string>)"), step)
+    chained = sealed.select("block", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["tx_id"]).alias("tx_id"), hashes.alias("poh"))).alias("o"))
     return chained.select("o.tx_id", "block", "o.poh")
 
 

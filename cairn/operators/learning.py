@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import uniform
-from cairn.operators.relational import confusion, global_row_number, metrics
-from cairn.operators.scratch import materialise
+from cairn.operators.components import connected_components
+from cairn.operators.relational import chain_hubs, chunked, component_features, confusion, global_row_number, metrics, weighted
+from cairn.operators.scratch import Growing, materialise
 
 
 def stratified_folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "tx_id", label: str = "is_laundering") -> DataFrame:
@@ -24,6 +25,18 @@ def stratified_folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "tx_id
     return numbered.select(id_col, ((F.col("row_id") - 1) % k).cast("int").alias("fold"))
 
 
+def stratified_split(df: DataFrame, shares: list[float], seed: int = 42, id_col: str = "tx_id", label: str = "is_laundering") -> DataFrame:
+    """(id, part): each label's rows in seeded order, cut at floor(rows of the label * share)."""
+    drawn = df.select(F.col(id_col), F.col(label).alias("_y"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary")).alias("_u"))
+    numbered = global_row_number(drawn, ["_y", "_u", id_col])
+    sizes = numbered.groupBy("_y").agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"))  # a row a label
+    placed = numbered.join(F.broadcast(sizes), numbered["_y"].eqNullSafe(sizes["_y"])).withColumn("_at", F.col("row_id") - F.col("_first"))
+    part = F.lit(len(shares) - 1)
+    for i in range(len(shares) - 2, -1, -1):
+        part = F.when(F.col("_at") < F.floor(F.col("_n") * sum(shares[: i + 1])), i).otherwise(part)
+    return placed.select(id_col, part.alias("part"))
+
+
 def random_split(df: DataFrame, shares: list[float], seed: int = 42, id_col: str = "tx_id") -> DataFrame:
     """The rows with ``part``, 0 up, by a hash of the id: the same in any run."""
     u, part, bound = uniform(seed, F.col(id_col).cast("string")), F.lit(len(shares) - 1), 1.0
@@ -43,26 +56,79 @@ def time_split(df: DataFrame, shares: list[float], order: list[str]) -> DataFram
     return numbered.withColumn("part", part).drop("row_id")
 
 
+def window_slices(df: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """The rows with ``slice`` 0 to k: equal slices in order, floor(rows / (k + 1)) rows each; rows beyond them leave."""
+    size = df.count() // (k + 1)
+    return global_row_number(df, order).withColumn("slice", F.floor((F.col("row_id") - 1) / max(size, 1)).cast("int")).filter(F.col("slice") <= k).drop("row_id")
+
+
 def expanding_windows(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     """(fold, train_rows, test_rows, train_positive, test_positive): fold i trains on the first i + 1 of k + 1 equal slices and tests on the next."""
-    size = df.count() // (k + 1)
-    placed = global_row_number(df, order).withColumn("slice", F.floor((F.col("row_id") - 1) / max(size, 1))).filter(F.col("slice") <= k)
-    by = placed.groupBy("slice").agg(F.count("*").alias("n"), F.sum("is_laundering").alias("p"))
+    by = window_slices(df, k, order).groupBy("slice").agg(F.count("*").alias("n"), F.sum("is_laundering").alias("p"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # k + 1 rows
-    return by.select((F.col("slice") - 1).alias("fold"), F.sum("n").over(before).alias("train_rows"), F.col("n").alias("test_rows"), F.sum("p").over(before).alias("train_positive"), F.col("p").alias("test_positive")).filter("fold >= 0")
+    return by.select((F.col("slice") - 1).cast("long").alias("fold"), F.sum("n").over(before).alias("train_rows"), F.col("n").alias("test_rows"), F.sum("p").over(before).alias("train_positive"), F.col("p").alias("test_positive")).filter("fold >= 0")
+
+
+def predictions(train: DataFrame, test: DataFrame, flow: Pipeline, id_col: str = "tx_id") -> DataFrame:
+    """(id, label, predicted, score) of the test rows; score is the probability of class 1, or the margin of a model without probabilities. A train part of one class predicts it everywhere."""
+    labels = [r["label"] for r in train.select("label").distinct().limit(2).collect()]
+    if len(labels) < 2:
+        only = float(labels[0]) if labels else 0.0
+        return test.select(id_col, "label", F.lit(only).cast("int").alias("predicted"), F.lit(only).alias("score"))
+    scored = flow.fit(train).transform(test)
+    column = "probability" if "probability" in scored.columns else "rawPrediction"
+    return scored.select(id_col, "label", F.col("prediction").cast("int").alias("predicted"), vector_to_array(column)[1].alias("score"))
+
+
+def pooled_predictions(df: DataFrame, splits: list[tuple[str, str]], flow: Pipeline, id_col: str = "tx_id") -> DataFrame:
+    """(fold, id, label, predicted, score): the out-of-fold predictions of all (train, test) conditions in one table. Folds without rows on a side are left out."""
+    out = Growing(df.sparkSession, f"fold int, {id_col} {df.schema[id_col].dataType.simpleString()}, label double, predicted int, score double", "predictions")
+    for i, (train, test) in enumerate(splits):
+        a, b = df.filter(train), df.filter(test)
+        if not a.isEmpty() and not b.isEmpty():
+            out.add(predictions(a, b, flow, id_col).select(F.lit(i).alias("fold"), id_col, F.col("label").cast("double").alias("label"), "predicted", "score"))
+    return out.read()
+
+
+def fold_report(pooled: DataFrame) -> DataFrame:
+    """(fold, accuracy, weighted_precision, weighted_recall, weighted_f1, precision, recall, f1, auc) of each fold, and fold -1: all predictions pooled."""
+    names = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "precision", "recall", "f1", "auc"]
+    folds = [r["fold"] for r in pooled.select("fold").distinct().orderBy("fold").collect()]
+    rows = []
+    for fold in [*folds, -1]:
+        own = (pooled if fold == -1 else pooled.filter(F.col("fold") == fold)).withColumn("y", F.col("label").cast("int"))
+        found = {}
+        for part in (weighted(by_class(own, "y", "predicted")), metrics(confusion(own, F.col("y"), F.col("predicted"))).select("precision", "recall", "f1"), auc(own, "y", "score")):
+            found |= part.first().asDict()  # a row each
+        rows.append((fold, *(found[n] for n in names)))
+    return pooled.sparkSession.createDataFrame(rows, "fold int, " + ", ".join(f"{n} double" for n in names))
+
+
+def _ranked_scores(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(s, p, q, below_p, below_q): of every distinct score, positives, others, and their numbers at lower scores; found chunk by chunk."""
+    by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
+    parts = chunked(by, ["s"], "scores")
+    every = Window.orderBy("_p")  # a row a chunk
+    offset = parts.groupBy("_p").agg(F.sum("p").alias("m"), F.sum("q").alias("n")).select("_p", (F.sum("m").over(every) - F.col("m")).alias("op"), (F.sum("n").over(every) - F.col("n")).alias("oq"))
+    here = Window.partitionBy("_p").orderBy("s")
+    local = parts.withColumns({"lp": F.sum("p").over(here) - F.col("p"), "lq": F.sum("q").over(here) - F.col("q")})
+    return local.join(F.broadcast(offset), "_p").select("s", "p", "q", (F.col("lp") + F.col("op")).alias("below_p"), (F.col("lq") + F.col("oq")).alias("below_q"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve: the rank sum with ties counted half, over the distinct scores."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    parts = materialise(by.repartitionByRange("s").withColumn("_p", F.spark_partition_id()), "scores")
-    offset = parts.groupBy("_p").agg(F.sum("q").alias("n")).select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("o"))
-    below = F.sum("q").over(Window.partitionBy("_p").orderBy("s")) - F.col("q")
-    ranked = parts.withColumn("below", below).join(F.broadcast(offset), "_p")
-    total = ranked.agg(F.sum(F.col("p") * (F.col("below") + F.col("o") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """Exact area under the ROC curve: the rank sum with ties counted half, over the distinct scores; 0.5 where a class is missing."""
+    total = _ranked_scores(df, label, score).agg(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return total.select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("auc"))
 
 
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, tpr, fpr): the ROC curve at every distinct score, rows at or above it counted as positive; 0 where a class is missing."""
+    ranked = materialise(_ranked_scores(df, label, score), "ranked-scores")
+    total = ranked.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq")).first()
+    share = lambda below, n: F.lit(0.0) if not n else (F.lit(n) - F.col(below)) / F.lit(n)
+    return ranked.select(F.col("s").alias("threshold"), share("below_p", total["tp"]).alias("tpr"), share("below_q", total["tq"]).alias("fpr"))
+
+
 def by_class(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """(class, support, precision, recall, f1) of every class."""
     counts = df.groupBy(F.col(label).alias("a"), F.col(predicted).alias("b")).agg(F.count("*").alias("n"))
@@ -87,11 +153,12 @@ def one_hot(df: DataFrame, code: str, out: str) -> DataFrame:
 def models(seed: int = 42) -> dict[str, object]:
     common = {"labelCol": "label", "featuresCol": "features"}
     return {
-        "logistic": LogisticRegression(maxIter=50, regParam=0.01, **common),
+        "logistic": LogisticRegression(maxIter=100, regParam=0.01, **common),
+        "plain_logistic": LogisticRegression(**common),
         "tree": DecisionTreeClassifier(seed=seed, **common),
-        "forest": RandomForestClassifier(numTrees=20, seed=seed, **common),
-        "svm": LinearSVC(maxIter=20, **common),
-        "boosted": GBTClassifier(maxIter=10, seed=seed, **common),
+        "forest": RandomForestClassifier(numTrees=100, seed=seed, **common),
+        "svm": LinearSVC(**common),
+        "boosted": GBTClassifier(seed=seed, **common),
     }
 
 
@@ -113,13 +180,48 @@ def evaluate(train: DataFrame, test: DataFrame, flow: Pipeline) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, folds: DataFrame, flow: Pipeline, k: int, id_col: str = "tx_id") -> DataFrame:
-    """A row a fold and the macro mean (fold -1)."""
+    """(fold, id, label, predicted, score): the predictions for every fold by a model of the other folds."""
     rows = materialise(df.join(folds, id_col), "folds")
-    each = [evaluate(rows.filter(F.col("fold") != i), rows.filter(F.col("fold") == i), flow).withColumn("fold", F.lit(i)) for i in range(k)]
-    out = materialise(reduce(DataFrame.unionByName, each), "cv")
-    names = ["accuracy", "precision", "recall", "f1", "seconds"]
-    mean = out.agg(*(F.avg(n).alias(n) for n in names)).withColumn("fold", F.lit(-1))
-    return out.select("fold", *names).unionByName(mean.select("fold", *names))
+    return pooled_predictions(rows, [(f"fold != {i}", f"fold = {i}") for i in range(k)], flow, id_col)
+
+
+FOLD_FEATURES = ["tx_count", "avg_amt", "std_amt", "max_amt", "min_amt", "avg_gap", "std_gap", "max_gap", "min_gap"]
+
+
+def fold_features(tx: DataFrame, folds: DataFrame, fold: int) -> DataFrame:
+    """(tx_id, test, features of ``FOLD_FEATURES``) of every transfer, from the transfers outside ``fold`` alone.
+
+    Chain, components and component features are those of the train part; a transfer that is chained to none is a component of its own. A
+    train transfer has the features of its component. A test transfer is in no component: it takes those of its sender's first
+    train transfer (by time, then id), sent or received, and zeros where the sender has none. Labels are no input.
+    """
+    rows = materialise(tx.join(folds, "tx_id"), "fold-rows")
+    train = materialise(rows.filter(F.col("fold") != fold).drop("fold"), "fold-train")
+    found = connected_components(chain_hubs(train))
+    component = train.select(F.col("tx_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    component = materialise(component, "fold-components")
+    features = materialise(component_features(train, component).select("component", *FOLD_FEATURES), "fold-features")
+    key = F.struct("epoch", "tx_id")
+    seen = train.select(F.col("sender").alias("account"), key.alias("k")).unionByName(train.select(F.col("receiver").alias("account"), key.alias("k")))
+    first = seen.groupBy("account").agg(F.min("k").alias("k")).select(F.col("account").alias("sender"), F.col("k.tx_id").alias("id"))
+    known = first.join(component, "id").select("sender", "component")
+    own = component.select(F.col("id").alias("tx_id"), F.lit(False).alias("test"), "component")
+    looked_up = rows.filter(F.col("fold") == fold).select("tx_id", "sender").join(known, "sender", "left").select("tx_id", F.lit(True).alias("test"), "component")
+    return own.unionByName(looked_up).join(features, "component", "left").select("tx_id", "test", *FOLD_FEATURES).na.fill(0)
+
+
+def group_fold_report(tx: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """``fold_report`` of the raw columns (model raw) and of the features of ``fold_features`` (model grouped), each fold by a logistic regression of the others."""
+    labels = tx.select("tx_id", F.col("is_laundering").cast("double").alias("label"))
+    raw = cross_validate(tx.select("tx_id", "amount", "epoch").join(labels, "tx_id"), folds, pipeline(["amount", "epoch"], [], models()["plain_logistic"]), k)
+    flow = pipeline(FOLD_FEATURES, [], models()["plain_logistic"])
+    grouped = Growing(tx.sparkSession, "fold int, tx_id long, label double, predicted int, score double", "predictions")
+    for i in range(k):
+        rows = materialise(fold_features(tx, folds, i).join(labels, "tx_id"), "fold-rows")
+        train, test = rows.filter("NOT test"), rows.filter("test")
+        if not train.isEmpty() and not test.isEmpty():
+            grouped.add(predictions(train, test, flow).select(F.lit(i).alias("fold"), "tx_id", "label", "predicted", "score"))
+    return fold_report(raw).withColumn("model", F.lit("raw")).unionByName(fold_report(grouped.read()).withColumn("model", F.lit("grouped")))
 
 
 def ablation(train: DataFrame, test: DataFrame, modes: dict[str, tuple[list[str], list[str]]], kinds: list[str]) -> DataFrame:
@@ -128,11 +230,15 @@ def ablation(train: DataFrame, test: DataFrame, modes: dict[str, tuple[list[str]
     return materialise(reduce(DataFrame.unionByName, rows), "ablation")
 
 
-def importances(flow_model, k: int = 10) -> list[tuple[str, float]]:
-    """The k features of greatest importance or absolute coefficient, by the names that the vector's metadata holds."""
+def feature_names(assembled: DataFrame, column: str = "features") -> list[str]:
+    """The names of the slots of an assembled vector, from the metadata that indexers, encoders and assembler leave."""
+    groups = assembled.schema[column].metadata["ml_attr"]["attrs"]
+    slots = sorted((a["idx"], a.get("name", f"{column}_{a['idx']}")) for kind in groups.values() for a in kind)
+    return [name for _, name in slots]
+
+
+def importances(flow_model, df: DataFrame, k: int = 10) -> list[tuple[str, float]]:
+    """The k features of greatest importance or absolute coefficient, by name: a slot of an encoded column has the column's name and the value."""
     last = flow_model.stages[-1]
     weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    attrs = flow_model.stages[-2].getInputCols()
-    values = [abs(float(w)) for w in weights.toArray()]
-    names = attrs if len(attrs) == len(values) else [f"slot_{i}" for i in range(len(values))]
-    return sorted(zip(names, values), key=lambda x: (-x[1], x[0]))[:k]
+    return sorted(zip(feature_names(flow_model.transform(df)), (abs(float(w)) for w in weights.toArray())), key=lambda x: (-x[1], x[0]))[:k]

@@ -44,8 +44,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     if _open:
         name = table_name(tag)
-        df.write.format("parquet").saveAsTable(name)
+        df.write.format("parquet").option("compression", "zstd").saveAsTable(name)
         return spark.table(name)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Growing:
+    """A table in the shared folder to which rounds append, so that a result of many rounds is one scan and not a union of many tables."""
+
+    def __init__(self, spark: SparkSession, schema: str, tag: str):
+        self.spark, self.schema, self.name = spark, schema, table_name(tag)
+        self.path = None if _open else f"{shared_dir(spark)}/{self.name}"
+        self.add(spark.createDataFrame([], schema))
+
+    def add(self, df: DataFrame) -> None:
+        writer = df.write.mode("append").format("parquet")
+        writer.save(self.path) if self.path else writer.saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path) if self.path else self.spark.table(self.name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
@@ -41,6 +41,9 @@ comp AS (SELECT vs.id, coalesce(cc.c, vs.id) AS component FROM vs LEFT JOIN cc O
 RISK_GROUPS = ", l AS (SELECT src AS a, dst AS b FROM pairs WHERE risk >= 2.5), vs AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs)" + COMPONENTS
 SHAPE = RISK_GROUPS + """, shape AS (SELECT component, count(*) AS n, count(*) FILTER (id NOT IN (SELECT dst FROM pairs)) AS n_sources,
   count(*) FILTER (id NOT IN (SELECT src FROM pairs)) AS n_sinks FROM comp GROUP BY component)"""
+CLOSURE = """, re(src, dst) AS (SELECT src, dst FROM pairs WHERE src <> dst UNION SELECT re.src, p.dst FROM re JOIN pairs p ON p.src = re.dst WHERE p.src <> p.dst),
+loops AS (SELECT src AS id FROM re WHERE src = dst), after AS (SELECT dst AS id FROM re WHERE src IN (SELECT id FROM loops)), before AS (SELECT src AS id FROM re WHERE dst IN (SELECT id FROM loops))
+"""
 METRICS = """, m AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 0 AND p = 0) AS tn, count(*) FILTER (y = 1 AND p = 0) AS fn FROM scored_rows)
 SELECT tp, fp, tn, fn, (tp + tn) / (tp + tn + fp + fn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m"""
@@ -182,8 +185,7 @@ def join2_label_attach(spark, sf_dir):
 
 @query("SELECT tx_id FROM txn WHERE tx_id NOT IN (SELECT dst FROM chain)")
 def join6_unreached(spark, sf_dir):
-    t = tx(spark, sf_dir)
-    return t.join(relational.temporal_chain(t).select(F.col("dst").alias("tx_id")), "tx_id", "left_anti").select("tx_id")
+    return relational.unreached(tx(spark, sf_dir))
 
 
 @query("""SELECT coalesce(o.a, i.a) AS account, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree
@@ -294,7 +296,8 @@ def win2_global_row_number(spark, sf_dir):
 
 @query("SELECT tx_id, epoch - lag(epoch) OVER (PARTITION BY sender ORDER BY epoch, tx_id) AS gap FROM txn")
 def win1_gap(spark, sf_dir):
-    return tx(spark, sf_dir).select("tx_id", (F.col("epoch") - F.lag("epoch").over(Window.partitionBy("sender").orderBy("epoch", "tx_id"))).alias("gap"))
+    t = tx(spark, sf_dir).select("tx_id", "sender", "epoch")
+    return relational.previous(t, "sender", ["epoch", "tx_id"], "epoch", "before").select("tx_id", (F.col("epoch") - F.col("before")).alias("gap"))
 
 
 @query("SELECT sender, n FROM (SELECT sender, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM txn GROUP BY 1) WHERE r <= 10")
@@ -348,12 +351,12 @@ SELECT id, min(c) AS component FROM (SELECT * FROM p2 UNION ALL SELECT dst, c FR
 
 @query(PROPAGATE.format(end="src", other="dst"))
 def gr3_propagate_from_sources(spark, sf_dir):
-    return graph.propagate(materialise(relational.temporal_chain(tx(spark, sf_dir)), "chain"))
+    return graph.propagate_chain(relational.Chain(tx(spark, sf_dir)))
 
 
 @query(PROPAGATE.format(end="dst", other="src"))
 def gr3_propagate_from_sinks(spark, sf_dir):
-    return graph.propagate(materialise(relational.temporal_chain(tx(spark, sf_dir)), "chain"), "sink")
+    return graph.propagate_chain(relational.Chain(tx(spark, sf_dir)), "sink")
 
 
 @query(""", w AS (SELECT c.src, c.dst, s.risk FROM chain c JOIN scored s ON s.tx_id = c.dst),
@@ -361,33 +364,91 @@ walk(id, k, r) AS (SELECT DISTINCT src, 0, CAST(0 AS DOUBLE) FROM chain WHERE sr
 SELECT id, max(k) AS level, max(r) AS risk FROM walk GROUP BY id""")
 def gr11_levels_and_risk(spark, sf_dir):
     t = tx(spark, sf_dir)
-    weight = scored(t).select(F.col("tx_id").alias("dst"), "risk")
-    return graph.relax(materialise(relational.temporal_chain(t).join(weight, "dst"), "chain"), "risk")
+    return graph.chain_levels(relational.Chain(t), scored(t).select(F.col("tx_id").alias("id"), F.col("risk").alias("w")))
 
 
 @query(""", nx AS (SELECT src, arg_min(dst, (dst_epoch, dst)) AS dst FROM chain GROUP BY src),
 walk(id, z, hops) AS (SELECT src, dst, 1 FROM nx UNION ALL SELECT walk.id, nx.dst, hops + 1 FROM walk JOIN nx ON nx.src = walk.z)
 SELECT id, arg_max(z, hops) AS sink, CAST(max(hops) AS BIGINT) AS hops FROM walk GROUP BY id""")
 def gr12_first_successor_walks(spark, sf_dir):
-    t = tx(spark, sf_dir)
-    return graph.walks_to_sinks(graph.next_transfer(relational.temporal_chain(t), t))
+    return graph.walks_to_sinks(relational.Chain(tx(spark, sf_dir)).successors())
+
+
+LONGEST = ORACLE_SQL["gr12_first_successor_walks"].replace("SELECT id, arg_max", ", f AS (SELECT id, arg_max") + ")"
+
+
+def longest_walks(walks: DataFrame, k: int = 1000) -> DataFrame:
+    return walks.filter("hops >= 4").orderBy(F.desc("hops"), "id").limit(k).select("id", "hops")
 
 
-@query(ORACLE_SQL["gr12_first_successor_walks"].replace("SELECT id, arg_max", ", f AS (SELECT id, arg_max") + ") SELECT id, hops FROM f WHERE hops >= 4 ORDER BY hops DESC, id LIMIT 1000", "")
+@query(LONGEST + " SELECT id, hops FROM f WHERE hops >= 4 ORDER BY hops DESC, id LIMIT 1000", "")
 def gr13_longest_walks(spark, sf_dir):
-    return gr12_first_successor_walks(spark, sf_dir).filter("hops >= 4").orderBy(F.desc("hops"), "id").limit(1000).select("id", "hops")
+    return longest_walks(gr12_first_successor_walks(spark, sf_dir))
 
 
-@query()
+WALKS = LONGEST + """, top AS (SELECT id, hops FROM f WHERE hops >= 4 ORDER BY hops DESC, id LIMIT {k}),
+path(start, id, hops) AS (SELECT id, id, 0 FROM top UNION ALL SELECT path.start, nx.dst, path.hops + 1 FROM path JOIN nx ON nx.src = path.id)"""
+
+
+def walk_nodes(spark, sf_dir, k: int) -> DataFrame:
+    successors = materialise(relational.Chain(tx(spark, sf_dir)).successors(), "successors")
+    return graph.trace(successors, longest_walks(graph.walks_to_sinks(successors), k))
+
+
+@query(WALKS.format(k=1000) + " SELECT start, id, CAST(hops AS BIGINT) AS hops FROM path", "")
+def gr12_walk_nodes(spark, sf_dir):
+    """The nodes of the 1000 longest walks, in order of hops."""
+    return walk_nodes(spark, sf_dir, 1000)
+
+
+@query(WALKS.format(k=1000) + """, own AS (SELECT * FROM txn WHERE tx_id IN (SELECT id FROM path)), pred AS (SELECT sender AS a FROM own UNION SELECT receiver FROM own),
+bad AS (SELECT sender AS a FROM txn WHERE is_laundering = 1 UNION SELECT receiver FROM txn WHERE is_laundering = 1),
+n AS (SELECT count(*) FILTER (p.a IS NOT NULL AND b.a IS NOT NULL) AS tp, count(*) FILTER (b.a IS NULL) AS fp, count(*) FILTER (p.a IS NULL) AS fn FROM pred p FULL JOIN bad b ON p.a = b.a),
+pr AS (SELECT *, tp / (tp + fp + 1e-9) AS precision, tp / (tp + fn + 1e-9) AS recall FROM n) SELECT *, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM pr""", "")
+def gr13_risk_path_accounts(spark, sf_dir):
+    """Accounts on the 1000 longest walks as a prediction of the flagged accounts."""
+    t = tx(spark, sf_dir)
+    return graph.set_metrics(graph.walk_accounts(walk_nodes(spark, sf_dir, 1000), t), agg18_flagged_accounts(spark, sf_dir))
+
+
+@query(WALKS.format(k=10) + " SELECT start, count(*) AS nodes, array_to_string(list(id ORDER BY hops)[1:3], ' -> ') AS first_three, array_to_string(list(id ORDER BY hops DESC), ' <- ') AS backwards FROM path GROUP BY start", "")
+def fn15_path_texts(spark, sf_dir):
+    """The ten longest walks as arrays: their length, a slice, and reversed as one text."""
+    path = F.transform(F.array_sort(F.collect_list(F.struct("hops", "id"))), lambda x: x["id"].cast("string"))
+    rows = walk_nodes(spark, sf_dir, 10).groupBy("start").agg(path.alias("path"))
+    return rows.select("start", F.size("path").cast("long").alias("nodes"), F.array_join(F.slice("path", 1, 3), " -> ").alias("first_three"), F.array_join(F.reverse("path"), " <- ").alias("backwards"))
+
+
+FOREST = """, fe AS (SELECT row_number() OVER (ORDER BY epoch, tx_id) AS i, tx_id, sender AS s, receiver AS r FROM txn WHERE sender <> receiver),
+st(k, i, tx_id, kept, lab) USING KEY (k) AS (
+  SELECT 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), range((SELECT count(*) FROM customer))
+  UNION (SELECT 0, fe.i, fe.tx_id, CASE WHEN lab[s + 1] <> lab[r + 1] THEN list_append(kept, fe.tx_id) ELSE kept END,
+    CASE WHEN lab[s + 1] <> lab[r + 1] THEN list_transform(lab, lambda x: CASE WHEN x = lab[r + 1] THEN lab[s + 1] ELSE x END) ELSE lab END
+  FROM st JOIN fe ON fe.i = st.i + 1)),
+forest AS (SELECT unnest(kept) AS tx_id FROM st)
+"""
+
+
+@query(FOREST + "SELECT tx_id FROM forest")
 def gr8_temporal_forest(spark, sf_dir):
     return graph.temporal_forest(tx(spark, sf_dir))
 
 
-@query("SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT src FROM pairs UNION SELECT dst FROM pairs)) AS vertices, count(*) FILTER (src = dst) AS self_loops, CAST(max(risk) AS DOUBLE) AS top_risk FROM pairs")
+@query(FOREST + """, fo AS (SELECT sender AS src, receiver AS dst, risk FROM scored JOIN forest USING (tx_id)),
+walk(id, k, r) AS (SELECT DISTINCT src, 0, CAST(0 AS DOUBLE) FROM fo WHERE src NOT IN (SELECT dst FROM fo) UNION ALL SELECT fo.dst, k + 1, r + risk FROM walk JOIN fo ON fo.src = walk.id)
+SELECT id, CAST(max(k) AS BIGINT) AS level, max(r) AS risk FROM walk GROUP BY id""")
+def gr5_forest_levels(spark, sf_dir):
+    """Levels and greatest risks of the accounts in the temporal forest, whose edges go from sender to receiver."""
+    t = scored(tx(spark, sf_dir))
+    edges = t.join(graph.temporal_forest(t), "tx_id").select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "risk")
+    return graph.relax(edges, "risk")
+
+
+@query(CLOSURE + "SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT src FROM pairs UNION SELECT dst FROM pairs)) AS vertices, count(*) FILTER (src = dst) AS self_loops, CAST(max(risk) AS DOUBLE) AS top_risk, NOT EXISTS (SELECT 1 FROM loops) AND count(*) FILTER (src = dst) = 0 AS dag FROM pairs")
 def gr10_graph_stats(spark, sf_dir):
     e = materialise(graph.account_edges(tx(spark, sf_dir)), "account-edges")
     vertices = e.select("src").union(e.select("dst")).distinct().count()
-    return e.agg(F.count("*").alias("edges"), F.lit(vertices).cast("long").alias("vertices"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.max("risk").alias("top_risk"))
+    return e.agg(F.count("*").alias("edges"), F.lit(vertices).cast("long").alias("vertices"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"), F.max("risk").alias("top_risk"), F.lit(graph.is_dag(e)).alias("dag"))
 
 
 @query(SHAPE + "SELECT *, n_sources <= 3 AND n_sinks >= 10 AS high, n_sources = 0 OR n_sinks = 0 AS severed, n_sources <= 5 AND n_sinks <= 5 AND n >= 15 AS medium FROM shape")
@@ -426,15 +487,43 @@ def gr20_same_group_prediction(spark, sf_dir):
     return relational.metrics(relational.confusion(graph.same_group(t, comp), F.col("is_laundering"), F.col("predicted")))
 
 
-@query()
-def gr21_threshold_search(spark, sf_dir):
+@query(""", cuts AS (SELECT DISTINCT risk AS cut FROM pairs UNION SELECT CAST('inf' AS DOUBLE)), vs AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs),
+ed AS (SELECT cut, src AS a, dst AS b FROM pairs, cuts WHERE risk >= cut UNION SELECT cut, dst, src FROM pairs, cuts WHERE risk >= cut),
+cc(cut, n, c) USING KEY (cut, n) AS (SELECT cut, a, min(least(a, b)) FROM ed GROUP BY ALL
+  UNION (SELECT ed.cut, ed.b, min(cc.c) FROM cc JOIN ed ON cc.n = ed.a AND cc.cut = ed.cut JOIN recurring.cc AS old ON old.n = ed.b AND old.cut = ed.cut WHERE cc.c < old.c GROUP BY ed.cut, ed.b)),
+g AS (SELECT cuts.cut, vs.id, coalesce(cc.c, vs.id) AS c FROM vs CROSS JOIN cuts LEFT JOIN cc ON cc.n = vs.id AND cc.cut = cuts.cut),
+y AS (SELECT a.cut, is_laundering AS y, CAST(a.c = b.c AS INT) AS p FROM txn JOIN g a ON a.id = sender JOIN g b ON b.id = receiver AND b.cut = a.cut),
+m AS (SELECT cut, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn FROM y GROUP BY 1),
+v AS (SELECT cut AS threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m)
+SELECT *, 0.6 * recall + 0.4 * f1 AS objective FROM v""")
+def gr21_threshold_scores(spark, sf_dir):
     t = tx(spark, sf_dir)
-    scores = graph.threshold_scores(t, materialise(graph.account_edges(t), "account-edges"))
-    path = graph.tabu_search([(r["threshold"], r["objective"]) for r in scores.collect()])
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(path)], "step int, threshold double, objective double")
+    return graph.threshold_scores(t, materialise(graph.account_edges(t), "account-edges"))
 
 
 @query()
+def gr21_threshold_search(spark, sf_dir):
+    scores = gr21_threshold_scores(spark, sf_dir).select("threshold", "precision", "recall", "f1", "objective")
+    path = graph.tabu_search([tuple(r) for r in scores.collect()])  # a row a cut
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(path)], "step int, threshold double, precision double, recall double, f1 double, objective double, best double")
+
+
+WALKERS = RISK_GROUPS + """, inner_edges AS (SELECT sender AS src, receiver AS dst, epoch FROM txn JOIN comp a ON a.id = sender JOIN comp b ON b.id = receiver WHERE a.component = b.component),
+members AS (SELECT DISTINCT sender AS id, component FROM txn JOIN comp ON comp.id = sender),
+w0 AS (SELECT component, w, arg_min(id, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || w || ':' || id), 1, 13) AS BIGINT) AS DOUBLE), i := id)) AS id, CAST(NULL AS BIGINT) AS t FROM members, (SELECT unnest(range(1, 101)) AS w) GROUP BY ALL),
+w1 AS (SELECT w0.component, w0.w, arg_min(e.dst, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '0' || ':' || w0.component || ':' || w0.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS id, arg_min(e.epoch, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '0' || ':' || w0.component || ':' || w0.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS t
+  FROM w0 JOIN inner_edges e ON e.src = w0.id AND (w0.t IS NULL OR e.epoch > w0.t) GROUP BY ALL),
+w2 AS (SELECT w1.component, w1.w, arg_min(e.dst, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '1' || ':' || w1.component || ':' || w1.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS id, arg_min(e.epoch, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '1' || ':' || w1.component || ':' || w1.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS t
+  FROM w1 JOIN inner_edges e ON e.src = w1.id AND (w1.t IS NULL OR e.epoch > w1.t) GROUP BY ALL),
+w3 AS (SELECT w2.component, w2.w, arg_min(e.dst, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '2' || ':' || w2.component || ':' || w2.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS id, arg_min(e.epoch, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '2' || ':' || w2.component || ':' || w2.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS t
+  FROM w2 JOIN inner_edges e ON e.src = w2.id AND (w2.t IS NULL OR e.epoch > w2.t) GROUP BY ALL),
+w4 AS (SELECT w3.component, w3.w, arg_min(e.dst, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '3' || ':' || w3.component || ':' || w3.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS id, arg_min(e.epoch, struct_pack(u := CAST(CAST('0x' || substr(md5('7:' || '3' || ':' || w3.component || ':' || w3.w || ':' || e.dst || ':' || e.epoch), 1, 13) AS BIGINT) AS DOUBLE), d := e.dst, t := e.epoch)) AS t
+  FROM w3 JOIN inner_edges e ON e.src = w3.id AND (w3.t IS NULL OR e.epoch > w3.t) GROUP BY ALL),
+visits AS (SELECT component, id, count(*) AS visits FROM (SELECT component, id FROM w0 UNION ALL SELECT component, id FROM w1 UNION ALL SELECT component, id FROM w2 UNION ALL SELECT component, id FROM w3 UNION ALL SELECT component, id FROM w4) GROUP BY ALL)
+"""
+
+
+@query(WALKERS + "SELECT component, id, visits, visits / sum(visits) OVER (PARTITION BY component) AS rate FROM visits")
 def gr22_monte_carlo_walks(spark, sf_dir):
     t, _, comp = groups(spark, sf_dir)
     edges = materialise(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "epoch"), "walk-edges")
@@ -449,7 +538,7 @@ def gr25_account_columns(spark, sf_dir):
     return graph.account_columns(edges, comp)
 
 
-@query()
+@query(CLOSURE + """SELECT src, dst FROM pairs WHERE src <> dst AND src IN (SELECT id FROM after) AND src IN (SELECT id FROM before) AND dst IN (SELECT id FROM after) AND dst IN (SELECT id FROM before)""")
 def gr4_cycle_core(spark, sf_dir):
     return graph.cycle_core(graph.account_edges(tx(spark, sf_dir)))
 
@@ -536,7 +625,87 @@ def ml5_logistic_time_split(spark, sf_dir):
 def ml16_cross_validation(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     flow = learning.pipeline(["amount", "epoch"], [], learning.models()["logistic"])
-    return learning.cross_validate(rows, learning.stratified_folds(rows, 3), flow, 3).drop("seconds")
+    return learning.fold_report(learning.cross_validate(rows, learning.stratified_folds(rows, 3), flow, 3))
+
+
+FOLD_OF = ", fold_of AS (SELECT tx_id, (row_number() OVER (ORDER BY is_laundering, md5('42:' || tx_id), tx_id) - 1) % 3 AS fold FROM txn)"
+
+
+@query(FOLD_OF + """, tr AS (SELECT txn.* FROM txn JOIN fold_of USING (tx_id) WHERE fold <> 0), l AS (SELECT a.tx_id AS a, b.tx_id AS b FROM tr a JOIN tr b ON a.receiver = b.sender AND a.epoch < b.epoch), vs AS (SELECT tx_id AS id FROM tr)""" + COMPONENTS + """,
+g AS (SELECT tr.*, c.component, epoch - lag(epoch) OVER (PARTITION BY c.component ORDER BY epoch, tx_id) AS gap FROM tr JOIN comp c ON c.id = tr.tx_id),
+feat AS (SELECT component, count(epoch) AS tx_count, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(amount), 6) AS avg_amt, coalesce(round(stddev_samp(amount), 3), 0) AS std_amt,
+ max(amount) AS max_amt, min(amount) AS min_amt, coalesce(round(CAST(sum(gap) AS DOUBLE) / nullif(count(gap), 0), 6), 0) AS avg_gap, coalesce(round(stddev_samp(gap), 3), 0) AS std_gap, coalesce(max(gap), 0) AS max_gap, coalesce(min(gap), 0) AS min_gap FROM g GROUP BY component),
+seen AS (SELECT sender AS account, epoch, tx_id FROM tr UNION ALL SELECT receiver, epoch, tx_id FROM tr),
+known AS (SELECT s.account, c.component FROM (SELECT account, arg_min(tx_id, (epoch, tx_id)) AS tx_id FROM seen GROUP BY 1) s JOIN comp c ON c.id = s.tx_id),
+rows_of AS (SELECT id AS tx_id, false AS test, component FROM comp UNION ALL SELECT txn.tx_id, true, k.component FROM txn JOIN fold_of f ON f.tx_id = txn.tx_id AND f.fold = 0 LEFT JOIN known k ON k.account = txn.sender)
+SELECT tx_id, test, coalesce(tx_count, 0) AS tx_count, coalesce(avg_amt, 0) AS avg_amt, coalesce(std_amt, 0) AS std_amt, coalesce(max_amt, 0) AS max_amt, coalesce(min_amt, 0) AS min_amt, coalesce(avg_gap, 0) AS avg_gap, coalesce(std_gap, 0) AS std_gap, coalesce(max_gap, 0) AS max_gap, coalesce(min_gap, 0) AS min_gap
+FROM rows_of LEFT JOIN feat USING (component)""")
+def ml16_fold_features(spark, sf_dir):
+    """Features of every transfer for the first of three folds, from the other two alone."""
+    t = tx(spark, sf_dir)
+    return learning.fold_features(t, learning.stratified_folds(t, 3), 0)
+
+
+@query()
+def ml16_leak_aware_validation(spark, sf_dir):
+    """Three folds of logistic regression on raw columns and on fold features that only the train part makes."""
+    t = tx(spark, sf_dir)
+    return learning.group_fold_report(t, materialise(learning.stratified_folds(t, 3), "fold-of"), 3)
+
+
+def grouped_rows(spark, sf_dir) -> DataFrame:
+    t = tx(spark, sf_dir)
+    return materialise(relational.component_features(t, tx_components(t)).withColumn("label", F.col("label").cast("double")), "grouped-rows")
+
+
+@query()
+def ml5_grouped_logistic(spark, sf_dir):
+    """Ten stratified folds of logistic regression over the features of the transfer components."""
+    rows = grouped_rows(spark, sf_dir)
+    folds = learning.stratified_folds(rows, 10, id_col="component", label="label")
+    flow = learning.pipeline(learning.FOLD_FEATURES, [], learning.models()["logistic"])
+    return learning.fold_report(learning.cross_validate(rows, folds, flow, 10, "component"))
+
+
+def window_predictions(spark, sf_dir) -> DataFrame:
+    rows = materialise(learning.window_slices(_labelled(spark, sf_dir).select("tx_id", "epoch", "amount", "payment_type", "label"), 5, ["epoch", "tx_id"]), "slices")
+    flow = learning.pipeline(["amount", "epoch"], ["payment_type"], learning.models()["logistic"])
+    return learning.pooled_predictions(rows, [(f"slice <= {i}", f"slice = {i + 1}") for i in range(5)], flow)
+
+
+@query()
+def ml15_expanding_training(spark, sf_dir):
+    """Logistic regression on growing windows of time, each tested on the next; fold -1 pools the predictions of all windows."""
+    return learning.fold_report(window_predictions(spark, sf_dir))
+
+
+@query("SELECT CAST((row_number() OVER (ORDER BY epoch, tx_id) - 1) // ((SELECT count(*) FROM txn) // 6) - 1 AS INTEGER) AS fold, tx_id, CAST(is_laundering AS DOUBLE) AS label FROM txn QUALIFY fold BETWEEN 0 AND 4")
+def agg22_pooled_rows(spark, sf_dir):
+    """The rows of the pooled out-of-fold predictions: every row after the first window, once, in its fold."""
+    return window_predictions(spark, sf_dir).select("fold", "tx_id", "label")
+
+
+@query("""SELECT threshold, p / tp AS tpr, q / tq AS fpr FROM (SELECT s AS threshold, sum(p) OVER w AS p, sum(q) OVER w AS q, sum(p) OVER () AS tp, sum(q) OVER () AS tq
+FROM (SELECT round(amount / 1000) AS s, count(*) FILTER (is_laundering = 1) AS p, count(*) FILTER (is_laundering = 0) AS q FROM txn GROUP BY 1) WINDOW w AS (ORDER BY s DESC))""")
+def ml9_roc_points(spark, sf_dir):
+    return learning.roc_points(tx(spark, sf_dir).select("is_laundering", F.rint(F.col("amount") / 1000).alias("score")), "is_laundering", "score")
+
+
+WEIGHTED = """, c AS (SELECT unnest([0, 1]) AS k), y AS (SELECT is_laundering AS y, CAST(risk >= 1.5 AS INT) AS p FROM scored),
+b AS (SELECT k, count(*) FILTER (y = k) AS n, count(*) FILTER (y = k AND p = k) AS tp, count(*) FILTER (p = k) AS claimed FROM y, c GROUP BY 1)
+SELECT sum(tp) / sum(n) AS accuracy, sum(n * CASE WHEN claimed > 0 THEN tp / claimed ELSE 0 END) / sum(n) AS weighted_precision, sum(tp) / sum(n) AS weighted_recall, sum(n * 2 * tp / (claimed + n)) / sum(n) AS weighted_f1 FROM b WHERE n + claimed > 0"""
+
+
+@query(WEIGHTED)
+def ml10_weighted(spark, sf_dir):
+    t = scored(tx(spark, sf_dir)).withColumn("p", (F.col("risk") >= 1.5).cast("int"))
+    return relational.weighted(learning.by_class(t, "is_laundering", "p"))
+
+
+@query("""SELECT tx_id, CASE WHEN i < floor(n * 0.7) THEN 0 WHEN i < floor(n * (0.7 + 0.2)) THEN 1 ELSE 2 END AS part
+FROM (SELECT tx_id, row_number() OVER (PARTITION BY is_laundering ORDER BY md5('42:' || tx_id), tx_id) - 1 AS i, count(*) OVER (PARTITION BY is_laundering) AS n FROM txn)""")
+def ml13_stratified_split(spark, sf_dir):
+    return learning.stratified_split(tx(spark, sf_dir), [0.7, 0.2, 0.1])
 
 
 @query()
@@ -588,8 +757,8 @@ def snk3_fold_table(spark, sf_dir):
 @query()
 def ml11_importances(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    flow = learning.pipeline(["amount", "epoch"], ["payment_type", "payment_currency"], learning.models()["forest"], one_hot=False)
-    return spark.createDataFrame(learning.importances(flow.fit(rows)), "feature string, importance double")
+    flow = learning.pipeline(["amount", "epoch"], ["payment_type", "payment_currency"], learning.models()["forest"])
+    return spark.createDataFrame(learning.importances(flow.fit(rows), rows), "feature string, importance double")
 
 
 @query()
@@ -611,11 +780,12 @@ def gr5_topological_order(spark, sf_dir):
     return relational.global_row_number(nodes, ["level", "id"], "place").select("id", "level", "place")
 
 
-@query()
+@query(CLOSURE + "SELECT 'accounts' AS edges, NOT EXISTS (SELECT 1 FROM loops) AND NOT EXISTS (SELECT 1 FROM pairs WHERE src = dst) AS dag UNION ALL SELECT 'later accounts', NOT EXISTS (SELECT 1 FROM pairs WHERE src < dst AND dst < src)")
 def gr6_is_dag(spark, sf_dir):
-    t = tx(spark, sf_dir)
-    tables = {"chain": relational.temporal_chain(t), "accounts": graph.account_edges(t)}
-    return spark.createDataFrame([(name, graph.is_dag(edges)) for name, edges in tables.items()], "edges string, dag boolean")
+    """The account graph, and its edges that go to a greater account, which have no cycle."""
+    edges = materialise(graph.account_edges(tx(spark, sf_dir)), "account-edges")
+    tables = {"accounts": edges, "later accounts": edges.filter("src < dst")}
+    return spark.createDataFrame([(name, graph.is_dag(e)) for name, e in tables.items()], "edges string, dag boolean")
 
 
 @query(NODES + """, best AS (SELECT dst AS id, arg_max(src, (risk, -src)) AS pred FROM chain JOIN node ON node.id = chain.src GROUP BY dst),
@@ -623,7 +793,7 @@ tr(id, hops) AS (SELECT arg_max(id, (risk, -id)), CAST(0 AS BIGINT) FROM node UN
 def gr14_trace_of_top_risk(spark, sf_dir):
     nodes = materialise(gr11_levels_and_risk(spark, sf_dir), "nodes")
     top = nodes.orderBy(F.desc("risk"), "id").limit(1).select("id")
-    return graph.trace(graph.best_predecessor(relational.temporal_chain(tx(spark, sf_dir)), nodes), top)
+    return graph.trace(graph.chain_predecessor(relational.Chain(tx(spark, sf_dir)), nodes), top).select("id", "hops")
 
 
 @query(NODES + ", scored_rows AS (SELECT t.is_laundering AS y, CAST(n.risk >= 5 AS INT) AS p FROM node n JOIN txn t ON t.tx_id = n.id)" + METRICS, "")
@@ -676,7 +846,12 @@ def flt3_missed(spark, sf_dir):
 
 @query("SELECT tx_id, epoch FROM txn ORDER BY epoch, tx_id LIMIT 250000")
 def flt10_row_cap(spark, sf_dir):
-    return tx(spark, sf_dir).select("tx_id", "epoch").orderBy("epoch", "tx_id").limit(250_000)
+    return relational.first_rows(tx(spark, sf_dir).select("tx_id", "epoch"), ["epoch", "tx_id"], 250_000)
+
+
+@query("SELECT * FROM txn ORDER BY epoch, tx_id LIMIT 1000")
+def src5_first_rows(spark, sf_dir):
+    return relational.first_rows(tx(spark, sf_dir), ["epoch", "tx_id"], 1000)
 
 
 @query("SELECT account, count(*) AS n FROM (SELECT sender AS account FROM txn UNION ALL SELECT receiver FROM txn) GROUP BY 1")
@@ -697,11 +872,114 @@ def set5_groups_are_disjoint(spark, sf_dir):
     return comp.groupBy("id").agg(F.count_distinct("component").alias("k")).filter("k > 1").agg(F.count("*").alias("overlapping"))
 
 
+def graphml(spark, sf_dir) -> str:
+    edges = tx(spark, sf_dir).select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), F.col("epoch").alias("ts"))
+    return source.write_graphml(set4_vertices(spark, sf_dir), edges, f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}")
+
+
 @query("SELECT CAST(sender AS VARCHAR) AS src, CAST(receiver AS VARCHAR) AS dst, CAST(epoch AS VARCHAR) AS ts FROM txn")
 def snk6_graphml_round_trip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/graphml-{uuid.uuid4().hex}"
-    edges = tx(spark, sf_dir).select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), F.col("epoch").alias("ts"))
-    return source.read_graphml_edges(spark, source.write_graphml_edges(edges, path))
+    return source.read_graphml_edges(spark, graphml(spark, sf_dir))
+
+
+@query("SELECT CAST(sender AS VARCHAR) AS id FROM txn UNION SELECT CAST(receiver AS VARCHAR) FROM txn")
+def snk6_graphml_nodes(spark, sf_dir):
+    return source.read_graphml_nodes(spark, graphml(spark, sf_dir))
+
+
+# Flags, projections, reports
+
+
+FLAGGED = ", flagged AS (SELECT tx_id, is_laundering, CAST((receiver, sender) IN (SELECT (src, dst) FROM pairs) AS INTEGER) AS mutual FROM txn)\n"
+
+
+def mutual_flags(t: DataFrame) -> DataFrame:
+    """tx_id, is_laundering, mutual: 1 if the receiver has sent to the sender too."""
+    back = t.select(F.col("receiver").alias("sender"), F.col("sender").alias("receiver"), F.lit(1).alias("mutual")).distinct()
+    return t.select("tx_id", "sender", "receiver", "is_laundering").join(back, ["sender", "receiver"], "left").select("tx_id", "is_laundering", F.coalesce("mutual", F.lit(0)).alias("mutual"))
+
+
+@query(FLAGGED + "SELECT tx_id, mutual FROM flagged")
+def fn13_pair_flag(spark, sf_dir):
+    return mutual_flags(tx(spark, sf_dir)).select("tx_id", "mutual")
+
+
+@query(FLAGGED + "SELECT tx_id, greatest(is_laundering, mutual) AS label FROM flagged")
+def fn12_label_or_flag(spark, sf_dir):
+    return mutual_flags(tx(spark, sf_dir)).select("tx_id", F.greatest("is_laundering", "mutual").alias("label"))
+
+
+@query(CLOSURE + ", core AS (SELECT src, dst FROM pairs WHERE src <> dst AND src IN (SELECT id FROM after) AND src IN (SELECT id FROM before) AND dst IN (SELECT id FROM after) AND dst IN (SELECT id FROM before))\nSELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST(sender = receiver OR (sender, receiver) IN (SELECT (src, dst) FROM core) AS INTEGER) AS cyclic FROM txn)")
+def gr4_cyclic_transfers(spark, sf_dir):
+    """Transfers that may close a cycle of accounts: to oneself, or along an edge of the core; and the label or that flag."""
+    t = tx(spark, sf_dir)
+    core = graph.cycle_core(graph.account_edges(t)).select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), F.lit(1).alias("core"))
+    flag = F.when(F.col("sender") == F.col("receiver"), 1).otherwise(F.coalesce("core", F.lit(0)))
+    return t.join(core, ["sender", "receiver"], "left").select("tx_id", flag.alias("cyclic"), F.greatest("is_laundering", flag).alias("label"))
+
+
+@query(RISK_GROUPS + ", d AS (SELECT component, count(*) AS n, sum(is_laundering) AS flagged FROM txn JOIN comp ON comp.id = sender GROUP BY 1) SELECT component, n, CAST(flagged AS BIGINT) AS flagged, row_number() OVER (ORDER BY flagged DESC, component) AS place FROM d")
+def srt4_groups_by_flagged(spark, sf_dir):
+    """Groups in order of their flagged transfers."""
+    t, _, comp = groups(spark, sf_dir)
+    by = t.join(comp, t.sender == comp.id).groupBy("component").agg(F.count("*").alias("n"), F.sum("is_laundering").alias("flagged"))
+    return relational.global_row_number(by.withColumn("_less", -F.col("flagged")), ["_less", "component"], "place").drop("_less")
+
+
+@query("SELECT tx_id, amount, payment_type FROM txn")
+def prj5_present_columns(spark, sf_dir):
+    return relational.present(tx(spark, sf_dir), ["tx_id", "amount", "hour", "payment_type", "channel"])
+
+
+@query("SELECT t.*, p.risk FROM txn t JOIN pairs p ON p.src = t.sender AND p.dst = t.receiver")
+def prj7_star_of_one_side(spark, sf_dir):
+    t = tx(spark, sf_dir)
+    a, p = t.alias("a"), graph.account_edges(t).alias("p")
+    return a.join(p, (F.col("a.sender") == F.col("p.src")) & (F.col("a.receiver") == F.col("p.dst"))).select("a.*", "p.risk")
+
+
+@query("SELECT * FROM (VALUES (0, 'tx_id', 'bigint'), (1, 'sender', 'bigint'), (2, 'receiver', 'bigint'), (3, 'amount', 'double'), (4, 'epoch', 'bigint'), (5, 'payment_type', 'string'), (6, 'payment_currency', 'string'), (7, 'received_currency', 'string'), (8, 'sender_bank_location', 'string'), (9, 'receiver_bank_location', 'string'), (10, 'is_laundering', 'int'), (11, 'laundering_type', 'string')) AS t(position, name, type)", "")
+def src12_schema(spark, sf_dir):
+    return source.schema_table(tx(spark, sf_dir))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation", "")
+def src11_from_pandas(spark, sf_dir):
+    frame = source.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).toPandas()  # 25 rows
+    return source.from_pandas(spark, frame, "id int, name string")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation", "")
+def src9_paths(spark, sf_dir):
+    """Tables by the paths that the file system's scheme makes of them."""
+    at = lambda name: spark.read.parquet(sf_dir + f"/{name}.parquet" if "://" in sf_dir else f"file://{sf_dir}/{name}.parquet")
+    return at("region").select("r_regionkey", "r_name").union(at("nation").select("n_nationkey", "n_name"))
+
+
+@query("SELECT * FROM txn")
+def snk1_csv_byte_order_mark(spark, sf_dir):
+    return source.read_csv(spark, source.write_csv(tx(spark, sf_dir), f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}", bom=True))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (is_laundering = 1) AS flagged, max(epoch) AS latest FROM txn")
+def snk12_observed_counts(spark, sf_dir):
+    """Counts of a table that was just written, from three columns of it. (An Observation stays in the session, and pyspark.ml models can't be shipped after it.)"""
+    written = materialise(tx(spark, sf_dir), "observed")
+    return written.agg(F.count("*").alias("n"), F.count_if(F.col("is_laundering") == 1).alias("flagged"), F.max("epoch").alias("latest"))
+
+
+@query(", n AS (SELECT count(*) FILTER (is_laundering = 1 AND risk >= 1.5) AS tp, count(*) FILTER (is_laundering = 0 AND risk >= 1.5) AS fp, count(*) FILTER (is_laundering = 0 AND risk < 1.5) AS tn, count(*) FILTER (is_laundering = 1 AND risk < 1.5) AS fn FROM scored)\nSELECT *, (tp + tn) / (tp + tn + fp + fn + 1e-6) AS accuracy, tp / (tp + fp + 1e-6) AS precision, tp / (tp + fn + 1e-6) AS recall, 2 * tp / (2 * tp + fp + fn + 1e-6) AS f1 FROM n")
+def agg8_smoothed_metrics(spark, sf_dir):
+    t = scored(tx(spark, sf_dir))
+    return relational.metrics(relational.confusion(t, F.col("is_laundering"), (F.col("risk") >= 1.5).cast("int")), 1e-6)
+
+
+@query(""", un AS (SELECT src AS a, dst AS b FROM pairs WHERE src <> dst UNION SELECT dst, src FROM pairs WHERE src <> dst), vs AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs),
+chosen AS (SELECT id FROM vs ORDER BY md5('42:' || id), id LIMIT 16), bfs(start, n, d) USING KEY (start, n) AS (SELECT id, id, CAST(0 AS BIGINT) FROM chosen UNION (SELECT bfs.start, un.b, min(bfs.d + 1) FROM bfs JOIN un ON un.a = bfs.n
+  LEFT JOIN recurring.bfs AS old ON old.start = bfs.start AND old.n = un.b WHERE old.d IS NULL GROUP BY ALL))
+SELECT vs.id, count(d) AS reached, CAST(coalesce(sum(d), 0) AS BIGINT) AS distance, coalesce(count(d) / sum(d), 0) AS closeness FROM vs LEFT JOIN bfs ON bfs.n = vs.id AND bfs.d > 0 GROUP BY vs.id""")
+def gr25_pivot_closeness(spark, sf_dir):
+    return graph.pivot_closeness(graph.account_edges(tx(spark, sf_dir)))
 
 
 # Streams

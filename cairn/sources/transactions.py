@@ -54,11 +54,18 @@ def typed(df: DataFrame, schema: str = SCHEMA) -> DataFrame:
     return df.select(*(F.expr(f"try_cast(`{name}` AS {kind})").alias(name) for name, kind in pairs))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", bom: bool = False) -> str:
+    """CSV with a header; ``bom`` begins every file with a byte-order mark, which ``read_csv`` with a schema skips with the header."""
+    named = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+    named.write.mode(mode).option("header", True).csv(path)
     return path
 
 
+def from_pandas(spark: SparkSession, frame, schema: str = SCHEMA) -> DataFrame:
+    """A pandas frame, which the driver holds whole, as a table of the fixed schema: for small inputs such as lists of accounts."""
+    return spark.createDataFrame(frame, schema)
+
+
 def write_edge_list(edges: DataFrame, path: str) -> str:
     """``src dst`` lines."""
     edges.select(F.concat_ws(" ", F.col("src"), F.col("dst")).alias("value")).write.text(path)
@@ -72,15 +79,28 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 def read_graphml_edges(spark: SparkSession, path: str) -> DataFrame:
     """Edges of a GraphML file: source, target and the edge's first data value, as strings."""
-    rows = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string, data array<string>").load(path)
-    return rows.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("data")[0].alias("ts"))
+    rows = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string, data array<struct<_VALUE:string,_key:string>>").load(path)
+    return rows.select(F.col("_source").alias("src"), F.col("_target").alias("dst"), F.col("data")[0]["_VALUE"].alias("ts"))
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> str:
+    """One GraphML document of nodes (id) and edges (src, dst, ts), as the lines of a folder's files in order of their names.
+
+    The document begins with its declarations and ends with the last file; lines are dealt out by range, so files are as many as there are partitions.
+    """
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    line = lambda df, part, *pieces: df.select(F.lit(part).alias("part"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in pieces)).alias("value"))
+    one = nodes.sparkSession.range(1)
+    begin = line(one, 0, '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="ts" for="edge" attr.name="timestamp" attr.type="string"/>\n<graph edgedefault="directed">')
+    own = line(nodes.select("id").distinct(), 1, '<node id="', text("id"), '"/>')
+    links = line(edges, 2, '<edge source="', text("src"), '" target="', text("dst"), '"><data key="ts">', F.coalesce(text("ts"), F.lit("")), "</data></edge>")
+    rows = begin.unionByName(own).unionByName(links).unionByName(line(one, 3, "</graph>\n</graphml>"))
+    rows.repartitionByRange("part", "value").sortWithinPartitions("part", "value").select("value").write.text(path)
+    return path
 
 
-def write_graphml_edges(edges: DataFrame, path: str) -> str:
-    """``edge`` elements of src, dst and ts, one file a partition under the root ``graph``; ``read_graphml_edges`` reads the folder."""
-    rows = edges.select(F.col("src").cast("string").alias("_source"), F.col("dst").cast("string").alias("_target"), F.struct(F.lit("ts").alias("_key"), F.col("ts").cast("string").alias("_VALUE")).alias("data"))
-    rows.write.format("xml").option("rootTag", "graph").option("rowTag", "edge").option("declaration", "").save(path)
-    return path
+def read_graphml_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", "node").schema("_id string").load(path).select(F.col("_id").alias("id"))
 
 
 def write_pages(df: DataFrame, order: list[str], path: str, page_rows: int = 10_000) -> str:

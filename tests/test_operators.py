@@ -1,13 +1,18 @@
 """Operators against plain Python specifications on small graphs and fixtures."""
 
 import random
+import zipfile
+from collections import Counter
+from pathlib import Path
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import graph, learning, relational
+from cairn.operators import graph, learning, relational, scratch
 from cairn.operators.components import connected_components
+from cairn.operators.shipping import ship
 from cairn.sources import transactions as source
 from cairn.streaming import transfers as streaming
 
@@ -76,10 +81,174 @@ def test_cycles(spark):
     assert not graph.is_dag(edges) and graph.is_dag(edges.filter("src < dst AND src <> 3"))
 
 
-def test_tabu_stays_in_range_and_remembers():
-    path = graph.tabu_search([(0.5, 0.1), (1.5, 0.4), (2.5, 0.2)], rounds=8)
-    assert path[0] == (1.5, 0.4) and all(0.1 <= t <= 3.0 for t, _ in path)
-    assert all(path[i][0] not in [t for t, _ in path[max(0, i - 5) : i]] for i in range(1, len(path)))
+def test_tabu_steps_to_the_best_neighbour():
+    scores = [(0.5, 0.1, 0.2, 0.3, 0.1), (1.4, 0.0, 0.0, 0.0, 0.6), (1.5, 0.0, 0.0, 0.0, 0.4), (2.5, 0.0, 0.0, 0.0, 0.2)]
+    path = graph.tabu_search(scores, rounds=8)
+    # from 1.5 to 1.3, which acts as the cut 1.4; then all thresholds of that cut are equals, and the lowest that is not taken of late is next
+    assert [x[0] for x in path[:3]] == [1.3, 1.1, 0.9] and path[0][1:] == (0.0, 0.0, 0.0, 0.6, 1.3)
+    assert all(0.1 <= x[0] <= 3.0 for x in path) and {x[5] for x in path} == {1.3}
+    assert all(path[i][0] not in [x[0] for x in path[max(0, i - 5) : i]] for i in range(1, len(path)))
+    assert graph.tabu_search([], rounds=3)[0] == (1.3, 0.0, 0.0, 0.0, 0.0, 1.5)
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_threshold_groups_equal_components_of_each_cut(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.randrange(30), r.randrange(30), r.randrange(200) / 2) for _ in range(60)]
+    edges = spark.createDataFrame(rows, "src long, dst long, risk double")
+    for cut, groups in graph.threshold_groups(edges)[::9]:
+        want = union_find([(0, a, b) for a, b, w in rows if w >= cut] + [(0, v, v) for a, b, _ in rows for v in (a, b)])[0]
+        assert {x.id: x.component for x in groups.collect()} == want
+
+
+def test_too_many_thresholds_raise(spark):
+    edges = spark.range(graph.MAX_CUTS + 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.col("id").cast("double").alias("risk"))
+    with pytest.raises(ValueError, match="round them first"):
+        graph.threshold_groups(edges)
+
+
+def longest_paths(edges):
+    """(level, risk) by a scan in topological order; None if there is a cycle."""
+    into, out, value = {}, {}, {}
+    for (a, b), w in edges.items():
+        into[b] = into.get(b, 0) + 1
+        out.setdefault(a, []).append((b, w))
+    ready = [v for v in {x for e in edges for x in e} if v not in into]
+    value = {v: (0, 0.0) for v in ready}
+    done = 0
+    while ready:
+        a = ready.pop()
+        done += 1
+        for b, w in out.get(a, ()):
+            k, r = value.get(b, (0, float("-inf")))
+            value[b] = (max(k, value[a][0] + 1), max(r, value[a][1] + w))
+            into[b] -= 1
+            if not into[b]:
+                ready.append(b)
+    return value if done == len({x for e in edges for x in e}) else None
+
+
+@pytest.mark.parametrize("seed", [31, 32, 33])
+def test_relax_equals_a_topological_scan(spark, seed):
+    r = random.Random(seed)
+    edges = {(a, b): float(r.randrange(-3, 9)) for a, b in (sorted(r.sample(range(25), 2)) for _ in range(30))}
+    edges |= {(100 + i, 101 + i): 1.5 for i in range(12)} | {(105, 3): 2.0, (40, 100): 1.0}
+    got = graph.relax(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, w double"), "w")
+    assert {x.id: (x.level, x.risk) for x in got.collect()} == longest_paths(edges)
+
+
+def test_relax_on_cycles_and_long_paths(spark):
+    of = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    for cycle in ([(1, 2), (2, 3), (3, 1)], [(0, 1), (1, 2), (2, 1), (2, 5)], [(4, 4)], [(0, 9), (1, 2), (2, 3), (3, 4), (4, 1)]):
+        with pytest.raises(ValueError, match="cycle"):
+            graph.relax(of(cycle))
+    path = spark.range(12_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.relax(path).agg(F.max("level"), F.count("*")).first()[:] == (12_000, 12_001)
+    assert graph.is_dag(path) and not graph.is_dag(path.union(of([(12_000, 0)])))
+    assert graph.relax(of([]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [41, 42])
+def test_chain_without_pairs_equals_the_pairs(spark, seed):
+    rows = random_tx(seed, 120, 8)
+    t = frame(spark, rows).repartition(3)
+    chain, pairs = relational.Chain(t), [tuple(x) for x in relational.temporal_chain(t).collect()]
+    when = {x[0]: x[3] for x in rows}
+    value = {x[0]: x[0] * 7 % 50 for x in rows if x[0] % 3}
+    best = {}
+    for a, b in pairs:
+        if a in value:
+            best.setdefault(b, []).append(value[a])
+    values = spark.createDataFrame(list(value.items()), "id long, v long")
+    assert {x.id: x.v for x in chain.forward(values).collect()} == {b: min(v) for b, v in best.items()}
+    assert {x.id: x.v for x in chain.forward(values, F.max, F.greatest).collect()} == {b: max(v) for b, v in best.items()}
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, []).append((when[b], b))
+    assert {x.src: x.dst for x in chain.successors().collect()} == {a: min(v)[1] for a, v in after.items()}
+    assert {x.id: (x.has_in, x.has_out) for x in chain.ends().collect()} == {x[0]: (x[0] in {b for _, b in pairs}, x[0] in after) for x in rows}
+    assert {x.tx_id for x in relational.unreached(t).collect()} == {x[0] for x in rows} - {b for _, b in pairs}
+    for seed_of in ("source", "sink"):
+        a, b = (sorted(tuple(x) for x in df.collect()) for df in (graph.propagate_chain(chain, seed_of), graph.propagate(relational.temporal_chain(t), seed_of)))
+        assert a == b
+
+
+def test_previous_row_of_a_key_over_many_chunks(spark):
+    r = random.Random(3)
+    rows = [(i, None if i % 17 == 0 else 1 if i % 5 else r.randrange(6), r.randrange(60)) for i in range(400)]
+    df = spark.createDataFrame(rows, "tx_id long, k long, epoch long")
+    got = {x.tx_id: x.before for x in relational.previous(df, "k", ["epoch", "tx_id"], "epoch", "before").collect()}
+    want, last = {}, {}
+    for i, k, e in sorted(rows, key=lambda x: (x[2], x[0])):
+        want[i] = last.get(k) if k is not None else None
+        last[k] = e
+    assert got == want
+
+
+def test_scratch_is_deleted_after_errors_too(spark):
+    for fail in (False, True):
+        try:
+            with scratch.scratch(spark) as name:
+                edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+                assert connected_components(edges).count() == 3 and graph.relax(edges).count() == 3
+                assert spark.sql(f"SHOW TABLES IN {name}").count() > 0
+                if fail:
+                    raise RuntimeError("stop")
+        except RuntimeError:
+            pass
+        assert name not in [x[0] for x in spark.sql("SHOW DATABASES").collect()]
+        path = Path(scratch.shared_dir(spark).removeprefix("file://")) / name
+        assert not path.exists()
+
+
+def test_fold_features_see_no_test_row(spark):
+    rows = random_tx(51, 200, 15)
+    t = frame(spark, rows)
+    folds = learning.stratified_folds(t, 3)
+    where = {x.tx_id: x.fold for x in folds.collect()}
+    found = lambda rows: {x.tx_id: tuple(x)[1:] for x in learning.fold_features(frame(spark, rows), folds, 0).collect()}
+    base = found(rows)
+    assert {i: f[0] for i, f in base.items()} == {i: where[i] == 0 for i in where}
+    # labels and amounts of the test rows, and labels of all, change nothing; a test row that is gone changes no other
+    other = [(i, a, b, e, -1.0 if where[i] == 0 else x, 1 - y) for i, a, b, e, x, y in rows]
+    assert found(other) == base
+    gone = next(i for i in where if where[i] == 0)
+    assert found([x for x in rows if x[0] != gone]) == {i: f for i, f in base.items() if i != gone}
+
+
+def test_pooled_predictions_are_out_of_fold(spark):
+    t = frame(spark, random_tx(52, 150, 12)).withColumn("label", F.col("is_laundering").cast("double"))
+    folds = learning.stratified_folds(t, 3)
+    pooled = learning.cross_validate(t, folds, learning.pipeline(["amount"], [], learning.models()["logistic"]), 3)
+    assert sorted((x.tx_id, x.fold) for x in pooled.collect()) == sorted((x.tx_id, x.fold) for x in folds.collect())
+    report = learning.fold_report(pooled).collect()
+    assert [x.fold for x in report] == [0, 1, 2, -1] and all(0 <= x.auc <= 1 and 0 <= x.weighted_f1 <= 1 for x in report)
+    one = learning.predictions(t.filter("label = 0"), t.limit(3), learning.pipeline(["amount"], [], learning.models()["logistic"]))
+    assert {(x.predicted, x.score) for x in one.collect()} == {(0, 0.0)}
+
+
+def test_importances_have_the_names_of_the_slots(spark):
+    t = frame(spark, random_tx(53, 150, 12)).withColumns({"label": F.col("is_laundering").cast("double"), "kind": F.when(F.col("is_laundering") == 1, "yes").otherwise("no")})
+    model = learning.pipeline(["amount"], ["kind"], learning.models()["forest"]).fit(t)
+    named = learning.importances(model, t)
+    assert {n for n, _ in named} >= {"amount", "kind_oh_yes", "kind_oh_no"} and named[0][0].startswith("kind_oh_")
+
+
+def test_csv_byte_order_mark_and_graphml_document(spark, tmp_path):
+    df = frame(spark, random_tx(54, 20))
+    source.write_csv(df, str(tmp_path / "csv"), bom=True)
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbf") for f in (tmp_path / "csv").glob("part-*"))
+    nodes = spark.createDataFrame([("a&b",), ("<c>",)], "id string")
+    source.write_graphml(nodes, spark.createDataFrame([("a&b", "<c>", "1"), ("<c>", "<c>", None)], "src string, dst string, ts string"), str(tmp_path / "g"))
+    document = ElementTree.fromstring("".join(f.read_text() for f in sorted((tmp_path / "g").glob("part-*"))))
+    tags = Counter(e.tag.split("}")[1] for e in document.iter())
+    assert tags == {"graphml": 1, "key": 1, "graph": 1, "node": 2, "edge": 2, "data": 2}
+    assert {x.id for x in source.read_graphml_nodes(spark, str(tmp_path / "g")).collect()} == {"a&b", "<c>"}
+
+
+def test_the_package_is_shipped_whole(spark):
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert {"cairn/__init__.py", "cairn/operators/graph.py", "cairn/plans/registry.py"} <= set(names)
 
 
 def test_walk_rates_sum_to_one(spark):
@@ -124,7 +293,7 @@ def test_cross_validation_and_ablation_rows(spark):
     df = frame(spark, random_tx(11, 120)).withColumn("label", F.col("is_laundering").cast("double"))
     flow = learning.pipeline(["amount"], [], learning.models()["logistic"])
     got = learning.cross_validate(df, learning.stratified_folds(df, 2), flow, 2).collect()
-    assert sorted(r.fold for r in got) == [-1, 0, 1]
+    assert len(got) == 120 and {r.fold for r in got} == {0, 1}
     table = learning.ablation(df.filter("epoch < 20"), df.filter("epoch >= 20"), {"a": (["amount"], []), "b": (["amount", "epoch"], [])}, ["logistic", "tree"])
     assert table.count() == 4
 
@@ -133,7 +302,7 @@ def test_trace_follows_the_riskiest_predecessors(spark):
     edges = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (5, 6), (9, 6)], "src long, dst long")
     nodes = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 2.0), (4, 2.0), (5, 3.0), (6, 4.0), (9, 1.0)], "id long, risk double")
     path = graph.trace(graph.best_predecessor(edges, nodes), nodes.filter("id = 6").select("id"))
-    assert sorted(tuple(r) for r in path.collect()) == [(1, 4), (3, 3), (4, 2), (5, 1), (6, 0)]
+    assert sorted(tuple(r) for r in path.collect()) == [(6, 1, 4), (6, 3, 3), (6, 4, 2), (6, 5, 1), (6, 6, 0)]
     assert graph.trace(edges, nodes.limit(0).select("id")).count() == 0
 
 
