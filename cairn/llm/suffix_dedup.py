@@ -8,15 +8,16 @@ Only equal windows must meet, so windows are dealt out by an anchor that their o
 2. ``_anchor_blocks``: every part sends its distinct anchor hashes in one packed block per bucket; a
    bucket answers which of them occur in two documents or more.
 3. ``_segments``: a part sends the segments of those anchors: equal ones once, with their least document.
-   The windows of an anchor in ``hot`` documents or more are dealt out one by one, each by its own
+   Where they occur stays in the part. The windows of an anchor in ``hot`` documents or more are dealt out one by one, each by its own
    bytes: a hot anchor's segments never meet in one task, and equal windows still do.
-4. ``_spans``: a bucket builds two suffix arrays of its segments, of the suffixes that begin at the
+4. ``_answers``: a bucket builds two suffix arrays of its segments, of the suffixes that begin at the
    anchors and of the reversed ones that end there. A mergesort orders them; it compares two suffixes by
    a binary search over prefix polynomial hashes for their common extension, so in logarithmic
    time, and common extensions of neighbours are verified byte by byte. A window that reaches t bytes to the
    left of its anchor is then known by its place in both arrays: equal windows are those whose common
    extensions reach t bytes to the left and the rest to the right. Their least document decides.
-5. The removed ranges return to the parts, where they are united.
+5. For each segment a mask of its lost windows returns to its part. The part finds its segments again, in the same order, and
+   unites the removed ranges.
 
 Defined cases: a null or short text loses nothing; matches never cross documents; a string repeated within
 one document, or in rows that share an id, is no match by itself; a null id counts as greater than all others;
@@ -25,7 +26,6 @@ extra columns are ignored by ``find_repeats``; an empty table gives an empty res
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialise, mix, prefix_hash, range_hash, shared_dir, text_slices
+from cairn.operators.scratch import table_name
 
 WINDOW = 50
 ANCHOR = 16
@@ -43,6 +44,8 @@ HOT = 4096
 BUCKET = 1 << 19
 #: Parts that a task's rows are split into.
 SPLIT = 8
+#: Most tasks of the suffix stage; beyond it a task works through several buckets, one after the other.
+TASKS = 100_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -173,12 +176,12 @@ def least_documents(text: np.ndarray, at: np.ndarray, anchor: np.ndarray, group:
     return out
 
 
-def _blocks(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _blocks(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, its places in order) of the buckets that occur."""
     order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(n + 1))
-    for i in range(n):
-        if bounds[i] < bounds[i + 1]:
-            yield i, order[bounds[i] : bounds[i + 1]]
+    found, start = np.unique(bucket[order], return_index=True)
+    for i, lo, hi in zip(found.tolist(), start, np.append(start[1:], len(order))):
+        yield i, order[lo:hi]
 
 
 def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -186,9 +189,10 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     part = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).cast("int")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_part", part)
-    name = f"cairn_parts_{uuid.uuid4().hex}"
+    name = table_name("parts")
     n = min(100_000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "_part").saveAsTable(name)
+    writer = rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "_part")
+    (writer if "." in name else writer.option("path", f"{shared_dir(spark)}/{name}")).saveAsTable(name)
     return spark.table(name)
 
 
@@ -216,7 +220,7 @@ def _anchor_blocks(parts: DataFrame, n_buckets: int, window: int) -> DataFrame:
         at = np.flatnonzero(new)
         count = np.minimum(np.add.reduceat(other.astype(np.int64), at), 65535).astype(np.uint16) if len(at) else np.zeros(0, np.uint16)
         a = a[new]
-        rows = [(i, a[k].tobytes(), count[k].tobytes()) for i, k in _blocks((a % np.uint64(n_buckets)).astype(np.int64), n_buckets)]
+        rows = [(i, a[k].tobytes(), count[k].tobytes()) for i, k in _blocks((a % np.uint64(n_buckets)).astype(np.int64))]
         part = table.column("_part")[0].as_py()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -240,66 +244,81 @@ def _shared_anchors(blocks: DataFrame, hot: int) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "part int, keys binary, hot binary")
 
 
-_SEGMENTS = "bucket int, part int, sizes binary, anchors binary, groups binary, least binary, text binary, uses binary, rows binary, above binary, places binary"
+class _Found:
+    """The segments of a part that hold shared anchors: unique ones (grid of bytes, size and anchor place; group; least document) and their uses."""
+
+    def __init__(self, table: pa.Table, keys: np.ndarray, hot: np.ndarray, window: int):
+        most = 2 * window - ANCHOR
+        order = np.argsort(keys)
+        keys, hot = keys[order], hot[order]
+        rows, group, doc, row, place = [], [], [], [], []
+        for ids, lo, _, data, offsets, (a, q, first, last) in _slices(table, window):
+            i = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
+            hit = keys[i] == a
+            a, q, first, last, is_hot = a[hit], q[hit], first[hit], last[hit], hot[i[hit]]
+            n = np.where(is_hot, last - first + 1, 1)  # windows of hot anchors, one by one
+            back = np.repeat(np.arange(len(a)), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            alone = is_hot[back]
+            first = first[back] + step
+            last = np.where(alone, first, last[back])
+            size = last - first + window
+            grid = np.zeros((len(back), most + 2), np.uint8)
+            inside = np.arange(most)[None, :] < size[:, None]
+            grid[:, :most][inside] = data[(first[:, None] + np.arange(most)[None, :])[inside]]
+            own = mix(range_hash(prefix_hash(data), first, first + window))
+            grid[:, most] = size
+            grid[:, most + 1] = np.where(alone, 0, q[back] - first)
+            rows.append(grid)
+            group.append(np.where(alone, own, a[back]))
+            text = lo + np.searchsorted(offsets, first, "right") - 1
+            doc.append(ids[text])
+            row.append(text)
+            place.append(first - offsets[text - lo])
+        grid, group, doc, row, place = (np.concatenate(x) for x in (rows, group, doc, row, place))
+        whole = np.ascontiguousarray(grid).view([("", f"V{grid.shape[1]}")]).ravel()
+        order = np.lexsort((doc, _row_hash(grid), group))
+        same = np.zeros(len(order), bool)
+        same[1:] = (group[order][1:] == group[order][:-1]) & (whole[order][1:] == whole[order][:-1])
+        start = np.flatnonzero(~same)
+        head = order[start]
+        #: of the unique segments
+        self.grid, self.group, self.least, self.most = grid[head], group[head], doc[head], most
+        #: of the uses: their segment, document above its least one, row in the part, place in the text
+        self.of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        self.above, self.row, self.place = doc[order] > self.least[self.of], row[order], place[order]
+
+    @staticmethod
+    def of_answers(table: pa.Table, answers: pa.Table, window: int) -> _Found | None:
+        shared = answers.filter(answers.column("keys").is_valid())
+        if not table.num_rows or not shared.num_rows:
+            return None
+        blocks = sorted((k.as_py(), h.as_py()) for k, h in zip(shared.column("keys"), shared.column("hot")))
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in blocks])
+        return _Found(table, keys, np.concatenate([np.frombuffer(h, bool) for _, h in blocks]), window)
+
+    def blocks(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, its unique segments in order)."""
+        return _blocks(((self.group >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64))
+
+
+_SEGMENTS = "bucket int, part int, sizes binary, anchors binary, groups binary, least binary, text binary"
 
 
 def _segments(parts: DataFrame, shared: DataFrame, n_buckets: int, window: int) -> DataFrame:
-    most = 2 * window - ANCHOR
+    names = [f.split()[0] for f in _SEGMENTS.split(", ")]
+    types = dict(zip(names, [pa.int32(), pa.int32(), *[pa.binary()] * 5]))
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in _SEGMENTS.split(", ")]
-        types = dict(zip(names, [pa.int32(), pa.int32(), *[pa.binary()] * 9]))
         out: dict[str, list] = {k: [] for k in names}
-        if table.num_rows and answers.num_rows:
-            keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in answers.column("keys")])
-            hot = np.concatenate([np.frombuffer(k.as_buffer(), bool) for k in answers.column("hot")])
-            order = np.argsort(keys)
-            keys, hot = keys[order], hot[order]
-            rows, group, anchor, doc, row, place = [], [], [], [], [], []
-            for ids, lo, _, data, offsets, (a, q, first, last) in _slices(table, window):
-                i = np.minimum(np.searchsorted(keys, a), len(keys) - 1)
-                hit = keys[i] == a
-                a, q, first, last, is_hot = a[hit], q[hit], first[hit], last[hit], hot[i[hit]]
-                n = np.where(is_hot, last - first + 1, 1)  # windows of hot anchors, one by one
-                back = np.repeat(np.arange(len(a)), n)
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                alone = is_hot[back]
-                first = first[back] + step
-                last = np.where(alone, first, last[back])
-                size = last - first + window
-                grid = np.zeros((len(back), most + 2), np.uint8)
-                inside = np.arange(most)[None, :] < size[:, None]
-                grid[:, :most][inside] = data[(first[:, None] + np.arange(most)[None, :])[inside]]
-                prefix = prefix_hash(data)
-                own = mix(range_hash(prefix, first, first + window))
-                grid[:, most] = size
-                grid[:, most + 1] = np.where(alone, 0, q[back] - first)
-                rows.append(grid)
-                group.append(np.where(alone, own, a[back]))
-                text = lo + np.searchsorted(offsets, first, "right") - 1
-                doc.append(ids[text])
-                row.append(text)
-                place.append(first - offsets[text - lo])
-            grid, group, doc, row, place = (np.concatenate(x) for x in (rows, group, doc, row, place))
-            # equal segments of the part are sent once, under their least document
-            if len(grid):
-                whole = np.ascontiguousarray(grid).view([("", f"V{grid.shape[1]}")]).ravel()
-                order = np.lexsort((doc, _row_hash(grid), group))
-                same = np.zeros(len(order), bool)
-                same[1:] = (group[order][1:] == group[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-                start = np.flatnonzero(~same)
-                uses = np.diff(np.append(start, len(order)))
-                head = order[start]
-                above = (doc[order] > np.repeat(doc[head], uses)).astype(np.uint8)
-                part = table.column("_part")[0].as_py()
-                bucket = ((group[head] >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64)
-                for b, k in _blocks(bucket, n_buckets):
-                    use = np.repeat(start[k] - np.cumsum(uses[k]) + uses[k], uses[k]) + np.arange(uses[k].sum())
-                    g = grid[head[k]]
-                    values = {"bucket": b, "part": part, "sizes": g[:, most], "anchors": g[:, most + 1], "groups": group[head[k]], "least": doc[head[k]], "text": g[:, :most][np.arange(most)[None, :] < g[:, most : most + 1]]}
-                    values |= {"uses": uses[k].astype(np.uint32), "rows": row[order[use]].astype(np.uint32), "above": above[use], "places": place[order[use]].astype(np.int64)}
-                    for name, v in values.items():
-                        out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
+        found = _Found.of_answers(table, answers, window)
+        if found is not None:
+            part, most = table.column("_part")[0].as_py(), found.most
+            for b, k in found.blocks(n_buckets):
+                g = found.grid[k]
+                values = {"bucket": b, "part": part, "sizes": g[:, most], "anchors": g[:, most + 1], "groups": found.group[k], "least": found.least[k], "text": g[:, :most][np.arange(most)[None, :] < g[:, most : most + 1]]}
+                for name, v in values.items():
+                    out[name].append(v.tobytes() if isinstance(v, np.ndarray) else v)
         return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
 
     return parts.groupBy("_part").cogroup(shared.groupBy("part")).applyInArrow(run, _SEGMENTS)
@@ -314,51 +333,50 @@ def _row_hash(grid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(segments: DataFrame, window: int) -> DataFrame:
-    """Removed ranges by part: (row in the part, start, end) of every use of a segment."""
+def _answers(segments: DataFrame, n_buckets: int, window: int) -> DataFrame:
+    """(part, bucket, masks): for each segment that the part sent to the bucket, in order, the bits of its windows that start in a smaller document."""
 
     def run(table: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(v.as_buffer(), kind) for v in table.column(name)]
         sizes, shifts, groups, least = (read(*x) for x in (("sizes", np.uint8), ("anchors", np.uint8), ("groups", np.uint64), ("least", np.int64)))
-        block = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-        size, shift, group, doc = (np.concatenate(x) for x in (sizes, shifts, groups, least))
+        size, shift, group, doc = (np.concatenate(x).astype(t) for x, t in ((sizes, np.int64), (shifts, np.int64), (groups, np.uint64), (least, np.int64)))
         text = np.concatenate(read("text", np.uint8))
-        uses = np.concatenate(read("uses", np.uint32)).astype(np.int64)
-        rows, above = np.concatenate(read("rows", np.uint32)), np.concatenate(read("above", np.uint8))
-        place = np.concatenate(read("places", np.int64))
-        at = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-        n = len(size)
-        shift = shift.astype(np.int64)
-        lost = np.zeros(n, np.uint64)  # bit j: the window that begins j bytes into the segment starts in a smaller document
+        at = np.concatenate([[0], np.cumsum(size)])
+        lost = np.zeros(len(size), np.uint64)  # bit j: the window that begins j bytes into the segment
         for i, t, m in least_documents(text, at, at[:-1] + shift, group, doc, window):
             gone = m < doc[i]
             lost[i[gone]] |= np.uint64(1) << (shift[i[gone]] - t[gone]).astype(np.uint64)
-        windows = size.astype(np.int64) - window + 1
-        of = np.repeat(np.arange(n), uses)
-        # a use in a document above the least one of its own part loses all windows
-        mask = np.where(above > 0, (np.uint64(1) << windows[of].astype(np.uint64)) - np.uint64(1), lost[of])
-        out_row, out_lo, out_hi, out_block = [], [], [], []
-        prev = np.zeros(len(of), bool)
-        start = np.zeros(len(of), np.int64)
-        for j in range(int(windows.max(initial=0)) + 1):
-            bit = ((mask >> np.uint64(j)) & np.uint64(1)).astype(bool)
-            start[bit & ~prev] = j
-            done = np.flatnonzero(prev & ~bit)
-            if len(done):
-                out_row.append(rows[done])
-                out_lo.append(place[done] + start[done])
-                out_hi.append(place[done] + j - 1 + window)
-                out_block.append(block[of[done]])
-            prev = bit
-        result = []
-        if out_row:
-            r, lo, hi, b = (np.concatenate(x) for x in (out_row, out_lo, out_hi, out_block))
-            parts = table.column("part").to_numpy()
-            for i, k in _blocks(b, len(sizes)):
-                result.append((int(parts[i]), np.stack([r[k], lo[k], hi[k]], 1).astype(np.int64).tobytes()))
-        return pa.table({"part": pa.array([x[0] for x in result], pa.int32()), "ranges": pa.array([x[1] for x in result], pa.binary())})
-
-    return segments.groupBy("bucket").applyInArrow(run, "part int, ranges binary")
+        masks = np.split(lost, np.cumsum([len(x) for x in sizes])[:-1])
+        live = [i for i, m in enumerate(masks) if m.any()]
+        return pa.table({"part": table.column("part").take(pa.array(live, pa.int64())), "bucket": table.column("bucket").take(pa.array(live, pa.int64())), "masks": pa.array([masks[i].tobytes() for i in live], pa.binary())})
+
+    # as many tasks as buckets (TASKS at most), so that a task's share does not grow with the input
+    return segments.repartition(min(n_buckets, TASKS), "bucket").groupBy("bucket").applyInArrow(run, "part int, bucket int, masks binary")
+
+
+def lost_ranges(found: _Found, masks: dict[int, np.ndarray], n_buckets: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the removed ranges of a part's uses; ranges may overlap."""
+    lost = np.zeros(len(found.group), np.uint64)
+    for b, k in found.blocks(n_buckets):
+        if b in masks:
+            lost[k] = masks[b]
+    windows = found.grid[:, found.most].astype(np.int64) - window + 1
+    # a use in a document above the least one of its own part loses all windows
+    every = (np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)
+    mask = np.where(found.above, every[found.of], lost[found.of])
+    use = np.flatnonzero(mask)
+    mask = mask[use]
+    row, lo, hi = [], [], []
+    prev, start = np.zeros(len(use), bool), np.zeros(len(use), np.int64)
+    for j in range(int(windows.max(initial=0)) + 1):
+        bit = ((mask >> np.uint64(j)) & np.uint64(1)).astype(bool)
+        start[bit & ~prev] = j
+        done = np.flatnonzero(prev & ~bit)
+        row.append(found.row[use[done]])
+        lo.append(found.place[use[done]] + start[done])
+        hi.append(found.place[use[done]] + j - 1 + window)
+        prev = bit
+    return tuple(np.concatenate(x).astype(np.int64) for x in (row, lo, hi))
 
 
 def united(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,13 +393,18 @@ def united(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return row[at], lo[at], np.maximum.reduceat(hi, at)
 
 
-def _apply(parts: DataFrame, ranges: DataFrame, id_type: str) -> DataFrame:
+def _apply(parts: DataFrame, shared: DataFrame, answers: DataFrame, id_type: str, n_buckets: int, window: int) -> DataFrame:
     schema = f"_id {id_type}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in answers.column("ranges")] or [np.zeros(0, np.int64)]).reshape(-1, 3)
-        row, lo, hi = united(flat[:, 0], flat[:, 1], flat[:, 2])
+    both = shared.unionByName(answers, allowMissingColumns=True).select("part", "keys", "hot", "bucket", "masks")
+
+    def run(table: pa.Table, given: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.int64)
+        row, lo, hi = none, none, none
+        found = _Found.of_answers(table, given, window)
+        if found is not None:
+            masks = given.filter(given.column("masks").is_valid())
+            row, lo, hi = united(*lost_ranges(found, {b.as_py(): np.frombuffer(m.as_buffer(), np.uint64) for b, m in zip(masks.column("bucket"), masks.column("masks"))}, n_buckets, window))
         bounds = np.searchsorted(row, np.arange(table.num_rows + 1))
         size, removed, spans, kept = [], [], [], []
         for i, text in enumerate(table.column("_text")):
@@ -394,16 +417,16 @@ def _apply(parts: DataFrame, ranges: DataFrame, id_type: str) -> DataFrame:
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if own else raw)
         return pa.table({"_id": table.column("_id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
-    return parts.groupBy("_part").cogroup(ranges.groupBy("part")).applyInArrow(run, schema)
+    return parts.groupBy("_part").cogroup(both.groupBy("part")).applyInArrow(run, schema)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (the remaining bytes)."""
-    if not ANCHOR <= window <= ANCHOR + 63:
-        raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 63} bytes")
+    if not ANCHOR <= window <= ANCHOR + 62:
+        raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 62} bytes")
     parts = _parts(docs, id_col, text_col)
     total = parts.agg(F.sum(F.length("_text")).alias("n")).first()["n"] or 0
     n_buckets = int(total * 2 / (window - ANCHOR + 2) / bucket) + 1
     shared = materialise(_shared_anchors(_anchor_blocks(parts, n_buckets, window), hot), "shared-anchors")
-    ranges = materialise(_spans(_segments(parts, shared, n_buckets, window), window), "repeated-ranges")
-    return _apply(parts, ranges, parts.schema["_id"].dataType.simpleString()).withColumnRenamed("_id", id_col)
+    answers = materialise(_answers(_segments(parts, shared, n_buckets, window), n_buckets, window), "lost-windows")
+    return _apply(parts, shared, answers, parts.schema["_id"].dataType.simpleString(), n_buckets, window).withColumnRenamed("_id", id_col)
