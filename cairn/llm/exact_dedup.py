@@ -9,19 +9,23 @@ until none do. Equal recipes then mean equal texts, and only recipes move from t
 a long document crosses the network once, as chunks that are deduplicated before the shuffle.
 
 Defined cases: a null text counts as empty; empty and all-blank texts are equal to each other. A null
-id sorts after every other id. Rows that repeat an id and a text share their verdict. Ties in length
-go to the smallest id. Extra columns are ignored by ``exact_groups`` and kept by ``drop_copies``. An
+id sorts after every other id. Rows that repeat an id and a text share their verdict in ``exact_groups``; ``drop_copies`` leaves exactly one
+row of a group. Ties in length go to the smallest id. Extra columns are ignored by ``exact_groups`` and kept by ``drop_copies``. An
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialise
+from cairn.llm.common import materialise, numbered
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
+#: Share of the rows from which a group is joined in parts, and their number.
+HOT_SHARE, SALTS = 0.001, 32
 #: Characters after which a chunk may end.
 CUTS = r".,;:!?)|\]>。、！？"
 
@@ -54,31 +58,50 @@ def verified_width(chunks: DataFrame, bits: int = 64, most: int = 16) -> int:
     raise ValueError(f"chunks still collide under {most} words of {bits} bits")
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
-    """One row per document: _id, n_chars, text_sha256, recipe (verified chunk identifiers in order)."""
-    base = docs.select(F.col(id_col).alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
-    cut = base.select("_id", "n_chars", "norm", chunks_of(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, bits: int = 64, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> DataFrame:
+    """One row per document: _id, _row (of ``row_col``, or 0), n_chars, text_sha256, recipe (verified chunk identifiers in order)."""
+    row = F.col(row_col) if row_col else F.lit(0).cast("long")
+    base = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
+    cut = base.select("_id", "_row", "n_chars", "norm", chunks_of(F.col("norm"), min_chunk, max_chunk).alias("chunks"))
     words = verified_width(cut.select(F.explode("chunks").alias("chunk")), bits)
     recipe = F.flatten(F.transform("chunks", lambda c: F.array(*chunk_id(c, words, bits))))
-    return cut.select("_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), recipe.alias("recipe"))
+    return cut.select("_id", "_row", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), recipe.alias("recipe"))
+
 
+def _grouped(rows: DataFrame, hot_share: float, salts: int) -> DataFrame:
+    """The rows of ``recipes`` with the best row of their group (n, z, i, r) and group_size.
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **chunking) -> DataFrame:
+    A recipe of more than ``hot_share`` of the rows is joined in ``salts`` parts. There are at most 1 / hot_share of them,
+    so their hashes fit a list.
+    """
+    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_row").alias("r")))
+    # recipes are the keys, combined before the shuffle; texts stay where they are
+    groups = materialise(rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")), "recipe-groups")
+    total = groups.agg(F.sum("group_size").alias("n")).first()["n"] or 0
+    hot = [r["h"] for r in groups.filter(F.col("group_size") > max(1.0, hot_share * total)).select(F.xxhash64("recipe").alias("h")).distinct().collect()]
+    is_hot = F.xxhash64("recipe").isin(hot) if hot else F.lit(False)
+    salted = groups.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("_id", "_row"), F.lit(salts)).cast("int")).otherwise(0))
+    return dealt.join(salted, ["recipe", "salt"])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, salts: int = SALTS, **chunking) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, n_chars.
 
     The longest original text of a group stays, then the smallest id.
     """
-    rows = materialise(recipes(docs, id_col, text_col, **chunking), "recipes")
-    best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i")))
-    # the size first: long aggregates combine before the shuffle; recipes are the keys, texts stay where they are
-    groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).select(F.col("recipe").alias("_recipe"), F.col("best.i").alias("keep_id"), (-F.col("best.n")).alias("_longest"), "group_size")
-    joined = rows.join(groups, rows.recipe == groups._recipe)
-    return joined.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("_longest"))).alias("kept"), "text_sha256", "n_chars")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **chunking) -> DataFrame:
-    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays."""
-    kept = exact_groups(docs, id_col, text_col, **chunking).filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_chars").alias("_kept_n"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256)).withColumn("_n", F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"))
-    same = keyed[id_col].eqNullSafe(kept["_kept_id"]) & (keyed["_sha"] == kept["_kept_sha"]) & (keyed["_n"] == kept["_kept_n"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([id_col, "_sha", "_n"]).drop("_sha", "_n")
+    joined = _grouped(materialise(recipes(docs, id_col, text_col, **chunking), "recipes"), hot_share, salts)
+    return joined.select(F.col("_id").alias(id_col), F.col("best.i").alias("keep_id"), "group_size", (F.col("_id").eqNullSafe(F.col("best.i")) & (F.col("n_chars") == -F.col("best.n"))).alias("kept"), "text_sha256", "n_chars")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, salts: int = SALTS, **chunking) -> DataFrame:
+    """One row of each group, with all its columns.
+
+    The rows are written once under numbers of their own. Only recipes are compared, and only the numbers of the rows that leave come back to the
+    documents: a written table, broadcast below spark.sql.autoBroadcastJoinThreshold; above it the documents are shuffled once.
+    """
+    row = f"_row_{uuid.uuid4().hex}"
+    rows = numbered(docs, row)
+    found = _grouped(materialise(recipes(rows, id_col, text_col, row, **chunking).drop("text_sha256"), "recipes"), hot_share, salts)
+    gone = materialise(found.filter(F.col("_row") != F.col("best.r")).select(F.col("_row").alias(row)), "exact-copies")
+    return rows.join(gone, row, "left_anti").drop(row)
