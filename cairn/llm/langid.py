@@ -8,8 +8,8 @@ a uniform choice among the bytes left. With frozen counts the cost of a byte dep
 predecessors alone, so the exact code length of a text is a sum over its (ORDER + 1)-grams. The costs of
 all grams of the trees are tabulated once per worker; grams of no tree are evaluated by the same code.
 
-The trees are learned from a bounded sample: at most ``SAMPLE_DOCS`` different texts a language, those
-with the least hash. Counting runs on the executors; the driver receives the summed counts of the sample.
+The trees are learned from a bounded sample: at most ``SAMPLE_DOCS`` different texts and ``SAMPLE_BYTES`` bytes a language, those
+with the least hash (and one text at least). Counting runs on the executors; the driver receives the summed counts of the sample.
 
 Normalisation before counting and coding: Latin-1 letters are lower-cased, every run of ASCII bytes that
 are no letters becomes one space. ``score`` is the posterior of the winner under equal priors, with
@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import text_slices
+from cairn.llm.common import kept_rows, text_slices
 
 ORDER = 4
 SAMPLE_DOCS = 1500
+SAMPLE_BYTES = 32 << 20
 EVIDENCE = 64
 UNDETERMINED = "und"
 _SLOT_BITS = 21
@@ -182,7 +183,7 @@ def verdicts(bits: np.ndarray, size: np.ndarray, langs: list[str]) -> tuple[list
     return [langs[i] for i in best], 1 / np.exp2(-np.minimum(behind, 1000)).sum(1)
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Gram counts by language, from at most ``sample_docs`` different texts each."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").withColumn("h", F.xxhash64("text"))
     # a threshold on the hash leaves about twice the sample before any sort; copies share a hash, so different hashes are counted
@@ -193,7 +194,10 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     for lang, n in sizes.items():
         limit = F.when(F.col("lang") == lang, min(1.0, 2 * sample_docs / n)).otherwise(limit)
     near = rows.filter((F.col("h").cast("double") / float(2**64) + 0.5) <= limit).dropDuplicates(["lang", "h"])
-    sample = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs).select("lang", "text")
+    size = near.select("lang", "h", F.octet_length("text").alias("n"))
+    by = Window.partitionBy("lang").orderBy("h")  # about twice the sample
+    taken = size.withColumns({"r": F.row_number().over(by), "s": F.sum("n").over(by)}).filter((F.col("r") <= sample_docs) & ((F.col("s") <= sample_bytes) | (F.col("r") == 1)))
+    sample = near.join(F.broadcast(taken.select("lang", "h")), ["lang", "h"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,30 +216,60 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 _worker_trees: dict[str, Trees] = {}
 
 
+def _trees(key: str, model) -> Trees:
+    """The trees of a broadcast model, built once per worker."""
+    if key not in _worker_trees:
+        _worker_trees.clear()
+        _worker_trees[key] = Trees(model.value)
+    return _worker_trees[key]
+
+
+def _has_letter(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
+def _verdicts(text: pa.Array, letter: pa.Array, trees: Trees) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, end row, languages, scores, bits per byte) of slices of a batch."""
+    ok = letter.to_numpy(zero_copy_only=False).astype(bool)
+    for lo, hi, data, offsets in text_slices(text, 1 << 19):
+        bits, size = trees.code_lengths(data, offsets)
+        lang, p = verdicts(bits, size, trees.langs)
+        yield lo, hi, [x if k else UNDETERMINED for x, k in zip(lang, ok[lo:hi])], np.where(ok[lo:hi], p, 0.0), bits.min(1) / np.maximum(size, 1)
+
+
 def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, bits_per_byte under the winner."""
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _has_letter(text_col).alias("_letter"))
     schema = f"_id {base.schema['_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double"
     if not counts:
         return base.select(F.col("_id").alias(id_col), F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
     model, key = docs.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex  # bounded by the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _worker_trees:
-            _worker_trees.clear()
-            _worker_trees[key] = Trees(model.value)
-        trees = _worker_trees[key]
+        trees = _trees(key, model)
         for b in batches:
-            letter = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offsets in text_slices(b.column(1), 1 << 19):
-                bits, size = trees.code_lengths(data, offsets)
-                lang, p = verdicts(bits, size, trees.langs)
-                ok = letter[lo:hi]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x if k else UNDETERMINED for x, k in zip(lang, ok)], pa.string()), pa.array(np.where(ok, p, 0.0)), pa.array(bits.min(1) / np.maximum(size, 1))], ["_id", "lang_pred", "score", "bits_per_byte"])
+            for lo, hi, lang, p, bits in _verdicts(b.column(1), b.column(2), trees):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(p), pa.array(bits)], ["_id", "lang_pred", "score", "bits_per_byte"])
 
     return base.mapInArrow(score, schema).withColumnRenamed("_id", id_col)
 
 
+def known_rows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows whose language is determined, with all their columns. Every row is judged by its own text, in the pass that reads it."""
+    counts = learn(docs, text_col, lang_col, sample_docs)
+    if not counts:
+        return docs.filter(F.lit(False))
+    model, key, text_at, n = docs.sparkSession.sparkContext.broadcast(counts), uuid.uuid4().hex, docs.columns.index(text_col), len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        trees = _trees(key, model)
+        for b in batches:
+            for lo, hi, lang, _, _ in _verdicts(b.column(text_at), b.column(n), trees):
+                yield b.slice(lo, hi - lo), np.array([x != UNDETERMINED for x in lang], bool)
+
+    return kept_rows(docs, keep, _has_letter(text_col))
+
+
 def identify(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from the labelled rows that are not held out, and predict every row."""
     labelled = docs if held_out is None else docs.filter(~held_out)
