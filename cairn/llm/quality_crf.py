@@ -5,7 +5,7 @@ before and after it; two weights tie neighbouring labels. Training lines take th
 document, and the exact conditional likelihood is maximised by gradient steps (Adam) over forward-backward marginals.
 A document's score is the mean of its lines' marginals for "good", weighted by line length in bytes.
 
-The model is fitted on at most ``SAMPLE_DOCS`` labelled documents, those with the least hash of their
+The model is fitted on at most ``SAMPLE_DOCS`` labelled documents with at most ``SAMPLE_LINES`` lines (and one document at least), those with the least hash of their
 id; their features are computed on the executors, and the driver gets 16 numbers a line.
 
 Defined cases: a null or empty text is one empty line of weight 1; without usable labels every score is
@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import lookup_table, mix, prefix_hash, range_hash, text_slices, words_of
+from cairn.llm.common import lookup_table, materialise, mix, prefix_hash, range_hash, text_slices, words_of
 
 SAMPLE_DOCS = 3000
+SAMPLE_LINES = 1 << 20
 BINS = 8
 STEPS = 200
 RATE = 0.08
+#: Lines from which a text's chain is summed in stretches.
+STRETCH = 2048
 PENALTY = 1e-3
 _WORDS = lookup_table("nonspace")
 
@@ -92,11 +95,8 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 def _distinct_lines(line_of: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The line of every (line, word) pair, each pair once."""
-    if not len(word):
-        return np.zeros(0, np.int64)
-    # lines are few in a slice: their number goes above 40 bits of the word's hash
-    key = np.unique((line_of.astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24)))
-    return (key >> np.uint64(40)).astype(np.int64)
+    _, first = np.unique(mix(line_of.astype(np.uint64) + np.uint64(1)) ^ word, return_index=True)
+    return line_of[first]
 
 
 class LineCrf:
@@ -119,26 +119,9 @@ class LineCrf:
 
     def marginals(self, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(P(good) of each line, P(both good) and P(both bad) of each line and the one before it)."""
-        size = np.diff(at)
-        order = np.argsort(-size, kind="stable")
-        length, first = size[order], at[:-1][order]
-        steps = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(steps), "left")  # texts longer than t
-        forward = np.zeros((len(s), 2))
-        backward = np.zeros((len(s), 2))
-        keep0, keep1 = self.turn
-        for t in range(steps):
-            i = first[: active[t]] + t
-            if t:
-                p = forward[i - 1]
-                forward[i, 0] = np.logaddexp(p[:, 0] + keep0, p[:, 1])
-                forward[i, 1] = np.logaddexp(p[:, 0], p[:, 1] + keep1)
-            forward[i, 1] += s[i]
-        for t in range(steps - 2, -1, -1):
-            i = first[: active[t + 1]] + t
-            n0, n1 = backward[i + 1, 0], backward[i + 1, 1] + s[i + 1]
-            backward[i, 0] = np.logaddexp(n0 + keep0, n1)
-            backward[i, 1] = np.logaddexp(n0, n1 + keep1)
+        forward = _messages(s, at, self.turn)
+        backward = _messages(s[::-1], len(s) - at[::-1], self.turn)[::-1].copy()
+        backward[:, 1] -= s  # a line's own evidence is in the forward message
         both = forward + backward
         z = np.logaddexp(both[:, 0], both[:, 1])
         good = np.exp(both[:, 1] - z)
@@ -146,8 +129,8 @@ class LineCrf:
         later[at[:-1]] = False
         i = np.flatnonzero(later)
         p11, p00 = np.zeros(len(s)), np.zeros(len(s))
-        p11[i] = np.exp(forward[i - 1, 1] + keep1 + s[i] + backward[i, 1] - z[i])
-        p00[i] = np.exp(forward[i - 1, 0] + keep0 + backward[i, 0] - z[i])
+        p11[i] = np.exp(forward[i - 1, 1] + self.turn[1] + s[i] + backward[i, 1] - z[i])
+        p00[i] = np.exp(forward[i - 1, 0] + self.turn[0] + backward[i, 0] - z[i])
         return good, p11, p00
 
     def fit(self, bins: np.ndarray, at: np.ndarray, label: np.ndarray) -> LineCrf:
@@ -182,6 +165,42 @@ class LineCrf:
         return np.add.reduceat(good * weight, at[:-1]) / np.add.reduceat(weight, at[:-1])
 
 
+def _messages(s: np.ndarray, at: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Log sums over the labels of all lines before, for each line and its label, its own evidence ``s`` (of "good") included.
+
+    Texts of up to ``STRETCH`` lines go forward together, a line of each at a time. Longer texts are cut into stretches: every stretch is
+    summed under both labels of the line before it, all stretches together; then the sums pass from stretch to stretch.
+    """
+    size = np.diff(at)
+    pieces = -(-size // STRETCH)
+    text = np.repeat(np.arange(len(size)), pieces)
+    inner = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = at[:-1][text] + inner * STRETCH
+    length = np.minimum(size[text] - inner * STRETCH, STRETCH)
+    m = np.zeros((2, len(s), 2))
+    order = np.argsort(-length, kind="stable")
+    for k in range(2):  # the label of the line before; a text's first line has none, so is summed once
+        some = order if k == 0 else order[inner[order] > 0]
+        begins, sizes, later = first[some], length[some], inner[some] > 0
+        steps = int(sizes[0]) if len(sizes) else 0
+        active = np.searchsorted(-sizes, -np.arange(steps), "left")  # stretches longer than t
+        for t in range(steps):
+            i = begins[: active[t]] + t
+            if t:
+                p = m[k, i - 1]
+                m[k, i, 0] = np.logaddexp(p[:, 0] + turn[0], p[:, 1])
+                m[k, i, 1] = np.logaddexp(p[:, 0], p[:, 1] + turn[1])
+            else:
+                m[k, i, k] = np.where(later, turn[k], 0.0)
+            m[k, i, 1] += s[i]
+    out = m[0].copy()
+    for j in np.flatnonzero(inner > 0):  # few: a stretch is long
+        before = out[first[j] - 1]
+        here = slice(first[j], first[j] + length[j])
+        out[here] = np.logaddexp(before[0] + m[0, here], before[1] + m[1, here])
+    return out
+
+
 def neighbours(bins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, after = np.full_like(bins, BINS), np.full_like(bins, BINS)
     before[1:], after[:-1] = bins[:-1], bins[1:]
@@ -190,7 +209,7 @@ def neighbours(bins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before, after
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> LineCrf | None:
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> LineCrf | None:
     """Fit on the labelled documents for which ``learn_from`` holds (an expression over the id column)."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if learn_from is not None:
@@ -206,7 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["_id", "_label", "x"])
 
     kind = base.schema["_id"].dataType.simpleString()
-    rows = base.mapInArrow(run, f"_id {kind}, _label int, x binary").toPandas()
+    found = materialise(base.mapInArrow(run, f"_id {kind}, _label int, x binary"), "line-features")
+    by = Window.orderBy(F.xxhash64("_id"), "_id", "_label", "h")  # at most two rows a sampled document
+    sizes = found.select("_id", "_label", F.xxhash64("x").alias("h"), (F.octet_length("x") / (4 * N_FEATURES)).alias("n")).withColumns({"r": F.row_number().over(by), "s": F.sum("n").over(by)})
+    taken = sizes.filter((F.col("s") <= sample_lines) | (F.col("r") == 1)).select("_id", "_label", "h").distinct()
+    rows = found.withColumn("h", F.xxhash64("x")).join(taken, ["_id", "_label", "h"], "left_semi").drop("h").toPandas()
     if rows["_label"].nunique() < 2:
         return None
     rows = rows.assign(x=[bytes(v) for v in rows["x"]]).sort_values(["_id", "_label", "x"])
