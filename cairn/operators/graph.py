@@ -1,4 +1,8 @@
-"""Graph operators over edge tables: propagation, levels and risks of DAGs, temporal forests, tiers, walks."""
+"""Graph operators over edge tables: propagation, levels and risks of DAGs, temporal forests, tiers, walks.
+
+Edges with a null end join nothing and are ignored; repeated edges count once unless the operator counts transfers; self loops are edges, and cycles.
+Without edges results are empty. Ties go to the least id. Extra columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Splits, classifiers and their evaluation, over pyspark.ml."""
+"""Splits, classifiers and their evaluation, over pyspark.ml.
+
+Null features raise an error in the assembler, so fill them first; a null category is a value of its own. Folds and windows without rows on a side are left out; metrics whose
+denominator is 0 are 0, and the AUC of one class is 0.5. Ids must be unique: equal ids share their fold.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +37,7 @@ def stratified_split(df: DataFrame, shares: list[float], seed: int = 42, id_col:
     placed = numbered.join(F.broadcast(sizes), numbered["_y"].eqNullSafe(sizes["_y"])).withColumn("_at", F.col("row_id") - F.col("_first"))
     part = F.lit(len(shares) - 1)
     for i in range(len(shares) - 2, -1, -1):
-        part = F.when(F.col("_at") < F.floor(F.col("_n") * sum(shares[: i + 1])), i).otherwise(part)
+        part = F.when(F.col("_at") < F.floor(F.col("_n") * round(sum(shares[: i + 1]), 9)), i).otherwise(part)
     return placed.select(id_col, part.alias("part"))
 
 

@@ -1,4 +1,8 @@
-"""Relational operators: null handling, chains, first and last wins, ranks, global row numbers and confusion metrics."""
+"""Relational operators: null handling, chains, first and last wins, ranks, global row numbers and confusion metrics.
+
+Null keys join nothing, are no account, and are a group of their own in aggregates; null values are left out of aggregates; empty tables
+give empty tables, and counts of 0. Ties are settled by the id that the order names. Extra columns are ignored where a result lists its columns, and kept where it says the rows.
+"""
 
 from __future__ import annotations
 
