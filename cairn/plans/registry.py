@@ -668,13 +668,15 @@ def ml16_leak_aware_validation(spark, sf_dir):
 
 
 def grouped_rows(spark, sf_dir) -> DataFrame:
-    t = tx(spark, sf_dir)
-    return materialise(relational.component_features(t, tx_components(t)).withColumn("label", F.col("label").cast("double")), "grouped-rows")
+    t = materialise(tx(spark, sf_dir), "grouped-transfers")
+    spread = graph.propagate_chain(relational.Chain(t))
+    component = t.select(F.col("tx_id").alias("id")).join(spread, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return materialise(relational.component_features(t, component).withColumn("label", F.col("label").cast("double")), "grouped-rows")
 
 
 @query()
 def ml5_grouped_logistic(spark, sf_dir):
-    """Ten stratified folds of logistic regression over the features of the transfer components."""
+    """Ten stratified folds of logistic regression over the features of the groups that three rounds of propagation make."""
     rows = grouped_rows(spark, sf_dir)
     folds = learning.stratified_folds(rows, 10, id_col="component", label="label")
     flow = learning.pipeline(learning.FOLD_FEATURES, [], learning.models()["logistic"])

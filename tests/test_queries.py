@@ -28,6 +28,26 @@ def test_registry_without_llm(monkeypatch):
     assert set(entry.queries()) == set(registry.QUERIES)
 
 
+@pytest.mark.parametrize("name", ["ml16_cross_validation", "ml16_leak_aware_validation", "ml5_grouped_logistic", "ml15_expanding_training"])
+def test_fold_reports_are_whole(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    keys = [(getattr(r, "model", ""), r.fold) for r in rows]
+    assert len(set(keys)) == len(keys) and {f for _, f in keys} >= {0, 1, 2, -1}
+    assert all(0 <= r[n] <= 1 for r in rows for n in ("accuracy", "weighted_f1", "auc", "recall"))
+
+
+def test_threshold_search_ends_at_its_best(spark):
+    rows = registry.QUERIES["gr21_threshold_search"](spark, SF).orderBy("step").collect()
+    best = max(rows, key=lambda r: (r.objective, -r.step))
+    assert rows[-1].best == best.threshold and len(rows) <= 20
+
+
+@pytest.mark.parametrize("name", ["ml7_boosted_trees", "ml11_importances", "ml17_ablation"])
+def test_models_run_as_queries(spark, name):
+    rows = registry.QUERIES[name](spark, SF).collect()
+    assert rows and all(0 <= (r["importance"] if "importance" in r else r["f1"]) <= 1 for r in rows)
+
+
 @pytest.mark.parametrize("name", ["ml5_logistic_time_split", "gr24_graph_convolution"])
 def test_models_score_every_test_row(spark, name):
     row = registry.QUERIES[name](spark, SF).first()
