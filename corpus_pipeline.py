@@ -6,38 +6,50 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
-from cairn.llm.common import text_digest
 from cairn.operators.scratch import materialise
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without one (``und``) go."""
-    key = F.struct(F.col("doc_id").alias("i"), text_digest(F.col("text")).alias("s"))  # ids may be null or repeated
-    found = langid.identify(docs.select(key.alias("_key"), "text", "lang"), id_col="_key")
-    known = found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(F.col("_key.i").alias("_known"), F.col("_key.s").alias("_known_text")).distinct()
-    return docs.join(known, docs["doc_id"].eqNullSafe(known["_known"]) & (text_digest(docs["text"]) == known["_known_text"]), "left_semi")
+    """Rows in a learned language, each judged by its own text; those without one (``und``) go.
+
+    A null text, one without a letter, or every text where no language could be learned, is ``und``. Repeated rows are judged alike,
+    equal code lengths go to the first language by name, and a null label or id does not matter. An empty table gives an empty table.
+    """
+    return langid.known_rows(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts: the longest before normalisation, then the smallest id, a null id last.
+
+    Null, empty and blank texts are equal; of rows that repeat id and text one stays. An empty table gives an empty table.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One row of each group of near copies: that of the smallest id, a null id last, then by the digest of the text.
+
+    Texts without a word are near nothing and stay; of rows that repeat id and text one stays. An empty table gives an empty table.
+    """
     return near_dedup.drop_near_copies(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Rows that hold no window of a benchmark item, each judged by its own text.
+
+    Null and empty texts stay; items without words hit nothing; repeated rows are judged alike. An empty table gives an empty table.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources replicated to their target weights, globally shuffled."""
+    """Sources replicated to their target weights, globally shuffled, with copy and mix_rate.
+
+    A null source is a source; a null id draws as the empty string; repeated rows get the same count each; input columns named
+    copy and mix_rate are replaced. An empty table gives an empty table.
+    """
     return mixing.mix_sources(docs)
 
 
