@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from oracle import actual, expected
 
+from cairn.operators.scratch import scratch
 from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, quality_crf, queries, suffix_dedup, token_rollup, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -441,12 +442,32 @@ def test_decontaminate_a_text_of_more_ranks_than_one_key_holds(spark):
     assert got == {1: (3_000_000, 10, ["2"]), 2: (2, 0, [])}
 
 
+def copies_by_force(rows, alpha=0.5, seed=42):
+    """Copies of each row (id, source): Poisson counts by inversion at hashes, in plain Python."""
+    n = Counter(source for _, source in rows)
+    total = sum(n.values()) / sum(k**alpha for k in n.values())
+    out = Counter()
+    for i, source in rows:
+        rate = n[source] ** alpha * total / n[source]
+        draws = max(1, math.ceil(rate / mixing.SPLIT))
+        for j in range(1, draws + 1):
+            m = rate / draws
+            u = int(hashlib.md5(f"{seed}:{'' if i is None else i}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            k, p = 0, math.exp(-m)
+            c = p
+            while c <= u and k <= mixing.TABLE:
+                k += 1
+                p *= m / k
+                c += p
+            out[i] += k
+    return out
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = {x.doc_id: x for x in docs.collect()}
-    live = {x.doc_id for x in langid.identify(docs).filter("lang_pred <> 'und'").collect()}
+    rows = {x.doc_id: x for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    live = {i for i, x in rows.items() if any(c.isalpha() for c in x.text or "")}
     by_text = {}
     for i in sorted(live, key=lambda i: (-len(rows[i].text), i)):
         by_text.setdefault(re.sub(r"[\x20\x09-\x0D]", "", rows[i].text), i)
@@ -460,9 +481,34 @@ def test_pipeline_equals_brute_force(spark):
     sizes = {len(w) for w in windows}
     hit = lambda w: any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
     live = {i for i in live if not hit(words(rows[i].text))}
-    before = corpus_pipeline.mix_stage(spark, docs.filter(F.col("doc_id").isin(sorted(live))), SF)
-    got = corpus_pipeline.run(spark, SF)
-    assert Counter((x.doc_id, x.copy) for x in got.collect()) == Counter((x.doc_id, x.copy) for x in before.collect())
+    want = copies_by_force([(i, rows[i].source) for i in live])
+    got = Counter((x.doc_id, x.copy) for x in corpus_pipeline.run(spark, SF).collect())
+    assert got == Counter((i, k) for i, n in want.items() for k in range(1, n + 1))
+
+
+def test_mixing_by_weights_equals_brute_force(spark):
+    rows = [(None if i == 7 else i, "abc"[i % 7 % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = Counter(x.doc_id for x in mixing.mix_sources(docs).collect())
+    assert got == Counter({i: n for i, n in copies_by_force(rows).items() if n})
+    assert mixing.mix_sources(docs, {"a": 0.0}).count() == mixing.mix_sources(docs, {}).count() == mixing.mix_sources(docs, {"other": 1.0}).count() == 0
+    assert {x.source for x in mixing.mix_sources(docs, {"b": 2.0}).collect()} == {"b"}
+
+
+def test_suffix_dedup_leaves_nothing_behind(spark):
+    line = "This line of more than fifty bytes stands in every one of the documents."
+    docs = docs_of(spark, [(i, f"{i * 7919} {line} {i}") for i in range(600)]).repartition(2)
+    before = spark.sql("SHOW TABLES").count()
+    with scratch(spark) as name:
+        parts = suffix_dedup._parts(docs, "doc_id", "text")
+        shared = suffix_dedup._shared_anchors(suffix_dedup._anchor_blocks(parts, 4, 50), 100)
+        sent = suffix_dedup._segments(parts, shared, 4, 50).agg(F.sum(F.length("text"))).first()[0]
+        n_parts = parts.select("_part").distinct().count()
+        # a part sends the windows of a line once, however many documents hold it
+        assert sent <= n_parts * 2 * len(line) * 50
+        assert suffix_dedup.find_repeats(docs).agg(F.sum("n_removed")).first()[0] >= 599 * len(line)
+        assert spark.sql(f"SHOW TABLES IN {name}").count() > 0
+    assert spark.sql("SHOW TABLES").count() == before and not spark.catalog.databaseExists(name)
 
 
 STAGE_DOCS = DOCS + ", n_chars long, component_id long, keep_id long, lang_pred string, mix_rate double, _known long, _gone long, _id long, _text string"
