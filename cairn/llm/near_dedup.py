@@ -183,7 +183,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> D
     Rows are sorted so that a centre's text comes before those of its partners; a centre of many partners comes
     once for every ``PARTNERS`` of them, in several tasks.
     """
-    dealt = pairs.select("x", "c").join(pairs.groupBy("c").agg(F.ceil(F.count("*") / PARTNERS).alias("k")), "c").select("x", "c", F.pmod(F.xxhash64("x"), F.col("k")).alias("deal"))
+    hot = materialise(pairs.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") > PARTNERS), "hot-centres")  # counts are combined before the shuffle
+    deal = F.coalesce(F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / PARTNERS)), F.lit(0).cast("long"))
+    dealt = pairs.join(hot, "c", "left").select("x", "c", deal.alias("deal"))
     partners = dealt.join(texts, dealt["x"] == texts["_row"]).select("c", "deal", F.lit(1).alias("partner"), "x", "_text")
     centres = dealt.select("c", "deal").distinct().join(texts, F.col("c") == texts["_row"]).select("c", "deal", F.lit(0).alias("partner"), F.col("c").alias("x"), "_text")
     stream = centres.unionByName(partners).repartition("c", "deal").sortWithinPartitions("c", "deal", "partner", "x")
