@@ -500,12 +500,15 @@ def test_suffix_dedup_leaves_nothing_behind(spark):
     docs = docs_of(spark, [(i, f"{i * 7919} {line} {i}") for i in range(600)]).repartition(2)
     before = spark.sql("SHOW TABLES").count()
     with scratch(spark) as name:
-        parts = suffix_dedup._parts(docs, "doc_id", "text")
-        shared = suffix_dedup._shared_anchors(suffix_dedup._anchor_blocks(parts, 4, 50), 100)
-        sent = suffix_dedup._segments(parts, shared, 4, 50).agg(F.sum(F.length("text"))).first()[0]
-        n_parts = parts.select("_part").distinct().count()
-        # a part sends the windows of a line once, however many documents hold it
-        assert sent <= n_parts * 2 * len(line) * 50
+        sent = []
+        for n in (60, 600):
+            same = docs_of(spark, [(i, line) for i in range(n)]).repartition(2)
+            parts = suffix_dedup._parts(same, "doc_id", "text")
+            shared = suffix_dedup._shared_anchors(suffix_dedup._anchor_blocks(parts, 4, 50), 30)
+            by_part = suffix_dedup._segments(parts, shared, 4, 50).groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()
+            sent.append({x.n for x in by_part})
+        # a part sends the windows of the line once, however many of its documents hold it
+        assert sent[0] == sent[1] == {(len(line) - 49) * 50}
         assert suffix_dedup.find_repeats(docs).agg(F.sum("n_removed")).first()[0] >= 599 * len(line)
         assert spark.sql(f"SHOW TABLES IN {name}").count() > 0
     assert spark.sql("SHOW TABLES").count() == before and not spark.catalog.databaseExists(name)
