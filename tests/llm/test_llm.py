@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from oracle import actual, expected
 
 from cairn.operators.scratch import scratch
-from cairn.llm import decontaminate, exact_dedup, html_extract, langid, mixing, near_dedup, quality_crf, queries, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, quality_crf, queries, suffix_dedup, token_rollup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, kept string, copy int, score double"
@@ -685,3 +685,37 @@ def test_drop_contaminated_in_blocks_judges_rows_by_themselves(spark):
     for size in (1 << 20, 4):
         got = Counter((x.doc_id, x.text) for x in decontaminate.drop_contaminated(docs, items, block_bytes=size).collect())
         assert got == Counter([(1, "clean"), (None, "clean too"), (3, None)])
+
+
+def infilled_by_force(i, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    h = [int(hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    return (len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fill_in_middle_equals_brute_force_and_restores(spark):
+    r = random.Random(13)
+    pieces = ["word", "Wörter", " ", "\n", "<", ">", "<P", "S>", "<M", "😀", "é", "字", "1", "\\1", "$", "\t"]
+    rows = [(i, "".join(r.choice(pieces) for _ in range(r.randint(0, 40)))) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, "a <S> b"), (303, "<P>"), (304, "x"), (305, "ab " * 200_000), (306, "b" * 1_000_000), (None, "no id"), (307, "twice"), (307, "twice")]
+    out = fill_in_middle.fill_in_middle(docs_of(spark, rows))
+    assert out.columns == ["doc_id", "n", "form", "prefix", "middle", "suffix", "output"]
+    got = out.select("doc_id", "n", "form", F.length("prefix"), F.length("middle"), "output", fill_in_middle.restored(F.col("output"), F.col("form")).alias("back")).collect()
+    by_text = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    got = sorted((tuple(x) for x in got), key=lambda x: (x[0] is None, x[0] or 0))
+    for (i, text), x in zip(sorted(rows, key=by_text), got):
+        assert x[:6] == (i, *infilled_by_force(i, text)) and x[6] == (text or "")
+    assert {x[2] for x in got} == {"plain", "psm", "spm"}
+    assert fill_in_middle.fill_in_middle(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_fill_in_middle_rates(spark):
+    docs = docs_of(spark, [(i, "one two three") for i in range(400)])
+    forms = lambda **o: Counter(x.form for x in fill_in_middle.fill_in_middle(docs, **o).collect())
+    assert forms(rate=0) == {"plain": 400} and forms(rate=100, spm_rate=100) == {"spm": 400} and forms(rate=100, spm_rate=0) == {"psm": 400}
+    assert 340 <= 400 - forms()["plain"] <= 380 and forms(seed="2") != forms()
