@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, quality_crf, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, suffix_dedup, token_rollup, url_filter
 from cairn.llm.common import materialise, shared_dir
 
 
@@ -77,6 +77,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.with_next(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the rewritten texts and of the texts rebuilt from them."""
     found = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
@@ -84,7 +88,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), sha(F.col("output")).alias("output_sha256"), sha(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op4_minhash_dedup, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op4_minhash_dedup, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate, op12_order_minhash, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_decontaminate": r"""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from oracle import actual, expected
 
 from cairn.operators.scratch import scratch
-from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, quality_crf, queries, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, queries, suffix_dedup, token_rollup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, kept string, copy int, score double"
@@ -719,3 +719,96 @@ def test_fill_in_middle_rates(spark):
     forms = lambda **o: Counter(x.form for x in fill_in_middle.fill_in_middle(docs, **o).collect())
     assert forms(rate=0) == {"plain": 400} and forms(rate=100, spm_rate=100) == {"spm": 400} and forms(rate=100, spm_rate=0) == {"psm": 400}
     assert 340 <= 400 - forms()["plain"] <= 380 and forms(seed="2") != forms()
+
+
+def sketched_by_force(text, k, length, sketcher):
+    """Order MinHash by its definition, in Python's integers."""
+    m = (1 << 64) - 1
+    base = 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = (x ^ (x >> 31)) * 0x7FB5D329728EA185 & m
+        x = (x ^ (x >> 27)) * 0x81DADEF4BC2DD44D & m
+        return x ^ (x >> 33)
+
+    def kmer(s):
+        code = len(s)
+        for c in s:
+            code = (code * base + ord(c)) & m
+        return mixed(code)
+
+    width = min(k, len(text))
+    kmers = [kmer(text[i : i + width]) for i in range(len(text) - width + 1)] if width else []
+    seen, numbered = Counter(), []
+    for h in kmers:
+        seen[h] += 1
+        numbered.append(mixed((h + seen[h] * base) & m))
+    out = []
+    for factor, shift in zip(sketcher.factor.tolist(), sketcher.shift.tolist()):
+        least = sorted(range(len(kmers)), key=lambda i: (((numbered[i] >> 32) ^ shift) * factor & 0xFFFFFFFF, numbered[i]))[:length]
+        t = 0
+        for i in sorted(least):
+            t = mixed((t * base + kmers[i]) & m)
+        out.append(t >> 32)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def with_next_by_force(rows, k, length, sketcher):
+    """Results by text for rows in order of their ids."""
+    out = []
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        text, following = text or "", following or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        own, other, after = (sketched_by_force(t, k, length, sketcher) for t in (text, edited, following))
+        like = lambda a, b: sum(a[j : j + 8] == b[j : j + 8] for j in range(0, len(a), 8)) / (len(a) // 8)
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, like(own, other), like(own, after)))
+    return out
+
+
+@pytest.mark.parametrize("k, length, size", [(8, 2, 64), (3, 4, 8), (2, 1, 4)])
+def test_order_minhash_equals_brute_force(spark, k, length, size):
+    r = random.Random(12)
+    words = ["alpha", "beta", "über", "字", "😀", "a", " ", "  ", "\n"]
+    rows = [(i, "".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "x"), (63, "a" * 500), (64, "a" * 500), (65, "sev en"), (66, "ab" * 3000), (None, "the last")]
+    sketcher = order_minhash.Sketcher(k, length, size)
+    dealt = docs_of(spark, rows).repartition(3)
+    got = order_minhash.with_next(dealt, k=k, length=length, size=size)
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    by_id = lambda x: (x[0] is None, x[0] or 0)
+    assert sorted((tuple(x) for x in got.collect()), key=by_id) == with_next_by_force(rows, k, length, sketcher)
+    alone = order_minhash.fingerprints(dealt, k=k, length=length, size=size)
+    assert {x.doc_id: x.fingerprint for x in alone.collect()} == {i: sketched_by_force(t or "", k, length, sketcher) for i, t in rows}
+
+
+def test_order_minhash_cases(spark):
+    one = order_minhash.with_next(docs_of(spark, [(5, "abcdefghij")])).first()
+    assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"abcdefghab").hexdigest()
+    assert order_minhash.with_next(docs_of(spark, [(5, "a")]).limit(0)).count() == 0
+    rows = order_minhash.with_next(docs_of(spark, [(1, "same text here"), (1, "same text here"), (2, None), (None, None), (None, "")])).collect()
+    assert len(rows) == 5 and sorted(x.n_chars for x in rows) == [0, 0, 0, 14, 14] and all(x.near_edited == 1 for x in rows if not x.n_chars)
+    text = spark.createDataFrame([("b", "two words"), ("a", "one word"), ("c", "three words")], "doc_id string, text string")
+    assert {x.doc_id: x.edited_sha256 for x in order_minhash.with_next(text).collect()}["a"] == hashlib.sha256(b"one wotw").hexdigest()
+
+
+def test_order_minhash_sees_order_and_edits(spark):
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    text, moved, edited = " ".join(words), " ".join(words[1500:] + words[:1500]), " ".join(words[:2700] + words[:300])
+    docs = docs_of(spark, [(1, text), (2, moved), (3, edited)])
+    prints = lambda length: {x.doc_id: x.fingerprint for x in order_minhash.fingerprints(docs, length=length, size=256).collect()}
+    like = lambda f, a, b: sum(f[a][j : j + 8] == f[b][j : j + 8] for j in range(0, 2048, 8)) / 256
+    plain, ordered = prints(1), prints(2)
+    assert like(plain, 1, 2) > 0.95 and 0.35 < like(ordered, 1, 2) < 0.65  # half of all pairs of k-mers change their order
+    assert like(ordered, 1, 3) > 0.55
+    both = spark.createDataFrame([(ordered[1], ordered[2])], "a string, b string")
+    assert both.select(order_minhash.likeness(F.col("a"), F.col("b"))).first()[0] == like(ordered, 1, 2)
+
+
+def test_order_minhash_of_the_driver_table(spark):
+    rows = {x.doc_id: x for x in queries.op12_order_minhash(spark, SF).collect()}
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    long = [x for x in rows.values() if x.n_chars >= 400]
+    assert sum(x.near_edited for x in long) / len(long) > 0.3 and min(x.near_edited for x in long) > 0.1
+    assert sum(x.near_next for x in long) / len(long) < 0.1
