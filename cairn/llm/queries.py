@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, spelling, suffix_dedup, token_rollup, url_filter
 from cairn.llm.common import materialise, shared_dir
 
 
@@ -77,6 +77,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.word_counts(_table(spark, sf_dir, "documents"), edit_one_in=97))
+
+
 def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_next(_table(spark, sf_dir, "documents"))
 
@@ -88,7 +92,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", F.length("prefix").cast("long").alias("prefix_chars"), F.length("middle").cast("long").alias("middle_chars"), sha(F.col("output")).alias("output_sha256"), sha(fill_in_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op4_minhash_dedup, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate, op12_order_minhash, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_mix_sources, op4_minhash_dedup, op5_html_extract, op6_url_filter, op7_quality_crf, op8_exact_dedup, op9_token_counts, op10_decontaminate, op11_spelling_variants, op12_order_minhash, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_decontaminate": r"""
@@ -103,6 +107,24 @@ hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(r
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
 SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN hits h ON h.doc_id = dw.doc_id LEFT JOIN items i ON i.doc_id = dw.doc_id
+""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, run, count(*) AS k FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY doc_id, run),
+keyed AS (SELECT run, k, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(ord(c) - 64 AS BIGINT)] END)) AS bytes FROM runs),
+hashed AS (SELECT run, k, xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keyed, steps),
+edited AS (SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word
+  UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+near AS (SELECT p.word, count(*) AS n_near, max(o.n) AS best_n, arg_min(p.other, (-o.n, p.other)) AS best FROM pairs p JOIN v o ON o.word = p.other GROUP BY p.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN near ON near.word = v.word),
+walk AS (SELECT word, word AS root FROM f WHERE form IS NULL UNION ALL SELECT f.word, walk.root FROM walk JOIN f ON f.form = walk.word)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word
 """,
     "op13_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from urllib.parse import unquote
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from oracle import actual, expected
 
 from cairn.operators.scratch import scratch
-from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, queries, suffix_dedup, token_rollup, url_filter
+from cairn.llm import decontaminate, exact_dedup, fill_in_middle, html_extract, langid, mixing, near_dedup, order_minhash, quality_crf, queries, spelling, suffix_dedup, token_rollup, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, kept string, copy int, score double"
@@ -812,3 +813,68 @@ def test_order_minhash_of_the_driver_table(spark):
     long = [x for x in rows.values() if x.n_chars >= 400]
     assert sum(x.near_edited for x in long) / len(long) > 0.3 and min(x.near_edited for x in long) > 0.1
     assert sum(x.near_next for x in long) / len(long) < 0.1
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def variants_by_force(counts, ratio=2, least=3):
+    words = {w: n for w, n in counts.items() if n >= least}
+    near = {w: [v for v in words if abs(len(v) - len(w)) <= 1 and edit_distance(w, v) == 1] for w in words}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-words[v], v)) if vs else None
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 7, "block_words": 5}, {"shard_words": 40, "block_words": 16, "broadcast_bytes": 0}])
+def test_spelling_variants_equal_brute_force(spark, sizes):
+    r = random.Random(11)
+    counts = {}
+    for length in (1, 2, 3, 6, 6, 9):
+        for _ in range(60):
+            counts["".join(r.choice("abcéÿ") for _ in range(length))] = r.choice([1, 2, 3, 3, 4, 6, 9, 20, 100])
+    for w in list(counts)[::3]:  # ties, chains and repeated letters
+        counts.setdefault(w + w[-1], r.choice([3, 6, 12]))
+        counts.setdefault(w[0] + w, r.choice([3, 6, 12]))
+    counts |= {"a" * k: 3 * 2**k for k in range(1, 12)} | {"z" * 3000: 5, "z" * 3001: 11}
+    found = spelling.variant_groups(spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3), **sizes)
+    assert found.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    got = found.collect()
+    assert len(got) == len({x.word for x in got})
+    assert {x[0]: tuple(x)[1:] for x in got} == variants_by_force(counts)
+
+
+def test_spelling_tries_pack(spark):
+    words = sorted({"".join(p) for n in range(1, 5) for p in itertools.product("abé", repeat=n)})
+    trie = spelling.Trie.unpack(spelling.Trie.of(words, list(range(1, len(words) + 1))).pack())
+    for w in ["a", "ab", "aaaaa", "éab", "x", "bxb", ""]:
+        found = list(trie.near(w))
+        assert len(found) == len(dict(found)) and dict(found) == {v: words.index(v) + 1 for v in words if edit_distance(v, w) == 1}
+
+
+def test_spelling_words_of_documents(spark):
+    rows = [(1, "Straße straße STRASSE ÀB àb x×y 12ab"), (2, None), (3, ""), (None, "straße"), (4, "q" * (1 << 21) + " Straße"), (5, "naïve naïve naïve")]
+    expected_words = Counter(w for _, t in rows for w in re.findall("[a-zÀ-ÿ]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")))
+    assert {x.word: x.n for x in spelling.word_counts(docs_of(spark, rows), least_length=1).collect()} == expected_words
+    planted = Counter()
+    for w, n in Counter(re.findall("[a-z]+", "one two three four five")).items():
+        for i in range(40):
+            h = zlib.crc32(f"{i}:{w}".encode())
+            planted[w if h % 7 else w[: h % len(w)] + w[h % len(w) + 1 :]] += n
+    docs = docs_of(spark, [(i, "one two three four five") for i in range(40)])
+    assert {x.word: x.n for x in spelling.word_counts(docs, least_length=1, edit_one_in=7).collect()} == planted
+    assert spelling.variant_groups(spelling.word_counts(docs.limit(0))).count() == 0
