@@ -1,13 +1,15 @@
 """Main text of web pages: streamed parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's HTML parser streams events; every block-level element closes a line. A line's score is the logarithm of
-its text-to-tag ratio, where link text does not count as text. Elements give a prior: ``ARTICLE_PRIOR`` is added within
-``article`` and ``main``, and lines in page furniture (by element, role, class or id) start from ``FURNITURE_SCORE``. The scores of all lines in page order
-are smoothed by a Gaussian and split in two clusters by a threshold (two-means in one dimension, at most ``CEILING``); the lines above it are content.
+its text-to-tag ratio, in which link text does not count, and text in page furniture (by element, role, class or id) counts ``FURNITURE_WEIGHT``. The scores of all
+lines in page order are smoothed by a Gaussian, lines of furniture and others apart, ``ARTICLE_PRIOR`` is added within ``article`` and ``main``, and the page is split in two
+clusters by a threshold (two-means in one dimension, at most ``CEILING``); the lines above it are content. Clusters less than ``GAP`` apart are one, which
+is content if its mean is above ``FLOOR``: a page whose lines are alike is kept or left as a whole.
 
 Regions: an element is a content region if more than half of the text in it, counted without furniture inside it, is in content lines. All lines of
 a region stay, however short. A piece of furniture is a region only by its own lines. Lines that stand
-directly in the page stay from the first to the last content line among them, less those made of links.
+directly in the page stay from the first to the last content line among them, less those made of links. Where one region of several lines holds most of the
+content, branches of the page beside it with less than ``SIDE_SHARE`` of its content are not part of the text, but for headings and paragraphs.
 Scripts, styles, the head and hidden elements are no text at all.
 
 Defined cases: null or empty html gives an empty text; a page without markup is one line; blocks repeat if the page repeats them; elements that are
@@ -28,8 +30,13 @@ from pyspark.sql import functions as F
 
 SIGMA = 0.6
 CEILING = 2.5
-ARTICLE_PRIOR = 1.0
-FURNITURE_SCORE = -4.0
+ARTICLE_PRIOR = 0.5
+FURNITURE_WEIGHT = 0.02
+GAP, FLOOR = 1.5, 1.0
+#: Share of the main region's content from which a branch beside it counts.
+SIDE_SHARE = 0.15
+#: Share of the largest region's content that an inner one must hold to be the main region.
+MAIN_SHARE = 0.75
 #: Share of link text from which a line directly in the page is a menu.
 LINKED = 0.6
 # Elements that close a line, elements without an end tag, elements without text, and page furniture.
@@ -41,6 +48,7 @@ FURNITURE = frozenset("aside button datalist dialog fieldset footer form input l
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 ARTICLES = frozenset(("article", "main"))
+PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 def is_unseen(tag: str, values: dict[str, str]) -> bool:
@@ -57,12 +65,12 @@ def is_furniture(tag: str, values: dict[str, str], in_article: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines [text, tags, length of link text, element] and the elements' parents, furniture and articles. Element 0 is the page."""
+    """Collects lines [text, tags, length of link text, element] and the elements' parents, furniture, articles and tags. Element 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
-        self.parent, self.furniture, self.article = [0], [False], [False]
+        self.parent, self.furniture, self.article, self.tag = [0], [False], [False], [""]
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, unseen
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
@@ -91,6 +99,7 @@ class _Lines(HTMLParser):
             furniture = is_furniture(tag, values, self.article[element])
             if tag in BLOCKS or furniture:
                 self.parent.append(element)
+                self.tag.append(tag)
                 # an article within a banner or menu of the page is still one
                 self.furniture.append(furniture or self.furniture[element] and not (tag in ARTICLES and not self.article[element]))
                 self.article.append(self.article[element] or tag in ARTICLES)
@@ -134,42 +143,78 @@ class _Lines(HTMLParser):
         return self.lines
 
 
-def content_lines(scores: np.ndarray, sigma: float = SIGMA, ceiling: float = CEILING) -> np.ndarray:
-    """Which lines belong to the upper of two clusters of the smoothed scores."""
+def smoothed(scores: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Each score with its neighbours, weighted by a Gaussian; the ends are repeated."""
     radius = max(1, int(np.ceil(3 * sigma)))
     kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    smooth = np.convolve(np.pad(scores, radius, mode="edge"), kernel / kernel.sum(), mode="valid")
-    low, high = smooth.min(), smooth.max()
+    return np.convolve(np.pad(scores, radius, mode="edge"), kernel / kernel.sum(), mode="valid") if len(scores) else scores
+
+
+def content_lines(scores: np.ndarray, ceiling: float = CEILING) -> np.ndarray:
+    """Which lines belong to the upper of two clusters of the scores."""
+    low, high = scores.min(), scores.max()
     cut = (low + high) / 2
     for _ in range(50):
         if high - low < 1e-9:
-            return smooth > 0
-        upper = smooth > cut
-        low, high = smooth[~upper].mean(), smooth[upper].mean()
+            break
+        upper = scores > cut
+        low, high = scores[~upper].mean(), scores[upper].mean()
         if abs((low + high) / 2 - cut) < 1e-9:
             break
         cut = (low + high) / 2
-    return smooth > min(cut, ceiling)
+    if high - low < GAP:
+        return np.full(len(scores), scores.mean() > FLOOR)
+    return scores > min(cut, ceiling)
+
+
+def line_scores(ratio: np.ndarray, furniture: np.ndarray, article: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Smoothed scores of the lines of a page from their text-to-tag ratios and where they stand."""
+    out = np.log1p(np.where(furniture, FURNITURE_WEIGHT, 1.0) * ratio)
+    for kind in (furniture, ~furniture):
+        out[kind] = smoothed(out[kind], sigma)
+    return out + np.where(article, ARTICLE_PRIOR, 0.0)
 
 
 def regions(parser: _Lines, content: np.ndarray) -> list[bool]:
     """For each line: does it stand in a content region?"""
-    size, hit = [0] * len(parser.parent), [0] * len(parser.parent)
+    size, hit, count = ([0] * len(parser.parent) for _ in range(3))
     for (text, _, _, element), c in zip(parser.lines, content):
         size[element] += len(text)
         hit[element] += len(text) if c else 0
+        count[element] += 1
     inherits = [False] + [parser.furniture[e] == parser.furniture[parser.parent[e]] for e in range(1, len(size))]
     for e in range(len(size) - 1, 0, -1):  # children have higher numbers than their parents
         if inherits[e]:
             size[parser.parent[e]] += size[e]
             hit[parser.parent[e]] += hit[e]
+            count[parser.parent[e]] += count[e]
     inside = [False] * len(size)
     for e in range(1, len(size)):
         inside[e] = 2 * hit[e] > size[e] or inherits[e] and inside[parser.parent[e]]
-    direct = [parser.parent[e] == 0 and not parser.furniture[e] for *_, e in parser.lines]  # in the page itself, or in a block of it
+    side = _side(parser, hit, count)
+    direct = [parser.parent[e] == 0 and not parser.furniture[e] and not side[e] for *_, e in parser.lines]  # in the page itself, or in a block of it
     at = [i for i, d in enumerate(direct) if d and content[i]]
     first, last = (at[0], at[-1]) if at else (0, -1)
-    return [inside[e] or direct[i] and first <= i <= last and linked <= LINKED * len(text) for i, (text, _, linked, e) in enumerate(parser.lines)]
+    return [not side[e] and inside[e] or direct[i] and first <= i <= last and linked <= LINKED * len(text) for i, (text, _, linked, e) in enumerate(parser.lines)]
+
+
+def _side(parser: _Lines, hit: list[int], count: list[int]) -> list[bool]:
+    """For each element: does it stand in a small branch beside the main region? That is the innermost element of several lines with nearly all content of the largest."""
+    parent, out = parser.parent, [False] * len(parser.parent)
+    wide = [e for e in range(1, len(hit)) if count[e] > 1 and not parser.furniture[e]]
+    most = max((hit[e] for e in wide), default=0)
+    if 2 * most <= hit[0]:
+        return out
+    main = max(e for e in wide if hit[e] >= MAIN_SHARE * most)
+    above, e = {0, main}, main
+    while e:
+        e = parent[e]
+        above.add(e)
+    for e in range(1, len(hit)):
+        if e not in above:
+            branch = parent[e] in above and parent[e] != main
+            out[e] = hit[e] < SIDE_SHARE * hit[main] and parser.tag[e] not in PARAGRAPHS and not parser.article[e] if branch else out[parent[e]]
+    return out
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -183,10 +228,8 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _ in lines])
     elements = [e for *_, e in lines]
-    prior = np.array([ARTICLE_PRIOR if parser.article[e] else 0.0 for e in elements])
-    scores = np.where([parser.furniture[e] for e in elements], FURNITURE_SCORE, np.log1p(ratio) + prior)
-    content = content_lines(scores, sigma)
-    return "\n\n".join(text for (text, *_), kept in zip(lines, regions(parser, content)) if kept)
+    scores = line_scores(ratio, np.array([parser.furniture[e] for e in elements]), np.array([parser.article[e] for e in elements]), sigma)
+    return "\n\n".join(text for (text, *_), kept in zip(lines, regions(parser, content_lines(scores))) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = SIGMA) -> DataFrame:

@@ -304,18 +304,57 @@ def test_html_regions():
     assert html_extract.main_text(deep).split("\n\n") == ["Deep text of some length."] * 200
 
 
-def test_html_of_all_pages_comes_from_the_clusters(spark, monkeypatch):
-    pages = [x.html for x in spark.read.parquet(f"{SF}/pages.parquet").collect()]
-    # the pages are flat: a page's article is the text of the h1 and p elements within <article>
+def articles(pages):
+    """The text of the h1 and p elements within each page's <article>; the driver's pages are flat."""
     want = []
     for h in pages:
         article = re.search(r"<article>(.*?)</article>", h, re.S).group(1)
         blocks = [" ".join(html.unescape(re.sub(r"<(?!br)[^>]*>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:h1|p)>", article)]
-        want.append("\n\n".join(b for b in blocks if b))
-    assert [html_extract.main_text(h) for h in pages] == want
-    assert [html_extract.main_text(re.sub(r"<(/?)(article|main)\b", r"<\1div", h)) for h in pages] == want
-    monkeypatch.setattr(html_extract, "content_lines", lambda scores, *_: np.ones(len(scores), bool))
-    assert not any(html_extract.main_text(h) == w for h, w in zip(pages, want))
+        want.append([b for b in blocks if b])
+    return want
+
+
+def block_figures(pages, want):
+    """(precision, recall) of the blocks of all pages."""
+    got = [html_extract.main_text(h).split("\n\n") for h in pages]
+    both = sum((Counter(g) & Counter(w)).total() for g, w in zip(got, want))
+    return both / sum(len([x for x in g if x]) for g in got), both / sum(map(len, want))
+
+
+def test_html_of_all_pages_is_the_article(spark):
+    pages = [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = articles(pages)
+    for form in (pages, [re.sub(r"<(/?)(article|main)\b", r"<\1div", h) for h in pages]):
+        assert [html_extract.main_text(h) for h in form] == ["\n\n".join(w) for w in want]
+
+
+def test_html_without_lists_of_names(spark, monkeypatch):
+    """Articles are found with no element, role or name known as furniture and no article marked. Where every line has the ratio 1, a page is left as a whole, whatever its names are."""
+    pages = [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    unmarked, want = [re.sub(r"<(/?)(article|main)\b", r"<\1div", h) for h in pages], articles(pages)
+    real = html_extract.line_scores
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "line_scores", lambda ratio, *a: real(np.ones(len(ratio)), *a))
+        assert sum(html_extract.main_text(h) == "\n\n".join(w) for h, w in zip(pages, want)) < 0.1 * len(pages)
+    for name in ("NAMES", "ROLES"):
+        monkeypatch.setattr(html_extract, name, frozenset())
+    precision, recall = block_figures(unmarked, want)
+    assert precision > 0.98 and recall > 0.99
+    monkeypatch.setattr(html_extract, "FURNITURE", frozenset())
+    precision, recall = block_figures(unmarked, want)
+    assert precision > 0.95 and recall > 0.99
+
+
+def test_html_main_region_and_its_sides():
+    long = "A sentence of a few words, and then some more. " * 4
+    body = f"<div class=x><h2>Title</h2><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    page = f"<div><div>Buy this thing now, it is quite cheap.</div>{body}<div><span>Unknown notice at the end.</span></div></div>"
+    assert html_extract.main_text(page).split("\n\n") == ["Title", *[long.strip()] * 3]
+    assert html_extract.main_text(f"<h1>Head line</h1><p>Lead of a few words.</p>{body}").split("\n\n")[:2] == ["Head line", "Lead of a few words."]
+    flat = "".join(f"<div>{long * n}</div>" for n in (1, 3, 1, 9))
+    assert html_extract.main_text(flat).count("\n\n") == 3  # no main region: each block counts for itself
+    comments = f"<section class=comments>{''.join(f'<p>{long * 3}</p>' for _ in range(6))}</section>"
+    assert html_extract.main_text(body + comments).split("\n\n") == ["Title", *[long.strip()] * 3]
 
 
 def test_url_rules_and_terms(spark):
