@@ -8,7 +8,7 @@ is content if its mean is above ``FLOOR``: a page whose lines are alike is kept
 
 Regions: an element is a content region if more than half of the text in it, counted without furniture inside it, is in content lines. All lines of
 a region stay, however short. A piece of furniture is a region only by its own lines. Lines that stand
-directly in the page stay from the first to the last content line among them, less those made of links. Where one region of several lines holds most of the
+directly in the page stay from the first to the last content line among them, with the headings above the first and less those made of links. Where one region of several lines holds most of the
 content, branches of the page beside it with less than ``SIDE_SHARE`` of its content are not part of the text, but for headings and paragraphs.
 Scripts, styles, the head and hidden elements are no text at all.
 
@@ -48,7 +48,8 @@ FURNITURE = frozenset("aside button datalist dialog fieldset footer form input l
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 ARTICLES = frozenset(("article", "main"))
-PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | {"p"}
 
 
 def is_unseen(tag: str, values: dict[str, str]) -> bool:
@@ -195,6 +196,8 @@ def regions(parser: _Lines, content: np.ndarray) -> list[bool]:
     direct = [parser.parent[e] == 0 and not parser.furniture[e] and not side[e] for *_, e in parser.lines]  # in the page itself, or in a block of it
     at = [i for i, d in enumerate(direct) if d and content[i]]
     first, last = (at[0], at[-1]) if at else (0, -1)
+    while at and first and direct[first - 1] and parser.tag[parser.lines[first - 1][3]] in HEADINGS:
+        first -= 1
     return [not side[e] and inside[e] or direct[i] and first <= i <= last and linked <= LINKED * len(text) for i, (text, _, linked, e) in enumerate(parser.lines)]
 
 
