@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 0.6
-CEILING = 2.5
+CEILING = 3.0
 ARTICLE_PRIOR = 0.5
-FURNITURE_WEIGHT = 0.02
+FURNITURE_WEIGHT = 0.01
 GAP, FLOOR = 1.5, 1.0
 #: Share of the main region's content from which a branch beside it counts.
 SIDE_SHARE = 0.15
