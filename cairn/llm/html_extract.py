@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 0.6
-CEILING = 3.0
+CEILING = 2.5
 ARTICLE_PRIOR = 0.5
 FURNITURE_WEIGHT = 0.01
 GAP, FLOOR = 1.5, 1.0
