@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training documents.
 
-Each task cuts its documents into shards of about ``SHARD_WORDS`` words and builds the word suffix array
+Each task cuts its documents into shards of about ``SHARD_BYTES`` of text and builds the word suffix array
 of every shard: words become ranks in the vocabulary of the test items (other words are one rank below
 all of them, and no suffix begins there), and the suffixes are sorted by tripling the sorted depth
 until it passes a window. A word has an item's rank only if it is that word byte by byte: hashes choose
@@ -13,8 +13,8 @@ locations. The words of all occurrences are the hits of a document, and the item
 Every occurrence is then extended: its place in the suffix array of the items gives the longest verbatim
 match that starts there. Shared runs of fewer words than a window are no matches and are not reported.
 
-The test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents a block (usually one).
-``find_contamination`` unites the blocks' hits by document; ``drop_contaminated`` filters the rows in the pass that reads them, so no document is shuffled.
+The test items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text (usually one). The documents are read once whatever their number: a task holds a shard of
+documents and loads block after block, one at a time. ``drop_contaminated`` filters the rows in the pass that reads them, so no document is shuffled.
 
 Defined cases: a null text has no words, and an item without words no window; rows that repeat a document are each
 judged by their own text; repeated item ids count as one item, and a null item id counts with the empty string as its name;
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import kept_rows, lookup_table, materialise, same_words, text_slices, words_of
+from cairn.llm.common import kept_rows, lookup_table, same_words, text_slices, words_of
 
 WINDOW = 10
-SHARD_WORDS = 1 << 19
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 4 << 20
 #: Names of items in an output batch, about.
 BATCH_NAMES = 1 << 16
@@ -218,104 +218,100 @@ def _spans(hit: np.ndarray, at: np.ndarray) -> list[list[dict[str, int]]]:
     return [[{"start": int(x - at[i]), "end": int(y - at[i])} for x, y in zip(b[first[i] : first[i + 1]], e[first[i] : first[i + 1]])] for i in range(len(at) - 1)]
 
 
-def _shards(batches: Iterator[pa.RecordBatch], items: Items, window: int, text_at: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, dict[str, np.ndarray]]]:
-    """(rows, word offsets, matches) shard by shard; ``text_at`` is the position of the text column."""
-    held, words = [], 0
+class Blocks:
+    """The test items in blocks of at most ``block_bytes`` of text, about, each broadcast as it is made. Iterating loads them one by one."""
+
+    def __init__(self, benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int):
+        tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+        size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
+        self.parts = []
+        for k in range(n):
+            rows = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).orderBy("name", "text").collect()
+            self.parts.append(tests.sparkSession.sparkContext.broadcast(Items([r["name"] for r in rows], [r["text"] for r in rows], window)))
+
+    def __iter__(self) -> Iterator[Items]:
+        for part in self.parts:
+            yield part.value
+            if len(self.parts) > 1:
+                vars(part).pop("_value", None)  # else a task would hold all of them
+
+
+class Shard:
+    """The documents of a shard with what all blocks of items have in common with them: hit words, names of items by document, longest matches."""
+
+    def __init__(self, held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], blocks: Blocks, window: int):
+        self.rows = [x[0] for x in held]
+        self.found: dict[int, list[list[str]]] = {}
+        for k, items in enumerate(blocks):
+            ranked = [items.ranks(data, offsets) for _, data, offsets in held]
+            self.at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in ranked]))])
+            m = shard_matches(np.concatenate([r for r, _ in ranked]), self.at, items, window)
+            if not k:
+                n = len(self.at) - 1
+                self.hit, self.longest, self.place, self.item = m["hit"], np.zeros(n, np.int64), np.full(n, -1), np.full(n, None, object)
+            self.hit = self.hit | m["hit"]
+            names = {i: [items.names[o] for o in items.lists[i]] for i in np.unique(m["list"]).tolist()}
+            for doc, i in zip(m["doc"].tolist(), m["list"].tolist()):
+                self.found.setdefault(doc, []).append(names[i])
+            for doc, size, place, item in zip(*(m[f"long_{c}"].tolist() for c in ("doc", "len", "at", "item"))):
+                if (size, -place, items.names[item]) > (self.longest[doc], -self.place[doc], self.item[doc] or ""):
+                    self.longest[doc], self.place[doc], self.item[doc] = size, place, items.names[item]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], blocks: Blocks, window: int, text_at: int) -> Iterator[Shard]:
+    """``text_at`` is the position of the text column."""
+    held, size = [], 0
     for b in batches:
         for lo, hi, data, offsets in text_slices(b.column(text_at)):
-            r, at = items.ranks(data, offsets)
-            held.append((b.slice(lo, hi - lo), r, at))
-            words += len(r)
-            if words >= SHARD_WORDS:
-                yield _matched(held, items, window)
-                held, words = [], 0
+            held.append((b.slice(lo, hi - lo), data, offsets))
+            size += len(data)
+            if size >= SHARD_BYTES:
+                yield Shard(held, blocks, window)
+                held, size = [], 0
     if held:
-        yield _matched(held, items, window)
+        yield Shard(held, blocks, window)
 
 
-def _matched(held, items: Items, window: int):
-    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in held]))])
-    return [x[0] for x in held], at, shard_matches(np.concatenate([x[1] for x in held]), at, items, window)
+_OUT = "_id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest_words long, longest_item string, longest_at long"
 
 
-_OUT = "_row long, _id {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest_words long, longest_item string, longest_at long"
-
-
-def _one_block(docs: DataFrame, items: Items, window: int) -> DataFrame:
-    model = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_BYTES of text
-    kind = docs.schema["_id"].dataType.simpleString()
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, n_words, n_hit, spans, items (names, sorted), longest_words, longest_item, longest_at (0, null and -1 without a hit)."""
+    blocks = Blocks(benchmark, window, item_col, item_text_col, block_bytes)
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = base.schema["_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = model.value
-        for rows, at, m in _shards(batches, items, window, 2):
-            n = len(at) - 1
-            bound = np.searchsorted(m["doc"], np.arange(n + 1))
-            longest, name, place = np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
-            longest[m["long_doc"]], place[m["long_doc"]], name[m["long_doc"]] = m["long_len"], m["long_at"], m["long_item"]
-            row, own = (pa.concat_arrays([x.column(k) for x in rows]) for k in (0, 1))
-            spans, found, size, done = _spans(m["hit"], at), [], 0, 0
+        for shard in _shards(batches, blocks, window, 1):
+            n, spans = len(shard.at) - 1, _spans(shard.hit, shard.at)
+            own = pa.concat_arrays([x.column(0) for x in shard.rows])
+            found, size, done = [], 0, 0
             for d in range(n):
-                lists = m["list"][bound[d] : bound[d + 1]]
-                found.append([items.names[i] for i in np.unique(np.concatenate([items.lists[k] for k in lists]))] if len(lists) else [])
+                found.append(sorted(set().union(*shard.found.get(d, ()))))
                 size += len(found[-1])
                 if size >= BATCH_NAMES or d == n - 1:
                     part = slice(done, d + 1)
-                    columns = [row[part], own[part], pa.array(np.diff(at)[part]), pa.array(spans[part], span), pa.array(found, pa.list_(pa.string())), pa.array(longest[part]), pa.array([items.names[i] if i >= 0 else None for i in name[part]], pa.string()), pa.array(place[part])]
-                    yield pa.RecordBatch.from_arrays(columns, ["_row", "_id", "n_words", "spans", "items", "longest_words", "longest_item", "longest_at"])
+                    columns = [own[part], pa.array(np.diff(shard.at)[part]), pa.array(spans[part], span), pa.array(found, pa.list_(pa.string())), pa.array(shard.longest[part]), pa.array(shard.item[part].tolist(), pa.string()), pa.array(shard.place[part])]
+                    yield pa.RecordBatch.from_arrays(columns, ["_id", "n_words", "spans", "items", "longest_words", "longest_item", "longest_at"])
                     found, size, done = [], 0, d + 1
 
-    return docs.mapInArrow(run, _OUT.format(kind=kind))
-
-
-def _blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> list[Items]:
-    """The items in blocks of at most ``block_bytes`` of text, about."""
-    tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    size = tests.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    out = []
-    for k in range(n):
-        rows = tests.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k).orderBy("name", "text").collect()
-        out.append(Items([r["name"] for r in rows], [r["text"] for r in rows], window))
-    return out
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, n_words, n_hit, spans, items (names, sorted), longest_words, longest_item, longest_at (0, null and -1 without a hit)."""
-    blocks = _blocks(benchmark, window, item_col, item_text_col, block_bytes)
-    base = docs.select(F.lit(0).cast("long").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    if len(blocks) > 1:  # rows need a name of their own while the blocks' results are apart
-        base = materialise(base.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-    parts = None
-    for items in blocks:
-        block = _one_block(base, items, window)
-        parts = block if parts is None else parts.unionByName(block)
-    if len(blocks) > 1:
-        best = F.max(F.struct("longest_words", (-F.col("longest_at")).alias("a"), "longest_item", "longest_at"))
-        merged = parts.groupBy("_row", "_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
-        none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-        grow = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-        parts = merged.select("_row", "_id", "n_words", F.aggregate("all", none, grow).alias("spans"), "items", "b.longest_words", "b.longest_item", "b.longest_at")
     hits = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return parts.select(F.col("_id").alias(id_col), "n_words", hits.alias("n_hit"), "spans", "items", "longest_words", "longest_item", "longest_at")
+    return base.mapInArrow(run, _OUT.format(kind=kind)).select(F.col("_id").alias(id_col), "n_words", hits.alias("n_hit"), "spans", "items", "longest_words", "longest_item", "longest_at")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows whose text has no hit, with all their columns. Every row is judged by its own text, in the pass that reads it."""
-    text_at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, window, item_col, item_text_col, block_bytes):
-        docs = kept_rows(docs, _clean(docs.sparkSession.sparkContext.broadcast(items), window, text_at))
-    return docs
-
+    text_at, blocks = docs.columns.index(text_col), Blocks(benchmark, window, item_col, item_text_col, block_bytes)
 
-def _clean(model, window: int, text_at: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        for rows, at, m in _shards(batches, model.value, window, text_at):
-            total = np.concatenate([[0], np.cumsum(m["hit"])])
-            clean = total[at[1:]] == total[at[:-1]]
+        for shard in _shards(batches, blocks, window, text_at):
+            total = np.concatenate([[0], np.cumsum(shard.hit)])
+            clean = total[shard.at[1:]] == total[shard.at[:-1]]
             done = 0
-            for x in rows:
+            for x in shard.rows:
                 yield x, clean[done : done + x.num_rows]
                 done += x.num_rows
 
-    return keep
+    return kept_rows(docs, keep)

@@ -917,3 +917,20 @@ def test_spelling_words_of_documents(spark):
     docs = docs_of(spark, [(i, "one two three four five") for i in range(40)])
     assert {x.word: x.n for x in spelling.word_counts(docs, least_length=1, edit_one_in=7).collect()} == planted
     assert spelling.variant_groups(spelling.word_counts(docs.limit(0))).count() == 0
+
+
+def test_decontaminate_in_many_blocks_is_one_pass(spark):
+    """Some fifty blocks of items give the rows of one block, in one Python stage, with one block in memory at a time."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    size = items.selectExpr("sum(octet_length(text))").first()[0]
+    whole, parts = decontaminate.find_contamination(docs, items), decontaminate.find_contamination(docs, items, block_bytes=size // 25)
+    columns = ["doc_id", "n_words", "n_hit", "spans", "items"]
+    assert sorted(map(str, whole.select(*columns).collect())) == sorted(map(str, parts.select(*columns).collect()))
+    left = [decontaminate.drop_contaminated(docs, items, block_bytes=b) for b in (1 << 22, size // 25)]
+    assert sorted(x.doc_id for x in left[0].collect()) == sorted(x.doc_id for x in left[1].collect())
+    for df in (parts, left[1]):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    blocks = decontaminate.Blocks(items, 10, "item_id", "text", size // 25)
+    assert len(blocks.parts) >= 40
+    for items_of_block in blocks:
+        assert isinstance(items_of_block, decontaminate.Items) and sum("_value" in vars(p) for p in blocks.parts) <= 1
