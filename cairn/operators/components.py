@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Null endpoints are ignored; a self loop makes a vertex of its own.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    pairs = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
     vertices = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     links = materialise(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(max_rounds):

@@ -11,14 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import edge_risk, hour_of, objective, uniform
+from cairn.functions.scalar import edge_risk, hour_of, uniform
 from cairn.operators.components import connected_components
-from cairn.operators.relational import Chain, confusion, metrics
+from cairn.operators.relational import Chain
 from cairn.operators.scratch import Growing, materialise
 
-#: Different risks that a threshold search works through.
-MAX_CUTS = 256
-
 
 def sources_of(edges: DataFrame) -> DataFrame:
     """(id) of vertices with an outgoing edge and no incoming one."""
@@ -178,9 +175,12 @@ def temporal_forest(tx: DataFrame) -> DataFrame:
 
 
 def walks_to_sinks(successor: DataFrame) -> DataFrame:
-    """(id, sink, hops) by pointer doubling over an acyclic successor function."""
+    """(id, sink, hops) by pointer doubling over an acyclic successor function; a cycle raises an error."""
     jump = materialise(successor.select(F.col("src").alias("id"), F.col("dst").alias("sink"), F.lit(1).cast("long").alias("hops")), "jump")
+    n, reach = jump.count(), 1
     while True:
+        if reach > 2 * n + 1:
+            raise ValueError("the successors have a cycle")
         far = jump.select(F.col("id").alias("sink"), F.col("sink").alias("z"), F.col("hops").alias("more"))
         step = jump.join(far, "sink", "left")
         jump = materialise(step.select("id", F.coalesce("z", "sink").alias("sink"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("z").isNotNull().alias("moved")), "jump")
@@ -188,6 +188,7 @@ def walks_to_sinks(successor: DataFrame) -> DataFrame:
         jump = jump.drop("moved")
         if not moved:
             return jump
+        reach *= 2
 
 
 def best_predecessor(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -205,14 +206,17 @@ def chain_predecessor(chain: Chain, nodes: DataFrame) -> DataFrame:
 def trace(successor: DataFrame, start: DataFrame) -> DataFrame:
     """(start, id, hops): the walks from the ids of ``start`` along an acyclic successor function (src, dst).
 
-    Round k holds the first 2^k vertices of each walk and adds as many by jumps of 2^k steps, so rounds are logarithmic in the longest.
+    Round k holds the first 2^k vertices of each walk and adds as many by jumps of 2^k steps, so rounds are logarithmic in the longest. A cycle that a walk enters raises an error.
     """
     jump = materialise(successor.select("src", "dst"), "jump")
+    n = jump.count()
     path, span = materialise(start.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("hops")), "trace"), 1
     while True:
         step = materialise(path.join(jump, path["id"] == jump["src"]).select("start", F.col("dst").alias("id"), (F.col("hops") + span).alias("hops")), "trace")
         if step.isEmpty():
             return path
+        if span > n:
+            raise ValueError("the successors have a cycle")
         path = path.unionByName(step)
         jump = materialise(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")), "jump")
         span *= 2
@@ -271,36 +275,6 @@ def same_group(tx: DataFrame, components: DataFrame) -> DataFrame:
     return rows.select("tx_id", "is_laundering", F.coalesce(F.col("sender_group") == F.col("receiver_group"), F.lit(False)).cast("int").alias("predicted"))
 
 
-def threshold_groups(edges: DataFrame) -> list[tuple[float, DataFrame]]:
-    """(cut, groups) for every risk that occurs, the highest first, and before them infinity, where every account is alone.
-
-    The groups of a cut are those of the cut above, joined by the edges of exactly this risk, so every edge is used once. Cuts are few
-    by the rules that make the risks; more than ``MAX_CUTS`` raise an error.
-    """
-    cuts = [r["risk"] for r in edges.groupBy("risk").count().orderBy(F.desc("risk")).limit(MAX_CUTS + 1).collect()]
-    if len(cuts) > MAX_CUTS:
-        raise ValueError(f"more than {MAX_CUTS} different risks: round them first")
-    groups = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().select("id", F.col("id").alias("component"))
-    groups = materialise(groups, "cut-groups")
-    out = [(float("inf"), groups)]
-    for cut in cuts:
-        at = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))  # noqa: E731, B023
-        joined = edges.filter(F.col("risk") == cut).join(at("src"), "src").join(at("dst"), "dst").filter("src_group <> dst_group")
-        merged = connected_components(joined, "src_group", "dst_group").select(F.col("id").alias("component"), F.col("component").alias("to"))
-        groups = materialise(groups.join(merged, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "cut-groups")
-        out.append((cut, groups))
-    return out
-
-
-def threshold_scores(tx: DataFrame, edges: DataFrame) -> DataFrame:
-    """(threshold, precision, recall, f1, objective) at every cut that the risks distinguish, and at infinity."""
-    rows = []
-    for cut, groups in threshold_groups(edges):
-        scored = metrics(confusion(same_group(tx, groups), F.col("is_laundering"), F.col("predicted")))
-        rows.append(scored.select(F.lit(cut).alias("threshold"), "precision", "recall", "f1", objective(F.col("recall"), F.col("f1")).alias("objective")))
-    return materialise(reduce(DataFrame.unionByName, rows), "thresholds")
-
-
 def tabu_search(scores: list[tuple[float, ...]], start: float = 1.5, step: float = 0.2, low: float = 0.1, high: float = 3.0, memory: int = 5, rounds: int = 20) -> list[tuple]:
     """(threshold, precision, recall, f1, objective, best threshold so far) of every step.
 

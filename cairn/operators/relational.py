@@ -168,15 +168,25 @@ def previous(df: DataFrame, key: str, order: list[str], value: str, name: str) -
 
     A key of any number of rows is spread over tasks: only the last row of each chunk is handed on. Rows without a key have no row before them.
     """
-    known = df.filter(F.col(key).isNotNull())
-    parts = chunked(known, [key, *order])
+    every = chunked(df, [key, *order])
+    parts = every.filter(F.col(key).isNotNull())
     spans = spanning(parts, key)
     last = parts.join(F.broadcast(spans), [key, "_p"]).groupBy(key, "_p").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_v"))
     carry = last.select(key, "_p", F.lag("_v").over(Window.partitionBy(key).orderBy("_p")).alias("_c"))
     here = Window.partitionBy("_p", key).orderBy(*order)
     rows = parts.withColumn("_first", F.row_number().over(here) == 1).withColumn("_own", F.lag(value).over(here)).join(F.broadcast(carry), [key, "_p"], "left")
     out = rows.withColumn(name, F.when(F.col("_first"), F.col(f"_c.{value}")).otherwise(F.col("_own"))).select(*df.columns, name)
-    return out.unionByName(df.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast(df.schema[value].dataType)).select(*df.columns, name))
+    return out.unionByName(every.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast(df.schema[value].dataType)).select(*df.columns, name))
+
+
+def running_totals(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """The rows with below_<value>: the sum of each value over the rows of lower ``order``, which must be unique; found chunk by chunk."""
+    parts = chunked(df, [order], "running")
+    every = Window.orderBy("_p")  # a row a chunk
+    sums = parts.groupBy("_p").agg(*(F.sum(v).alias(v) for v in values)).select("_p", *((F.sum(v).over(every) - F.col(v)).alias(f"_o_{v}") for v in values))
+    here = Window.partitionBy("_p").orderBy(order)
+    local = parts.select("*", *((F.sum(v).over(here) - F.col(v)).alias(f"_l_{v}") for v in values)).join(F.broadcast(sums), "_p")
+    return local.select(*df.columns, *((F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"below_{v}") for v in values))
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import graph, learning, relational
+from cairn.operators import graph, learning, merge_tree, relational, strong
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise, shared_dir
 from cairn.sources import transactions as source
@@ -512,7 +512,7 @@ v AS (SELECT cut AS threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0
 SELECT *, 0.6 * recall + 0.4 * f1 AS objective FROM v""")
 def gr21_threshold_scores(spark, sf_dir):
     t = tx(spark, sf_dir)
-    return graph.threshold_scores(t, materialise(graph.account_edges(t), "account-edges"))
+    return merge_tree.threshold_scores(t, materialise(graph.account_edges(t), "account-edges"))
 
 
 @query()
@@ -925,13 +925,27 @@ def fn12_label_or_flag(spark, sf_dir):
     return mutual_flags(tx(spark, sf_dir)).select("tx_id", F.greatest("is_laundering", "mutual").alias("label"))
 
 
-@query(CLOSURE + ", core AS (SELECT src, dst FROM pairs WHERE src <> dst AND src IN (SELECT id FROM after) AND src IN (SELECT id FROM before) AND dst IN (SELECT id FROM after) AND dst IN (SELECT id FROM before))\nSELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST(sender = receiver OR (sender, receiver) IN (SELECT (src, dst) FROM core) AS INTEGER) AS cyclic FROM txn)")
+#: Which accounts reach which over the distinct pairs of ``large``, the transfers from LARGE on, where some lie on cycles and some don't.
+LARGE = 450000
+LARGE_CLOSURE = f""", large AS (SELECT * FROM txn WHERE amount >= {LARGE}), e AS (SELECT DISTINCT sender AS src, receiver AS dst FROM large),
+re(src, dst) AS (SELECT src, dst FROM e UNION SELECT re.src, e.dst FROM re JOIN e ON e.src = re.dst)
+"""
+
+
+@query(LARGE_CLOSURE + "SELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST((receiver, sender) IN (SELECT (src, dst) FROM re) OR sender = receiver AS INTEGER) AS cyclic FROM large)")
 def gr4_cyclic_transfers(spark, sf_dir):
-    """Transfers that may close a cycle of accounts: to oneself, or along an edge of the core; and the label or that flag."""
-    t = tx(spark, sf_dir)
-    core = graph.cycle_core(graph.account_edges(t)).select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), F.lit(1).alias("core"))
-    flag = F.when(F.col("sender") == F.col("receiver"), 1).otherwise(F.coalesce("core", F.lit(0)))
-    return t.join(core, ["sender", "receiver"], "left").select("tx_id", flag.alias("cyclic"), F.greatest("is_laundering", flag).alias("label"))
+    """Large transfers whose edge lies on a cycle of large transfers: to oneself, or within a strongly connected component; and the label or that flag."""
+    t = materialise(tx(spark, sf_dir).filter(F.col("amount") >= LARGE), "large")
+    flags = strong.cyclic_edges(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")))
+    flags = flags.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), "cyclic")
+    return t.join(flags, ["sender", "receiver"]).select("tx_id", "cyclic", F.greatest("is_laundering", "cyclic").alias("label"))
+
+
+@query(LARGE_CLOSURE + """, both_ways AS (SELECT a.src AS id, a.dst AS other FROM re a JOIN re b ON a.src = b.dst AND a.dst = b.src UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e)
+SELECT id, min(other) AS component FROM both_ways GROUP BY 1""")
+def gr4_strong_components(spark, sf_dir):
+    t = tx(spark, sf_dir).filter(F.col("amount") >= LARGE)
+    return strong.strong_components(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")))
 
 
 @query(RISK_GROUPS + ", d AS (SELECT component, count(*) AS n, sum(is_laundering) AS flagged FROM txn JOIN comp ON comp.id = sender GROUP BY 1) SELECT component, n, CAST(flagged AS BIGINT) AS flagged, row_number() OVER (ORDER BY flagged DESC, component) AS place FROM d")

@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import graph, learning, relational, scratch
+from cairn.operators import graph, learning, merge_tree, relational, scratch, strong
 from cairn.operators.components import connected_components
+from cairn.operators.scratch import materialise
 from cairn.operators.shipping import ship
+from cairn.plans import registry
 from cairn.sources import transactions as source
 from cairn.streaming import transfers as streaming
 
@@ -91,20 +93,60 @@ def test_tabu_steps_to_the_best_neighbour():
     assert graph.tabu_search([], rounds=3)[0] == (1.3, 0.0, 0.0, 0.0, 0.0, 1.5)
 
 
-@pytest.mark.parametrize("seed", [21, 22])
-def test_threshold_groups_equal_components_of_each_cut(spark, seed):
-    r = random.Random(seed)
-    rows = [(r.randrange(30), r.randrange(30), r.randrange(200) / 2) for _ in range(60)]
-    edges = spark.createDataFrame(rows, "src long, dst long, risk double")
-    for cut, groups in graph.threshold_groups(edges)[::9]:
-        want = union_find([(0, a, b) for a, b, w in rows if w >= cut] + [(0, v, v) for a, b, _ in rows for v in (a, b)])[0]
-        assert {x.id: x.component for x in groups.collect()} == want
+def same_groups_by_force(rows, cuts):
+    """By cut: the group of every account."""
+    ends = [(0, v, v) for a, b, _ in rows for v in (a, b)]
+    return {cut: union_find([(0, a, b) for a, b, w in rows if w >= cut] + ends)[0] for cut in cuts}
+
+
+def test_merge_tree_gives_the_groups_of_every_cut(spark):
+    r = random.Random(21)
+    rows = [(r.randrange(40), r.randrange(40), r.randrange(60) / 2) for _ in range(70)] + [(100 + i, 101 + i, 50.0 - i % 7) for i in range(30)] + [(200, 200, 3.0)]
+    edges = spark.createDataFrame([*rows, rows[0]], "src long, dst long, risk double")
+    tree = materialise(merge_tree.merge_tree(edges), "tree")
+    cuts = sorted({w for *_, w in rows} | {0.25, 99.0})
+    want = same_groups_by_force(rows, cuts)
+    vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    for cut in cuts[::12]:
+        assert {x.id: x.component for x in merge_tree.groups_at(tree, vertices, cut).collect()} == want[cut]
+    ids = sorted(want[99.0])
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids[::3]], "src long, dst long")
+    for x in merge_tree.last_cut(tree, pairs).collect():
+        together = [c for c in cuts if want[c][x.src] == want[c][x.dst]]
+        assert x.cut == (float("inf") if x.src == x.dst else max((c for c in together if c != 0.25), default=None))
+
+
+def test_ten_thousand_different_risks(spark):
+    """All cuts of 10,000 different risks from one tree: scores equal those of a scan from the highest risk down."""
+    r = random.Random(10)
+    n = 10_000
+    rows = [(i, r.randrange(2500), r.randrange(2500), i, r.random(), r.randrange(2)) for i in range(n)]
+    edges = spark.createDataFrame([(x[1], x[2], x[4]) for x in rows], "src long, dst long, risk double")
+    found = {x.threshold: (x.precision, x.recall) for x in merge_tree.threshold_scores(frame(spark, rows), edges).collect()}
+    assert len(found) == n + 1
+    parent = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    positive = sum(x[5] for x in rows)
+    for k, x in enumerate(sorted(rows, key=lambda x: -x[4])):
+        parent[find(x[1])] = find(x[2])
+        if k % 1500 == 0:
+            together = [y[5] for y in rows if find(y[1]) == find(y[2])]
+            assert found[x[4]] == (sum(together) / len(together), sum(together) / positive)
 
 
-def test_too_many_thresholds_raise(spark):
-    edges = spark.range(graph.MAX_CUTS + 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.col("id").cast("double").alias("risk"))
-    with pytest.raises(ValueError, match="round them first"):
-        graph.threshold_groups(edges)
+def test_walks_on_cycles_raise(spark):
+    successor = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "src long, dst long")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.walks_to_sinks(successor)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.trace(successor, spark.createDataFrame([(1,)], "id long"))
+    assert [tuple(x) for x in graph.trace(successor, spark.createDataFrame([(4,)], "id long")).collect()] == [(4, 4, 0), (4, 5, 1)]
 
 
 def longest_paths(edges):
@@ -336,3 +378,49 @@ def test_late_rows_and_second_deliveries(spark, tmp_path):
     assert sorted((r.window_start, r.n, float(r.total)) for r in totals.collect()) == [(0, 2, 10.0), (day, 1, 7.0)]
     kept = streaming.drain(streaming.first_deliveries(arrivals).select("tx_id"), str(tmp_path / "kept"))
     assert sorted(r.tx_id for r in kept.collect()) == [1, 2, 3]
+
+
+def strong_by_force(edges):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+        after.setdefault(b, set())
+    reach = {}
+    for v in after:
+        seen, todo = {v}, [v]
+        while todo:
+            for w in after[todo.pop()] - seen:
+                seen.add(w)
+                todo.append(w)
+        reach[v] = seen
+    return {v: min(w for w in reach[v] if v in reach[w]) for v in after}
+
+
+SHAPES = {
+    "bridge": [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)],
+    "long ring with a tail": [(i, (i + 1) % 90) for i in range(90)] + [(5, 100), (100, 101), (200, 7)],
+    "two rings at one vertex": [(0, 1), (1, 2), (2, 0), (0, 11), (11, 12), (12, 13), (13, 0)],
+    "chain of pairs": [e for i in range(0, 24, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))],
+    "no cycle": [(1, 2), (1, 3), (2, 4), (3, 4)],
+    "loops": [(1, 1), (1, 2), (3, 3)],
+}
+
+
+@pytest.mark.parametrize("graph_of", ["shapes", "random"])
+def test_strong_components_equal_brute_force(spark, graph_of):
+    """All shapes side by side in one table, with ends of null, repeated edges and another column; and a sparse random graph."""
+    r = random.Random(2)
+    shapes = [(1000 * k + a, 1000 * k + b) for k, edges in enumerate(SHAPES.values()) for a, b in edges]
+    edges = shapes if graph_of == "shapes" else [(r.randint(0, 90), r.randint(0, 90)) for _ in range(115)]
+    want = strong_by_force(edges)
+    table = spark.createDataFrame([*edges, edges[0], (None, 1), (2, None)], "src long, dst long").withColumn("component", F.lit("x"))
+    assert {x.id: x.component for x in strong.strong_components(table).collect()} == want
+    if graph_of == "random":
+        assert {(x.src, x.dst): x.cyclic for x in strong.cyclic_edges(table).collect()} == {(a, b): int(want[a] == want[b]) for a, b in edges}
+    else:
+        assert strong.strong_components(table.limit(0)).count() == 0
+
+
+def test_cyclic_flags_differ(spark):
+    flags = {x.cyclic for x in registry.QUERIES["gr4_cyclic_transfers"](spark, "/root/testdata/sf0.01").select("cyclic").distinct().collect()}
+    assert flags == {0, 1}
