@@ -339,16 +339,27 @@ def smoothed_features(edges: DataFrame, features: DataFrame, names: list[str], h
     return features
 
 
+def _undirected(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(both directions of the distinct edges between different vertices, all vertices)."""
+    both = materialise(edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct(), "undirected")
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).filter("id IS NOT NULL")
+    return both, materialise(ends.distinct(), "vertices")
+
+
+def _pivots(vertices: DataFrame, pivots: int, seed: int) -> DataFrame:
+    """(id): the vertices of least hash."""
+    return vertices.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), "id").limit(pivots)
+
+
 def pivot_closeness(edges: DataFrame, pivots: int = 16, seed: int = 42) -> DataFrame:
     """(id, reached, distance, closeness): of every account, the pivots that it reaches in the undirected graph, the sum of its distances to them, and their ratio (0 without one).
 
     Closeness to all accounts takes a search from each; these are searches from ``pivots`` accounts of least hash, all at once, one join a step.
     """
-    both = materialise(edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct(), "undirected")
-    vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    chosen = vertices.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), "id").limit(pivots)
-    near = Growing(edges.sparkSession, "start long, id long, d long", "distances")
-    front = materialise(chosen.select(F.col("id").alias("start"), "id"), "front")
+    both, vertices = _undirected(edges)
+    kind = dict(vertices.dtypes)["id"]
+    near = Growing(edges.sparkSession, f"start {kind}, id {kind}, d long", "distances")
+    front = materialise(_pivots(vertices, pivots, seed).select(F.col("id").alias("start"), "id"), "front")
     d = 0
     while not front.isEmpty():
         near.add(front.select("start", "id", F.lit(d).cast("long").alias("d")))
@@ -358,6 +369,36 @@ def pivot_closeness(edges: DataFrame, pivots: int = 16, seed: int = 42) -> DataF
     return vertices.join(sums, "id", "left").na.fill(0, ["reached", "distance"]).withColumn("closeness", F.when(F.col("distance") > 0, F.col("reached") / F.col("distance")).otherwise(0.0))
 
 
+def pivot_betweenness(edges: DataFrame, pivots: int = 16, seed: int = 42) -> DataFrame:
+    """(id, betweenness): how many shortest paths of the undirected graph lead through each account, by searches from ``pivots`` accounts of least hash.
+
+    Forward, all pivots at once, each level holds its vertices with the number of shortest paths to them. Backward, level by level, a vertex gets from
+    each one beyond it the share of its paths that pass here, times 1 and what that one has itself. Sums are scaled from the pivots to all
+    accounts, and halved, since a path has two ends; with all accounts as pivots they are exact. Both ways each level is a join and a sum whose parts are combined before the shuffle.
+    """
+    both, vertices = _undirected(edges)
+    kind, n = dict(vertices.dtypes)["id"], vertices.count()
+    levels = Growing(edges.sparkSession, f"start {kind}, id {kind}, d int, paths double", "paths")
+    front, d = materialise(_pivots(vertices, pivots, seed).select(F.col("id").alias("start"), "id", F.lit(1.0).alias("paths")), "front"), 0
+    while not front.isEmpty():
+        levels.add(front.select("start", "id", F.lit(d).alias("d"), "paths"))
+        step = front.join(both, front["id"] == both["src"]).groupBy("start", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        front, d = materialise(step.join(levels.read().select("start", "id"), ["start", "id"], "left_anti"), "front"), d + 1
+    shares = Growing(edges.sparkSession, f"start {kind}, id {kind}, share double", "shares")
+    beyond = None
+    for level in range(d - 1, 0, -1):
+        here = levels.read().filter(F.col("d") == level).select("start", "id", "paths")
+        if beyond is None:
+            own = here.withColumn("share", F.lit(0.0))
+        else:
+            back = beyond.join(both, beyond["id"] == both["src"]).select("start", F.col("dst").alias("id"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+            own = here.join(back.groupBy("start", "id").agg(F.sum("part").alias("part")), ["start", "id"], "left").select("start", "id", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
+        beyond = materialise(own, "shares")
+        shares.add(beyond.select("start", "id", "share"))
+    sums = shares.read().groupBy("id").agg(F.sum("share").alias("s"))
+    return vertices.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * (n / (2.0 * max(1, min(pivots, n))))).alias("betweenness"))
+
+
 def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> DataFrame:
     """(tx_id, block, poh): hash chains over blocks of consecutive transfers.
 

@@ -16,7 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.scalar import uniform
+from cairn.functions.scalar import objective, uniform
+from cairn.operators import merge_tree
 from cairn.operators.components import connected_components
 from cairn.operators.relational import chain_hubs, chunked, component_features, confusion, global_row_number, metrics, weighted
 from cairn.operators.scratch import Growing, materialise
@@ -228,6 +229,37 @@ def group_fold_report(tx: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     return fold_report(raw).withColumn("model", F.lit("raw")).unionByName(fold_report(grouped.read()).withColumn("model", F.lit("grouped")))
 
 
+EDGE_FEATURES = ["amount", "second_of_day", "cyclic"]
+
+
+def learned_risks(rows: DataFrame) -> DataFrame:
+    """The rows with ``risk``: the probability of class 1 by a logistic regression of ``EDGE_FEATURES`` that is fitted to the rows of part 0 alone.
+
+    A part 0 of one class gives every row that class as its risk.
+    """
+    known = rows.withColumn("second_of_day", F.pmod("epoch", F.lit(86400)))
+    train = known.filter("part = 0")
+    scored = predictions(train, known, pipeline(EDGE_FEATURES, [], models()["plain_logistic"])).select("tx_id", F.col("score").alias("risk"))
+    return rows.join(scored, "tx_id")
+
+
+def risk_group_report(rows: DataFrame) -> DataFrame:
+    """(part, threshold, tp, fp, tn, fn, accuracy, precision, recall, f1) of predicting that a transfer within a group of accounts is of class 1.
+
+    ``rows`` are transfers with part and risk. An account pair has the risk of its latest transfer; groups of all thresholds come from one tree of merges; the
+    threshold of the best objective on part 1, the highest of equals, is used on part 1 and on part 2.
+    """
+    edges = rows.groupBy(F.col("sender").alias("src"), F.col("receiver").alias("dst")).agg(F.max_by("risk", F.struct("epoch", "tx_id")).alias("risk"))
+    edges = materialise(edges, "learned-edges")
+    cut = materialise(merge_tree.transfer_cuts(rows.select("tx_id", "sender", "receiver", "is_laundering", "part"), merge_tree.merge_tree(edges)), "learned-cuts")
+    every = materialise(metrics(merge_tree.scores_by_cut(cut.filter("part = 1"), edges)), "thresholds")
+    best = every.orderBy(F.desc(objective(F.col("recall"), F.col("f1"))), F.desc("threshold")).select("threshold").first()  # one row
+    threshold = best["threshold"] if best else float("inf")
+    predicted = cut.withColumn("predicted", F.coalesce((F.col("cut") >= threshold).cast("int"), F.lit(0)))
+    report = lambda part: metrics(confusion(predicted.filter(F.col("part") == part), F.col("is_laundering"), F.col("predicted"))).withColumn("part", F.lit(part))
+    return report(1).unionByName(report(2)).withColumn("threshold", F.lit(threshold))
+
+
 def ablation(train: DataFrame, test: DataFrame, modes: dict[str, tuple[list[str], list[str]]], kinds: list[str]) -> DataFrame:
     """Every feature mode with every model."""
     rows = [evaluate(train, test, pipeline(numeric, categorical, models()[kind])).withColumns({"mode": F.lit(mode), "model": F.lit(kind)}) for mode, (numeric, categorical) in modes.items() for kind in kinds]

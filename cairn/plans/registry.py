@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import graph, learning, merge_tree, relational, strong
+from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, strong
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise, shared_dir
 from cairn.sources import transactions as source
@@ -568,6 +568,24 @@ def gr24_graph_convolution(spark, sf_dir):
     return learning.evaluate(rows.filter("part = 0"), rows.filter("part = 1"), learning.pipeline(["amount", "n"], [], learning.models()["logistic"])).drop("seconds")
 
 
+@query()
+def gr24_trained_convolution(spark, sf_dir):
+    """Two-layer graph convolution (3, 64 and 2 units), 20 epochs: accounts by amount sent, transfers sent and cyclic ones among them, each over its maximum; metrics of the accounts that were not trained on, and the loss at both ends."""
+    t = materialise(tx(spark, sf_dir), "transfers")
+    edges = materialise(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")).distinct(), "account-pairs")
+    cyclic = strong.cyclic_edges(edges).select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), "cyclic")
+    sent = t.join(cyclic, ["sender", "receiver"]).groupBy(F.col("sender").alias("id")).agg(F.sum("amount").alias("amount"), F.count("*").cast("double").alias("n"), F.sum("cyclic").cast("double").alias("cycles"), F.max("is_laundering").alias("label"))
+    accounts = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(sent, "id", "left").na.fill(0)
+    names = ["amount", "n", "cycles"]
+    top = accounts.agg(*(F.max(n).alias(n) for n in names)).first()
+    nodes = materialise(accounts.select("id", "label", *((F.col(n) / ((top[n] or 0.0) + 1e-9)).alias(n) for n in names)), "accounts")
+    parts = learning.stratified_split(nodes, [0.7, 0.3], id_col="id", label="label")
+    model = convolution.Convolution(nodes.join(parts, "id").withColumn("train", F.col("part") == 0), edges, names).fit()
+    scored = model.probabilities().filter("NOT train").select(F.col("label").cast("int").alias("label"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    report = relational.metrics(relational.confusion(scored, F.col("label"), F.col("predicted")))
+    return report.withColumns({"first_loss": F.lit(model.losses[0]), "last_loss": F.lit(model.losses[-1])})
+
+
 @query(", o AS (SELECT row_number() OVER (ORDER BY epoch, tx_id) AS i, tx_id, CAST(sender AS VARCHAR) || CAST(receiver AS VARCHAR) || CAST(tx_id AS VARCHAR) AS x FROM txn),\nh(i, tx_id, block, poh) AS (SELECT i, tx_id, (i - 1) // 1024, sha256(x) FROM o WHERE (i - 1) % 1024 = 0 UNION ALL SELECT o.i, o.tx_id, h.block, sha256(h.poh || o.x) FROM h JOIN o ON o.i = h.i + 1 AND (o.i - 1) // 1024 = h.block)\nSELECT tx_id, block, poh FROM h")
 def hc1_hash_chain(spark, sf_dir):
     t = tx(spark, sf_dir)
@@ -784,6 +802,33 @@ def ml7_boosted_trees(spark, sf_dir):
     return learning.evaluate(rows.filter("part = 0"), rows.filter("part = 1"), flow).drop("seconds")
 
 
+@query()
+def ml7_attributions(spark, sf_dir):
+    """(feature, mean_attribution, mean_size, margin_error): how boosted trees use each feature on the test rows, and the greatest gap between a row's margin and the sum of its attributions."""
+    rows = materialise(learning.time_split(_labelled(spark, sf_dir), [0.8, 0.2], ["epoch", "tx_id"]), "split")
+    flow = learning.pipeline(["amount"], ["payment_type", "payment_currency"], learning.models()["boosted"], one_hot=False).fit(rows.filter("part = 0"))
+    test = flow.transform(rows.filter("part = 1"))
+    names = learning.feature_names(test)
+    found = materialise(attributions.attribute(test, attributions.trees_of(spark, flow.stages[-1]), names), "attributions")
+    gap = F.abs(F.col("margin") - F.col("mean") - sum(F.col(n) for n in names))
+    means = found.agg(F.max(gap).alias("margin_error"), *(F.avg(n).alias(f"a_{n}") for n in names), *(F.avg(F.abs(n)).alias(f"s_{n}") for n in names)).first()  # one row
+    return spark.createDataFrame([(n, means[f"a_{n}"], means[f"s_{n}"], means["margin_error"]) for n in names], "feature string, mean_attribution double, mean_size double, margin_error double")
+
+
+def edge_rows(spark, sf_dir) -> DataFrame:
+    """Transfers with the flag of edges on cycles, and part: 70, 20 and 10 percent of each label."""
+    t = materialise(_labelled(spark, sf_dir), "edge-rows")
+    flags = strong.cyclic_edges(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")))
+    parts = learning.stratified_split(t, [0.7, 0.2, 0.1])
+    return materialise(t.join(flags.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), "cyclic"), ["sender", "receiver"]).join(parts, "tx_id"), "edge-rows")
+
+
+@query()
+def ml5_learned_edge_risks(spark, sf_dir):
+    """A regression on edges, its probabilities as risks, groups of accounts at the threshold that is best on the validation part, and same-group metrics of validation and test part."""
+    return learning.risk_group_report(materialise(learning.learned_risks(edge_rows(spark, sf_dir)), "learned-risks"))
+
+
 # Risk paths, group details and lookups
 
 
@@ -1015,6 +1060,11 @@ def gr25_pivot_closeness(spark, sf_dir):
 # Streams
 
 
+@query()
+def gr25_pivot_betweenness(spark, sf_dir):
+    return graph.pivot_betweenness(graph.account_edges(tx(spark, sf_dir)))
+
+
 def _delivered(spark, sf_dir, copies: int = 1) -> tuple[str, DataFrame]:
     """(folder, table): the transfers as files of a folder, as a producer leaves them."""
     path, t = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}", tx(spark, sf_dir)

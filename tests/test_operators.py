@@ -1,16 +1,19 @@
 """Operators against plain Python specifications on small graphs and fixtures."""
 
+import itertools
+import math
 import random
 import zipfile
 from collections import Counter
 from pathlib import Path
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import graph, learning, merge_tree, relational, scratch, strong
+from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, scratch, strong
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise
 from cairn.operators.shipping import ship
@@ -424,3 +427,126 @@ def test_strong_components_equal_brute_force(spark, graph_of):
 def test_cyclic_flags_differ(spark):
     flags = {x.cyclic for x in registry.QUERIES["gr4_cyclic_transfers"](spark, "/root/testdata/sf0.01").select("cyclic").distinct().collect()}
     assert flags == {0, 1}
+
+
+def betweenness_by_force(edges):
+    near = {}
+    for a, b in edges:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, set()).update({y} - {x})
+    out = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        share = Counter()
+        for w in reversed(order):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+            if w != s:
+                out[w] += share[w] / 2
+    return out
+
+
+def test_betweenness_of_all_pivots_is_exact(spark):
+    r = random.Random(25)
+    edges = [(r.randrange(25), r.randrange(25)) for _ in range(36)] + [(50, 51), (51, 52), (60, 60)]
+    want = betweenness_by_force(edges)
+    table = spark.createDataFrame([*edges, edges[3]], "src long, dst long")
+    got = {x.id: x.betweenness for x in graph.pivot_betweenness(table, pivots=1000).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in want)
+    some = graph.pivot_betweenness(table, pivots=16).collect()
+    assert len(some) == len(want) and sum(x.betweenness for x in some) == pytest.approx(sum(want.values()), rel=0.5)
+    assert graph.pivot_betweenness(table.limit(0)).count() == 0
+
+
+def test_convolution_gradients_equal_numpy(spark):
+    r = np.random.default_rng(24)
+    n, edges = 14, [(int(a), int(b)) for a, b in r.integers(0, 13, (24, 2))]
+    x, y, train = r.random((n, 3)), r.integers(0, 2, n), r.random(n) < 0.7
+    nodes = spark.createDataFrame([(i, int(y[i]), bool(train[i]), *map(float, x[i])) for i in range(n)], "id long, label int, train boolean, a double, b double, c double")
+    table = spark.createDataFrame([*edges, edges[0], (3, 999)], "src long, dst long")
+    model = convolution.Convolution(nodes, table, ["a", "b", "c"], hidden=5)
+    near = np.eye(n)
+    for a, b in edges:
+        near[a, b] = near[b, a] = 1
+    d = near.sum(1)
+    near /= np.sqrt(np.outer(d, d))
+    w1, b1, w2, b2 = model.network.weights
+
+    def loss_of(weights):
+        z = near @ np.maximum(near @ x @ weights[0] + weights[1], 0) @ weights[2] + weights[3]
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        return -np.log(p[np.arange(n), y])[train].mean()
+
+    loss, found = model.gradients()
+    assert loss == pytest.approx(loss_of([w1, b1, w2, b2]))
+    for k, g in enumerate(found):  # against differences of the loss
+        for at in np.ndindex(g.shape):
+            moved = [[w.copy() for w in model.network.weights] for _ in range(2)]
+            moved[0][k][at] += 1e-6
+            moved[1][k][at] -= 1e-6
+            assert g[at] == pytest.approx((loss_of(moved[0]) - loss_of(moved[1])) / 2e-6, abs=1e-6)
+    assert model.fit(epochs=4, rate=0.05).losses[-1] < loss
+
+
+def test_attributions_equal_sums_over_subsets(spark):
+    """Of trees by hand, with numeric and categorical splits and a feature that is split twice: Shapley values by their definition."""
+    rules = [(0, 0.5), (1, {0.0, 2.0}), (0, 0.2), (2, 0.7)]
+    leaf = lambda v, *steps: attributions.Leaf(v, [(*rules[i], left, share) for i, left, share in steps])
+    leaves = [leaf(1.5, (0, True, 0.6), (2, True, 0.5), (1, True, 0.3)), leaf(-2.0, (0, True, 0.6), (2, True, 0.5), (1, False, 0.7)), leaf(0.5, (0, True, 0.6), (2, False, 0.5)), leaf(3.0, (0, False, 0.4), (3, True, 0.25)), leaf(-1.0, (0, False, 0.4), (3, False, 0.75))]
+    trees = attributions.Trees([(0.8, leaves), (0.3, [leaf(2.0, (3, True, 0.5)), leaf(-2.0, (3, False, 0.5))]), (1.0, [attributions.Leaf(0.25, [])])])
+    r = random.Random(7)
+    x = np.array([[r.random(), float(r.randrange(3)), r.random(), r.random()] for _ in range(40)])
+
+    def worth(row, known):
+        total = 0.0
+        for weight, own in trees.leaves:
+            for q in own:
+                kept = q.keeps(row[None, :])[0]
+                total += weight * q.value * math.prod(float(k) if f in known else z for f, k, z in zip(q.features, kept, q.share))
+        return total
+
+    found = trees.attributions(x)
+    for row, got in zip(x, found):
+        for f in range(4):
+            others = [g for g in range(4) if g != f]
+            want = sum(math.factorial(len(s)) * math.factorial(3 - len(s)) / 24 * (worth(row, {*s, f}) - worth(row, set(s))) for k in range(4) for s in itertools.combinations(others, k))
+            assert got[f] == pytest.approx(want)
+    assert trees.margin(x) == pytest.approx(trees.mean + found.sum(1)) and not found[:, 3].any()
+
+
+def test_attributions_of_a_fitted_model(spark):
+    rows = spark.createDataFrame([(i, float(i % 17), "abc"[i % 3], float((i % 17 > 8) ^ (i % 3 == 1))) for i in range(400)], "tx_id long, amount double, kind string, label double")
+    flow = learning.pipeline(["amount"], ["kind"], learning.models()["boosted"], one_hot=False).fit(rows)
+    scored = flow.transform(rows)
+    got = attributions.attribute(scored, attributions.trees_of(spark, flow.stages[-1]), learning.feature_names(scored))
+    margins = {x.tx_id: x.rawPrediction[1] for x in scored.select("tx_id", "rawPrediction").collect()}
+    found = got.collect()
+    assert len(found) == 400 and got.columns == ["tx_id", "margin", "mean", "amount", "kind_ix"]
+    for x in found:
+        assert x.margin == pytest.approx(margins[x.tx_id]) and x.mean + x.amount + x.kind_ix == pytest.approx(x.margin)
+    assert len({round(x.kind_ix, 6) for x in found}) > 2
+
+
+def test_learned_risks_ignore_the_labels_of_other_parts(spark):
+    rows = [(*x, i % 3, x[3] % 2) for i, x in enumerate(random_tx(31, 150, 30))]
+    schema = "tx_id long, sender long, receiver long, epoch long, amount double, is_laundering int, part int, cyclic int"
+    table = lambda rows: spark.createDataFrame(rows, schema).withColumn("label", F.col("is_laundering").cast("double"))
+    risks = [{x.tx_id: x.risk for x in learning.learned_risks(table(r)).collect()} for r in (rows, [(*x[:5], 1 - x[5] if x[6] else x[5], *x[6:]) for x in rows])]
+    assert risks[0] == risks[1] and len(set(risks[0].values())) > 20
+    report = learning.risk_group_report(materialise(learning.learned_risks(table(rows)), "risks")).orderBy("part").collect()
+    edges = {}
+    for x in sorted(rows, key=lambda x: (x[3], x[0])):
+        edges[x[1], x[2]] = risks[0][x[0]]
+    for r in report:
+        label = union_find([(0, a, b) for (a, b), w in edges.items() if w >= r.threshold] + [(0, v, v) for p in edges for v in p])[0]
+        hits = Counter((x[5], int(label[x[1]] == label[x[2]])) for x in rows if x[6] == r.part)
+        assert (r.tp, r.fp, r.tn, r.fn) == (hits[1, 1], hits[0, 1], hits[0, 0], hits[1, 0])
