@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import edge_risk, hour_of, uniform
 from cairn.operators.components import connected_components
-from cairn.operators.relational import Chain
+from cairn.operators.relational import Chain, chunked, global_row_number
 from cairn.operators.scratch import Growing, materialise
 
 
@@ -314,6 +314,57 @@ def monte_carlo(edges: DataFrame, components: DataFrame, walks: int = 100, steps
     return visits.join(total, "component").select("component", "id", "visits", (F.col("visits") / F.col("total")).alias("rate"))
 
 
+def ranked_edges(edges: DataFrame) -> DataFrame:
+    """(src, rank, dst, epoch, passed, degree) of edges (src, dst, epoch, tx_id): the place of each among its source's in order of time, then id, how many edges of its target are not later than it, and how many the target has.
+
+    All are running counts over the accounts' edges in and out, in chunks of one total order, so a busy account is the work of many tasks.
+    """
+    kind = F.lit(0)
+    out = edges.select(F.col("src").alias("account"), "epoch", kind.alias("kind"), "tx_id", "dst")
+    into = edges.select(F.col("dst").alias("account"), "epoch", (kind + 1).alias("kind"), "tx_id", F.lit(None).cast(dict(edges.dtypes)["dst"]).alias("dst"))
+    order = ["account", "epoch", "kind", "tx_id"]
+    parts = chunked(out.unionByName(into), order, "edge-ends")
+    sends = F.when(F.col("kind") == 0, 1).otherwise(0)
+    sums = parts.groupBy("_p").agg(F.sum(sends).alias("n"))  # a row a chunk
+    offset = sums.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("o"))
+    counted = parts.join(F.broadcast(offset), "_p").withColumn("c", F.sum(sends).over(Window.partitionBy("_p").orderBy(*order)) + F.col("o"))
+    counted = materialise(counted.select("account", "epoch", "kind", "tx_id", "dst", "c"), "edge-ranks")
+    by = counted.groupBy("account").agg(F.min(F.col("c") - sends).alias("base"), F.max("c").alias("top"))
+    rows = materialise(counted.join(by, "account").select("*", (F.col("c") - F.col("base")).alias("rank"), (F.col("top") - F.col("base")).alias("degree")), "edge-ranks")
+    arrived = rows.filter("kind = 1").select("tx_id", F.col("rank").alias("passed"), "degree")
+    return rows.filter("kind = 0").select(F.col("account").alias("src"), "rank", "dst", "epoch", "tx_id").join(arrived, "tx_id").select("src", "rank", "dst", "epoch", "passed", "degree")
+
+
+def ranked_walks(edges: DataFrame, components: DataFrame, walks: int = 100, steps: int = 4, seed: int = 7) -> DataFrame:
+    """(component, id, visits, rate): ``monte_carlo``'s walks, drawn by rank: along edges (src, dst, epoch, tx_id) within groups that come later than the last one, all of them equally likely.
+
+    A walker's edges are the end of its account's list in order of time. It draws a place in that end and looks the edge up, so a step takes as many rows as walkers,
+    whatever the degree of an account. A walk starts at a member with edges, drawn by its place among them.
+    """
+    at = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+    inner = edges.join(at("src"), "src").join(at("dst"), "dst").filter("src_group = dst_group").select("src", "dst", "epoch", "tx_id")
+    table = materialise(ranked_edges(inner), "ranked-edges")
+    members = global_row_number(edges.select(F.col("src").alias("id")).distinct().join(components, "id").select("component", "id"), ["component", "id"], "place")
+    sized = materialise(members, "members")
+    bounds = sized.groupBy("component").agg(F.min("place").alias("lo"), F.count("*").alias("n"))
+    draw = lambda *key: uniform(seed, *(k.cast("string") for k in key))
+    drawn = bounds.withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(walks))))
+    start = drawn.withColumn("place", F.col("lo") + F.floor(draw(F.col("component"), F.col("w")) * F.col("n"))).select("component", "w", "place")
+    degree = inner.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    walkers = start.join(sized.select("id", "place"), "place").join(degree, "id", "left").select("component", "w", "id", F.lit(0).cast("long").alias("passed"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    walkers = materialise(walkers, "walkers")
+    seen = [walkers.select("component", "id")]
+    for k in range(steps):
+        left = F.col("degree") - F.col("passed")
+        rank = F.col("passed") + 1 + F.floor(draw(F.lit(k), F.col("component"), F.col("w")) * left)
+        move = walkers.filter(left > 0).select("component", "w", F.col("id").alias("src"), rank.alias("rank"))
+        walkers = materialise(move.join(table, ["src", "rank"]).select("component", "w", F.col("dst").alias("id"), "passed", "degree"), "walkers")
+        seen.append(walkers.select("component", "id"))
+    visits = reduce(DataFrame.unionByName, seen).groupBy("component", "id").agg(F.count("*").alias("visits"))
+    total = visits.groupBy("component").agg(F.sum("visits").alias("total"))
+    return visits.join(total, "component").select("component", "id", "visits", (F.col("visits") / F.col("total")).alias("rate"))
+
+
 def account_columns(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(id, degree, group_node_count, group_edge_count, group_bidirect_ratio) over distinct directed pairs; degree counts distinct neighbours."""
     pairs = edges.select("src", "dst").distinct()
@@ -403,7 +454,7 @@ def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> Dat
     """(tx_id, block, poh): hash chains over blocks of consecutive transfers.
 
     ``numbered`` has tx_id and row_id from 1 in order of time. Each hash covers its transfer and the hash before it in the block, so
-    a block's last hash seals it; a chain over all rows would be one task's work, so blocks are sealed apart.
+    a block's last hash seals it; a chain over all rows would be one task's work, so blocks are sealed apart, and ``seal_tree`` ties the seals to one root.
     """
     rows = tx.join(numbered.select("tx_id", "row_id"), "tx_id").withColumn("block", F.floor((F.col("row_id") - 1) / block))
     text = F.concat(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("tx_id").cast("string"))
@@ -415,5 +466,47 @@ def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> Dat
     return chained.select("o.tx_id", "block", "o.poh")
 
 
+def seal_tree(seals: DataFrame) -> DataFrame:
+    """(level, place, hash): a tree of hashes over the seals (place from 0, hash), each node the SHA-256 of its two children's hashes; a node without a sibling moves up as it is.
+
+    Level 0 are the seals, the last level is the root. Each level is half as long as the one below, so there are as many rounds as the logarithm of the number of seals.
+    """
+    tree = Growing(seals.sparkSession, "level int, place long, hash string", "seals")
+    level = materialise(seals.select(F.col("place").cast("long").alias("place"), "hash"), "seal-level")
+    n, k = level.count(), 0
+    while n:
+        tree.add(level.select(F.lit(k).alias("level"), "place", "hash"))
+        if n == 1:
+            break
+        ends = level.groupBy(F.shiftright("place", 1).alias("place")).agg(F.min_by("hash", "place").alias("a"), F.max_by("hash", "place").alias("b"), F.count("*").alias("c"))
+        level = materialise(ends.select("place", F.when(F.col("c") == 2, F.sha2(F.concat("a", "b").cast("binary"), 256)).otherwise(F.col("a")).alias("hash")), "seal-level")
+        n, k = (n + 1) // 2, k + 1
+    return tree.read()
+
+
+def block_seals(chained: DataFrame, rows: DataFrame) -> DataFrame:
+    """(place, hash): the last hash of each block of ``chained_hashes``; ``rows`` are (tx_id, row_id)."""
+    return chained.join(rows, "tx_id").groupBy(F.col("block").alias("place")).agg(F.max_by("poh", "row_id").alias("hash"))
+
+
+def seal_proofs(tree: DataFrame) -> DataFrame:
+    """(place, path): for each seal its siblings on the way to the root, from the seal up, as (left, hash); where there is none, no entry."""
+    top = tree.agg(F.max("level").alias("n")).first()["n"] or 0
+    empty = F.expr("cast(array() as array<struct<left:boolean,hash:string>>)")
+    paths = tree.filter("level = 0").select("place", F.col("place").alias("node"), empty.alias("path"))
+    for level in range(top):
+        other = tree.filter(F.col("level") == level).select(F.col("place").bitwiseXOR(F.lit(1)).alias("node"), (F.col("place") % 2 == 0).alias("left"), "hash")
+        step = paths.join(other, "node", "left")
+        longer = F.when(F.col("hash").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct("left", "hash"))))
+        paths = materialise(step.select("place", F.shiftright("node", 1).alias("node"), longer.alias("path")), "seal-paths")
+    return paths.select("place", "path")
+
+
+def sealed_root(seal: Column, path: Column) -> Column:
+    """The root that a seal and its path lead to."""
+    pair = lambda acc, p: F.when(p["left"], F.concat(p["hash"], acc)).otherwise(F.concat(acc, p["hash"]))
+    return F.aggregate(path, seal, lambda acc, p: F.sha2(pair(acc, p).cast("binary"), 256))
+
+
 def risk_rules(label: Column, amount: Column, epoch: Column) -> Column:
     return edge_risk(label, amount, hour_of(epoch))

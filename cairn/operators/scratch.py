@@ -13,7 +13,9 @@ _open: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else a folder in the warehouse."""
+    """spark.checkpoint.dir, else, on one machine, a folder in the warehouse; a cluster must name the folder that its machines share."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cairn_scratch").rstrip("/")
 
 

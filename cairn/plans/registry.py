@@ -16,7 +16,9 @@ from cairn.streaming import transfers as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "agg1_component_features"
+FLAGSHIP = "agg1_features_of_large"
+#: Amounts from which transfers are few enough to fall into many components.
+LARGEST = 475000
 
 TXN = """WITH RECURSIVE txn AS (
 SELECT o_orderkey AS tx_id, o_custkey AS sender, (o_custkey*7 + o_orderkey*13) % (SELECT count(*) FROM customer) AS receiver, o_totalprice AS amount,
@@ -219,8 +221,9 @@ COMPONENT_SQL = ", l AS (SELECT src AS a, dst AS b FROM chain), vs AS (SELECT tx
 
 
 def tx_components(t: DataFrame) -> DataFrame:
-    found = connected_components(relational.chain_hubs(t))
-    return t.select(F.col("tx_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    slim = materialise(t.select("tx_id", "sender", "receiver", "epoch"), "slim-transfers")
+    found = connected_components(relational.chain_hubs(slim))
+    return materialise(slim.select(F.col("tx_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
 
 
 @query(COMPONENT_SQL + "SELECT id, component FROM comp")
@@ -233,7 +236,17 @@ SELECT component, min(epoch) AS start_ts, count(epoch) AS tx_count, round(CAST(s
  max(amount) AS max_amt, min(amount) AS min_amt, coalesce(round(CAST(sum(gap) AS DOUBLE) / nullif(count(gap), 0), 6), 0) AS avg_gap, coalesce(round(stddev_samp(gap), 3), 0) AS std_gap, coalesce(max(gap), 0) AS max_gap, coalesce(min(gap), 0) AS min_gap, max(is_laundering) AS label
 FROM g GROUP BY component""")
 def agg1_component_features(spark, sf_dir):
-    t = tx(spark, sf_dir)
+    t = materialise(tx(spark, sf_dir), "transfers")
+    return relational.component_features(t, tx_components(t))
+
+
+@query(f""", big AS (SELECT * FROM txn WHERE amount >= {LARGEST}), l AS (SELECT a.tx_id AS a, b.tx_id AS b FROM big a JOIN big b ON a.receiver = b.sender AND a.epoch < b.epoch), vs AS (SELECT tx_id AS id FROM big)""" + COMPONENTS + """, g AS (SELECT t.*, c.component, epoch - lag(epoch) OVER (PARTITION BY c.component ORDER BY epoch, tx_id) AS gap FROM big t JOIN comp c ON c.id = t.tx_id)
+SELECT component, min(epoch) AS start_ts, count(epoch) AS tx_count, round(CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) / count(amount), 6) AS avg_amt, coalesce(round(stddev_samp(amount), 3), 0) AS std_amt,
+ max(amount) AS max_amt, min(amount) AS min_amt, coalesce(round(CAST(sum(gap) AS DOUBLE) / nullif(count(gap), 0), 6), 0) AS avg_gap, coalesce(round(stddev_samp(gap), 3), 0) AS std_gap, coalesce(max(gap), 0) AS max_gap, coalesce(min(gap), 0) AS min_gap, max(is_laundering) AS label
+FROM g GROUP BY component""")
+def agg1_features_of_large(spark, sf_dir):
+    """Component features of the largest transfers, which fall into many components."""
+    t = materialise(tx(spark, sf_dir).filter(F.col("amount") >= LARGEST), "largest")
     return relational.component_features(t, tx_components(t))
 
 
@@ -544,6 +557,25 @@ def gr22_monte_carlo_walks(spark, sf_dir):
     return graph.monte_carlo(edges, comp)
 
 
+U = "CAST(CAST('0x' || substr(md5('7:' || {}), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+
+
+@query(RISK_GROUPS + f""", ie AS (SELECT tx_id, sender AS src, receiver AS dst, epoch FROM txn JOIN comp a ON a.id = sender JOIN comp b ON b.id = receiver WHERE a.component = b.component),
+e AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY epoch, tx_id) AS r FROM ie), deg AS (SELECT src, count(*) AS n FROM ie GROUP BY 1),
+arr AS (SELECT e.tx_id, count(x.tx_id) AS passed FROM e LEFT JOIN e x ON x.src = e.dst AND x.epoch <= e.epoch GROUP BY 1),
+ranked AS (SELECT e.src, e.r, e.dst, arr.passed, coalesce(deg.n, 0) AS degree FROM e JOIN arr USING (tx_id) LEFT JOIN deg ON deg.src = e.dst),
+members AS (SELECT id, component, row_number() OVER (PARTITION BY component ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY component) AS n FROM (SELECT DISTINCT sender AS id FROM txn) JOIN comp USING (id)),
+walk(component, w, k, id, passed, degree) AS (
+  SELECT m.component, w, 0, m.id, CAST(0 AS BIGINT), coalesce(deg.n, 0) FROM members m JOIN (SELECT unnest(range(1, 101)) AS w) q ON m.place = CAST(floor(({U.format("m.component || ':' || w")}) * m.n) AS BIGINT) LEFT JOIN deg ON deg.src = m.id
+  UNION ALL SELECT walk.component, w, k + 1, ranked.dst, ranked.passed, ranked.degree FROM walk JOIN ranked ON ranked.src = walk.id AND ranked.r = walk.passed + 1 + CAST(floor(({U.format("k || ':' || walk.component || ':' || w")}) * (walk.degree - walk.passed)) AS BIGINT) WHERE k < 4 AND walk.degree > walk.passed),
+visits AS (SELECT component, id, count(*) AS visits FROM walk GROUP BY ALL)
+SELECT component, id, visits, visits / sum(visits) OVER (PARTITION BY component) AS rate FROM visits""")
+def gr22_ranked_walks(spark, sf_dir):
+    t, _, comp = groups(spark, sf_dir)
+    edges = materialise(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "epoch", "tx_id"), "walk-edges")
+    return graph.ranked_walks(edges, comp)
+
+
 @query(RISK_GROUPS + """, d AS (SELECT a AS id, count(*) AS degree FROM (SELECT src a, dst b FROM pairs WHERE src <> dst UNION SELECT dst, src FROM pairs WHERE src <> dst) GROUP BY 1),
 e AS (SELECT component, count(*) AS m, count(q.src) AS k FROM pairs p JOIN comp ON comp.id = p.src LEFT JOIN pairs q ON q.src = p.dst AND q.dst = p.src GROUP BY 1)
 SELECT comp.id, coalesce(degree, 0) AS degree, count(*) OVER (PARTITION BY component) AS group_node_count, coalesce(m, 0) AS group_edge_count, coalesce(k / m, 0) AS group_bidirect_ratio FROM comp LEFT JOIN d USING (id) LEFT JOIN e USING (component)""")
@@ -600,6 +632,34 @@ def hc3_linked_list(spark, sf_dir):
     return links.select(F.col("src_poh").alias("from_poh"), F.col("dst_poh").alias("to_poh"), "account")
 
 
+SEALS = ORACLE_SQL["hc1_hash_chain"].replace("1024", "64").replace("\nSELECT tx_id, block, poh FROM h", "") + """, lv(level, place, hash, n) AS (
+  SELECT 0, block, arg_max(poh, i), CAST((SELECT max(block) + 1 FROM h) AS BIGINT) FROM h GROUP BY block
+  UNION ALL SELECT max(level) + 1, place // 2, CASE WHEN count(*) = 1 THEN min(hash) ELSE sha256(string_agg(hash, '' ORDER BY place)) END, (max(n) + 1) // 2 FROM lv WHERE n > 1 GROUP BY place // 2)
+"""
+
+
+def _sealed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(seals, tree) of the transfers in blocks of 64."""
+    t = materialise(tx(spark, sf_dir), "transfers")
+    numbered = materialise(relational.global_row_number(t.select("epoch", "tx_id"), ["epoch", "tx_id"]), "numbered")
+    seals = materialise(graph.block_seals(graph.chained_hashes(t, numbered, 64), numbered.select("tx_id", "row_id")), "block-seals")
+    return seals, graph.seal_tree(seals)
+
+
+@query(SEALS + "SELECT CAST(level AS INTEGER) AS level, CAST(place AS BIGINT) AS place, hash FROM lv", "")
+def hc1_seal_tree(spark, sf_dir):
+    """The tree of hashes over the seals of all blocks; its last level is the root."""
+    return _sealed(spark, sf_dir)[1]
+
+
+@query(SEALS + "SELECT CAST(place AS BIGINT) AS place, hash AS seal, (SELECT hash FROM lv ORDER BY level DESC LIMIT 1) AS root FROM lv WHERE level = 0", "")
+def hc3_proofs_to_root(spark, sf_dir):
+    """Every block's seal with the root that its path of siblings leads to, which is the same for all."""
+    seals, tree = _sealed(spark, sf_dir)
+    found = seals.join(graph.seal_proofs(tree), "place")
+    return found.select(F.col("place").cast("long").alias("place"), F.col("hash").alias("seal"), graph.sealed_root(F.col("hash"), F.col("path")).alias("root"))
+
+
 # Learning
 
 

@@ -550,3 +550,44 @@ def test_learned_risks_ignore_the_labels_of_other_parts(spark):
         label = union_find([(0, a, b) for (a, b), w in edges.items() if w >= r.threshold] + [(0, v, v) for p in edges for v in p])[0]
         hits = Counter((x[5], int(label[x[1]] == label[x[2]])) for x in rows if x[6] == r.part)
         assert (r.tp, r.fp, r.tn, r.fn) == (hits[1, 1], hits[0, 1], hits[0, 0], hits[1, 0])
+
+
+def test_ranked_edges_count_what_came_before(spark):
+    rows = random_tx(41, 120, 12)
+    edges = frame(spark, rows).select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "epoch", "tx_id")
+    got = Counter(tuple(x) for x in graph.ranked_edges(edges.repartition(3)).collect())
+    want = Counter()
+    for i, a, b, t, *_ in rows:
+        own = sorted((y[3], y[0]) for y in rows if y[1] == a)
+        want[a, own.index((t, i)) + 1, b, t, sum(y[1] == b and y[3] <= t for y in rows), sum(y[1] == b for y in rows)] += 1
+    assert got == want
+
+
+def test_ranked_walks_draw_all_later_edges_alike(spark):
+    """A hub with 3,000 edges: a step has a row a walker, goes to later edges only, and every one of them is as likely."""
+    hub = [(i, 0, 1 + i % 3, i, 1.0, 0) for i in range(3000)] + [(5000 + i, 10, 0, 2000 + i, 1.0, 0) for i in range(1)]
+    edges = frame(spark, hub).select(F.col("sender").alias("src"), F.col("receiver").alias("dst"), "epoch", "tx_id")
+    groups = spark.createDataFrame([(i, 0) for i in (0, 1, 2, 3, 10)], "id long, component long")
+    visits = {x.id: x.visits for x in graph.ranked_walks(edges, groups, walks=3000, steps=2).collect()}
+    ends = visits[1] + visits[2] + visits[3]
+    assert visits[0] + visits[10] >= 3000 and ends == 3000  # every walker leaves the hub once, and none goes on from its neighbours
+    assert all(800 < visits[k] < 1200 for k in (1, 2, 3))
+    alone = graph.ranked_walks(edges.limit(0), groups).collect()
+    assert alone == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 13])
+def test_seal_tree_proves_every_block(spark, n):
+    import hashlib
+
+    seals = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+    level = list(seals)
+    while len(level) > 1:
+        level = [hashlib.sha256((level[i] + level[i + 1]).encode()).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    table = spark.createDataFrame(list(enumerate(seals)), "place long, hash string")
+    tree = graph.seal_tree(table)
+    assert [x.hash for x in tree.orderBy(F.desc("level")).limit(1).collect()] == level
+    proofs = table.join(graph.seal_proofs(tree), "place")
+    assert {x[0] for x in proofs.select(graph.sealed_root(F.col("hash"), F.col("path"))).collect()} == set(level) and proofs.count() == n
+    wrong = proofs.select(graph.sealed_root(F.sha2("hash", 256), F.col("path"))).collect()
+    assert not {x[0] for x in wrong} & set(level)
