@@ -427,6 +427,29 @@ def test_token_rollup_deltas(spark, tmp_path):
     assert sorted((tuple(x) for x in again.totals().collect()), key=repr) == want and set(again.batches()) == {"1", "2", "3"}
 
 
+def test_token_rollup_reads_a_bounded_number_of_folders(spark, tmp_path):
+    """Snapshots after every three commits: totals stay right, repeats of any age are known, and a commit that was on its way while a snapshot was made counts."""
+    roll = token_rollup.TokenRollup(spark, str(tmp_path / "roll"), merge_after=3)
+    batch = lambda i: spark.createDataFrame([("insert", "s", "en", "t", i, 10 * i)], "op string, source string, lang string, tokenizer string, n_tokens long, n_bytes long")
+    most = 0
+    for i in range(1, 12):
+        assert roll.commit(str(i), batch(i))
+        most = max(most, len(roll.batches()))
+    assert most <= 4 and roll._latest()[0] >= 2
+    assert [tuple(x) for x in roll.totals().collect()] == [("s", "en", "t", 11, 66, 660)]
+    assert not roll.commit("1", batch(1)) and not roll.commit("11", batch(11))
+    late = token_rollup.signed_deltas(batch(100))
+    late.write.parquet(str(tmp_path / "roll" / "deltas-late"))
+    roll._append(f"log-{roll._latest()[0]}", [("late", "deltas-late")], token_rollup.LOG)
+    generation, _ = roll._latest()
+    roll.merge()
+    late.write.parquet(str(tmp_path / "roll" / "deltas-later"))
+    roll._append(f"log-{generation}", [("later", "deltas-later")], token_rollup.LOG)  # into the log that was closed meanwhile
+    again = token_rollup.TokenRollup(spark, str(tmp_path / "roll"))
+    assert [tuple(x) for x in again.totals().collect()] == [("s", "en", "t", 13, 266, 2660)]
+    assert not again.commit("late", batch(100)) and not again.commit("later", batch(100)) and not again.commit("3", batch(3))
+
+
 def test_token_counts_query_equals_brute_force(spark):
     import base64
 
