@@ -190,6 +190,7 @@ def cross_validate(df: DataFrame, folds: DataFrame, flow: Pipeline, k: int, id_c
     return pooled_predictions(rows, [(f"fold != {i}", f"fold = {i}") for i in range(k)], flow, id_col)
 
 
+# The names and order of the feature bundle.
 FOLD_FEATURES = ["tx_count", "avg_amt", "std_amt", "max_amt", "min_amt", "avg_gap", "std_gap", "max_gap", "min_gap"]
 
 
@@ -229,6 +230,30 @@ def group_fold_report(tx: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     return fold_report(raw).withColumn("model", F.lit("raw")).unionByName(fold_report(grouped.read()).withColumn("model", F.lit("grouped")))
 
 
+def flow_seconds(tx: DataFrame, folds: DataFrame, k: int) -> DataFrame:
+    """(flow, fold, train_rows, test_rows, seconds) of the two flows of ``group_fold_report``, and of their means as fold -1: what a fold takes from
+    its transfers to written predictions, with all that the flow needs for it (for grouped: chain, components and features of the train part)."""
+    spark, flow_of = tx.sparkSession, {"raw": ["amount", "epoch"], "grouped": FOLD_FEATURES}
+    labels = materialise(tx.select("tx_id", "amount", "epoch", F.col("is_laundering").cast("double").alias("label")).join(folds, "tx_id"), "fold-rows")
+    rows: list[tuple] = []
+    for fold in range(k):
+        for name, columns in flow_of.items():
+            began = time.time()
+            known = labels.withColumn("test", F.col("fold") == fold)
+            if name == "grouped":
+                known = materialise(fold_features(tx, folds, fold).join(labels.select("tx_id", "label"), "tx_id"), "fold-rows")
+            train, test = known.filter("NOT test"), known.filter("test")
+            if train.isEmpty() or test.isEmpty():
+                continue
+            done = materialise(predictions(train, test, pipeline(columns, [], models()["plain_logistic"])), "timed")
+            rows.append((name, fold, labels.filter(F.col("fold") != fold).count(), done.count(), time.time() - began))
+    for name in flow_of:
+        own = [r for r in rows if r[0] == name]
+        if own:
+            rows.append((name, -1, *(round(sum(r[i] for r in own) / len(own)) for i in (2, 3)), sum(r[4] for r in own) / len(own)))
+    return spark.createDataFrame(rows, "flow string, fold int, train_rows long, test_rows long, seconds double")
+
+
 EDGE_FEATURES = ["amount", "second_of_day", "cyclic"]
 
 

@@ -875,6 +875,13 @@ def ml7_attributions(spark, sf_dir):
     return spark.createDataFrame([(n, means[f"a_{n}"], means[f"s_{n}"], means["margin_error"]) for n in names], "feature string, mean_attribution double, mean_size double, margin_error double")
 
 
+@query()
+def ml18_flow_seconds(spark, sf_dir):
+    """Seconds of each of three folds for the raw flow and the grouped one, and their means."""
+    t = materialise(tx(spark, sf_dir), "transfers")
+    return learning.flow_seconds(t, materialise(learning.stratified_folds(t, 3), "fold-of"), 3)
+
+
 def edge_rows(spark, sf_dir) -> DataFrame:
     """Transfers with the flag of edges on cycles, and part: 70, 20 and 10 percent of each label."""
     t = materialise(_labelled(spark, sf_dir), "edge-rows")

@@ -591,3 +591,12 @@ def test_seal_tree_proves_every_block(spark, n):
     assert {x[0] for x in proofs.select(graph.sealed_root(F.col("hash"), F.col("path"))).collect()} == set(level) and proofs.count() == n
     wrong = proofs.select(graph.sealed_root(F.sha2("hash", 256), F.col("path"))).collect()
     assert not {x[0] for x in wrong} & set(level)
+
+
+def test_flow_seconds_report_both_flows(spark):
+    t = frame(spark, random_tx(51, 80, 15))
+    found = learning.flow_seconds(t, learning.stratified_folds(t, 2), 2).collect()
+    assert [(x.flow, x.fold) for x in found] == [("raw", 0), ("grouped", 0), ("raw", 1), ("grouped", 1), ("raw", -1), ("grouped", -1)]
+    assert all(x.train_rows == x.test_rows == 40 and x.seconds > 0 for x in found)
+    for x in found[4:]:
+        assert x.seconds == pytest.approx(sum(y.seconds for y in found[:4] if y.flow == x.flow) / 2)

@@ -42,6 +42,26 @@ def test_threshold_search_ends_at_its_best(spark):
     assert rows[-1].best == best.threshold and len(rows) <= 20
 
 
+def test_models_find_what_makes_the_label(spark):
+    """The label depends on the payment type alone, of the columns that models get: they rank better than chance by it, and attribute to it."""
+    pooled = [r for r in registry.QUERIES["ml15_expanding_training"](spark, SF).collect() if r.fold == -1]
+    assert pooled[0].auc > 0.8
+    top = max(registry.QUERIES["ml11_importances"](spark, SF).collect(), key=lambda r: r.importance)
+    assert top.feature.startswith("payment_type")
+    sizes = {r.feature: r for r in registry.QUERIES["ml7_attributions"](spark, SF).collect()}
+    assert max(sizes.values(), key=lambda r: r.mean_size).feature == "payment_type_ix" and all(r.margin_error < 1e-9 for r in sizes.values())
+
+
+def test_graph_flows_run_as_queries(spark):
+    row = registry.QUERIES["gr24_trained_convolution"](spark, SF).first()
+    assert row.last_loss < row.first_loss and row.tp + row.fp + row.tn + row.fn > 0
+    report = {r.part: r for r in registry.QUERIES["ml5_learned_edge_risks"](spark, SF).collect()}
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert report.keys() == {1, 2} and abs(sum(r.tp + r.fp + r.tn + r.fn for r in report.values()) - 0.3 * n) <= 4
+    between = registry.QUERIES["gr25_pivot_betweenness"](spark, SF).collect()
+    assert between and all(r.betweenness >= 0 for r in between) and max(r.betweenness for r in between) > 0
+
+
 @pytest.mark.parametrize("name", ["ml7_boosted_trees", "ml11_importances", "ml17_ablation"])
 def test_models_run_as_queries(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
