@@ -403,7 +403,7 @@ SHAPES = {
     "bridge": [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)],
     "long ring with a tail": [(i, (i + 1) % 90) for i in range(90)] + [(5, 100), (100, 101), (200, 7)],
     "two rings at one vertex": [(0, 1), (1, 2), (2, 0), (0, 11), (11, 12), (12, 13), (13, 0)],
-    "chain of pairs": [e for i in range(0, 24, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))],
+    "chain of pairs": [e for i in range(0, 12, 2) for e in ((i, i + 1), (i + 1, i), (i + 1, i + 2))],
     "no cycle": [(1, 2), (1, 3), (2, 4), (3, 4)],
     "loops": [(1, 1), (1, 2), (3, 3)],
 }
