@@ -4,7 +4,7 @@ Only equal windows must meet, so windows are dealt out by an anchor that their o
 16-byte string of least hash within the window. Consecutive windows with one anchor form a segment.
 
 1. ``_parts``: the texts are written once, in parts of a task's rows, bucketed by part, so that later
-   steps bring small tables to the texts and never move the texts.
+   steps bring small tables to the texts and never move the texts. There is a bucket for every ``TASK_BYTES`` of text.
 2. ``_anchor_blocks``: every part sends its distinct anchor hashes in one packed block per bucket; a
    bucket answers which of them occur in two documents or more.
 3. ``_segments``: a part sends the segments of those anchors: equal ones once, with their least document.
@@ -44,6 +44,10 @@ HOT = 4096
 BUCKET = 1 << 19
 #: Parts that a task's rows are split into.
 SPLIT = 8
+#: Bytes of text, about, in one bucket of the table of parts, which is the work of one task in each pass.
+TASK_BYTES = 16 << 20
+#: Most buckets that Spark allows a table by default; beyond TASK_BYTES times as many a bucket grows, and its parts are still taken one at a time.
+MOST_BUCKETS = 100_000
 #: Most tasks of the suffix stage; beyond it a task works through several buckets, one after the other.
 TASKS = 100_000
 _NO_ID = np.iinfo(np.int64).max
@@ -184,13 +188,17 @@ def _blocks(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, order[lo:hi]
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts by part, written as a table that is bucketed by part without moving a row between tasks."""
+def _text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
+    """The texts, of ``total`` bytes, by part, written as a table that is bucketed by part without moving a row between tasks. Buckets follow the bytes, not a setting."""
     spark = docs.sparkSession
     part = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).cast("int")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_part", part)
     name = table_name("parts")
-    n = min(100_000, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    n = min(MOST_BUCKETS, max(2, -(-total // TASK_BYTES)))
     writer = rows.write.format("parquet").option("compression", "zstd").bucketBy(n, "_part")
     (writer if "." in name else writer.option("path", f"{shared_dir(spark)}/{name}")).saveAsTable(name)
     return spark.table(name)
@@ -424,8 +432,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (the remaining bytes)."""
     if not ANCHOR <= window <= ANCHOR + 62:
         raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 62} bytes")
-    parts = _parts(docs, id_col, text_col)
-    total = parts.agg(F.sum(F.length("_text")).alias("n")).first()["n"] or 0
+    total = _text_bytes(docs, text_col)
+    parts = _parts(docs, id_col, text_col, total)
     n_buckets = int(total * 2 / (window - ANCHOR + 2) / bucket) + 1
     shared = materialise(_shared_anchors(_anchor_blocks(parts, n_buckets, window), hot), "shared-anchors")
     answers = materialise(_answers(_segments(parts, shared, n_buckets, window), n_buckets, window), "lost-windows")
