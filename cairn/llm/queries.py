@@ -43,7 +43,8 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    vocabulary = url_filter.read_vocabulary(url_filter.vocabulary_table(spark))
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), vocabulary=vocabulary)
 
 
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 Terms are looked for in the url as it stands and, where it holds percent escapes, in the url with the escapes decoded (twice at most). A hit counts only when no ASCII
 letter or digit touches it on either side. A url is rejected by one strict hit, or by at least ``soft_limit`` distinct
-soft terms whose weights reach ``weight_limit`` together (by default any two; a higher limit asks for heavier terms). Allow and block rules for a host (with its subdomains) and a
+soft terms whose weights, 1 to 3 each, reach ``weight_limit`` together (by default 3: two terms of weight 1 are no reason yet). Allow and block rules for a host (with its subdomains) and a
 path prefix come before the vocabulary, and the longest fitting rule wins.
 
-The vocabulary is a table (term, kind, weight, version) of one version, read with ``read_vocabulary``; ``VOCABULARY`` is the default.
+The vocabulary is a table (term, kind, weight, category, version) of which ``read_vocabulary`` reads one version; ``vocabulary_table`` is the default, made of the stems
+of seven categories by rule: plurals, and for strict terms spellings in which digits stand for letters. Rows without a term, or of another kind than strict and soft, are skipped; a null weight counts as 0.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged
 by whatever terms it holds (null: allowed); escapes that are no UTF-8 decode to the replacement character. Repeated rows are judged alike. Extra columns are ignored. An empty table gives an
@@ -18,24 +19,67 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Default vocabulary: strict terms, and soft terms by weight.
-STRICT_TERMS = tuple("""bdsm blackjack camgirl camgirls camsex casino casinos cialis cracksoftware creampie cumshot deepfake escort escorts fakepassport fetish fullz gangbang hardcoreporn hentai
-jackpot jailbait keygen lolita malware milf nude nudes onlinecasino phishing pills porn porno pornhub pornography ransomware roulette sexcam sexcams sexchat sexshop slotmachine
-spam stripclub swingers torrents upskirt viagra warez webcamsex xanax xnxx xvideos xxx""".split())
-SOFT_WEIGHTS = {
-    3: tuple("adult baccarat betting camshow erotic erotica gambling lottery nsfw poker replica sex sexy slots sportsbook sweepstakes torrent upvotes".split()),
-    2: tuple("affiliate ads adclick bet bets bitcoindoubler clickbait cheap coupon coupons crack cracked dating forex getrich giveaway hookup loan loans lotto makemoney megadeal payday popunder prize prizes promo singles workfromhome".split()),
-    1: tuple("bonus buy click deal deals discount earn exclusive farm free hot limited offer offers popup redirect sale track tracker traffic trial unlock win winner winners".split()),
+#: Default vocabulary: stems by category, kind and weight. ``vocabulary`` makes the terms of them.
+STEMS = {
+    ("adult", "strict", 0): "bdsm camgirl camsex creampie cumshot escort fetish gangbang hardcoreporn hentai jailbait lolita milf nude porn porno pornhub pornography sexcam sexchat sexshop stripclub swingers upskirt webcamsex xnxx xvideos xxx",
+    ("adult", "soft", 3): "adult camshow erotic erotica nsfw sex sexy",
+    ("adult", "soft", 2): "dating hookup singles",
+    ("adult", "soft", 1): "hot x",
+    ("gambling", "strict", 0): "blackjack casino jackpot onlinecasino roulette slotmachine",
+    ("gambling", "soft", 3): "baccarat betting gambling lottery poker slots sportsbook sweepstake",
+    ("gambling", "soft", 2): "bet lotto prize",
+    ("gambling", "soft", 1): "win winner",
+    ("pharmacy", "strict", 0): "cialis pills viagra xanax",
+    ("fraud", "strict", 0): "deepfake fakepassport fullz malware phishing ransomware spam",
+    ("fraud", "soft", 3): "replica upvote",
+    ("fraud", "soft", 2): "bitcoindoubler getrich giveaway loan makemoney payday workfromhome",
+    ("piracy", "strict", 0): "cracksoftware keygen warez",
+    ("piracy", "soft", 3): "torrent",
+    ("piracy", "soft", 2): "crack cracked",
+    ("marketing", "soft", 2): "cheap coupon forex megadeal promo",
+    ("marketing", "soft", 1): "bonus buy click deal discount earn exclusive farm free limited offer sale trial unlock",
+    ("adverts", "soft", 2): "ad adclick affiliate clickbait popunder",
+    ("adverts", "soft", 1): "popup redirect track tracker traffic",
 }
-VOCABULARY_VERSION = 2
-VOCABULARY = tuple((t, "strict", 0, VOCABULARY_VERSION) for t in STRICT_TERMS) + tuple((t, "soft", w, VOCABULARY_VERSION) for w, terms in SOFT_WEIGHTS.items() for t in terms)
+#: Digits that stand for letters in disguised spellings.
+DISGUISES = (("a", "4"), ("e", "3"), ("i", "1"), ("o", "0"))
+VOCABULARY_VERSION = 3
+
+
+def _forms(stem: str, strict: bool) -> Iterator[str]:
+    """The stem, its plural and, for a strict one of five letters or more, both with one letter, or all letters, written as digits."""
+    plain = [stem] if stem[-1] in "sxyz" or len(stem) < 2 else [stem, stem + "s"]
+    for word in plain:
+        yield word
+        if strict and len(stem) >= 5:
+            for letters in (*(d for d, _ in DISGUISES), "".join(d for d, _ in DISGUISES)):
+                yield word.translate({ord(d): digit for d, digit in DISGUISES if d in letters})
+
+
+def vocabulary() -> list[tuple[str, str, int, str, int]]:
+    """(term, kind, weight, category, version) of all forms of the stems, each once."""
+    out = {}
+    for (category, kind, weight), stems in STEMS.items():
+        for stem in stems.split():
+            for term in _forms(stem, kind == "strict"):
+                out.setdefault(term, (term, kind, weight, category, VOCABULARY_VERSION))
+    return list(out.values())
+
+
+def vocabulary_table(spark: SparkSession) -> DataFrame:
+    """The default vocabulary as a table."""
+    return spark.createDataFrame(vocabulary(), "term string, kind string, weight int, category string, version int")
+
+
+VOCABULARY = tuple((term, kind, weight, version) for term, kind, weight, _, version in vocabulary())
 # The rules (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SOFT_LIMIT = 2
-WEIGHT_LIMIT = 2
+#: Two soft terms of the least weight don't reach it; three do, and so does one of them with a heavier one.
+WEIGHT_LIMIT = 3
 
 _automata: dict[tuple, object] = {}
 
@@ -62,7 +106,7 @@ def rule_column(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 def read_vocabulary(table: DataFrame, version: int | None = None) -> tuple:
     """The rows (term, kind, weight, version) of one version of a vocabulary table, the latest by default. A vocabulary is a list of terms, so it fits the driver."""
-    rows = table.select(F.lower("term").alias("term"), "kind", F.col("weight").cast("int").alias("weight"), F.col("version").cast("int").alias("version"))
+    rows = table.select(F.lower("term").alias("term"), "kind", F.coalesce(F.col("weight").cast("int"), F.lit(0)).alias("weight"), F.col("version").cast("int").alias("version")).filter("term <> '' AND kind IN ('strict', 'soft')")
     rows = rows.filter(F.col("version") == (F.lit(version) if version is not None else table.agg(F.max("version")).scalar()))
     return tuple(tuple(r) for r in rows.distinct().orderBy("term", "kind").collect())
 
