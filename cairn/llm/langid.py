@@ -9,7 +9,7 @@ predecessors alone, so the exact code length of a text is a sum over its (ORDER
 all grams of the trees are tabulated once per worker; grams of no tree are evaluated by the same code.
 
 The trees are learned from a bounded sample: at most ``SAMPLE_DOCS`` different texts and ``SAMPLE_BYTES`` bytes a language, those
-with the least hash (and one text at least). Counting runs on the executors; the driver receives the summed counts of the sample.
+with the least hash (and one text at least); a text of more than a ``LONG_SHARE``-th of the bytes comes after all others, so that one long text does not crowd them out. Counting runs on the executors; the driver receives the summed counts of the sample.
 
 Normalisation before counting and coding: Latin-1 letters are lower-cased, every run of ASCII bytes that
 are no letters becomes one space. ``score`` is the posterior of the winner under equal priors, with
@@ -36,6 +36,7 @@ from cairn.llm.common import kept_rows, text_slices
 ORDER = 4
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 32 << 20
+LONG_SHARE = 64
 EVIDENCE = 64
 UNDETERMINED = "und"
 _SLOT_BITS = 21
@@ -195,7 +196,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
         limit = F.when(F.col("lang") == lang, min(1.0, 2 * sample_docs / n)).otherwise(limit)
     near = rows.filter((F.col("h").cast("double") / float(2**64) + 0.5) <= limit).dropDuplicates(["lang", "h"])
     size = near.select("lang", "h", F.octet_length("text").alias("n"))
-    by = Window.partitionBy("lang").orderBy("h")  # about twice the sample
+    by = Window.partitionBy("lang").orderBy(F.col("n") > sample_bytes // LONG_SHARE, "h")  # about twice the sample; overlong texts only after all others
     taken = size.withColumns({"r": F.row_number().over(by), "s": F.sum("n").over(by)}).filter((F.col("r") <= sample_docs) & ((F.col("s") <= sample_bytes) | (F.col("r") == 1)))
     sample = near.join(F.broadcast(taken.select("lang", "h")), ["lang", "h"]).select("lang", "text")
 

@@ -364,13 +364,23 @@ def test_url_rules_and_terms(spark):
     assert got[0][:3] == ("", "", None) and got[1][:3] == ("", "", None)
     assert got[2] == ("example.net", "/en/a", "example.net/en/", "allow") and got[3][2:] == ("net/", "block")
     assert got[4][2:] == ("org/fr/", "allow") and got[5][2:] == ("example.com/de/", "block")
-    assert [got[i][3] for i in range(6, 13)] == ["block", "allow", "block", "allow", "block", "block", "block"]
-    heavy = {x.page_id: x.verdict for x in url_filter.judge_urls(df, weight_limit=4).collect()}
-    assert heavy[8] == "allow" and heavy[6] == "block"
+    assert [got[i][3] for i in range(6, 13)] == ["block", "allow", "allow", "allow", "block", "block", "block"]  # free-bonus weighs 2, free, x and bonus 3
+    light = {x.page_id: x.verdict for x in url_filter.judge_urls(df, weight_limit=2).collect()}
+    assert [light[i] for i in range(6, 13)] == ["block", "allow", "block", "allow", "block", "block", "block"]
+
+
+def test_url_weights_decide(spark):
+    pages = spark.createDataFrame(list(enumerate(["http://a.com/free-bonus", "http://a.com/free-bonus-offer", "http://a.com/free-bets", "http://a.com/adult", "http://a.com/c4sin0-c4s1n0", "http://a.com/" + "adultfree" * 50000, "http://a.com/" + "-a" * 50000 + "/free-poker"])), "page_id long, url string")
+    assert [x.verdict for x in url_filter.judge_urls(pages).orderBy("page_id").collect()] == ["allow", "block", "block", "allow", "block", "allow", "block"]
+    own = queries.op6_url_filter(spark, SF).select("page_id", "verdict").collect()
+    same = tuple((t, k, 1, v) for t, k, _, v in url_filter.VOCABULARY)
+    equal = {x.page_id: x.verdict for x in url_filter.judge_urls(spark.read.parquet(f"{SF}/pages.parquet"), vocabulary=same).collect()}
+    assert any(equal[x.page_id] != x.verdict for x in own)  # of the table's own urls
 
 
 def terms_by_force(url):
-    """(strict hits, distinct soft terms) by trying every term at every place."""
+    """(strict hits, distinct soft terms, their weight) by trying every term at every place."""
+    weight = {t: w for t, _, w, _ in url_filter.VOCABULARY}
     kind = {t: k for t, k, _, _ in sorted(url_filter.VOCABULARY, key=lambda v: v[1] == "strict")}
     part = lambda c: c.isascii() and c.isalnum()
     strict, soft = 0, set()
@@ -381,7 +391,7 @@ def terms_by_force(url):
         hits = [t for t in kind for i in range(len(text)) if text.startswith(t, i) and not (i and part(text[i - 1])) and not part(text[i + len(t) : i + len(t) + 1] or "-")]
         strict = max(strict, sum(kind[t] == "strict" for t in hits))
         soft |= {t for t in hits if kind[t] == "soft"}
-    return strict, len(soft)
+    return strict, len(soft), sum(weight[t] for t in soft)
 
 
 def test_url_filter_equals_brute_force(spark):
@@ -391,14 +401,14 @@ def test_url_filter_equals_brute_force(spark):
     rows += [(10**6 + i, "http://h.example.com/" + "".join(r.choice([r.choice(terms), "-", "/", "a", "%2d", "%C3%BC", "%", "É", "9"]) for _ in range(r.randint(0, 12)))) for i in range(300)]
     got = {x.page_id: x for x in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     for i, url in rows:
-        strict, soft = terms_by_force(url)
+        strict, soft, weight = terms_by_force(url)
         host, _, rest = (url or "").partition("://")[2].partition("/") if "://" in (url or "") else ("", "", "")
-        assert (got[i].n_strict, got[i].n_soft) == (strict, soft)
-        assert got[i].rule is not None or got[i].verdict == ("block" if strict or soft >= 2 else "allow")
+        assert (got[i].n_strict, got[i].n_soft, got[i].weight) == (strict, soft, weight)
+        assert got[i].rule is not None or got[i].verdict == ("block" if strict or soft >= 2 and weight >= 3 else "allow")
 
 
 def test_url_vocabulary_of_a_version(spark):
-    table = spark.createDataFrame([("Foo", "strict", 0, 1), ("foo", "soft", 3, 2), ("bar", "soft", 1, 2)], "term string, kind string, weight int, version int")
+    table = spark.createDataFrame([("Foo", "strict", 0, 1), ("foo", "soft", 3, 2), ("bar", "soft", 1, 2), (None, "soft", 1, 2), ("", "strict", 0, 2), ("baz", "other", 1, 2)], "term string, kind string, weight int, version int")
     assert url_filter.read_vocabulary(table) == (("bar", "soft", 1, 2), ("foo", "soft", 3, 2))
     assert url_filter.read_vocabulary(table, 1) == (("foo", "strict", 0, 1),)
     assert url_filter.term_hits("http://x/foo.bar", url_filter.read_vocabulary(table)) == (0, {"bar": 1, "foo": 3}, ["bar", "foo"])
@@ -558,6 +568,41 @@ def test_mixing_by_weights_equals_brute_force(spark):
     assert {x.source for x in mixing.mix_sources(docs, {"b": 2.0}).collect()} == {"b"}
 
 
+def test_suffix_dedup_buckets_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 4096)
+    docs = docs_of(spark, [(i, f"text {i} " * 40) for i in range(200)]).repartition(4)
+    total, setting = suffix_dedup._text_bytes(docs, "text"), spark.conf.get("spark.sql.shuffle.partitions")
+    found = {}
+    try:
+        for n in ("2", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            with scratch(spark):
+                parts = suffix_dedup._parts(docs, "doc_id", "text", total)
+                found[n] = parts.groupBy("_part").count().rdd.getNumPartitions()
+                assert parts.count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)
+    assert found["2"] == found["200"] == -(-total // 4096)
+    assert suffix_dedup._text_bytes(docs.limit(0), "text") == 0
+
+
+def test_samples_are_not_crowded_out_by_long_texts(spark):
+    long = "the long text of one language " * 200
+    docs = spark.createDataFrame([(i, f"{i} {long}", "en") for i in range(8)] + [(i, f"a short text {i}", "en") for i in range(8, 48)], "doc_id long, text string, lang string")
+    short = docs.filter("doc_id >= 8")
+    whole = langid.learn(docs, sample_bytes=7000)["en"][1].sum()  # each long text takes 6000
+    assert whole >= langid.learn(short, sample_bytes=7000)["en"][1].sum() > 0
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(48)], "doc_id long, quality int, toxic int")
+    lines = docs.select("doc_id", F.when(F.col("doc_id") < 8, F.repeat(F.lit("a line\n"), 500)).otherwise(F.col("text")).alias("text"))
+    assert quality_crf.train(lines, labels, sample_lines=100) is not None  # the short ones, of both labels
+
+
+def test_equal_texts_score_alike_on_ties(spark):
+    docs = docs_of(spark, [(1, "same text here"), (2, "same text here"), (2, "same text here"), (None, "same text here"), (3, None), (4, "")])
+    got = quality_crf.score(docs, None).collect()
+    assert len(got) == 6 and {x.score for x in got} == {0.5}
+
+
 def test_suffix_dedup_leaves_nothing_behind(spark):
     line = "This line of more than fifty bytes stands in every one of the documents."
     docs = docs_of(spark, [(i, f"{i * 7919} {line} {i}") for i in range(600)]).repartition(2)
@@ -566,7 +611,7 @@ def test_suffix_dedup_leaves_nothing_behind(spark):
         sent = []
         for n in (60, 600):
             same = docs_of(spark, [(i, line) for i in range(n)]).repartition(2)
-            parts = suffix_dedup._parts(same, "doc_id", "text")
+            parts = suffix_dedup._parts(same, "doc_id", "text", 0)
             shared = suffix_dedup._shared_anchors(suffix_dedup._anchor_blocks(parts, 4, 50), 30)
             by_part = suffix_dedup._segments(parts, shared, 4, 50).groupBy("part").agg(F.sum(F.length("text")).alias("n")).collect()
             sent.append({x.n for x in by_part})
