@@ -1105,9 +1105,10 @@ def snk1_csv_byte_order_mark(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) FILTER (is_laundering = 1) AS flagged, max(epoch) AS latest FROM txn")
 def snk12_observed_counts(spark, sf_dir):
-    """Counts of a table that was just written, from three columns of it. (An Observation stays in the session, and pyspark.ml models can't be shipped after it.)"""
-    written = materialise(tx(spark, sf_dir), "observed")
-    return written.agg(F.count("*").alias("n"), F.count_if(F.col("is_laundering") == 1).alias("flagged"), F.max("epoch").alias("latest"))
+    """Counts of the rows of a table, observed by the job that writes it."""
+    t = tx(spark, sf_dir)
+    seen = source.write_observed(t, f"{shared_dir(spark)}/observed-{uuid.uuid4().hex}", n=F.count(F.lit(1)), flagged=F.count_if(F.col("is_laundering") == 1), latest=F.max("epoch"))
+    return spark.createDataFrame([(seen["n"], seen["flagged"], seen["latest"])], "n long, flagged long, latest long")
 
 
 @query(", n AS (SELECT count(*) FILTER (is_laundering = 1 AND risk >= 1.5) AS tp, count(*) FILTER (is_laundering = 0 AND risk >= 1.5) AS fp, count(*) FILTER (is_laundering = 0 AND risk < 1.5) AS tn, count(*) FILTER (is_laundering = 1 AND risk < 1.5) AS fn FROM scored)\nSELECT *, (tp + tn) / (tp + tn + fp + fn + 1e-6) AS accuracy, tp / (tp + fp + 1e-6) AS precision, tp / (tp + fn + 1e-6) AS recall, 2 * tp / (2 * tp + fp + fn + 1e-6) AS f1 FROM n")

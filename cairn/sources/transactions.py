@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = """tx_id long, sender long, receiver long, amount double, epoch long, payment_type string, payment_currency string, received_currency string,
@@ -72,6 +74,26 @@ def write_edge_list(edges: DataFrame, path: str) -> str:
     return path
 
 
+def write_observed(df: DataFrame, path: str, mode: str = "errorifexists", **measures: Column) -> dict:
+    """Writes Parquet and returns aggregates of the rows written, which the write itself observes: no second scan.
+
+    ``measures`` are named aggregates; without any, the number of rows (``n``). They are seen after the last shuffle, where each task counts once however often it was tried. An empty table
+    gives counts of 0 and null for other aggregates. The write runs in a session of its own that sees the plan as a global view: a session that once observed
+    can't ship pyspark.ml models with a summary any more (Spark 4.1.2), and the caller's never does.
+    """
+    spark, name, seen = df.sparkSession, f"observed_{uuid.uuid4().hex}", Observation()
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    df.createGlobalTempView(name)
+    try:
+        measured = [c.alias(k) for k, c in measures.items()] or [F.count(F.lit(1)).alias("n")]
+        own.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{name}").observe(seen, *measured).write.mode(mode).parquet(path)
+        return seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
     part = F.split("value", " ")
     return spark.read.text(path).select(part[0].cast("long").alias("src"), part[1].cast("long").alias("dst"))

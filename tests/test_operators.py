@@ -291,6 +291,38 @@ def test_csv_byte_order_mark_and_graphml_document(spark, tmp_path):
     assert {x.id for x in source.read_graphml_nodes(spark, str(tmp_path / "g")).collect()} == {"a&b", "<c>"}
 
 
+def test_the_write_itself_observes_counts(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            computed.add(b.num_rows)
+            yield b
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k")).repartition(3).mapInArrow(count, "id long, k long")
+    seen = source.write_observed(rows, str(tmp_path / "whole"), n=F.count(F.lit(1)), with_k=F.count("k"), most=F.max("k"))
+    assert seen == {"n": 1000, "with_k": sum(i % 3 > 0 for i in range(1000)), "most": 6}
+    assert computed.value == 1000  # one evaluation for rows and counts
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "whole")).collect())) == [(i, i % 7 if i % 3 else None) for i in range(1000)]
+    assert source.write_observed(spark.range(0), str(tmp_path / "none")) == {"n": 0}
+    assert source.write_observed(spark.range(0), str(tmp_path / "null"), most=F.max("id")) == {"most": None}
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("observed_")]
+    with pytest.raises(Exception, match="(?i)exist"):
+        source.write_observed(rows, str(tmp_path / "whole"))
+
+
+def test_models_are_fitted_after_an_observed_write(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    points = spark.range(100).select(F.col("id").cast("double").alias("a"), (F.col("id") >= 50).cast("int").alias("label"))
+    assert source.write_observed(points, str(tmp_path / "points"))["n"] == 100
+    vectors = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.read.parquet(str(tmp_path / "points")))
+    model = LogisticRegression(maxIter=20).fit(vectors)
+    assert model.summary.accuracy > 0.95
+    assert model.transform(vectors).filter("prediction = label").count() > 95
+
+
 def test_the_package_is_shipped_whole(spark):
     names = zipfile.ZipFile(ship(spark)).namelist()
     assert {"cairn/__init__.py", "cairn/operators/graph.py", "cairn/plans/registry.py"} <= set(names)
