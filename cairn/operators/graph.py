@@ -52,68 +52,58 @@ def propagate_chain(chain: Chain, seed: str = "source", rounds: int = 3) -> Data
     return labelled
 
 
-def chain_levels(chain: Chain, weights: DataFrame) -> DataFrame:
-    """(id, level, risk) of the transfers of the temporal chain: ``relax`` without pairs; ``weights`` are (id, w).
-
-    Round k holds the transfers that some path of k steps reaches, with the greatest sum of weights of such a path. Time is strict, so there is no cycle.
-    """
-    spark = weights.sparkSession
-    layers = Growing(spark, "id long, k int, r double", "levels")
-    weights, k = materialise(weights.select("id", "w"), "weights"), 0
-    step = chain.ends().filter("has_out AND NOT has_in").select("id", F.lit(0.0).alias("r"))
-    while True:
-        layers.add(step.select("id", F.lit(k).alias("k"), "r"))
-        layer = layers.read().filter(F.col("k") == k)
-        if layer.isEmpty():
-            break
-        reached = chain.forward(layer.select("id", F.col("r").alias("v")), F.max, F.greatest)
-        step, k = reached.join(weights, "id").select("id", (F.col("v") + F.col("w")).alias("r")), k + 1
-    return layers.read().groupBy("id").agg(F.max("k").alias("level"), F.max("r").alias("risk"))
-
-
 def relax(edges: DataFrame, weight: str | None = None) -> DataFrame:
     """(id, level, risk) of every vertex of a DAG: edges on the longest path to it, and the greatest sum of weights of a path from a source to it.
 
-    Stretches of vertices with one edge in and one out are jumped over by doubling; the rest is peeled from the sources on, and a vertex is done when
-    all its edges are. So an edge is used once, and rounds are as many as the longest path counts forks and joins. A cycle raises an error. Edges with a null end are ignored.
+    A vertex is the greater of a constant, from its settled predecessors, and of what its open ones will give. In each phase all vertices with one open
+    predecessor are jumped over by doubling, up to a settled vertex or one with several, and the edges and constants of those behind follow them. In a forest the vertices
+    with several open predecessors are halved by each phase, so rounds grow with the square of the logarithm of the vertices; in any DAG phases are at most the joins
+    on the longest path. A cycle raises an error. Edges with a null end are ignored.
     """
-    spark = edges.sparkSession
+    spark, long = edges.sparkSession, "long"
     own = edges.select("src", "dst", (F.col(weight) if weight else F.lit(0.0)).cast("double").alias("w")).filter("src IS NOT NULL AND dst IS NOT NULL")
-    own = materialise(own.groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
-    into = own.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
-    out = own.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
-    degree = materialise(into.join(out, "id", "full").na.fill(0, ["i", "o"]), "degrees")
-    inner = degree.filter("i = 1 AND o = 1").select("id")
-    jump = materialise(own.join(inner.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("id"), F.col("src").alias("to"), F.lit(1).cast("long").alias("hops"), "w"), "jump")
-    n, reach = jump.count(), 1
-    while True:  # until no jump ends inside a stretch
-        far = jump.select(F.col("id").alias("to"), F.col("to").alias("z"), F.col("hops").alias("h"), F.col("w").alias("v"))
-        both = jump.join(far, "to", "left").select("id", F.coalesce("z", "to").alias("to"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w"), F.col("z").isNotNull().alias("on"))
-        jump = materialise(both, "jump")
-        if jump.filter("on").isEmpty():
-            break
-        jump, reach = jump.drop("on"), 2 * reach
-        if reach > 2 * n:
-            raise ValueError("the graph has a cycle")
-    jump = jump.drop("on")
-    ahead = own.join(inner.withColumnRenamed("id", "dst"), "dst", "left_anti")  # edges to vertices that stay
-    short = ahead.join(jump.select(F.col("id").alias("src"), "to", "hops", F.col("w").alias("v")), "src", "left")
-    short = materialise(short.select(F.coalesce("to", "src").alias("src"), "dst", (F.coalesce("hops", F.lit(0)) + 1).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w")), "short-edges")
-    open_ = materialise(degree.filter("NOT (i = 1 AND o = 1)").select("id", "i"), "open")
+    own = materialise(own.groupBy("src", "dst").agg(F.lit(1).cast(long).alias("hops"), F.max("w").alias("w")), "edges")
     done = Growing(spark, f"id {dict(own.dtypes)['src']}, level long, risk double", "done")
-    ready = materialise(open_.filter("i = 0").select("id", F.lit(0).cast("long").alias("level"), F.lit(0.0).alias("risk")), "ready")
-    waiting = None
-    while not ready.isEmpty():
+    done.add(sources_of(own).select("id", F.lit(0).cast(long).alias("level"), F.lit(0.0).alias("risk")))
+    settled, hung = done.read(), []
+    nodes = materialise(own.select(F.col("dst").alias("id"), F.lit(None).cast(long).alias("level"), F.lit(None).cast("double").alias("risk")).distinct(), "open-vertices")
+    while True:
+        # settled ends of edges become constants
+        ends = own.join(settled.select(F.col("id").alias("src"), F.col("level").alias("l"), F.col("risk").alias("r")), "src", "left")
+        rows = nodes.select("id", "level", "risk", F.lit(0).cast(long).alias("open")).unionByName(
+            ends.select(F.col("dst").alias("id"), (F.col("l") + F.col("hops")).alias("level"), (F.col("r") + F.col("w")).alias("risk"), F.col("l").isNull().cast(long).alias("open")))
+        nodes = materialise(rows.groupBy("id").agg(F.max("level").alias("level"), F.max("risk").alias("risk"), F.sum("open").alias("open")), "open-vertices")
+        own = materialise(own.join(settled.select(F.col("id").alias("src")), "src", "left_anti"), "open-edges")
+        ready = nodes.filter("open = 0").select("id", "level", "risk")
+        single = own.join(nodes.filter("open = 1").select(F.col("id").alias("dst"), "level", "risk"), "dst")
+        jump = materialise(single.select(F.col("dst").alias("id"), F.col("src").alias("to"), "hops", "w", "level", "risk"), "jump")
+        n, reach, moved = jump.count(), 1, True
+        if not n and ready.isEmpty():
+            if nodes.isEmpty():
+                break
+            raise ValueError("the graph has a cycle")
+        while n and moved:
+            far = jump.select(F.col("id").alias("to"), F.col("to").alias("z"), F.col("hops").alias("h"), F.col("w").alias("v"), F.col("level").alias("l"), F.col("risk").alias("r"))
+            step = jump.join(far, "to", "left").select("id", F.coalesce("z", "to").alias("to"), (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w"),
+                F.greatest("level", F.col("l") + F.col("hops")).alias("level"), F.greatest("risk", F.col("r") + F.col("w")).alias("risk"), F.col("z").isNotNull().alias("on"))
+            jump = materialise(step, "jump")
+            moved, jump, reach = not jump.filter("on").isEmpty(), jump.drop("on"), 2 * reach
+            if moved and reach > 2 * n:
+                raise ValueError("the graph has a cycle")
+        # of the rest, edges from a single vertex start where it hangs, and leave its constant
+        rest = materialise(nodes.filter("open > 1").select("id", "level", "risk"), "joins")
+        ahead = own.join(rest.select(F.col("id").alias("dst")), "dst", "left_semi").join(jump.select(F.col("id").alias("src"), "to", F.col("hops").alias("h"), F.col("w").alias("v"), "level", "risk"), "src", "left")
+        ahead = materialise(ahead.select(F.coalesce("to", "src").alias("src"), "dst", (F.col("hops") + F.coalesce("h", F.lit(0))).alias("hops"), (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w"), (F.col("level") + F.col("hops")).alias("level"), (F.col("risk") + F.col("w")).alias("risk")), "ahead")
+        hung.append(jump)
         done.add(ready)
-        step = short.join(ready.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.lit(1).cast("long").alias("seen"), (F.col("level") + F.col("hops")).alias("level"), (F.col("risk") + F.col("w")).alias("risk"))
-        step = step if waiting is None else step.unionByName(waiting)
-        seen = materialise(step.groupBy("id").agg(F.sum("seen").alias("seen"), F.max("level").alias("level"), F.max("risk").alias("risk")).join(open_, "id"), "seen")
-        ready = seen.filter("seen = i").select("id", "level", "risk")
-        waiting = seen.filter("seen < i").select("id", "seen", "level", "risk")
-    outer = done.read()
-    if outer.count() < open_.count() or (n and jump.join(outer, jump["to"] == outer["id"], "left_anti").count()):
-        raise ValueError("the graph has a cycle")
-    return outer.unionByName(jump.join(outer.withColumnRenamed("id", "to"), "to").select("id", (F.col("level") + F.col("hops")).alias("level"), (F.col("risk") + F.col("w")).alias("risk")))
+        constants = ahead.filter("level IS NOT NULL").select(F.col("dst").alias("id"), "level", "risk")
+        nodes = rest.unionByName(constants)
+        own = ahead.groupBy("src", "dst").agg(F.max("hops").alias("hops"), F.max("w").alias("w"))
+        settled = ready
+    for jump in reversed(hung):  # what a vertex hung on was settled later, or hung in a later phase
+        found = jump.join(done.read().select(F.col("id").alias("to"), F.col("level").alias("l"), F.col("risk").alias("r")), "to")
+        done.add(materialise(found.select("id", F.greatest("level", F.col("l") + F.col("hops")).alias("level"), F.greatest("risk", F.col("r") + F.col("w")).alias("risk")), "settled"))
+    return done.read()
 
 
 def is_dag(edges: DataFrame) -> bool:

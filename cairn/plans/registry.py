@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, strong
+from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, strong, sweep
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise, shared_dir
 from cairn.sources import transactions as source
@@ -393,7 +393,7 @@ walk(id, k, r) AS (SELECT DISTINCT src, 0, CAST(0 AS DOUBLE) FROM chain WHERE sr
 SELECT id, max(k) AS level, max(r) AS risk FROM walk GROUP BY id""")
 def gr11_levels_and_risk(spark, sf_dir):
     t = tx(spark, sf_dir)
-    return graph.chain_levels(relational.Chain(t), scored(t).select(F.col("tx_id").alias("id"), F.col("risk").alias("w")))
+    return sweep.chain_levels(t, scored(t).select(F.col("tx_id").alias("id"), F.col("risk").alias("w")))
 
 
 @query(""", nx AS (SELECT src, arg_min(dst, (dst_epoch, dst)) AS dst FROM chain GROUP BY src),

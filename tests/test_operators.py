@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import scalar
-from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, scratch, strong
+from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, scratch, strong, sweep
 from cairn.operators.components import connected_components
 from cairn.operators.scratch import materialise
 from cairn.operators.shipping import ship
@@ -193,6 +193,61 @@ def test_relax_on_cycles_and_long_paths(spark):
     assert graph.relax(of([]).limit(0)).count() == 0
 
 
+def test_relax_contracts_forests_in_few_phases(spark, monkeypatch):
+    """A tree in which every vertex joins two branches, hung on a comb as long: as many levels as vertices on the comb, few phases, whatever their order."""
+    r = random.Random(5)
+    edges = {(2 * i, i): float(r.randrange(-3, 9)) for i in range(1, 64)} | {(2 * i + 1, i): float(r.randrange(-3, 9)) for i in range(1, 64)}
+    for i in range(1000, 1120):
+        edges |= {(i, i + 1): float(r.randrange(-3, 9)), (i + 5000, i): float(r.randrange(-3, 9)), (i, i + 9000): 1.0}
+    edges |= {(1, 1000): 2.0, (1120, 20_000): -1.0}
+    tags = Counter()
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: tags.update([tag]) or real(df, tag))
+    got = graph.relax(spark.createDataFrame([(f"v{a}", f"v{b}", w) for (a, b), w in edges.items()], "src string, dst string, w double"), "w")
+    assert {int(x.id[1:]): (x.level, x.risk) for x in got.collect()} == longest_paths(edges)
+    assert tags["ahead"] <= 2 * math.log2(2 * len(edges))
+
+
+def swept_levels(rows, weight):
+    """Plain Python: transfers in order of time; what comes before a transfer is every strictly earlier one that pays its sender."""
+    value, out = {}, {}
+    for i, a, b, t, *_ in sorted((x for x in rows if x[3] is not None), key=lambda x: x[3]):
+        before = [value[x[0]] for x in rows if a is not None and x[3] is not None and x[2] == a and x[3] < t]
+        known = [v for v in before if v]
+        value[i] = (0, 0.0) if not before else (1 + max(k for k, _ in known), weight[i] + max(r for _, r in known)) if known and weight.get(i) is not None else None
+        follows = any(x[3] is not None and x[3] > t and x[1] == b for x in rows if b is not None)
+        if value[i] and (value[i][0] or follows):
+            out[i] = value[i]
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 40, 10_000])
+def test_levels_by_sweeps_equal_plain_python(spark, block_rows):
+    rows = random_tx(block_rows, 150, 25)
+    rows = [(i, a if i % 13 else None, b if i % 17 else None, 20 if i % 3 == 0 else None if i % 41 == 0 else t, *rest) for i, a, b, t, *rest in rows]  # a third at one instant
+    weight = {x[0]: None if x[0] % 23 == 0 else float(x[0] % 9 - 3) for x in rows if x[0] % 29}
+    t = frame(spark, rows + rows[:9]).repartition(3).withColumn("block", F.lit("x")).withColumn("w", F.lit(1))
+    weights = spark.createDataFrame(list(weight.items()), "id long, w double")
+    got = {x.id: (x.level, x.risk) for x in sweep.chain_levels(t, weights, block_rows).collect()}
+    assert got == swept_levels(rows, weight) and max(k for k, _ in got.values()) > 2
+    assert sweep.chain_levels(t.limit(0), weights, block_rows).count() == 0
+
+
+def test_levels_take_few_rounds_on_long_paths(spark, monkeypatch):
+    """One path of 600 transfers in time order: written rounds follow the blocks that it changes, not its steps."""
+    t = frame(spark, [(i, i, i + 1, i, 1.0, 0) for i in range(600)]).select("*", F.col("sender").cast("string").alias("s"), F.col("receiver").cast("string").alias("r")).drop("sender", "receiver").withColumnsRenamed({"s": "sender", "r": "receiver"})
+    tags = Counter()
+    real = sweep.materialise
+    monkeypatch.setattr(sweep, "materialise", lambda df, tag: tags.update([tag]) or real(df, tag))
+    weights = t.select(F.col("tx_id").alias("id"), F.lit(0.5).alias("w"))
+    for block_rows in (1000, 100):
+        tags.clear()
+        got = {x.id: (x.level, x.risk) for x in sweep.chain_levels(t, weights, block_rows).collect()}
+        assert got == {i: (i, i / 2) for i in range(600)}
+        blocks = t.count() // block_rows + 4  # the chunks of four partitions end in blocks of their own
+        assert tags["said"] <= blocks + 1
+
+
 @pytest.mark.parametrize("seed", [41, 42])
 def test_chain_without_pairs_equals_the_pairs(spark, seed):
     rows = random_tx(seed, 120, 8)
