@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.scratch import materialise
+from cairn.operators.scratch import materialise, shuffled
 
 MAX_ROUNDS = 60
 
@@ -50,4 +50,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         links = materialise(_small_star(materialise(_large_star(links), "large-star")), "links")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return vertices.join(links.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return vertices.join(shuffled(links.select(F.col("u").alias("id"), F.col("v").alias("component"))), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.scratch import materialise
+from cairn.operators.scratch import materialise, shuffled
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -224,7 +224,7 @@ def component_features(tx: DataFrame, components: DataFrame) -> DataFrame:
 
     Gaps are found chunk by chunk, so that a component of any size is the work of many tasks. Means are of exact decimals, so they are the same in any order of rows. Missing statistics are 0.
     """
-    own = materialise(tx.join(components.select(F.col("id").alias("tx_id"), "component"), "tx_id").select("tx_id", "component", "epoch", "amount", "is_laundering"), "members")
+    own = materialise(tx.join(shuffled(components.select(F.col("id").alias("tx_id"), "component")), "tx_id").select("tx_id", "component", "epoch", "amount", "is_laundering"), "members")
     gap = F.col("epoch") - F.col("before")
     exact = F.sum(F.col("amount").cast("decimal(18,2)")).cast("double")
     out = previous(own, "component", ["epoch", "tx_id"], "epoch", "before").withColumn("gap", gap).groupBy("component").agg(

@@ -516,6 +516,19 @@ def test_cyclic_flags_differ(spark):
     assert flags == {0, 1}
 
 
+def test_components_are_not_broadcast(spark):
+    """A table of ids in one component takes few bytes a row in its files; the joins with it shuffle all the same."""
+    t = spark.range(2000).select(F.col("id").alias("tx_id"), F.lit(1.0).alias("amount"), F.col("id").alias("epoch"), F.lit(0).alias("is_laundering"))
+    own = spark.range(2000).select("id", F.lit(0).cast("long").alias("component"))
+    joins = []
+    real, relational.materialise = relational.materialise, lambda df, tag: (joins.append(df._jdf.queryExecution().toString()) if tag == "members" else None, real(df, tag))[1]
+    try:
+        assert relational.component_features(t, own).first()["tx_count"] == 2000
+    finally:
+        relational.materialise = real
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0] and "BroadcastHashJoin" not in joins[0]
+
+
 def betweenness_by_force(edges):
     near = {}
     for a, b in edges:
