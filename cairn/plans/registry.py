@@ -1044,10 +1044,11 @@ re(src, dst) AS (SELECT src, dst FROM e UNION SELECT re.src, e.dst FROM re JOIN
 """
 
 
-@query(LARGE_CLOSURE + "SELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST((receiver, sender) IN (SELECT (src, dst) FROM re) OR sender = receiver AS INTEGER) AS cyclic FROM large)")
+@query(""", re(src, dst) AS (SELECT src, dst FROM pairs UNION SELECT re.src, e.dst FROM re JOIN pairs e ON e.src = re.dst)
+SELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST((receiver, sender) IN (SELECT (src, dst) FROM re) OR sender = receiver AS INTEGER) AS cyclic FROM txn)""")
 def gr4_cyclic_transfers(spark, sf_dir):
-    """Large transfers whose edge lies on a cycle of large transfers: to oneself, or within a strongly connected component; and the label or that flag."""
-    t = materialise(tx(spark, sf_dir).filter(F.col("amount") >= LARGE), "large")
+    """Transfers whose edge lies on a cycle of transfers: to oneself, or within a strongly connected component; and the label or that flag."""
+    t = materialise(tx(spark, sf_dir), "transfers")
     flags = strong.cyclic_edges(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")))
     flags = flags.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), "cyclic")
     return t.join(flags, ["sender", "receiver"]).select("tx_id", "cyclic", F.greatest("is_laundering", "cyclic").alias("label"))

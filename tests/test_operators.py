@@ -516,6 +516,12 @@ def test_cyclic_flags_differ(spark):
     assert flags == {0, 1}
 
 
+def test_cyclic_flags_are_of_every_transfer(spark):
+    sf = "/root/testdata/sf0.001"
+    flags = registry.QUERIES["gr4_cyclic_transfers"](spark, sf).select("tx_id")
+    assert sorted(r.tx_id for r in flags.collect()) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
+
+
 def test_components_are_not_broadcast(spark):
     """A table of ids in one component takes few bytes a row in its files; the joins with it shuffle all the same."""
     t = spark.range(2000).select(F.col("id").alias("tx_id"), F.lit(1.0).alias("amount"), F.col("id").alias("epoch"), F.lit(0).alias("is_laundering"))
