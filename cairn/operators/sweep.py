@@ -1,16 +1,21 @@
-"""Levels and risks of the temporal chain by sweeps over blocks of time."""
+"""Levels and risks of the temporal chain by one sweep over blocks of time."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.relational import chunked
-from cairn.operators.scratch import materialise
+from cairn.operators.scratch import Growing, materialise, shuffled
 
 #: Of an account that was paid, but by no transfer that has a level.
 BLOCKED = (-1, float("-inf"))
+NEVER = -(1 << 63)
+NAMES = ["id", "level", "risk", "account", "next"]
 
 
 def time_blocks(tx: DataFrame, block_rows: int) -> DataFrame:
@@ -30,50 +35,76 @@ def time_blocks(tx: DataFrame, block_rows: int) -> DataFrame:
     return rows.join(ends, "block").withColumn("at", F.when(alone, F.col("epoch")).otherwise(F.col("lo") + F.col("lo_shared"))).select(*rows.columns, "at")
 
 
-def _swept(rows: pa.Table, given: pa.Table):
-    """(values, said): level and risk of every row of a block in order of time, and the greatest of both that each account was paid in it."""
-    state = dict(zip(given["account"].to_pylist(), zip(given["level"].to_pylist(), given["risk"].to_pylist())))
-    values, said, paid, now = [], {}, [], None
-    for sender, receiver, epoch, w in zip(*(rows[c].to_pylist() for c in ("sender", "receiver", "epoch", "w"))):
+def _values(rows: pa.Table, name: str, missing=None) -> list:
+    """A column as a list, numbers by way of numpy; ``missing`` stands for nulls of numbers."""
+    column = rows[name] if missing is None else pc.fill_null(rows[name], missing)
+    return column.to_pylist() if column.null_count or pa.types.is_string(column.type) else column.to_numpy().tolist()
+
+
+def _swept(rows: pa.Table, given: pa.Table) -> pa.Table:
+    """(id, level, risk) of the rows of a block, and (account, level, risk, next): what the later block ``next``, by its place in time, must know of an account."""
+    rows, levels, risks = rows.sort_by("epoch"), {}, {}  # of the accounts; level -1: paid, but by no transfer that has a level
+    said = [*zip(*(_values(given, c) for c in ("account", "level", "risk")))]
+    senders, receivers = _values(rows, "sender"), _values(rows, "receiver")
+    found, now = [], None
+    columns = _values(rows, "tx_id"), senders, receivers, _values(rows, "epoch"), _values(rows, "w", float("nan")), _values(rows, "has_out")
+    for i, sender, receiver, epoch, w, on in zip(*columns):
         if epoch != now:  # equal times don't follow each other
-            for account, v in paid:
-                state[account] = tuple(map(max, state.get(account, BLOCKED), v))
-            paid, now = [], epoch
-        before = state.get(sender)
-        if before is None:
-            v = (0, 0.0)
+            _told(levels, risks, said)
+            said, now = [], epoch
+        level, risk = levels.get(sender), 0.0
+        if level is None:
+            level = 0
+        elif level < 0 or w != w:
+            level, risk = BLOCKED
         else:
-            v = BLOCKED if w is None or before[0] < 0 else (before[0] + 1, before[1] + w)
-        values.append(v)
+            level, risk = level + 1, risks[sender] + w
+        if level > 0 or (on and level == 0):
+            found.append((i, level, risk))
         if receiver is not None:
-            paid.append((receiver, v))
-            said[receiver] = tuple(map(max, said.get(receiver, BLOCKED), v))
-    return values, said
-
-
-def _say(rows: pa.Table, given: pa.Table) -> pa.Table:
-    kind = rows.schema.field("receiver").type
-    said = _swept(rows.sort_by("epoch"), given)[1] if len(rows) else {}
-    n = len(said)
-    at = {c: pa.array([rows[c][0].as_py()] * n if n else [], pa.int64()) for c in ("block", "at")}
-    return pa.table(at | {"account": pa.array(list(said), kind), "level": pa.array([v[0] for v in said.values()], pa.int32()), "risk": pa.array([v[1] for v in said.values()], pa.float64())})
+            said.append((receiver, level, risk))
+    _told(levels, risks, said)
+    later = {}
+    for accounts, end in ((senders, "sender"), (receivers, "receiver")):
+        later.update((a, n) for a, n in zip(accounts, _values(rows, f"{end}_next", NEVER)) if n != NEVER and a in levels)
+    mail = sorted(later, key=later.get)
+    ids, at_level, at_risk = zip(*found) if found else ((), (), ())
+    n, kind = len(ids), lambda c: rows.schema.field(c).type
+    own = pa.table([pa.array(ids, kind("tx_id")), pa.array(at_level, pa.int32()), pa.array(at_risk, pa.float64()), pa.nulls(n, kind("sender")), pa.nulls(n, pa.int64())], NAMES)
+    told = [pa.nulls(len(mail), kind("tx_id")), pa.array([levels[a] for a in mail], pa.int32()), pa.array([risks[a] for a in mail], pa.float64()), pa.array(mail, kind("sender")), pa.array([later[a] for a in mail], pa.int64())]
+    return pa.concat_tables([own, pa.table(told, NAMES)])
+
+
+def _told(levels: dict, risks: dict, said: list) -> None:
+    for account, level, risk in said:
+        before = levels.get(account)
+        if before is None:
+            levels[account], risks[account] = level, risk
+        else:
+            if level > before:
+                levels[account] = level
+            if risk > risks[account]:
+                risks[account] = risk
 
 
-def _levels(rows: pa.Table, given: pa.Table) -> pa.Table:
-    rows = rows.sort_by("epoch")
-    values = _swept(rows, given)[0]
-    keep = [(i, *v) for i, v, on in zip(rows["tx_id"].to_pylist(), values, rows["has_out"].to_pylist()) if v[0] > 0 or (on and v[0] == 0)]
-    ids, levels, risks = zip(*keep) if keep else ((), (), ())
-    return pa.table({"id": pa.array(ids, rows.schema.field("tx_id").type), "level": pa.array(levels, pa.int32()), "risk": pa.array(risks, pa.float64())})
+def routed(rows: DataFrame) -> DataFrame:
+    """The rows with ``sender_next`` and ``receiver_next``: the least later ``at`` of a row that the account sends, null where it sends no more."""
+    asks = rows.select(F.col("sender").alias("account"), "at", F.lit(1).alias("asks")).distinct()
+    named = rows.select(F.col("receiver").alias("account"), "at", F.lit(0).alias("asks")).distinct()
+    places = asks.unionByName(named).filter("account IS NOT NULL").groupBy("account", "at").agg(F.max("asks").alias("asks"))
+    later = Window.partitionBy("account").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    routes = materialise(places.withColumn("next", F.min(F.when(F.col("asks") == 1, F.col("at"))).over(later)).filter("next IS NOT NULL").select("account", "at", "next"), "routes")
+    to = lambda end: shuffled(routes.select(F.col("account").alias(end), "at", F.col("next").alias(f"{end}_next")))
+    return rows.join(to("sender"), ["sender", "at"], "left").join(to("receiver"), ["receiver", "at"], "left")
 
 
-def chain_levels(tx: DataFrame, weights: DataFrame, block_rows: int = 1 << 18) -> DataFrame:
+def chain_levels(tx: DataFrame, weights: DataFrame, block_rows: int = 1 << 20) -> DataFrame:
     """(id, level, risk) of the transfers of the temporal chain: steps of the longest path to it, and the greatest sum of weights of a path from a
     transfer without predecessor, whose own weight doesn't count. ``weights`` are (id, w); the times must be whole numbers.
 
-    A task sweeps a block of ``block_rows`` rows in order of time with what the accounts had been paid before it, so all steps within the block are taken
-    at once. What blocks say of an account is handed on by a running maximum over the blocks, and only blocks that are told something new are swept again. Written rounds are
-    as many as a longest path changes its block, at most: not as its steps, and one if all rows make one block. No edge of the chain is made.
+    Blocks of ``block_rows`` rows are swept in order of time, each once, by a task that holds one block. What a block says of an account, it writes for the next block in which the
+    account sends, which is known beforehand; that block says it on. So a block reads what is meant for it, and work and written rows follow the transfers, whatever the length of paths. Blocks that share an instant
+    tell each other nothing and are swept at once. No edge of the chain is made.
 
     A transfer without a weight, or with a null or NaN one, has no level and passes none on unless it has no predecessor. Transfers that neither follow nor are followed are left out, and
     so are those without a time. A null account pays and is paid by nobody. Repeated rows count once; an id takes the greatest of its rows.
@@ -81,24 +112,17 @@ def chain_levels(tx: DataFrame, weights: DataFrame, block_rows: int = 1 << 18) -
     last = tx.filter("sender IS NOT NULL AND epoch IS NOT NULL").groupBy(F.col("sender").alias("receiver")).agg(F.max("epoch").alias("last"))
     known = weights.filter("w IS NOT NULL AND NOT isnan(w)").groupBy(F.col("id").alias("tx_id")).agg(F.max("w").cast("double").alias("w"))
     slim = tx.filter("epoch IS NOT NULL").select("tx_id", "sender", "receiver", F.col("epoch").cast("long").alias("epoch")).distinct()
-    slim = slim.join(last, "receiver", "left").join(known, "tx_id", "left").select("tx_id", "sender", "receiver", "epoch", "w", F.coalesce(F.col("last") > F.col("epoch"), F.lit(False)).alias("has_out"))
+    slim = slim.join(shuffled(last), "receiver", "left").join(shuffled(known), "tx_id", "left").select("tx_id", "sender", "receiver", "epoch", "w", F.coalesce(F.col("last") > F.col("epoch"), F.lit(False)).alias("has_out"))
     rows = materialise(time_blocks(materialise(slim, "slim"), block_rows), "time-blocks")
-    key, own = ["block", "at"], ["block", "at", "account", "level", "risk"]
-    schema = f"block long, at long, account {rows.schema['receiver'].dataType.simpleString()}, level int, risk double"
-    by_block = lambda df: df.groupBy(*key)
-    asked = materialise(rows.filter("sender IS NOT NULL").select(*key, F.col("sender").alias("account")).distinct(), "asked")
-    given = rows.sparkSession.createDataFrame([], schema)
-    said = materialise(by_block(rows).cogroup(by_block(given)).applyInArrow(_say, schema), "said")
-    earlier = Window.partitionBy("account").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    while True:
-        both = said.select(*own, F.lit(False).alias("asks")).unionByName(asked.select(*key, "account", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("risk"), F.lit(True).alias("asks")))
-        told = both.withColumns({"level": F.max("level").over(earlier), "risk": F.max("risk").over(earlier)}).filter("asks AND level IS NOT NULL").select(*own)
-        told = materialise(told, "told")
-        new = told.join(given.select(*key, "account", F.col("level").alias("l"), F.col("risk").alias("r")), [*key, "account"], "full").filter("NOT (level <=> l AND risk <=> r)")
-        new = materialise(new.select(*key).distinct(), "blocks-told")
-        if new.isEmpty():
-            break
-        again = by_block(rows.join(new, key, "left_semi")).cogroup(by_block(told.join(new, key, "left_semi"))).applyInArrow(_say, schema)
-        said, given = materialise(said.join(new, key, "left_anti").select(*own).unionByName(again), "said"), told
-    levels = by_block(rows).cogroup(by_block(given)).applyInArrow(_levels, f"id {rows.schema['tx_id'].dataType.simpleString()}, level int, risk double")
-    return levels.groupBy("id").agg(F.max("level").alias("level"), F.max("risk").alias("risk"))
+    plan = materialise(routed(rows).repartition("block").sortWithinPartitions("at"), "routed")
+    steps = defaultdict(list)
+    for r in rows.select("at", "block").distinct().collect():  # a row a block
+        steps[r["at"]].append(r["block"])
+    kinds = dict(rows.dtypes)
+    schema = f"id {kinds['tx_id']}, level int, risk double, account {kinds['sender']}, next long"
+    swept = Growing(rows.sparkSession, schema, "swept")
+    for at in sorted(steps):
+        given = swept.read().filter(F.col("next") == at).select("account", "level", "risk", F.explode(F.lit(steps[at])).alias("block"))
+        own = plan.filter(F.col("at") == at)
+        swept.add(own.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(_swept, schema))
+    return swept.read().filter("id IS NOT NULL").groupBy("id").agg(F.max("level").alias("level"), F.max("risk").alias("risk"))

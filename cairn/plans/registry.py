@@ -392,8 +392,8 @@ def gr3_propagate_from_sinks(spark, sf_dir):
 walk(id, k, r) AS (SELECT DISTINCT src, 0, CAST(0 AS DOUBLE) FROM chain WHERE src NOT IN (SELECT dst FROM chain) UNION SELECT w.dst, k + 1, max(r + risk) FROM walk JOIN w ON w.src = walk.id GROUP BY w.dst, k + 1)
 SELECT id, max(k) AS level, max(r) AS risk FROM walk GROUP BY id""")
 def gr11_levels_and_risk(spark, sf_dir):
-    t = tx(spark, sf_dir)
-    return sweep.chain_levels(t, scored(t).select(F.col("tx_id").alias("id"), F.col("risk").alias("w")))
+    t = materialise(scored(tx(spark, sf_dir)).select("tx_id", "sender", "receiver", "epoch", "risk"), "scored")
+    return sweep.chain_levels(t, t.select(F.col("tx_id").alias("id"), F.col("risk").alias("w")))
 
 
 @query(""", nx AS (SELECT src, arg_min(dst, (dst_epoch, dst)) AS dst FROM chain GROUP BY src),

@@ -248,6 +248,18 @@ def test_levels_take_few_rounds_on_long_paths(spark, monkeypatch):
         assert tags["said"] <= blocks + 1
 
 
+def test_levels_sweep_every_block_once(spark, monkeypatch):
+    """Paths that go through all blocks: each block is written once, and says of an account no more than one row."""
+    rows = [(10 * i + j, 100 * j + i, 100 * j + i + 1, i, 1.0, 0) for i in range(60) for j in range(4)]
+    added, real = [], sweep.Growing
+    monkeypatch.setattr(sweep, "Growing", lambda *a: added.append(real(*a)) or added[-1])
+    t = frame(spark, rows)
+    got = {x.id: (x.level, x.risk) for x in sweep.chain_levels(t, t.select(F.col("tx_id").alias("id"), F.lit(2.0).alias("w")), 16).collect()}
+    assert got == {10 * i + j: (i, 2.0 * i) for i in range(60) for j in range(4)}
+    swept = added[0].read()
+    assert swept.filter("id IS NOT NULL").count() == len(rows) and swept.filter("next IS NOT NULL").count() <= len(rows)
+
+
 @pytest.mark.parametrize("seed", [41, 42])
 def test_chain_without_pairs_equals_the_pairs(spark, seed):
     rows = random_tx(seed, 120, 8)
