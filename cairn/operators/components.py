@@ -1,9 +1,10 @@
-"""Connected components of an edge table, by alternating large-star and small-star contraction.
+"""Connected components of an edge table, by contraction.
 
-Both star steps only regroup edges by one endpoint, so a round is two joins against a table of minima and
-the number of rounds is logarithmic in the number of vertices. A minimum is a partial aggregate: a hub's
-edges are combined before the shuffle, and the join back to the edges can be split where it is skewed.
-Both steps are written to the shared folder, which cuts the lineage and survives lost executors.
+In each round every vertex points at the least vertex near its least neighbour, in an order drawn anew for the round, and one such step further; the
+edges follow, and what falls together is dropped. So vertices and edges shrink by a constant factor a round whatever the ids and the shape,
+rounds are logarithmic, and all rounds together take little more than the first. At the end the pointers are composed from the last round back to the first.
+A minimum is a partial aggregate, so a hub's edges are combined before the shuffle; joins hash the side of one row a vertex and let the edges stream past it,
+so that a hub's edges are never sorted or held. Rounds are written to the shared folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -11,29 +12,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.scratch import materialise, shuffled
+from cairn.operators.scratch import hashed, materialise
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour of u that is above u moves to the least of u and its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+def _onward(pointers: DataFrame, further: DataFrame, to: str = "to") -> DataFrame:
+    """(id, to): each pointer followed by the one that ``further`` (id, to) has for where it leads; it must have one."""
+    return pointers.join(hashed(further.select(F.col("id").alias("to"), F.col(to).alias("z"))), "to").select("id", F.col("z").alias("to"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """u (above all its v) and its v move to the least v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+def _pointers(links: DataFrame, round_: int) -> DataFrame:
+    """(id, to) of every vertex of the links, in the order of the round: to its least neighbour, on to the least of that one and its neighbours, and once more so.
+
+    A vertex below all its neighbours takes the first step too, so that what hangs on one hub falls together in a round; no vertex goes up in the order.
+    """
+    order = lambda c: F.xxhash64(F.lit(round_), F.col(c))
+    both = links.select(F.col("u").alias("id"), F.col("v").alias("to")).union(links.select(F.col("v").alias("id"), F.col("u").alias("to")))
+    near = both.withColumn("h", order("to")).groupBy("id").agg(F.min_by("to", "h").alias("to"), F.min("h").alias("h"))
+    near = materialise(near.select("id", "to", F.when(order("id") < F.col("h"), F.col("id")).otherwise(F.col("to")).alias("least")), "pointers")
+    two = materialise(_onward(near, near, "least"), "pointers")
+    return materialise(_onward(two, two), "pointers")
 
 
-def _settled(links: DataFrame) -> bool:
-    """Is every component a star around its least vertex? Then no v is a u, and no u has two v."""
-    ends = links.select("u", F.lit(1).alias("k")).union(links.select(F.col("v").alias("u"), F.lit(0).alias("k")))
-    return ends.groupBy("u").agg(F.sum("k").alias("n"), F.min("k").alias("m")).filter("n > 1 OR (n = 1 AND m = 0)").isEmpty()
+def _moved(links: DataFrame, pointers: DataFrame) -> DataFrame:
+    """The distinct links between different vertices after both ends have moved."""
+    at = lambda end: hashed(pointers.select(F.col("id").alias(end), F.col("to").alias(f"{end}_to")))
+    ends = links.join(at("u"), "u").join(at("v"), "v").filter("u_to <> v_to")
+    return ends.select(F.greatest("u_to", "v_to").alias("u"), F.least("u_to", "v_to").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -41,13 +47,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Null endpoints are ignored; a self loop makes a vertex of its own.
     """
-    pairs = materialise(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
-    vertices = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = materialise(pairs.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(max_rounds):
-        if _settled(links):
-            break
-        links = materialise(_small_star(materialise(_large_star(links), "large-star")), "links")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return vertices.join(shuffled(links.select(F.col("u").alias("id"), F.col("v").alias("component"))), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), (F.col(src).isNotNull() & F.col(dst).isNotNull()).alias("on"))
+    pairs = materialise(pairs.filter("on").select("u", "v").distinct(), "pairs")
+    links, rounds = pairs.filter("u <> v"), []
+    while not links.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds.append(_pointers(links, len(rounds)))
+        links = materialise(_moved(links, rounds[-1]), "links")
+    alone = pairs.filter("u = v").select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if not rounds:
+        return alone
+    # where the first pointers lead, and the least vertex that leads there
+    held = rounds[0].groupBy(F.col("to").alias("id")).agg(F.min("id").alias("low"))
+    last = None
+    for pointers in reversed(rounds[1:]):
+        further = pointers if last is None else pointers.join(hashed(last.select(F.col("id").alias("to"), F.col("to").alias("z"))), "to", "left").select("id", F.coalesce("z", "to").alias("to"))
+        last = further
+    if last is not None:
+        held = held.join(hashed(last), "id", "left").select("id", "low", F.coalesce("to", "id").alias("to"))
+        held = materialise(held, "held")
+        held = held.join(hashed(held.groupBy("to").agg(F.min("low").alias("least"))), "to").select("id", F.col("least").alias("low"))
+    names = materialise(_onward(rounds[0], held, "low").select("id", F.col("to").alias("component")), "components")
+    return names.unionByName(alone.join(hashed(names.select("id")), "id", "left_anti"))

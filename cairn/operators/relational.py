@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.scratch import materialise, shuffled
+from cairn.operators.scratch import hashed, materialise, shuffled
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,9 +94,9 @@ def chain_hubs(tx: DataFrame) -> DataFrame:
     Of an account, every receipt before its last send and every send after its first receipt are connected:
     the first receipt and the last send are chained to all of them.
     """
-    receipts = tx.groupBy(F.col("receiver").alias("account")).agg(F.min(F.struct("epoch", "tx_id")).alias("first"))
-    sends = tx.groupBy(F.col("sender").alias("account")).agg(F.max(F.struct("epoch", "tx_id")).alias("last"))
-    hub = receipts.join(sends, "account").filter("first.epoch < last.epoch").select("account", F.col("first.epoch").alias("lo"), F.col("first.tx_id").alias("lo_tx"), F.col("last.epoch").alias("hi"), F.col("last.tx_id").alias("hi_tx"))
+    receipts = tx.groupBy(F.col("receiver").alias("account")).agg(F.min("epoch").alias("lo"), F.min_by("tx_id", "epoch").alias("lo_tx"))  # of equals any will do
+    sends = tx.groupBy(F.col("sender").alias("account")).agg(F.max("epoch").alias("hi"), F.max_by("tx_id", "epoch").alias("hi_tx"))
+    hub = hashed(receipts.join(hashed(sends), "account").filter("lo < hi"))
     into = tx.select(F.col("receiver").alias("account"), "epoch", "tx_id").join(hub, "account").filter("epoch < hi").select(F.col("tx_id").alias("src"), F.col("hi_tx").alias("dst"))
     out = tx.select(F.col("sender").alias("account"), "epoch", "tx_id").join(hub, "account").filter("epoch > lo").select(F.col("lo_tx").alias("src"), F.col("tx_id").alias("dst"))
     return into.unionByName(out)

@@ -61,6 +61,11 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_merge")
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """``df``, of one row a key, for a join that hashes its part of each partition and lets the other side stream past, neither sorted nor held; never collected in the driver."""
+    return df.hint("shuffle_hash")
+
+
 class Growing:
     """A table in the shared folder to which rounds append, so that a result of many rounds is one scan and not a union of many tables."""
 

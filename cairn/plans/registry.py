@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cairn.functions import scalar
 from cairn.operators import attributions, convolution, graph, learning, merge_tree, relational, strong, sweep
 from cairn.operators.components import connected_components
-from cairn.operators.scratch import materialise, shared_dir, shuffled
+from cairn.operators.scratch import hashed, materialise, shared_dir
 from cairn.sources import transactions as source
 from cairn.streaming import transfers as streaming
 
@@ -223,7 +223,7 @@ COMPONENT_SQL = ", l AS (SELECT src AS a, dst AS b FROM chain), vs AS (SELECT tx
 def tx_components(t: DataFrame) -> DataFrame:
     slim = materialise(t.select("tx_id", "sender", "receiver", "epoch"), "slim-transfers")
     found = connected_components(relational.chain_hubs(slim))
-    return materialise(slim.select(F.col("tx_id").alias("id")).join(shuffled(found), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
+    return materialise(slim.select(F.col("tx_id").alias("id")).join(hashed(found), "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
 
 
 @query(COMPONENT_SQL + "SELECT id, component FROM comp")

@@ -57,6 +57,14 @@ def test_components_equal_union_find(spark, seed):
     assert got == union_find([(0, a, b) for a, b in edges if a is not None])[0]
 
 
+def test_components_settle_in_few_rounds_on_a_hub_and_a_path(spark):
+    """A hub's leaves fall together in one round, and a path is cut by more than four a round, whatever its ids."""
+    hub = [(5000, 6000 + i) for i in range(300)] + [(5000, 4000 + i) for i in range(300)]
+    path = [(i, i + 1) for i in range(600)]
+    rows = connected_components(spark.createDataFrame(hub + path, "src long, dst long"), max_rounds=5)
+    assert {(r.component, r["count"]) for r in rows.groupBy("component").count().collect()} == {(0, 601), (4000, 601)}
+
+
 def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
