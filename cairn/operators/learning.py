@@ -20,7 +20,7 @@ from cairn.functions.scalar import objective, uniform
 from cairn.operators import merge_tree
 from cairn.operators.components import connected_components
 from cairn.operators.relational import chain_hubs, chunked, component_features, confusion, global_row_number, metrics, weighted
-from cairn.operators.scratch import Growing, materialise
+from cairn.operators.scratch import Growing, hashed, materialise
 
 
 def stratified_folds(df: DataFrame, k: int, seed: int = 42, id_col: str = "tx_id", label: str = "is_laundering") -> DataFrame:
@@ -201,16 +201,17 @@ def fold_features(tx: DataFrame, folds: DataFrame, fold: int) -> DataFrame:
     train transfer has the features of its component. A test transfer is in no component: it takes those of its sender's first
     train transfer (by time, then id), sent or received, and zeros where the sender has none. Labels are no input.
     """
-    rows = materialise(tx.join(folds, "tx_id"), "fold-rows")
-    train = materialise(rows.filter(F.col("fold") != fold).drop("fold"), "fold-train")
+    slim = tx.select("tx_id", "sender", "receiver", "amount", "epoch", "is_laundering")
+    rows = materialise(slim.join(hashed(folds.select("tx_id", "fold")), "tx_id"), "fold-rows")
+    train = rows.filter(F.col("fold") != fold).drop("fold")
     found = connected_components(chain_hubs(train))
-    component = train.select(F.col("tx_id").alias("id")).join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    component = train.select(F.col("tx_id").alias("id")).join(hashed(found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     component = materialise(component, "fold-components")
     features = materialise(component_features(train, component).select("component", *FOLD_FEATURES), "fold-features")
     key = F.struct("epoch", "tx_id")
     seen = train.select(F.col("sender").alias("account"), key.alias("k")).unionByName(train.select(F.col("receiver").alias("account"), key.alias("k")))
     first = seen.groupBy("account").agg(F.min("k").alias("k")).select(F.col("account").alias("sender"), F.col("k.tx_id").alias("id"))
-    known = first.join(component, "id").select("sender", "component")
+    known = component.join(hashed(first), "id").select("sender", "component")
     own = component.select(F.col("id").alias("tx_id"), F.lit(False).alias("test"), "component")
     looked_up = rows.filter(F.col("fold") == fold).select("tx_id", "sender").join(known, "sender", "left").select("tx_id", F.lit(True).alias("test"), "component")
     return own.unionByName(looked_up).join(features, "component", "left").select("tx_id", "test", *FOLD_FEATURES).na.fill(0)
@@ -218,8 +219,9 @@ def fold_features(tx: DataFrame, folds: DataFrame, fold: int) -> DataFrame:
 
 def group_fold_report(tx: DataFrame, folds: DataFrame, k: int) -> DataFrame:
     """``fold_report`` of the raw columns (model raw) and of the features of ``fold_features`` (model grouped), each fold by a logistic regression of the others."""
+    tx = materialise(tx.select("tx_id", "sender", "receiver", "amount", "epoch", "is_laundering"), "fold-transfers")
     labels = tx.select("tx_id", F.col("is_laundering").cast("double").alias("label"))
-    raw = cross_validate(tx.select("tx_id", "amount", "epoch").join(labels, "tx_id"), folds, pipeline(["amount", "epoch"], [], models()["plain_logistic"]), k)
+    raw = cross_validate(tx.select("tx_id", "amount", "epoch", F.col("is_laundering").cast("double").alias("label")), folds, pipeline(["amount", "epoch"], [], models()["plain_logistic"]), k)
     flow = pipeline(FOLD_FEATURES, [], models()["plain_logistic"])
     grouped = Growing(tx.sparkSession, "fold int, tx_id long, label double, predicted int, score double", "predictions")
     for i in range(k):
