@@ -167,14 +167,14 @@ def models(seed: int = 42) -> dict[str, object]:
     }
 
 
-def pipeline(numeric: list[str], categorical: list[str], model, one_hot: bool = True) -> Pipeline:
-    """Indexers that keep unseen values, one-hot encoders, an assembler and the model."""
+def pipeline(numeric: list[str], categorical: list[str], model=None, one_hot: bool = True) -> Pipeline:
+    """Indexers that keep unseen values, one-hot encoders, an assembler and the model, if there is one."""
     stages: list = [indexer(c, f"{c}_ix") for c in categorical]
     names = [f"{c}_ix" for c in categorical]
     if one_hot and categorical:
         stages.append(OneHotEncoder(inputCols=names, outputCols=[f"{c}_oh" for c in categorical]))
         names = [f"{c}_oh" for c in categorical]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*numeric, *names], outputCol="features"), model])
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*numeric, *names], outputCol="features"), *([model] if model else [])])
 
 
 def evaluate(train: DataFrame, test: DataFrame, flow: Pipeline) -> DataFrame:
@@ -184,6 +184,28 @@ def evaluate(train: DataFrame, test: DataFrame, flow: Pipeline) -> DataFrame:
     return metrics(confusion(scored, F.col("label"), F.col("predicted"))).withColumn("seconds", F.lit(time.time() - began))
 
 
+#: Instances that equal rows are left in at least, however many they are: what a weighted deviation or a bootstrap of them can differ by is below one in so many.
+INSTANCES = 1 << 18
+
+
+def grouped(df: DataFrame, columns: list[str], extra: list[str] | None = None) -> DataFrame:
+    """(columns, label, n): the distinct rows of features and label, and how many rows each stands for."""
+    return df.groupBy(*columns, "label", *(extra or [])).agg(F.count("*").alias("n"))
+
+
+def instances(groups: DataFrame) -> DataFrame:
+    """The groups of ``grouped`` with ``weight``: whole numbers that add up to n, each at most a share 1 / ``INSTANCES`` of all rows.
+
+    A group of more rows is several instances. So a table of up to 2 * INSTANCES rows is fitted row by row, and a larger one by as many instances as it has
+    different rows, or little more. Every row counts in any case.
+    """
+    most = max(1, (groups.agg(F.sum("n").alias("n")).first()["n"] or 0) // INSTANCES)
+    parts = F.ceil(F.col("n") / most)
+    own = groups.withColumn("_parts", parts).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_parts"))))
+    size = F.floor(F.col("n") / F.col("_parts")) + (F.col("_i") <= F.col("n") % F.col("_parts")).cast("long")
+    return own.withColumn("weight", size.cast("double")).drop("n", "_parts", "_i")
+
+
 def cross_validate(df: DataFrame, folds: DataFrame, flow: Pipeline, k: int, id_col: str = "tx_id") -> DataFrame:
     """(fold, id, label, predicted, score): the predictions for every fold by a model of the other folds."""
     rows = materialise(df.join(folds, id_col), "folds")
@@ -288,8 +310,22 @@ def risk_group_report(rows: DataFrame) -> DataFrame:
 
 
 def ablation(train: DataFrame, test: DataFrame, modes: dict[str, tuple[list[str], list[str]]], kinds: list[str]) -> DataFrame:
-    """Every feature mode with every model."""
-    rows = [evaluate(train, test, pipeline(numeric, categorical, models()[kind])).withColumns({"mode": F.lit(mode), "model": F.lit(kind)}) for mode, (numeric, categorical) in modes.items() for kind in kinds]
+    """Every feature mode with every model: the columns of ``evaluate``, mode and model.
+
+    Of a mode, equal rows are fitted as weighted ``instances`` and scored once; categories are numbered by all train rows.
+    """
+    rows = []
+    for mode, (numeric, categorical) in modes.items():
+        columns = [*numeric, *categorical]
+        features = pipeline(numeric, categorical).fit(train.select(*columns))
+        known = materialise(grouped(train, columns), "train-groups")
+        fitted = materialise(features.transform(instances(known)).select("features", "label", "weight"), "train-instances")
+        tested = materialise(features.transform(grouped(test, columns)).select("features", "label", "n"), "test-groups")
+        for kind in kinds:
+            began = time.time()
+            scored = models()[kind].setWeightCol("weight").fit(fitted).transform(tested)
+            counts = materialise(confusion(scored, F.col("label"), F.col("prediction").cast("int"), F.col("n")), "counts")
+            rows.append(metrics(counts).withColumns({"seconds": F.lit(time.time() - began), "mode": F.lit(mode), "model": F.lit(kind)}))
     return materialise(reduce(DataFrame.unionByName, rows), "ablation")
 
 

@@ -206,9 +206,10 @@ def weighted(by: DataFrame) -> DataFrame:
     return by.agg(mean("recall").alias("accuracy"), mean("precision").alias("weighted_precision"), mean("recall").alias("weighted_recall"), mean("f1").alias("weighted_f1"))
 
 
-def confusion(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
-    """tp, fp, tn, fn in one pass."""
-    hit = lambda a, b: F.count_if((label == a) & (predicted == b))
+def confusion(df: DataFrame, label: Column, predicted: Column, n: Column | None = None) -> DataFrame:
+    """tp, fp, tn, fn in one pass; a row counts as ``n`` rows, or as one."""
+    count = lambda c: F.count_if(c) if n is None else F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
+    hit = lambda a, b: count((label == a) & (predicted == b))
     return df.agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(0, 0).alias("tn"), hit(1, 0).alias("fn"))
 
 

@@ -806,7 +806,8 @@ def ml13_stratified_split(spark, sf_dir):
 def ml17_ablation(spark, sf_dir):
     t, edges, comp = groups(spark, sf_dir)
     columns = graph.account_columns(edges, comp)
-    rows = _labelled(spark, sf_dir).join(columns.withColumnRenamed("id", "sender"), "sender")
+    wanted = ["amount", "payment_type", "degree", "group_node_count", "group_bidirect_ratio"]
+    rows = _labelled(spark, sf_dir).join(columns.withColumnRenamed("id", "sender"), "sender").select("tx_id", "epoch", "label", *wanted)
     rows = materialise(learning.time_split(rows, [0.8, 0.2], ["epoch", "tx_id"]), "split")
     modes = {"transfer": (["amount"], ["payment_type"]), "graph": (["degree", "group_node_count", "group_bidirect_ratio"], []), "both": (["amount", "degree", "group_node_count"], ["payment_type"])}
     return learning.ablation(rows.filter("part = 0"), rows.filter("part = 1"), modes, ["logistic", "tree", "forest", "svm"]).drop("seconds")
