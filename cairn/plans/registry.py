@@ -866,13 +866,18 @@ def ml7_boosted_trees(spark, sf_dir):
 @query()
 def ml7_attributions(spark, sf_dir):
     """(feature, mean_attribution, mean_size, margin_error): how boosted trees use each feature on the test rows, and the greatest gap between a row's margin and the sum of its attributions."""
-    rows = materialise(learning.time_split(_labelled(spark, sf_dir), [0.8, 0.2], ["epoch", "tx_id"]), "split")
-    flow = learning.pipeline(["amount"], ["payment_type", "payment_currency"], learning.models()["boosted"], one_hot=False).fit(rows.filter("part = 0"))
-    test = flow.transform(rows.filter("part = 1"))
+    columns = ["amount", "payment_type", "payment_currency"]
+    rows = materialise(learning.time_split(_labelled(spark, sf_dir).select("tx_id", "epoch", "label", *columns), [0.8, 0.2], ["epoch", "tx_id"]), "split")
+    features = learning.pipeline(columns[:1], columns[1:], one_hot=False).fit(rows.filter("part = 0"))
+    groups = materialise(learning.grouped(rows, columns, ["part"]), "split-groups")  # equal rows are fitted by weight and attributed once
+    fitted = materialise(features.transform(learning.instances(groups.filter("part = 0"))).select("features", "label", "weight"), "train-instances")
+    model = learning.models()["boosted"].setWeightCol("weight").fit(fitted)
+    test = features.transform(groups.filter("part = 1"))
     names = learning.feature_names(test)
-    found = materialise(attributions.attribute(test, attributions.trees_of(spark, flow.stages[-1]), names), "attributions")
+    found = materialise(attributions.attribute(test, attributions.trees_of(spark, model), names, "n"), "attributions")
     gap = F.abs(F.col("margin") - F.col("mean") - sum(F.col(n) for n in names))
-    means = found.agg(F.max(gap).alias("margin_error"), *(F.avg(n).alias(f"a_{n}") for n in names), *(F.avg(F.abs(n)).alias(f"s_{n}") for n in names)).first()  # one row
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    means = found.agg(F.max(gap).alias("margin_error"), *(mean(F.col(n)).alias(f"a_{n}") for n in names), *(mean(F.abs(n)).alias(f"s_{n}") for n in names)).first()  # one row
     return spark.createDataFrame([(n, means[f"a_{n}"], means[f"s_{n}"], means["margin_error"]) for n in names], "feature string, mean_attribution double, mean_size double, margin_error double")
 
 
