@@ -70,3 +70,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         held = held.join(hashed(held.groupBy("to").agg(F.min("low").alias("least"))), "to").select("id", F.col("least").alias("low"))
     names = materialise(_onward(rounds[0], held, "low").select("id", F.col("to").alias("component")), "components")
     return names.unionByName(alone.join(hashed(names.select("id")), "id", "left_anti"))
+
+
+def merged(picked: DataFrame) -> DataFrame:
+    """(id, component): the groups that pointers (id, to) join, one pointer an id, where the only cycles are pairs that point at each other; named by their least id.
+
+    Boruvka's picks are so, since every group takes the first of its edges in one total order. The lesser of such a pair is the root, and pointers are doubled up to it.
+    """
+    far = lambda p: hashed(p.select(F.col("id").alias("to"), F.col("to").alias("z")))
+    root = F.when(F.col("z") == F.col("id"), F.least("id", "to")).otherwise(F.col("to"))
+    at, moved = materialise(picked.select("id", "to").join(far(picked), "to").select("id", root.alias("to")), "merging"), True
+    while moved:
+        step = materialise(at.join(far(at), "to").select("id", F.col("z").alias("to"), (F.col("z") != F.col("to")).alias("on")), "merging")
+        at, moved = step.drop("on"), not step.filter("on").isEmpty()
+    names = at.groupBy("to").agg(F.min("id").alias("component"))
+    return materialise(at.join(hashed(names), "to").select("id", "component"), "merged")

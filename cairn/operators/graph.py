@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import edge_risk, hour_of, uniform
-from cairn.operators.components import connected_components
+from cairn.operators.components import connected_components, merged
 from cairn.operators.relational import Chain, chunked, global_row_number
-from cairn.operators.scratch import Growing, materialise
+from cairn.operators.scratch import Growing, hashed, materialise
 
 
 def sources_of(edges: DataFrame) -> DataFrame:
@@ -149,18 +149,19 @@ def temporal_forest(tx: DataFrame) -> DataFrame:
     """(tx_id) of the transfers that a scan in order of time keeps because they join two unconnected accounts.
 
     This is the minimum spanning forest under the weight (epoch, tx_id), found in Boruvka rounds: every group of
-    accounts takes its earliest edge to another group.
+    accounts takes its earliest edge to another group. The edges are numbered once, so that a pick is a least number, combined before the shuffle.
     """
-    edges = materialise(tx.filter("sender <> receiver").select("tx_id", "epoch", F.col("sender").alias("a"), F.col("receiver").alias("b")), "forest-edges")
+    own = tx.filter("sender <> receiver").select("tx_id", "epoch", F.col("sender").alias("a"), F.col("receiver").alias("b"))
+    edges = materialise(global_row_number(own, ["epoch", "tx_id"], "i").select("tx_id", "i", "a", "b"), "forest-edges")
     kept: list[DataFrame] = []
     while not edges.isEmpty():
-        ends = edges.select(F.col("a").alias("g"), "epoch", "tx_id", "a", "b").union(edges.select(F.col("b").alias("g"), "epoch", "tx_id", "a", "b"))
-        pick = materialise(ends.groupBy("g").agg(F.min(F.struct("epoch", "tx_id", "a", "b")).alias("e")).select("e.tx_id", "e.a", "e.b").distinct(), "picked")
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("to"), "i", "tx_id").union(edges.select("b", "a", "i", "tx_id"))
+        pick = materialise(ends.groupBy("id").agg(F.min_by("to", "i").alias("to"), F.min_by("tx_id", "i").alias("tx_id")), "picked")
         kept.append(pick.select("tx_id"))
-        labels = materialise(connected_components(pick, "a", "b"), "forest-labels")
-        at = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_label"))
+        labels = merged(pick)
+        at = lambda end: hashed(labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_label")))  # noqa: E731, B023
         edges = edges.join(at("a"), "a").join(at("b"), "b").filter("a_label <> b_label")
-        edges = materialise(edges.select("tx_id", "epoch", F.col("a_label").alias("a"), F.col("b_label").alias("b")), "forest-edges")
+        edges = materialise(edges.select("tx_id", "i", F.col("a_label").alias("a"), F.col("b_label").alias("b")), "forest-edges")
     return reduce(DataFrame.unionByName, kept).distinct() if kept else tx.select("tx_id").filter(F.lit(False))
 
 
