@@ -3,7 +3,7 @@
 Boruvka rounds over the edges of greatest risk: every group takes its riskiest edge to another group, groups that are joined so become one, and
 the tree notes for each group its new group and the risk of the edge that it took. There are as many levels as rounds, which are logarithmic in the number of accounts.
 Two accounts are in one group at a cut exactly if all edges of the tree between them have at least that risk: the least of these is the least risk on
-the best path between the two in the graph. So one walk up the levels gives each pair the highest cut that leaves it together, and
+the best path between the two in the graph. So the groups of each account at all levels, a row an account, give each pair the highest cut that leaves it together, and
 what holds at every cut follows by running sums over these, for any number of different risks.
 
 Risks may be any numbers but null; self loops and edges with null ends join nothing; of repeated edges the greatest risk counts. Equal risks merge in any order with the same groups.
@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.scalar import objective
-from cairn.operators.components import connected_components
-from cairn.operators.relational import metrics, running_totals
-from cairn.operators.scratch import Growing, materialise
+from cairn.operators.components import merged
+from cairn.operators.relational import global_row_number, metrics, running_totals
+from cairn.operators.scratch import Growing, hashed, materialise
 
 
 def merge_tree(edges: DataFrame) -> DataFrame:
@@ -28,15 +28,16 @@ def merge_tree(edges: DataFrame) -> DataFrame:
     kind = dict(edges.dtypes)["src"]
     tree = Growing(edges.sparkSession, f"level int, id {kind}, parent {kind}, risk double", "merges")
     links = edges.filter("src <> dst AND risk IS NOT NULL").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("risk").cast("double").alias("risk"))
-    links, level = materialise(links.groupBy("a", "b").agg(F.max("risk").alias("risk")), "links"), 0
+    links = materialise(links.groupBy("a", "b").agg(F.max("risk").alias("risk")), "links")
+    links, level = materialise(global_row_number(links, ["risk", "a", "b"], "i"), "links"), 0
     while not links.isEmpty():
-        ends = links.select(F.col("a").alias("g"), "risk", "a", "b").union(links.select(F.col("b").alias("g"), "risk", "a", "b"))
-        pick = materialise(ends.groupBy("g").agg(F.max(F.struct("risk", "a", "b")).alias("e")).select("g", "e.*"), "picked")
-        groups = materialise(connected_components(pick.select("a", "b").distinct(), "a", "b"), "merged")
-        tree.add(pick.join(groups, pick["g"] == groups["id"]).select(F.lit(level).alias("level"), "id", F.col("component").alias("parent"), "risk"))
-        at = lambda end: groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))  # noqa: E731, B023
-        moved = links.join(at("a"), "a").join(at("b"), "b").filter("a_group <> b_group").select(F.least("a_group", "b_group").alias("a"), F.greatest("a_group", "b_group").alias("b"), "risk")
-        links, level = materialise(moved.groupBy("a", "b").agg(F.max("risk").alias("risk")), "links"), level + 1
+        ends = links.select(F.col("a").alias("id"), F.col("b").alias("to"), "i", "risk").union(links.select("b", "a", "i", "risk"))
+        pick = materialise(ends.groupBy("id").agg(F.max_by("to", "i").alias("to"), F.max("risk").alias("risk")), "picked")
+        groups = merged(pick)
+        tree.add(pick.join(hashed(groups), "id").select(F.lit(level).alias("level"), "id", F.col("component").alias("parent"), "risk"))
+        at = lambda end: hashed(groups.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group")))  # noqa: E731, B023
+        moved = links.join(at("a"), "a").join(at("b"), "b").filter("a_group <> b_group").select(F.col("a_group").alias("a"), F.col("b_group").alias("b"), "i", "risk")
+        links, level = materialise(moved, "links"), level + 1
     return tree.read()
 
 
@@ -44,17 +45,34 @@ def _levels(tree: DataFrame) -> int:
     return (tree.agg(F.max("level").alias("n")).first()["n"] or 0) + 1
 
 
+def _ancestors(tree: DataFrame) -> tuple[DataFrame, int]:
+    """((id, g1, m1, g2, m2, ..), levels): of every account of the tree the group that it is in after each level, and the least risk of the edges taken on the way there.
+
+    Found from the last level down, so that each level's groups are joined once.
+    """
+    levels, up = _levels(tree), None
+    for level in range(levels - 1, -1, -1):
+        own = tree.filter(F.col("level") == level).select("id", F.col("parent").alias(f"g{level + 1}"), F.col("risk").alias(f"m{level + 1}"))
+        if up is not None:
+            near, risk = F.col(f"g{level + 1}"), F.col(f"m{level + 1}")
+            further = [c for k in range(level + 2, levels + 1) for c in (F.coalesce(f"g{k}", near).alias(f"g{k}"), F.least(risk, f"m{k}").alias(f"m{k}"))]
+            own = own.join(up.withColumnRenamed("id", f"g{level + 1}"), f"g{level + 1}", "left").select("id", near, risk, *further)
+        up = materialise(own, "ancestors")
+    return up, levels
+
+
+def _with_cut(rows: DataFrame, tree: DataFrame, src: str, dst: str) -> DataFrame:
+    """The rows with ``cut``, the highest threshold at which the accounts src and dst are in one group: after the first level that has both in one, the least risk that either met."""
+    up, levels = _ancestors(tree)
+    at = lambda end, mark: hashed(up.select(F.col("id").alias(end), *(F.col(f"{c}{k}").alias(f"_{mark}_{c}{k}") for k in range(1, levels + 1) for c in "gm")))
+    met = [F.when(F.col(f"_a_g{k}") == F.col(f"_b_g{k}"), F.least(f"_a_m{k}", f"_b_m{k}")) for k in range(1, levels + 1)]
+    cut = F.when(F.col(src) == F.col(dst), F.lit(float("inf"))).otherwise(F.coalesce(*met))
+    return rows.join(at(src, "a"), src, "left").join(at(dst, "b"), dst, "left").select(*rows.columns, cut.alias("cut"))
+
+
 def last_cut(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, cut) of the distinct pairs: the highest threshold at which both are in one group; infinity for an account and itself, null where no edges lead from one to the other."""
-    rows = pairs.select("src", "dst").distinct().select("src", "dst", F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(float("inf")).alias("cut"))
-    for level in range(_levels(tree)):
-        own = tree.filter(F.col("level") == level)
-        at = lambda end: own.select(F.col("id").alias(end), F.col("parent").alias(f"{end}_up"), F.col("risk").alias(f"{end}_risk"))  # noqa: E731, B023
-        open_ = F.col("a") != F.col("b")
-        step = rows.join(at("a"), "a", "left").join(at("b"), "b", "left")
-        up = lambda end: F.when(open_, F.coalesce(f"{end}_up", end)).otherwise(F.col(end)).alias(end)  # noqa: E731, B023
-        rows = materialise(step.select("src", "dst", up("a"), up("b"), F.when(open_, F.least("cut", "a_risk", "b_risk")).otherwise(F.col("cut")).alias("cut")), "climbed")
-    return rows.select("src", "dst", F.when(F.col("a") == F.col("b"), F.col("cut")).alias("cut"))
+    return _with_cut(pairs.select("src", "dst").distinct(), tree, "src", "dst")
 
 
 def groups_at(tree: DataFrame, vertices: DataFrame, cut: float) -> DataFrame:
@@ -71,8 +89,7 @@ def groups_at(tree: DataFrame, vertices: DataFrame, cut: float) -> DataFrame:
 
 def transfer_cuts(tx: DataFrame, tree: DataFrame) -> DataFrame:
     """The transfers with ``cut``, the highest threshold at which sender and receiver are in one group."""
-    cuts = last_cut(tree, tx.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")).filter("src IS NOT NULL AND dst IS NOT NULL"))
-    return tx.join(cuts.select(F.col("src").alias("sender"), F.col("dst").alias("receiver"), "cut"), ["sender", "receiver"], "left")
+    return _with_cut(tx, tree, "sender", "receiver")
 
 
 def scores_by_cut(rows: DataFrame, cuts: DataFrame) -> DataFrame:
