@@ -330,19 +330,20 @@ def ranked_walks(edges: DataFrame, components: DataFrame, walks: int = 100, step
     """(component, id, visits, rate): ``monte_carlo``'s walks, drawn by rank: along edges (src, dst, epoch, tx_id) within groups that come later than the last one, all of them equally likely.
 
     A walker's edges are the end of its account's list in order of time. It draws a place in that end and looks the edge up, so a step takes as many rows as walkers,
-    whatever the degree of an account. A walk starts at a member with edges, drawn by its place among them.
+    whatever the degree of an account. A walk starts at a member with edges, drawn by its place among them. Where a group's only such member has no edge within the group,
+    all its walks end where they start, and they are counted without being drawn.
     """
     at = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
     inner = edges.join(at("src"), "src").join(at("dst"), "dst").filter("src_group = dst_group").select("src", "dst", "epoch", "tx_id")
     table = materialise(ranked_edges(inner), "ranked-edges")
-    members = global_row_number(edges.select(F.col("src").alias("id")).distinct().join(components, "id").select("component", "id"), ["component", "id"], "place")
-    sized = materialise(members, "members")
-    bounds = sized.groupBy("component").agg(F.min("place").alias("lo"), F.count("*").alias("n"))
+    degree = inner.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    own = edges.select(F.col("src").alias("id")).distinct().join(components, "id").join(degree, "id", "left").select("component", "id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    sized = materialise(global_row_number(own, ["component", "id"], "place"), "members")
+    bounds = materialise(sized.groupBy("component").agg(F.min("place").alias("lo"), F.count("*").alias("n"), F.max("degree").alias("most"), F.min("id").alias("id")), "groups")
     draw = lambda *key: uniform(seed, *(k.cast("string") for k in key))
-    drawn = bounds.withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(walks))))
+    drawn = bounds.filter("n > 1 OR most > 0").withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(walks))))
     start = drawn.withColumn("place", F.col("lo") + F.floor(draw(F.col("component"), F.col("w")) * F.col("n"))).select("component", "w", "place")
-    degree = inner.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    walkers = start.join(sized.select("id", "place"), "place").join(degree, "id", "left").select("component", "w", "id", F.lit(0).cast("long").alias("passed"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    walkers = start.join(sized.select("id", "place", "degree"), "place").select("component", "w", "id", F.lit(0).cast("long").alias("passed"), "degree")
     walkers = materialise(walkers, "walkers")
     seen = [walkers.select("component", "id")]
     for k in range(steps):
@@ -351,7 +352,8 @@ def ranked_walks(edges: DataFrame, components: DataFrame, walks: int = 100, step
         move = walkers.filter(left > 0).select("component", "w", F.col("id").alias("src"), rank.alias("rank"))
         walkers = materialise(move.join(table, ["src", "rank"]).select("component", "w", F.col("dst").alias("id"), "passed", "degree"), "walkers")
         seen.append(walkers.select("component", "id"))
-    visits = reduce(DataFrame.unionByName, seen).groupBy("component", "id").agg(F.count("*").alias("visits"))
+    still = bounds.filter("n = 1 AND most = 0").select("component", "id", F.lit(walks).cast("long").alias("visits"))
+    visits = materialise(reduce(DataFrame.unionByName, seen).groupBy("component", "id").agg(F.count("*").alias("visits")).unionByName(still), "visits")
     total = visits.groupBy("component").agg(F.sum("visits").alias("total"))
     return visits.join(total, "component").select("component", "id", "visits", (F.col("visits") / F.col("total")).alias("rate"))
 

@@ -762,84 +762,13 @@ def test_ablation_of_equal_rows_counts_all_of_them(spark, monkeypatch):
         assert (r.model, r.tp, r.fp, r.tn, r.fn) == (kind, one.tp, one.fp, one.tn, one.fn) and r.tp + r.fp + r.tn + r.fn == 400
 
 
-def recorded(monkeypatch, module):
-    """The tables that the module materialises from now on, as (tag, table, plan before it is written)."""
-    seen, real = [], module.materialise
-
-    def write(df, tag):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        seen.append((tag, real(df, tag), plan))
-        return seen[-1][1]
-
-    monkeypatch.setattr(module, "materialise", write)
-    return seen
-
-
-def test_instances_add_up_and_equal_rows_share_them(spark, monkeypatch):
-    monkeypatch.setattr(learning, "INSTANCES", 10)
-    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("x"), F.when(F.col("id") < 7, F.col("id")).otherwise(0).alias("k"), (F.col("id") % 2).cast("double").alias("label"))
-    groups = learning.grouped(rows, ["x", "k"])
-    got = learning.instances(groups).collect()
-    assert sum(r.weight for r in got) == 1000 and max(r.weight for r in got) <= 100 and len(got) < 40
-    assert all(r.weight == int(r.weight) and r.weight > 0 for r in got)
-    monkeypatch.setattr(learning, "INSTANCES", 1000)
-    assert {r.weight for r in learning.instances(groups).collect()} == {1.0}
-
-
-def test_ablation_of_equal_rows_counts_all_of_them(spark, monkeypatch):
-    rows = spark.range(400).select((F.col("id") % 4).cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 3).alias("k"), (((F.col("id") % 4) > 1) & (F.col("id") % 3 > 0)).cast("double").alias("label"))
-    seen = recorded(monkeypatch, learning)
-    got = learning.ablation(rows, rows, {"both": (["x"], ["k"])}, ["logistic", "tree"]).drop("seconds").orderBy("model").collect()
-    assert {t: df.count() for t, df, _ in seen if t in ("train-groups", "test-groups")} == {"train-groups": 12, "test-groups": 12}
-    for r, kind in zip(got, ("logistic", "tree")):
-        one = learning.evaluate(rows, rows, learning.pipeline(["x"], ["k"], learning.models()[kind])).first()
-        assert (r.model, r.tp, r.fp, r.tn, r.fn) == (kind, one.tp, one.fp, one.tn, one.fn) and r.tp + r.fp + r.tn + r.fn == 400
-
-
-def test_merged_follows_long_lines_of_pointers(spark):
-    rows = [(i, i - 1) for i in range(1, 50)] + [(0, 1)] + [(100, 101), (101, 100)]
-    got = {r.id: r.component for r in merged(spark.createDataFrame(rows, "id long, to long")).collect()}
-    assert got == {**dict.fromkeys(range(50), 0), 100: 100, 101: 100}
-
-
-def recorded(monkeypatch, module):
-    """The tables that the module materialises from now on, as (tag, table, plan before it is written)."""
-    seen, real = [], module.materialise
-
-    def write(df, tag):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        seen.append((tag, real(df, tag), plan))
-        return seen[-1][1]
-
-    monkeypatch.setattr(module, "materialise", write)
-    return seen
-
-
-def test_instances_add_up_and_equal_rows_share_them(spark, monkeypatch):
-    monkeypatch.setattr(learning, "INSTANCES", 10)
-    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("x"), F.when(F.col("id") < 7, F.col("id")).otherwise(0).alias("k"), (F.col("id") % 2).cast("double").alias("label"))
-    groups = learning.grouped(rows, ["x", "k"])
-    got = learning.instances(groups).collect()
-    assert sum(r.weight for r in got) == 1000 and max(r.weight for r in got) <= 100 and len(got) < 40
-    assert all(r.weight == int(r.weight) and r.weight > 0 for r in got)
-    monkeypatch.setattr(learning, "INSTANCES", 1000)
-    assert {r.weight for r in learning.instances(groups).collect()} == {1.0}
-
-
-def test_ablation_of_equal_rows_counts_all_of_them(spark, monkeypatch):
-    rows = spark.range(400).select((F.col("id") % 4).cast("double").alias("x"), F.concat(F.lit("k"), F.col("id") % 3).alias("k"), (((F.col("id") % 4) > 1) & (F.col("id") % 3 > 0)).cast("double").alias("label"))
-    seen = recorded(monkeypatch, learning)
-    got = learning.ablation(rows, rows, {"both": (["x"], ["k"])}, ["logistic", "tree"]).drop("seconds").orderBy("model").collect()
-    assert {t: df.count() for t, df, _ in seen if t in ("train-groups", "test-groups")} == {"train-groups": 12, "test-groups": 12}
-    for r, kind in zip(got, ("logistic", "tree")):
-        one = learning.evaluate(rows, rows, learning.pipeline(["x"], ["k"], learning.models()[kind])).first()
-        assert (r.model, r.tp, r.fp, r.tn, r.fn) == (kind, one.tp, one.fp, one.tn, one.fn) and r.tp + r.fp + r.tn + r.fn == 400
-
-
-def test_merged_follows_long_lines_of_pointers(spark):
-    rows = [(i, i - 1) for i in range(1, 50)] + [(0, 1)] + [(100, 101), (101, 100)]
-    got = {r.id: r.component for r in merged(spark.createDataFrame(rows, "id long, to long")).collect()}
-    assert got == {**dict.fromkeys(range(50), 0), 100: 100, 101: 100}
+def test_walks_that_cannot_move_are_counted_not_drawn(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2, 5, 1), (2, 1, 6, 2), (7, 1, 5, 3)], "src long, dst long, epoch long, tx_id long")
+    parts = spark.createDataFrame([(1, 1), (2, 1), (7, 7)], "id long, component long")
+    seen = recorded(monkeypatch, graph)
+    got = {(r.component, r.id): (r.visits, r.rate) for r in graph.ranked_walks(edges, parts).collect()}
+    assert got[7, 7] == (100, 1.0) and got[1, 1][0] + got[1, 2][0] > 100
+    assert all(df.filter("component = 7").isEmpty() for t, df, _ in seen if t == "walkers")
 
 
 def test_picks_of_the_forest_and_the_merges_are_hashed_not_sorted(spark, monkeypatch):
@@ -858,3 +787,9 @@ def test_cuts_join_each_end_once(spark):
     got = merge_tree.last_cut(tree, spark.createDataFrame([(0, 4), (5, 7), (3, 3), (0, 99)], "src long, dst long"))
     assert got._jdf.queryExecution().executedPlan().toString().count("Join") == 2
     assert {(r.src, r.dst): r.cut for r in got.collect()} == {(0, 4): 0.0, (5, 7): 0.0, (3, 3): float("inf"), (0, 99): None}
+
+
+def test_merged_follows_long_lines_of_pointers(spark):
+    rows = [(i, i - 1) for i in range(1, 50)] + [(0, 1)] + [(100, 101), (101, 100)]
+    got = {r.id: r.component for r in merged(spark.createDataFrame(rows, "id long, to long")).collect()}
+    assert got == {**dict.fromkeys(range(50), 0), 100: 100, 101: 100}
