@@ -17,6 +17,10 @@ from cairn.operators.relational import Chain, chunked, global_row_number
 from cairn.operators.scratch import Growing, hashed, materialise
 
 
+#: Levels of a tree of seals that are made, or walked, at once, within groups of 2^STRIDE nodes.
+STRIDE = 10
+
+
 def sources_of(edges: DataFrame) -> DataFrame:
     """(id) of vertices with an outgoing edge and no incoming one."""
     return edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
@@ -460,39 +464,60 @@ def chained_hashes(tx: DataFrame, numbered: DataFrame, block: int = 1024) -> Dat
 
 
 def seal_tree(seals: DataFrame) -> DataFrame:
-    """(level, place, hash): a tree of hashes over the seals (place from 0, hash), each node the SHA-256 of its two children's hashes; a node without a sibling moves up as it is.
+    """(level, place, hash): a tree of hashes over the seals (place from 0 without gaps, hash), each node the SHA-256 of its two children's hashes; a node without a sibling moves up as it is.
 
-    Level 0 are the seals, the last level is the root. Each level is half as long as the one below, so there are as many rounds as the logarithm of the number of seals.
+    Level 0 are the seals, the last level is the root. ``STRIDE`` levels are made at once, from groups of 2^STRIDE neighbouring nodes at most, so a million seals are two rounds.
     """
     tree = Growing(seals.sparkSession, "level int, place long, hash string", "seals")
-    level = materialise(seals.select(F.col("place").cast("long").alias("place"), "hash"), "seal-level")
-    n, k = level.count(), 0
+    nodes = materialise(seals.select(F.col("place").cast("long").alias("place"), "hash"), "seal-level")
+    n, base = nodes.count(), 0
+    top = (n - 1).bit_length()
+    pair = lambda row, i: F.sha2(F.concat(F.get(row, 2 * i), F.get(row, 2 * i + 1)).cast("binary"), 256)
+    above = lambda row: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(row) - 1, 1)), lambda i: F.when(2 * i + 1 < F.size(row), pair(row, i)).otherwise(F.get(row, 2 * i)))
     while n:
-        tree.add(level.select(F.lit(k).alias("level"), "place", "hash"))
-        if n == 1:
+        k = min(STRIDE, top - base)
+        own = nodes.groupBy(F.shiftright("place", k).alias("g")).agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("own"))
+        rows = F.array(F.transform("own", lambda x: x["hash"]))
+        if k:
+            rows = F.aggregate(F.sequence(F.lit(1), F.lit(k)), rows, lambda acc, _: F.concat(acc, F.array(above(F.element_at(acc, -1)))))
+        rows = materialise(own.select("g", rows.alias("rows")), "seal-rows")
+        each = rows.select("g", F.posexplode("rows").alias("up", "row")).select("g", "up", F.posexplode("row").alias("i", "hash"))
+        last = base + k == top
+        tree.add(each.filter(F.lit(last) | (F.col("up") < k)).select((F.col("up") + base).alias("level"), (F.expr(f"shiftleft(g, {k} - up)") + F.col("i")).alias("place"), "hash"))
+        if last:
             break
-        ends = level.groupBy(F.shiftright("place", 1).alias("place")).agg(F.min_by("hash", "place").alias("a"), F.max_by("hash", "place").alias("b"), F.count("*").alias("c"))
-        level = materialise(ends.select("place", F.when(F.col("c") == 2, F.sha2(F.concat("a", "b").cast("binary"), 256)).otherwise(F.col("a")).alias("hash")), "seal-level")
-        n, k = (n + 1) // 2, k + 1
+        nodes, base = rows.select(F.col("g").alias("place"), F.get(F.get("rows", F.lit(k)), F.lit(0)).alias("hash")), base + k
     return tree.read()
 
 
-def block_seals(chained: DataFrame, rows: DataFrame) -> DataFrame:
-    """(place, hash): the last hash of each block of ``chained_hashes``; ``rows`` are (tx_id, row_id)."""
-    return chained.join(rows, "tx_id").groupBy(F.col("block").alias("place")).agg(F.max_by("poh", "row_id").alias("hash"))
+def block_seals(numbered: DataFrame, block: int = 1024) -> DataFrame:
+    """(place, hash): the last hash of each block of ``chained_hashes``, from transfers numbered by row_id; the hashes before it are not kept."""
+    text = F.concat(F.col("sender").cast("string"), F.col("receiver").cast("string"), F.col("tx_id").cast("string"))
+    own = numbered.groupBy(F.floor((F.col("row_id") - 1) / block).alias("place")).agg(F.array_sort(F.collect_list(F.struct("row_id", text.alias("x")))).alias("rows"))
+    return own.select("place", F.aggregate("rows", F.lit(""), lambda acc, r: F.sha2(F.concat(acc, r["x"]).cast("binary"), 256)).alias("hash"))
 
 
 def seal_proofs(tree: DataFrame) -> DataFrame:
-    """(place, path): for each seal its siblings on the way to the root, from the seal up, as (left, hash); where there is none, no entry."""
+    """(place, seal, path): for each seal its siblings on the way to the root, from the seal up, as (left, hash); where there is none, no entry.
+
+    From the root down, ``STRIDE`` levels at once: the nodes of a subtree are one group, its path above is joined to it once, and only the last round has a row a seal.
+    """
     top = tree.agg(F.max("level").alias("n")).first()["n"] or 0
-    empty = F.expr("cast(array() as array<struct<left:boolean,hash:string>>)")
-    paths = tree.filter("level = 0").select("place", F.col("place").alias("node"), empty.alias("path"))
-    for level in range(top):
-        other = tree.filter(F.col("level") == level).select(F.col("place").bitwiseXOR(F.lit(1)).alias("node"), (F.col("place") % 2 == 0).alias("left"), "hash")
-        step = paths.join(other, "node", "left")
-        longer = F.when(F.col("hash").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct("left", "hash"))))
-        paths = materialise(step.select("place", F.shiftright("node", 1).alias("node"), longer.alias("path")), "seal-paths")
-    return paths.select("place", "path")
+    upper = tree.filter(F.col("level") == top).select("place", F.expr("cast(array() as array<struct<left:boolean,hash:string>>)").alias("path"))
+    if top == 0:
+        return upper.join(tree.select("place", F.col("hash").alias("seal")), "place").select("place", "seal", "path")
+    for base in reversed(range(0, top, STRIDE)):
+        k = min(STRIDE, top - base)
+        nodes = tree.filter((F.col("level") >= base) & (F.col("level") < base + k)).withColumn("g", F.expr(f"shiftright(place, {base + k} - level)"))
+        own = nodes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("level", "place", "hash"))).alias("nodes"))
+        level = lambda j: F.transform(F.filter("nodes", lambda x: x["level"] == base + j), lambda x: x["hash"])  # noqa: E731, B023
+        rows = own.select("g", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), level).alias("rows"))
+        beside = lambda i: F.transform("rows", lambda row, j: F.struct((F.call_function("shiftright", i, j) % 2 == 1).alias("left"), F.get(row, F.call_function("shiftright", i, j).bitwiseXOR(F.lit(1))).alias("hash")))
+        path = lambda i: F.concat(F.filter(beside(i), lambda p: p["hash"].isNotNull()), F.col("path"))  # noqa: E731, B023
+        leaves = rows.join(upper.withColumnRenamed("place", "g"), "g").select("g", F.explode(F.transform(F.get("rows", F.lit(0)), lambda h, i: F.struct(i.alias("i"), h.alias("seal"), path(i).alias("path")))).alias("leaf"))  # noqa: B023
+        found = leaves.select((F.shiftleft("g", k) + F.col("leaf.i")).alias("place"), "leaf.seal", "leaf.path")
+        upper = materialise(found.select("place", "path"), "seal-paths") if base else found
+    return upper
 
 
 def sealed_root(seal: Column, path: Column) -> Column:

@@ -638,26 +638,24 @@ SEALS = ORACLE_SQL["hc1_hash_chain"].replace("1024", "64").replace("\nSELECT tx_
 """
 
 
-def _sealed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(seals, tree) of the transfers in blocks of 64."""
-    t = materialise(tx(spark, sf_dir), "transfers")
-    numbered = materialise(relational.global_row_number(t.select("epoch", "tx_id"), ["epoch", "tx_id"]), "numbered")
-    seals = materialise(graph.block_seals(graph.chained_hashes(t, numbered, 64), numbered.select("tx_id", "row_id")), "block-seals")
-    return seals, graph.seal_tree(seals)
+def _sealed(spark, sf_dir) -> DataFrame:
+    """The tree of seals of the transfers in blocks of 64."""
+    t = materialise(tx(spark, sf_dir).select("tx_id", "sender", "receiver", "epoch"), "transfers")
+    seals = materialise(graph.block_seals(relational.global_row_number(t, ["epoch", "tx_id"]), 64), "block-seals")
+    return graph.seal_tree(seals)
 
 
 @query(SEALS + "SELECT CAST(level AS INTEGER) AS level, CAST(place AS BIGINT) AS place, hash FROM lv", "")
 def hc1_seal_tree(spark, sf_dir):
     """The tree of hashes over the seals of all blocks; its last level is the root."""
-    return _sealed(spark, sf_dir)[1]
+    return _sealed(spark, sf_dir)
 
 
 @query(SEALS + "SELECT CAST(place AS BIGINT) AS place, hash AS seal, (SELECT hash FROM lv ORDER BY level DESC LIMIT 1) AS root FROM lv WHERE level = 0", "")
 def hc3_proofs_to_root(spark, sf_dir):
     """Every block's seal with the root that its path of siblings leads to, which is the same for all."""
-    seals, tree = _sealed(spark, sf_dir)
-    found = seals.join(graph.seal_proofs(tree), "place")
-    return found.select(F.col("place").cast("long").alias("place"), F.col("hash").alias("seal"), graph.sealed_root(F.col("hash"), F.col("path")).alias("root"))
+    found = graph.seal_proofs(_sealed(spark, sf_dir))
+    return found.select("place", "seal", graph.sealed_root(F.col("seal"), F.col("path")).alias("root"))
 
 
 # Learning

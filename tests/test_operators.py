@@ -719,6 +719,30 @@ def test_seal_tree_proves_every_block(spark, n):
     assert not {x[0] for x in wrong} & set(level)
 
 
+def test_seal_tree_takes_few_rounds(spark, monkeypatch):
+    """Strides of two levels, so that 5, 16 and 37 seals are several rounds, and rounds are as many as strides, not levels."""
+    import hashlib
+
+    written = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "STRIDE", 2)
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: (written.append(tag), real(df, tag))[1])
+    for n, strides in ((5, 2), (16, 2), (37, 3)):
+        level = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(n)]
+        table, want, k = spark.createDataFrame(list(enumerate(level)), "place long, hash string"), {}, 0
+        while True:
+            want |= {(k, i): h for i, h in enumerate(level)}
+            if len(level) == 1:
+                break
+            level, k = [hashlib.sha256((level[i] + level[i + 1]).encode()).hexdigest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)], k + 1
+        written.clear()
+        tree = graph.seal_tree(table)
+        assert {(x.level, x.place): x.hash for x in tree.collect()} == want
+        proofs = graph.seal_proofs(tree).select("place", "seal", graph.sealed_root(F.col("seal"), F.col("path")).alias("root")).collect()
+        assert {x.place: x.seal for x in proofs} == {i: want[0, i] for i in range(n)} and {x.root for x in proofs} == set(level)
+        assert len(written) == 1 + strides + strides - 1
+
+
 def test_flow_seconds_report_both_flows(spark):
     t = frame(spark, random_tx(51, 80, 15))
     found = learning.flow_seconds(t, learning.stratified_folds(t, 2), 2).collect()
