@@ -132,21 +132,27 @@ def cycle_core(edges: DataFrame) -> DataFrame:
         left = materialise(left.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"), "core")
 
 
+def followed(pointers: DataFrame) -> DataFrame:
+    """(back, id, to, on): pointers (back, id, to), one a key (back, id), doubled until they lead where none leads on; ``on`` are those that never end, since they run in rings.
+
+    A round ends the pointers of up to twice as many steps as the one before. There are pointers of every length up to the longest, so when a round ends none, those left are in
+    rings: rounds are the logarithm of the longest stretch, not of the number of pointers. Both directions are doubled at once.
+    """
+    jump = materialise(pointers.select("back", "id", "to", F.lit(True).alias("on")), "stretch")
+    left, before = jump.count(), None
+    while left and left != before:
+        far = jump.select("back", F.col("id").alias("to"), F.col("to").alias("z"))
+        jump = materialise(jump.select("back", "id", "to").join(far, ["back", "to"], "left").select("back", "id", F.coalesce("z", "to").alias("to"), F.col("z").isNotNull().alias("on")), "stretch")
+        left, before = jump.filter("on").count(), left
+    return jump
+
+
 def _stretches(edges: DataFrame, degree: DataFrame, bare: DataFrame) -> DataFrame:
     """(id): the bare vertices and all that hang on them by a stretch: with one edge in, from a peeled vertex, or one out, to a peeled one."""
-    found = bare
-    for near, far, count in (("dst", "src", "i"), ("src", "dst", "o")):
-        one = degree.filter(F.col(count) == 1).select("id")
-        jump = materialise(edges.join(one.withColumnRenamed("id", near), near).select(F.col(near).alias("id"), F.col(far).alias("to")), "stretch")
-        n, reach = jump.count(), 1
-        while reach < n:
-            step = materialise(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("z")), "to", "left").select("id", F.coalesce("z", "to").alias("to"), F.col("z").isNotNull().alias("on")), "stretch")
-            jump, reach = step.drop("on"), 2 * reach
-            if step.filter("on").isEmpty():
-                break
-        roots = degree.filter("i = 0" if count == "i" else "o = 0").select(F.col("id").alias("to"))
-        found = found.union(jump.join(roots, "to", "left_semi").select("id"))
-    return found.distinct()
+    one = lambda count, near, far: edges.join(degree.filter(F.col(count) == 1).select(F.col("id").alias(near)), near).select(F.lit(count == "i").alias("back"), F.col(near).alias("id"), F.col(far).alias("to"))
+    jump = followed(one("i", "dst", "src").union(one("o", "src", "dst")))
+    roots = degree.filter("i = 0").select(F.lit(True).alias("back"), F.col("id").alias("to")).union(degree.filter("o = 0").select(F.lit(False), "id"))
+    return bare.union(jump.join(roots, ["back", "to"], "left_semi").select("id")).distinct()
 
 
 def temporal_forest(tx: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators.components import connected_components
-from cairn.operators.graph import cycle_core
+from cairn.operators.graph import cycle_core, followed
 from cairn.operators.scratch import Growing, materialise
 
 
@@ -29,18 +29,6 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen.read()
 
 
-def _ends(edges: DataFrame, inner: DataFrame, near: str, far: str) -> tuple[DataFrame, DataFrame]:
-    """((id, to), (id)): where the stretch of each inner vertex ends in the direction near to far, and the inner vertices of stretches that close on themselves."""
-    jump = materialise(edges.join(inner.withColumnRenamed("id", near), near).select(F.col(near).alias("id"), F.col(far).alias("to")), "stretch")
-    n, reach = jump.count(), 1
-    while True:
-        far_jump = jump.select(F.col("id").alias("to"), F.col("to").alias("z"))
-        jump = materialise(jump.select("id", "to").join(far_jump, "to", "left").select("id", F.coalesce("z", "to").alias("to"), F.col("z").isNotNull().alias("on")), "stretch")
-        if reach > n or jump.filter("on").isEmpty():
-            return jump.filter("NOT on").select("id", "to"), jump.filter("on").select("id")
-        reach *= 2
-
-
 def _by_pivots(edges: DataFrame) -> DataFrame:
     """(id, component): the components of more than one vertex, named by one of them."""
     kind = dict(edges.dtypes)["src"]
@@ -72,16 +60,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     into = core.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("i"))
     degree = materialise(out.join(into, "id"), "degrees")
     inner = degree.filter("i = 1 AND o = 1").select("id")
-    last, round_ = _ends(core, inner, "src", "dst")
-    first, _ = _ends(core, inner, "dst", "src")
+    at = lambda near, far: core.join(inner.withColumnRenamed("id", near), near).select(F.lit(near == "dst").alias("back"), F.col(near).alias("id"), F.col(far).alias("to"))
+    ends = followed(at("src", "dst").union(at("dst", "src")))
+    last, first = (ends.filter(f"back = {back} AND NOT on").select("id", "to") for back in (False, True))
+    round_ = ends.filter("on AND NOT back").select("id")
     rings = connected_components(core.join(round_.withColumnRenamed("id", "src"), "src", "left_semi"))
     outer = degree.filter("NOT (i = 1 AND o = 1)").select("id")
     heads = core.join(outer.withColumnRenamed("id", "src"), "src", "left_semi")
     short = heads.join(last.withColumnRenamed("id", "dst"), "dst", "left").select("src", F.coalesce("to", "dst").alias("dst")).filter("src <> dst").distinct()
     solved = _by_pivots(materialise(short, "contracted"))
     known = materialise(outer.join(solved, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "outer")
-    ends = last.join(known.select(F.col("id").alias("to"), F.col("component").alias("c")), "to").select("id", "c").join(first.join(known.select(F.col("id").alias("to"), "component"), "to").select("id", "component"), "id")
-    members = materialise(known.unionByName(ends.filter("c = component").select("id", "component")).unionByName(rings), "members")
+    held = last.join(known.select(F.col("id").alias("to"), F.col("component").alias("c")), "to").select("id", "c").join(first.join(known.select(F.col("id").alias("to"), "component"), "to").select("id", "component"), "id")
+    members = materialise(known.unionByName(held.filter("c = component").select("id", "component")).unionByName(rings), "members")
     names = members.groupBy("component").agg(F.min("id").alias("name"))
     return vertices.join(members.join(names, "component").select("id", "name"), "id", "left").select("id", F.coalesce("name", "id").alias("component"))
 

@@ -531,6 +531,20 @@ def test_strong_components_equal_brute_force(spark, graph_of):
         assert strong.strong_components(table.limit(0)).count() == 0
 
 
+def test_rings_do_not_prolong_the_doubling(spark, monkeypatch):
+    """A ring's pointers never end; rounds follow the longest stretch beside it, which here has four edges, and not the thousand pointers."""
+    written = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: (written.append(tag), real(df, tag))[1])
+    ring = [(2 * i, (2 * i + 2) % 1000) for i in range(500)]
+    tail = [(2001, 2002), (2002, 2003), (2003, 2004), (2004, 2005)]
+    table = spark.createDataFrame(ring + tail + [(5000, 5001)], "src long, dst long")
+    assert {(x.src, x.dst) for x in graph.cycle_core(table).collect()} == set(ring)
+    assert written.count("stretch") <= 6
+    jump = graph.followed(table.select(F.lit(False).alias("back"), F.col("src").alias("id"), F.col("dst").alias("to")))
+    assert {(x.id, x.to) for x in jump.filter("NOT on").collect()} == {(5000, 5001), *((i, 2005) for i in range(2001, 2005))} and jump.filter("on").count() == 500
+
+
 def test_cyclic_flags_differ(spark):
     flags = {x.cyclic for x in registry.QUERIES["gr4_cyclic_transfers"](spark, "/root/testdata/sf0.01").select("cyclic").distinct().collect()}
     assert flags == {0, 1}
