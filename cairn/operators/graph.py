@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from cairn.functions.scalar import edge_risk, hour_of, uniform
 from cairn.operators.components import connected_components, merged
 from cairn.operators.relational import Chain, chunked, global_row_number
-from cairn.operators.scratch import Growing, hashed, materialise
+from cairn.operators.scratch import Growing, bucketed, hashed, materialise, sided
 
 
 #: Levels of a tree of seals that are made, or walked, at once, within groups of 2^STRIDE nodes.
 STRIDE = 10
+#: Pivots whose searches share a row.
+LANES = 16
 
 
 def sources_of(edges: DataFrame) -> DataFrame:
@@ -395,6 +397,7 @@ def smoothed_features(edges: DataFrame, features: DataFrame, names: list[str], h
 
 def _undirected(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(both directions of the distinct edges between different vertices, all vertices)."""
+    edges = materialise(edges.select("src", "dst"), "pairs")
     both = materialise(edges.filter("src <> dst").select("src", "dst").union(edges.filter("src <> dst").select("dst", "src")).distinct(), "undirected")
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).filter("id IS NOT NULL")
     return both, materialise(ends.distinct(), "vertices")
@@ -428,27 +431,38 @@ def pivot_betweenness(edges: DataFrame, pivots: int = 16, seed: int = 42) -> Dat
 
     Forward, all pivots at once, each level holds its vertices with the number of shortest paths to them. Backward, level by level, a vertex gets from
     each one beyond it the share of its paths that pass here, times 1 and what that one has itself. Sums are scaled from the pivots to all
-    accounts, and halved, since a path has two ends; with all accounts as pivots they are exact. Both ways each level is a join and a sum whose parts are combined before the shuffle.
+    accounts, and halved, since a path has two ends; with all accounts as pivots they are exact. A row holds a vertex for ``LANES`` pivots, a column each, 0 where its pivot's level is another,
+    so an edge is met once a level and not once a level and pivot. Neighbours of a level lie in it or beside it, so only two levels are held against the next.
     """
     both, vertices = _undirected(edges)
+    both = bucketed(both, "src", "undirected")
     kind, n = dict(vertices.dtypes)["id"], vertices.count()
-    levels = Growing(edges.sparkSession, f"start {kind}, id {kind}, d int, paths double", "paths")
-    front, d = materialise(_pivots(vertices, pivots, seed).select(F.col("id").alias("start"), "id", F.lit(1.0).alias("paths")), "front"), 0
+    lanes = [f"p{i}" for i in range(min(LANES, max(1, pivots)))]
+    mask = reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(c) > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(lanes)))
+    some = reduce(lambda x, y: x | y, (F.col(c) > 0 for c in lanes))
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")).cast("binary")), "id")) - 1  # of the pivots alone
+    start = _pivots(vertices, pivots, seed).withColumn("k", place)
+    start = start.select(F.floor(F.col("k") / len(lanes)).cast("int").alias("g"), "id", *(F.when(F.col("k") % len(lanes) == i, 1.0).otherwise(0.0).alias(c) for i, c in enumerate(lanes)))
+    levels, front = [], materialise(start, "front")
     while not front.isEmpty():
-        levels.add(front.select("start", "id", F.lit(d).alias("d"), "paths"))
-        step = front.join(both, front["id"] == both["src"]).groupBy("start", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
-        front, d = materialise(step.join(levels.read().select("start", "id"), ["start", "id"], "left_anti"), "front"), d + 1
-    shares = Growing(edges.sparkSession, f"start {kind}, id {kind}, share double", "shares")
-    beyond = None
-    for level in range(d - 1, 0, -1):
-        here = levels.read().filter(F.col("d") == level).select("start", "id", "paths")
-        if beyond is None:
-            own = here.withColumn("share", F.lit(0.0))
-        else:
-            back = beyond.join(both, beyond["id"] == both["src"]).select("start", F.col("dst").alias("id"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
-            own = here.join(back.groupBy("start", "id").agg(F.sum("part").alias("part")), ["start", "id"], "left").select("start", "id", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share"))
-        beyond = materialise(own, "shares")
-        shares.add(beyond.select("start", "id", "share"))
+        levels.append(front)
+        met = sided(front.withColumnRenamed("id", "src"), front.count()).join(both, "src").select("g", F.col("dst").alias("id"), *lanes, F.lit(0).alias("seen"))
+        known = reduce(DataFrame.unionByName, levels[-2:]).select("g", "id", *(F.lit(0.0).alias(c) for c in lanes), mask.alias("seen"))
+        step = met.unionByName(known).groupBy("g", "id").agg(*(F.sum(c).alias(c) for c in lanes), F.bit_or("seen").alias("seen"))
+        fresh = step.select("g", "id", *(F.when(F.col("seen").bitwiseAND(F.lit(1 << i)) == 0, F.col(c)).otherwise(0.0).alias(c) for i, c in enumerate(lanes)))
+        front = materialise(fresh.filter(some), "front")
+    shares = Growing(edges.sparkSession, f"id {kind}, share double", "shares")
+    beyond = None  # (g, src, lanes): what each vertex of the level beyond gives for each path of a vertex before it
+    for level in range(len(levels) - 1, 0, -1):
+        here = levels[level]
+        if beyond is not None:
+            back = sided(beyond, levels[level + 1].count()).join(both, "src").groupBy("g", F.col("dst").alias("id")).agg(*(F.sum(c).alias(f"b_{c}") for c in lanes))
+            here = here.join(back, ["g", "id"], "left")
+        part = lambda c: F.coalesce(F.col(f"b_{c}"), F.lit(0.0)) if beyond is not None else F.lit(0.0)  # noqa: E731, B023
+        own = here.select("g", "id", reduce(lambda x, y: x + y, (F.col(c) * part(c) for c in lanes)).alias("share"), *(F.when(F.col(c) > 0, 1 / F.col(c) + part(c)).otherwise(0.0).alias(c) for c in lanes))  # (1 + paths * part) / paths
+        own = materialise(own, "shares")
+        shares.add(own.select("id", "share"))
+        beyond = own.drop("share").withColumnRenamed("id", "src")
     sums = shares.read().groupBy("id").agg(F.sum("share").alias("s"))
     return vertices.join(sums, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * (n / (2.0 * max(1, min(pivots, n))))).alias("betweenness"))
 

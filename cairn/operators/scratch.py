@@ -66,6 +66,24 @@ def hashed(df: DataFrame) -> DataFrame:
     return df.hint("shuffle_hash")
 
 
+#: Rows from which ``sided`` hashes a side within partitions; a smaller one Spark may broadcast by its measured size.
+MANY = 50000
+
+
+def sided(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of one row a key and about ``rows`` rows, for a join with a large table that is neither to be sorted nor moved for a few rows."""
+    return hashed(df) if rows > MANY else df
+
+
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Like ``materialise``, in as many buckets of ``key`` as shuffles have partitions: a join by it moves only the other side. Outside a scope the session's catalog keeps the table's name."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), table_name(tag)
+    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key)
+    (writer if _open else writer.option("path", f"{shared_dir(spark)}/{name}")).saveAsTable(name)
+    return spark.table(name)
+
+
 class Growing:
     """A table in the shared folder to which rounds append, so that a result of many rounds is one scan and not a union of many tables."""
 

@@ -606,6 +606,24 @@ def test_betweenness_of_all_pivots_is_exact(spark):
     assert graph.pivot_betweenness(table.limit(0)).count() == 0
 
 
+def test_betweenness_meets_an_edge_once_a_level(spark, monkeypatch):
+    """Sixteen searches take a row a vertex and level, not one a pivot; more pivots than lanes are as exact."""
+    sizes = []
+    real = graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, tag: (lambda out: (sizes.append(out.count()) if tag == "front" else None, out)[1])(real(df, tag)))
+    r = random.Random(5)
+    edges = list({(r.randrange(40), r.randrange(40)) for _ in range(150)})
+    table = spark.createDataFrame(edges, "src long, dst long")
+    n = len({v for e in edges for v in e})
+    assert graph.pivot_betweenness(table, pivots=16).count() == n
+    assert max(sizes) <= n
+    monkeypatch.setattr(graph, "LANES", 3)
+    small = edges[:30]
+    want = betweenness_by_force(small)
+    got = {x.id: x.betweenness for x in graph.pivot_betweenness(spark.createDataFrame(small, "src long, dst long"), pivots=50).collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v]) for v in want)
+
+
 def test_convolution_gradients_equal_numpy(spark):
     r = np.random.default_rng(24)
     n, edges = 14, [(int(a), int(b)) for a, b in r.integers(0, 13, (24, 2))]
