@@ -1,9 +1,9 @@
 """A trained two-layer graph convolution: full-batch gradient descent with sparse products as joins.
 
 The network is softmax(A relu(A X W1 + b1) W2 + b2), where A is the adjacency matrix with self loops, normalised by the roots of both degrees. A X is made once.
-Since A stands to the left of the small matrices, every epoch takes two sparse products of two columns each: of relu(A X W1 + b1) W2 on the way forward, and of the
-errors on the way back (A is symmetric). A product is a join of the written edges with the written node values and a sum by node, whose partial sums are
-combined before the shuffle, so a hub's edges don't meet in one task. The gradients of the weights are sums over nodes: each task adds up its nodes and sends one row of some
+Since A stands to the left of the small matrices, every epoch takes two sparse products of one column each: of the difference of the two columns of relu(A X W1 + b1) W2 on the way forward, and of the
+errors on the way back (A is symmetric). Edges and nodes are written once in buckets, so a product moves the node values to the edges, which are neither moved nor sorted, and then
+partial sums by node, combined before the shuffle. The gradients of the weights are sums over nodes: each task adds up its nodes and sends one row of some
 400 numbers for 3 features and 64 hidden units, and these rows are added up; weights and Adam's moments are the driver's only state.
 
 Nodes without edges have only their self loop. Edges with ends that are no nodes are ignored, repeated edges count once, direction is ignored. Features must not be null; a null label is no class, and such a node is not trained on.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.operators.scratch import materialise
+from cairn.operators.scratch import bucketed, hashed, materialise
 
 HIDDEN, EPOCHS, RATE = 64, 20, 0.01
 
@@ -30,12 +30,12 @@ def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = materialise(own.union(own.select("dst", "src")).union(ids.select("id", "id")).distinct(), "both-ways")
     degree = both.groupBy("src").agg(F.count("*").alias("d"))
     weighted = both.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
-    return materialise(weighted.select("src", "dst", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("w")), "adjacency")
+    return bucketed(weighted.select("src", "dst", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("w")), "src", "adjacency")
 
 
 def product(matrix: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
     """(id, names): the sparse matrix (src, dst, w) times the columns of ``values`` (id, names)."""
-    met = matrix.join(values.select(F.col("id").alias("src"), *names), "src")
+    met = matrix.join(hashed(values.select(F.col("id").alias("src"), *names)), "src")
     return met.groupBy(F.col("dst").alias("id")).agg(*(F.sum(F.col("w") * F.col(n)).alias(n) for n in names))
 
 
@@ -73,26 +73,26 @@ class Convolution:
         nodes = materialise(nodes.select("id", F.col("label").cast("double").alias("label"), (F.col("train") & F.col("label").isNotNull()).alias("train"), *(F.col(f).cast("double").alias(f) for f in features)), "nodes")
         self.kind = dict(nodes.dtypes)["id"]
         self.matrix = adjacency(edges, nodes)
-        self.rows = materialise(nodes.select("id", "label", "train").join(product(self.matrix, nodes, features), "id"), "convolved")
+        self.rows = bucketed(nodes.select("id", "label", "train").join(product(self.matrix, nodes, features), "id"), "id", "convolved")
         self.trained = nodes.filter("train").count()
 
     def _scores(self) -> DataFrame:
-        """(id, s0, s1): A relu(A X W1 + b1) W2, without b2."""
+        """(id, gap): the difference of the two columns of A relu(A X W1 + b1) W2, without b2; the probabilities depend on nothing else."""
         network, n = self.network, len(self.features)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = network.hidden(_numbers(b, 1, 1 + n)) @ network.weights[2]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0]), pa.array(out[:, 1])], ["id", "s0", "s1"])
+                out = network.hidden(_numbers(b, 1, 1 + n)) @ (network.weights[2][:, 1] - network.weights[2][:, 0])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["id", "gap"])
 
-        made = self.rows.select("id", *self.features).mapInArrow(run, f"id {self.kind}, s0 double, s1 double")
-        return product(self.matrix, made, ["s0", "s1"])
+        made = self.rows.select("id", *self.features).mapInArrow(run, f"id {self.kind}, gap double")
+        return product(self.matrix, made, ["gap"])
 
     def probabilities(self) -> DataFrame:
         """(id, label, train, score): the probability of class 1."""
         bias = self.network.weights[3]
-        gap = F.col("s1") - F.col("s0") + float(bias[1] - bias[0])
-        return self.rows.select("id", "label", "train").join(self._scores(), "id").select("id", "label", "train", (1 / (1 + F.exp(-gap))).alias("score"))
+        gap = F.col("gap") + float(bias[1] - bias[0])
+        return self.rows.select("id", "label", "train").join(hashed(self._scores()), "id").select("id", "label", "train", (1 / (1 + F.exp(-gap))).alias("score"))
 
     def gradients(self) -> tuple[float, list[np.ndarray]]:
         """(loss, gradients of W1, b1, W2, b2): of the mean cross entropy over the nodes to train on."""
@@ -112,7 +112,7 @@ class Convolution:
                 total += np.concatenate([(x.T @ inner).ravel(), inner.sum(0), (h.T @ d).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["slot", "value"])
 
-        sums = self.rows.join(back, "id").select(*self.features, "d1").mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value"))
+        sums = self.rows.join(hashed(back), "id").select(*self.features, "d1").mapInArrow(run, "slot long, value double").groupBy("slot").agg(F.sum("value").alias("value"))
         found = np.zeros(sum(int(np.prod(s)) for s in shapes[:3]))
         for r in sums.collect():  # a row a weight
             found[r["slot"]] = r["value"]
