@@ -1041,13 +1041,6 @@ def fn12_label_or_flag(spark, sf_dir):
     return mutual_flags(tx(spark, sf_dir)).select("tx_id", F.greatest("is_laundering", "mutual").alias("label"))
 
 
-#: Which accounts reach which over the distinct pairs of ``large``, the transfers from LARGE on, where some lie on cycles and some don't.
-LARGE = 450000
-LARGE_CLOSURE = f""", large AS (SELECT * FROM txn WHERE amount >= {LARGE}), e AS (SELECT DISTINCT sender AS src, receiver AS dst FROM large),
-re(src, dst) AS (SELECT src, dst FROM e UNION SELECT re.src, e.dst FROM re JOIN e ON e.src = re.dst)
-"""
-
-
 @query(""", re(src, dst) AS (SELECT src, dst FROM pairs UNION SELECT re.src, e.dst FROM re JOIN pairs e ON e.src = re.dst)
 SELECT tx_id, cyclic, greatest(is_laundering, cyclic) AS label FROM (SELECT *, CAST((receiver, sender) IN (SELECT (src, dst) FROM re) OR sender = receiver AS INTEGER) AS cyclic FROM txn)""")
 def gr4_cyclic_transfers(spark, sf_dir):
@@ -1058,10 +1051,11 @@ def gr4_cyclic_transfers(spark, sf_dir):
     return t.join(flags, ["sender", "receiver"]).select("tx_id", "cyclic", F.greatest("is_laundering", "cyclic").alias("label"))
 
 
-@query(LARGE_CLOSURE + """, both_ways AS (SELECT a.src AS id, a.dst AS other FROM re a JOIN re b ON a.src = b.dst AND a.dst = b.src UNION SELECT src, src FROM e UNION SELECT dst, dst FROM e)
+@query(""", re(src, dst) AS (SELECT src, dst FROM pairs UNION SELECT re.src, e.dst FROM re JOIN pairs e ON e.src = re.dst),
+both_ways AS (SELECT a.src AS id, a.dst AS other FROM re a JOIN re b ON a.src = b.dst AND a.dst = b.src UNION SELECT src, src FROM pairs UNION SELECT dst, dst FROM pairs)
 SELECT id, min(other) AS component FROM both_ways GROUP BY 1""")
 def gr4_strong_components(spark, sf_dir):
-    t = tx(spark, sf_dir).filter(F.col("amount") >= LARGE)
+    t = tx(spark, sf_dir)
     return strong.strong_components(t.select(F.col("sender").alias("src"), F.col("receiver").alias("dst")))
 
 

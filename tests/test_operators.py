@@ -556,6 +556,14 @@ def test_cyclic_flags_are_of_every_transfer(spark):
     assert sorted(r.tx_id for r in flags.collect()) == sorted(r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
 
 
+def test_strong_components_are_of_every_account(spark):
+    sf = "/root/testdata/sf0.001"
+    ends = source.transactions(spark, sf)
+    ends = ends.select("sender").union(ends.select("receiver")).distinct()
+    found = registry.QUERIES["gr4_strong_components"](spark, sf).select("id")
+    assert sorted(r.id for r in found.collect()) == sorted(r.sender for r in ends.collect())
+
+
 def test_components_are_not_broadcast(spark):
     """A table of ids in one component takes few bytes a row in its files; the joins with it shuffle all the same."""
     t = spark.range(2000).select(F.col("id").alias("tx_id"), F.lit(1.0).alias("amount"), F.col("id").alias("epoch"), F.lit(0).alias("is_laundering"))
