@@ -3,14 +3,15 @@
 Only equal windows must meet, so windows are dealt out by an anchor that their own content picks: the
 16-byte string of least hash within the window. Consecutive windows with one anchor form a segment.
 
-1. ``_parts``: the texts are written once, in parts of a task's rows, bucketed by part, so that later
-   steps bring small tables to the texts and never move the texts. There is a bucket for every ``TASK_BYTES`` of text.
+1. ``_parts``: the texts are written once, in parts of a task's rows, ``PART_BYTES`` or less where the task holds many texts, bucketed by part, so that
+   later steps bring small tables to the texts and never move the texts. There is a bucket for every ``TASK_BYTES`` of text.
 2. ``_anchor_blocks``: every part sends its distinct anchor hashes in one packed block per bucket; a
-   bucket answers which of them occur in two documents or more.
+   bucket answers which of them occur in two documents or more, and which are ``hot``.
 3. ``_segments``: a part sends the segments of those anchors: equal ones once, with their least document.
-   Where they occur stays in the part. The windows of an anchor in ``hot`` documents or more are dealt out one by one, each by its own
+   Where they occur stays in the part. The windows of an anchor of ``hot`` segments or more are dealt out one by one, each by its own
    bytes: a hot anchor's segments never meet in one task, and equal windows still do.
-4. ``_answers``: a bucket builds two suffix arrays of its segments, of the suffixes that begin at the
+4. ``_answers``: a bucket, of some ``ROWS`` segments, takes them by groups of one anchor, some ``CHUNK`` at a time, so that its memory follows neither
+   the bucket nor the share of anchors that texts have in common, which grows with the input. It builds two suffix arrays of them, of the suffixes that begin at the
    anchors and of the reversed ones that end there. A mergesort orders them; it compares two suffixes by
    a binary search over prefix polynomial hashes for their common extension, so in logarithmic
    time, and common extensions of neighbours are verified byte by byte. A window that reaches t bytes to the
@@ -38,12 +39,21 @@ from cairn.operators.scratch import table_name
 
 WINDOW = 50
 ANCHOR = 16
-#: Documents of one anchor from which its windows are dealt out one by one.
-HOT = 4096
+#: Most that a part says of an anchor's segments, and what it adds if they lie in two documents or more.
+MOST, SEVERAL = (1 << 15) - 1, 1 << 15
+#: Segments of one anchor, in all documents, from which its windows are dealt out one by one. Below it a group is at most twice a chunk, however often a document
+#: repeats its anchor; a lower number would take more rows, since the share of anchors above it grows with the input.
+HOT = MOST
 #: Anchors in a bucket, about.
 BUCKET = 1 << 19
-#: Parts that a task's rows are split into.
-SPLIT = 8
+#: Segments in a bucket of the suffix stage, about, and those that it works on at once.
+ROWS, CHUNK = 1 << 18, 1 << 14
+#: Windows of a segment of a hot anchor, about.
+WINDOWS = 17
+#: Bytes whose common extensions are verified at once.
+VERIFIED = 1 << 18
+#: Parts that a task's rows are split into, at least, and bytes of text in a part, about.
+SPLIT, PART_BYTES = 8, 4 << 20
 #: Bytes of text, about, in one bucket of the table of parts, which is the work of one task in each pass.
 TASK_BYTES = 16 << 20
 #: Most buckets that Spark allows a table by default; beyond TASK_BYTES times as many a bucket grows, and its parts are still taken one at a time.
@@ -144,11 +154,16 @@ def suffix_sort(text: np.ndarray, start: np.ndarray, size: np.ndarray, group: np
     common = _extension(prefix, x, y, most)
     # verification: equal hashes must be equal bytes
     bound = np.concatenate([[0], np.cumsum(common)])
-    inside = np.arange(bound[-1]) - np.repeat(bound[:-1], common)
-    differ = text[np.repeat(x, common) + inside] != text[np.repeat(y, common) + inside]
-    if differ.any():
-        row = np.repeat(np.arange(n - 1), common)[differ]
-        np.minimum.at(common, row, inside[differ])
+    lo = 0
+    while lo < n - 1:
+        hi = max(lo + 1, int(np.searchsorted(bound, bound[lo] + VERIFIED, "right")) - 1)
+        long = common[lo:hi]
+        inside = np.arange(bound[hi] - bound[lo]) - np.repeat(bound[lo:hi] - bound[lo], long)
+        differ = text[np.repeat(x[lo:hi], long) + inside] != text[np.repeat(y[lo:hi], long) + inside]
+        if differ.any():
+            row = np.repeat(np.arange(lo, hi), long)[differ]
+            np.minimum.at(common, row, inside[differ])
+        lo = hi
     out = np.concatenate([[0], common])
     out[begin] = 0
     return order, out
@@ -188,14 +203,33 @@ def _blocks(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, order[lo:hi]
 
 
+def _chunks(group: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The places of whole groups, chunk by chunk: as many groups as have ``most`` members together, or one that has more."""
+    order = np.argsort(group, kind="stable")
+    edges = np.flatnonzero(np.concatenate([group[order][1:] != group[order][:-1], [True]])) + 1
+    lo = 0
+    while lo < len(order):
+        hi = int(edges[max(np.searchsorted(edges, lo + most, "right") - 1, np.searchsorted(edges, lo, "right"))])
+        yield order[lo:hi]
+        lo = hi
+
+
+def _sizes(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Bytes of the texts: of all, and of those that one task reads at most."""
+    by_task = docs.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.octet_length(text_col)).alias("n"))
+    found = by_task.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    return found["total"] or 0, found["most"] or 0
+
+
 def _text_bytes(docs: DataFrame, text_col: str) -> int:
-    return docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return _sizes(docs, text_col)[0]
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
-    """The texts, of ``total`` bytes, by part, written as a table that is bucketed by part without moving a row between tasks. Buckets follow the bytes, not a setting."""
+def _parts(docs: DataFrame, id_col: str, text_col: str, total: int, most: int = 0) -> DataFrame:
+    """The texts, of ``total`` bytes and ``most`` in a task, by part, written as a table that is bucketed by part without moving a row between tasks. Parts and buckets follow the bytes, not a setting."""
     spark = docs.sparkSession
-    part = F.spark_partition_id() * SPLIT + F.pmod(F.xxhash64("_id"), F.lit(SPLIT)).cast("int")
+    split = max(SPLIT, -(-most // PART_BYTES))
+    part = F.spark_partition_id() * split + F.pmod(F.xxhash64("_id"), F.lit(split)).cast("int")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text")).withColumn("_part", part)
     name = table_name("parts")
     n = min(MOST_BUCKETS, max(2, -(-total // TASK_BYTES)))
@@ -226,7 +260,8 @@ def _anchor_blocks(parts: DataFrame, n_buckets: int, window: int) -> DataFrame:
         other = new.copy()
         other[1:] |= d[1:] != d[:-1]
         at = np.flatnonzero(new)
-        count = np.minimum(np.add.reduceat(other.astype(np.int64), at), 65535).astype(np.uint16) if len(at) else np.zeros(0, np.uint16)
+        count = np.minimum(np.diff(np.append(at, len(a))), MOST)
+        count = (count + SEVERAL * (np.diff(np.append(np.flatnonzero(other).searchsorted(at), other.sum())) > 1)).astype(np.uint16)
         a = a[new]
         rows = [(i, a[k].tobytes(), count[k].tobytes()) for i, k in _blocks((a % np.uint64(n_buckets)).astype(np.int64))]
         part = table.column("_part")[0].as_py()
@@ -236,20 +271,25 @@ def _anchor_blocks(parts: DataFrame, n_buckets: int, window: int) -> DataFrame:
 
 
 def _shared_anchors(blocks: DataFrame, hot: int) -> DataFrame:
+    """(part, keys, hot, rows): the part's anchors that two documents or more hold, and about as many segments as they will make."""
+
     def run(table: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
         a, back = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([np.frombuffer(k.as_buffer(), np.uint16) for k in table.column("counts")])
-        total = np.bincount(back, counts, len(a))
+        several, counts = counts >= SEVERAL, (counts & MOST).astype(np.int64)
+        shared = np.bincount(back, 1 + several, len(a))[back] >= 2
+        is_hot = np.bincount(back, counts, len(a))[back] >= hot
+        rows = np.where(is_hot, WINDOWS * counts, counts)
         out, at = [], 0
         for part, k in zip(table.column("part").to_pylist(), keys):
-            n = total[back[at : at + len(k)]]
+            own = slice(at, at + len(k))
             at += len(k)
-            if (n >= 2).any():
-                out.append((part, k[n >= 2].tobytes(), (n[n >= 2] >= hot).tobytes()))
-        return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "keys": pa.array([r[1] for r in out], pa.binary()), "hot": pa.array([r[2] for r in out], pa.binary())})
+            if (on := shared[own]).any():
+                out.append((part, k[on].tobytes(), is_hot[own][on].tobytes(), int(rows[own][on].sum())))
+        return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "keys": pa.array([r[1] for r in out], pa.binary()), "hot": pa.array([r[2] for r in out], pa.binary()), "rows": pa.array([r[3] for r in out], pa.int64())})
 
-    return blocks.groupBy("bucket").applyInArrow(run, "part int, keys binary, hot binary")
+    return blocks.groupBy("bucket").applyInArrow(run, "part int, keys binary, hot binary, rows long")
 
 
 class _Found:
@@ -341,25 +381,29 @@ def _row_hash(grid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answers(segments: DataFrame, n_buckets: int, window: int) -> DataFrame:
-    """(part, bucket, masks): for each segment that the part sent to the bucket, in order, the bits of its windows that start in a smaller document."""
+def lost_windows(table: pa.Table, window: int) -> pa.Table:
+    """(part, bucket, masks) of a bucket's segments; see ``_answers``."""
+    read = lambda name, kind: [np.frombuffer(v.as_buffer(), kind) for v in table.column(name)]
+    sizes = read("sizes", np.uint8)
+    size, shift, group, doc, text = (np.concatenate(x) for x in (sizes, read("anchors", np.uint8), read("groups", np.uint64), read("least", np.int64), read("text", np.uint8)))
+    begin = np.cumsum(size, dtype=np.int64) - size
+    lost = np.zeros(len(size), np.uint64)  # bit j: the window that begins j bytes into the segment
+    for k in _chunks(group, CHUNK):
+        at = np.concatenate([[0], np.cumsum(size[k], dtype=np.int64)])
+        own = text[np.repeat(begin[k] - at[:-1], size[k]) + np.arange(at[-1])]
+        left, of = shift[k].astype(np.int64), doc[k]
+        for i, t, m in least_documents(own, at, at[:-1] + left, group[k], of, window):
+            gone = m < of[i]
+            lost[k[i[gone]]] |= np.uint64(1) << (left[i[gone]] - t[gone]).astype(np.uint64)
+    masks = np.split(lost, np.cumsum([len(x) for x in sizes])[:-1])
+    live = [i for i, m in enumerate(masks) if m.any()]
+    return pa.table({"part": table.column("part").take(pa.array(live, pa.int64())), "bucket": table.column("bucket").take(pa.array(live, pa.int64())), "masks": pa.array([masks[i].tobytes() for i in live], pa.binary())})
 
-    def run(table: pa.Table) -> pa.Table:
-        read = lambda name, kind: [np.frombuffer(v.as_buffer(), kind) for v in table.column(name)]
-        sizes, shifts, groups, least = (read(*x) for x in (("sizes", np.uint8), ("anchors", np.uint8), ("groups", np.uint64), ("least", np.int64)))
-        size, shift, group, doc = (np.concatenate(x).astype(t) for x, t in ((sizes, np.int64), (shifts, np.int64), (groups, np.uint64), (least, np.int64)))
-        text = np.concatenate(read("text", np.uint8))
-        at = np.concatenate([[0], np.cumsum(size)])
-        lost = np.zeros(len(size), np.uint64)  # bit j: the window that begins j bytes into the segment
-        for i, t, m in least_documents(text, at, at[:-1] + shift, group, doc, window):
-            gone = m < doc[i]
-            lost[i[gone]] |= np.uint64(1) << (shift[i[gone]] - t[gone]).astype(np.uint64)
-        masks = np.split(lost, np.cumsum([len(x) for x in sizes])[:-1])
-        live = [i for i, m in enumerate(masks) if m.any()]
-        return pa.table({"part": table.column("part").take(pa.array(live, pa.int64())), "bucket": table.column("bucket").take(pa.array(live, pa.int64())), "masks": pa.array([masks[i].tobytes() for i in live], pa.binary())})
 
+def _answers(segments: DataFrame, n_buckets: int, window: int) -> DataFrame:
+    """(part, bucket, masks): for each segment that the part sent to the bucket, in order, the bits of its windows that start in a smaller document."""
     # as many tasks as buckets (TASKS at most), so that a task's share does not grow with the input
-    return segments.repartition(min(n_buckets, TASKS), "bucket").groupBy("bucket").applyInArrow(run, "part int, bucket int, masks binary")
+    return segments.repartition(min(n_buckets, TASKS), "bucket").groupBy("bucket").applyInArrow(lambda table: lost_windows(table, window), "part int, bucket int, masks binary")
 
 
 def lost_ranges(found: _Found, masks: dict[int, np.ndarray], n_buckets: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,9 +476,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (the remaining bytes)."""
     if not ANCHOR <= window <= ANCHOR + 62:
         raise ValueError(f"window must be from {ANCHOR} to {ANCHOR + 62} bytes")
-    total = _text_bytes(docs, text_col)
-    parts = _parts(docs, id_col, text_col, total)
-    n_buckets = int(total * 2 / (window - ANCHOR + 2) / bucket) + 1
-    shared = materialise(_shared_anchors(_anchor_blocks(parts, n_buckets, window), hot), "shared-anchors")
+    total, most = _sizes(docs, text_col)
+    parts = _parts(docs, id_col, text_col, total, most)
+    n_anchor = int(total * 2 / (window - ANCHOR + 2) / bucket) + 1
+    shared = materialise(_shared_anchors(_anchor_blocks(parts, n_anchor, window), hot), "shared-anchors")
+    n_buckets = (shared.agg(F.sum("rows").alias("n")).first()["n"] or 0) // min(bucket, ROWS) + 1
     answers = materialise(_answers(_segments(parts, shared, n_buckets, window), n_buckets, window), "lost-windows")
     return _apply(parts, shared, answers, parts.schema["_id"].dataType.simpleString(), n_buckets, window).withColumnRenamed("_id", id_col)

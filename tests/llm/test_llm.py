@@ -6,11 +6,13 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from urllib.parse import unquote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -568,6 +570,40 @@ def test_mixing_by_weights_equals_brute_force(spark):
     assert {x.source for x in mixing.mix_sources(docs, {"b": 2.0}).collect()} == {"b"}
 
 
+def test_suffix_dedup_memory_does_not_follow_the_bucket():
+    """A bucket of 300,000 segments, most of them in groups of two; extensions are right across the borders of the chunks."""
+    r = np.random.default_rng(5)
+    n, size = 150_000, 60
+    half = r.integers(97, 123, (n, size), np.uint8)
+    text, group = np.concatenate([half, half]), np.tile(np.arange(n, dtype=np.uint64), 2)
+    group[:1000] = group[n : n + 1000] = 7
+    blobs = lambda x: pa.array([y.tobytes() for y in np.split(x, 10)], pa.binary())
+    flat = lambda v, t: np.full(2 * n, v, t)
+    columns = {"sizes": flat(size, np.uint8), "anchors": flat(20, np.uint8), "groups": group, "least": np.arange(2 * n, dtype=np.int64) // 2 * 3, "text": text}
+    table = pa.table({"bucket": pa.array([0] * 10, pa.int32()), "part": pa.array(range(10), pa.int32())} | {k: blobs(v) for k, v in columns.items()})
+    tracemalloc.start()
+    out = suffix_dedup.lost_windows(table, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    got = {p: np.frombuffer(m, np.uint64) for p, m in zip(out.column("part").to_pylist(), out.column("masks").to_pylist())}
+    assert got.keys() == {5, 6, 7, 8, 9} and all((m == 2**11 - 1).all() for m in got.values())
+
+
+def test_suffix_dedup_deals_out_an_anchor_that_few_documents_repeat(spark):
+    """Its segments count, and not its documents alone; and what a task reads is split into parts by its bytes."""
+    r = random.Random(4)
+    anchor = "sixteen bytes of" * 2
+    docs = docs_of(spark, [(i, " ".join(f"{r.random()} {anchor} {r.random()}" for _ in range(40))) for i in range(4)]).repartition(2)
+    with scratch(spark):
+        parts = suffix_dedup._parts(docs, "doc_id", "text", *suffix_dedup._sizes(docs, "text"))
+        blocks = suffix_dedup._anchor_blocks(parts, 4, 50)
+        hot = lambda n: sum(sum(x.hot) for x in suffix_dedup._shared_anchors(blocks, n).collect())
+        assert hot(100) > 0 == hot(10_000)
+        n_parts = lambda most: suffix_dedup._parts(docs_of(spark, [(i, "x") for i in range(2000)]).repartition(1), "doc_id", "text", 0, most).select("_part").distinct().count()
+        assert n_parts(0) == suffix_dedup.SPLIT and n_parts(100 * suffix_dedup.PART_BYTES) == 100
+
+
 def test_suffix_dedup_buckets_follow_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "TASK_BYTES", 4096)
     docs = docs_of(spark, [(i, f"text {i} " * 40) for i in range(200)]).repartition(4)
